@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat
+from . import chat, decontaminate, pieces, tokens
 
-QUERIES = {"op10_chat_format": chat.op10_chat_format}
+QUERIES = {
+    "op6_token_counts": tokens.op6_token_counts,
+    "op8_decontamination": decontaminate.op8_decontamination,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
+    "op10_chat_format": chat.op10_chat_format,
+}
 ORACLES = {"op10_chat_format": chat.OP10_SQL}

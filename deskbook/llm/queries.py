@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, pieces, tokens
+from . import chat, decontaminate, pieces, tokens, urlfilter
 
 QUERIES = {
+    "op2_url_filter": urlfilter.op2_url_filter,
     "op6_token_counts": tokens.op6_token_counts,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_chat_format": chat.op10_chat_format,
 }
-ORACLES = {"op10_chat_format": chat.OP10_SQL}
+ORACLES = {"op2_url_filter": urlfilter.OP2_SQL, "op10_chat_format": chat.OP10_SQL}

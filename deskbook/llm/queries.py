@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, pieces, tokens, toxicity, urlfilter
+from . import chat, decontaminate, langid, pieces, pii, tokens, toxicity, urlfilter
 
 QUERIES = {
     "op2_url_filter": urlfilter.op2_url_filter,
     "op3_language_id": langid.op3_language_id,
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_token_counts": tokens.op6_token_counts,
+    "op7_pii": pii.op7_pii,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_chat_format": chat.op10_chat_format,

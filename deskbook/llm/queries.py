@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, pieces, pii, tokens, toxicity, urlfilter
+from . import chat, decontaminate, langid, pieces, pii, tokens, toxicity, urlfilter, vectors
 
 QUERIES = {
     "op2_url_filter": urlfilter.op2_url_filter,
     "op3_language_id": langid.op3_language_id,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_embedding_near_dup": vectors.op5_embedding_near_dup,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_pii": pii.op7_pii,
     "op8_decontamination": decontaminate.op8_decontamination,

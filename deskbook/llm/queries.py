@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, pieces, pii, tokens, toxicity, urlfilter, vectors
+from . import chat, decontaminate, langid, ngramjoin, pieces, pii, tokens, toxicity, urlfilter, vectors
 
 QUERIES = {
+    "op1_ngram_jaccard": ngramjoin.op1_ngram_jaccard,
     "op2_url_filter": urlfilter.op2_url_filter,
     "op3_language_id": langid.op3_language_id,
     "op4_toxicity": toxicity.op4_toxicity,

@@ -94,7 +94,7 @@ def disclosing_terms(found: DataFrame, least: int = LEAST_CONTEXTS, generalise:
     A word reveals an entity if it stands near it in ``least`` different contexts or more (copies of one passage are one
     context) and their pointwise mutual information over documents reaches the given share of the entity's information.
     Counts are over all documents; group-bys are pre-aggregated, so an entity or word in a third of all rows is no hot
-    key; candidate words are few and reach the corpus count as a join whose side Spark sizes at run time.
+    key; the corpus's words are counted before they meet the candidates.
     """
     n_docs = found.count()
     mention = found.where(F.size("base") > 0).select("text_key", "text", F.explode("base").alias("span"))
@@ -107,7 +107,7 @@ def disclosing_terms(found: DataFrame, least: int = LEAST_CONTEXTS, generalise:
     counted = pairs.groupBy("entity", "term").agg(F.countDistinct("text_key").alias("n_both"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= least)
     candidates = cut(counted.join(common, "entity"), "terms")
     wanted = candidates.select("term").distinct()
-    spread = found.select(F.explode(_terms(F.col("text"))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    spread = found.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term", "left_semi")
     information = F.log2(F.lit(float(n_docs)) / F.col("n_entity"))
     shared = F.log2(F.lit(float(n_docs)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     judged = candidates.join(spread, "term").where((information > 0) & (shared >= generalise * information))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, table
+from .common import connected_components, cut, new_path, remove, table
 
 U = np.uint64
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
@@ -31,6 +31,8 @@ SKETCH_BITS = 1024
 #: Rows of a block of a list's members: longer lists are compared block by block.
 BLOCK = 512
 LONGEST_LIGHT = 40
+#: Buckets of ids that say whose texts a verification needs: bounds the broadcast, whatever the number of pairs.
+TEXT_BUCKETS = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -229,10 +231,11 @@ def shingle_entries(docs: DataFrame, sim: Similarity, light: int, bins: int) ->
                 e = entries(ids, sets)
                 e = e[np.lexsort((e["doc"], e["n"], e["key"]))]
                 first = np.concatenate(([True], e["key"][1:] != e["key"][:-1])) if len(e) else np.empty(0, bool)
-                shared = ~first | np.concatenate((~first[1:], [False])) if len(e) else first
-                own = e[shared]
+                own = e[~first]
                 yield made(len(own), kind=np.ones(len(own), np.int32), doc_id=own["doc"], n=own["n"], key=own["key"].view(np.int64))
+                led = np.concatenate((~first[1:], [False]))[first] if len(e) else first
                 e = e[first]
+                e["n"][led] *= -1  # it has followers in this batch
                 number = ((e["key"] >> U(40)) * U(bins) >> U(24)).astype(np.int64)  # keys are sorted, so bins are too
                 cuts = np.searchsorted(number, np.arange(bins + 1))
                 full = [b for b in range(bins) if cuts[b + 1] > cuts[b]] if bins < 100_000 else np.unique(number).tolist()
@@ -253,7 +256,8 @@ def shared_entries(made: DataFrame) -> DataFrame:
                 e = np.concatenate(parts)
                 e = e[np.argsort(e["key"], kind="stable")]
                 same = e["key"][1:] == e["key"][:-1]
-                e = e[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+                e = e[np.concatenate((same, [False])) | np.concatenate(([False], same)) | (e["n"] < 0)]
+                e["n"] = np.abs(e["n"])
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e["key"]).view(np.int64)), pa.array(np.ascontiguousarray(e["doc"])), pa.array(np.ascontiguousarray(e["n"]))], ["key", "doc_id", "n"])
 
         for batch in batches:
@@ -268,47 +272,78 @@ def shared_entries(made: DataFrame) -> DataFrame:
 
     packed = made.where("kind = 2").select("bin", "keys", "docs", "ns").repartition("bin").sortWithinPartitions("bin")
     far = packed.mapInArrow(run, "key long, doc_id long, n int")
-    return made.where("kind = 1").select("key", "doc_id", "n").unionByName(far).distinct()
+    return made.where("kind = 1").select("key", "doc_id", "n").unionByName(far)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
-    """The pairs ``a, b`` that link: by equal digests, else by their whole texts' shingles where sketches allow it.
+def distinct_lists(entries: DataFrame) -> DataFrame:
+    """The lists without those that have the very members of another: near copies share hundreds of lists."""
+    marks = [F.bit_xor(F.xxhash64("doc_id", F.lit(s))).alias(f"x{s}") for s in (1, 2)]
+    per_list = entries.groupBy("key").agg(F.count("*").alias("m"), *marks)
+    chosen = per_list.groupBy("m", "x1", "x2").agg(F.min("key").alias("key")).select("key")
+    return entries.join(chosen, "key", "left_semi")
 
-    The sides' texts are joined by id; a document in very many pairs is a skewed key of a plain join, which adaptive
-    execution splits.
-    """
+
+def likely(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
+    """``a, b, apart, equal`` of pairs that sizes and sketches don't rule out; ``apart`` is the sketches' difference."""
     side = lambda s: sets.select(F.col("doc_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "d1", "d2", "sketch")])
-    known = pairs.join(side("a"), "a").join(side("b"), "b")
+    known = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     known = known.where(sim.den * F.least("n_a", "n_b").cast("long") >= sim.num * F.greatest("n_a", "n_b").cast("long"))
     equal = (F.col("n_a") == F.col("n_b")) & (F.col("d1_a") == F.col("d1_b")) & (F.col("d2_a") == F.col("d2_b"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in ("sketch_a", "sketch_b"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), SKETCH_BITS // 64) for c in ("sketch_a", "sketch_b"))
             total = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
-            keep = np.bitwise_count(x ^ y).sum(axis=1) <= total - 2 * -(-sim.num * total // (sim.num + sim.den))
-            yield batch.filter(pa.array(keep)).select(["a", "b"])
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            out = batch.select(["a", "b", "equal"]).append_column("apart", pa.array(apart))
+            yield out.filter(pa.array(apart <= total - 2 * -(-sim.num * total // (sim.num + sim.den)))).select(["a", "b", "apart", "equal"])
+
+    return known.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b", equal.alias("equal")).mapInArrow(near, "a long, b long, apart long, equal boolean")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
+    """The pairs ``a, b`` that link: by equal digests, else by their whole texts' shingles where sketches allow it.
+
+    The sides' texts are joined by id; a document in very many pairs is a skewed key of a plain join, which adaptive
+    execution splits.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        size = 0
         for batch in batches:
-            last, keep = (None, None), []
+            keep = []
             for a, b, ta, tb in zip(*(batch.column(c) for c in ("a", "b", "text_a", "text_b"))):
-                if last[0] != b.as_py():
-                    last = b.as_py(), shingles(tb.as_py(), sim.words)
-                x, y = shingles(ta.as_py(), sim.words), last[1]
+                sides = []
+                for doc, text in ((a.as_py(), ta), (b.as_py(), tb)):
+                    if doc not in held:
+                        if size > 3_000_000:  # shingles held, 24 MB
+                            held, size = {}, 0
+                        held[doc] = shingles(text.as_py(), sim.words)
+                        size += len(held[doc])
+                    sides.append(held[doc])
+                x, y = sides
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(sim.den * both >= sim.num * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    open_ = known.where(~equal).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(near, "a long, b long")
-    text = lambda s: docs.select(F.col("doc_id").cast("long").alias(s), F.col("text").alias(f"text_{s}"))
-    checked = open_.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
-    return known.where(equal).select("a", "b").unionByName(checked)
+    def involved(s: str, pairs: DataFrame) -> DataFrame:
+        number = lambda c: F.pmod(F.xxhash64(c), F.lit(TEXT_BUCKETS))
+        wanted = F.broadcast(pairs.select(number(F.col(s)).alias("bucket")).distinct())  # TEXT_BUCKETS rows at most
+        own = docs.select(F.col("doc_id").cast("long").alias(s), F.col("text").alias(f"text_{s}"))
+        return own.join(wanted, number(F.col(s)) == F.col("bucket"), "left_semi")
 
+    known = cut(likely(pairs, sets, sim), "likely")
+    open_ = known.where("not equal").select("a", "b")
+    checked = open_.join(involved("a", open_), "a").join(involved("b", open_), "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    return known.where("equal").select("a", "b").unionByName(checked)
 
-def cross_pairs(lists: DataFrame, component: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
+
+def cross_pairs(lists: DataFrame, component: DataFrame, sets: DataFrame, sim: Similarity, closest: bool) -> DataFrame:
     """Pairs of different components that stand in one list and whose sizes and sketches allow a link.
 
+    ``closest``: for each member of a list only the one of another component with the most similar sketch.
+
     Lists whose members are all of one component are done. The others' members are compared by sketch, block against
     block, so that only pairs worth a look at their texts become rows.
     """
@@ -325,12 +360,24 @@ def cross_pairs(lists: DataFrame, component: DataFrame, sets: DataFrame, sim: Si
         own, doc, comp, size = (g.column(c).to_numpy() for c in ("own", "doc_id", "component", "n"))
         bits = np.frombuffer(b"".join(g.column("sketch").to_pylist()), np.uint64).reshape(len(g), -1)
         left, right, found, size = np.flatnonzero(own == i), np.flatnonzero(own == j), [], size.astype(np.int64)
-        for x in left:
-            y = right[right > x] if i == j else right
-            total = size[x] + size[y]
-            y = y[(comp[y] != comp[x]) & (sim.den * np.minimum(size[x], size[y]) >= sim.num * np.maximum(size[x], size[y])) & (np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1) <= total - 2 * -(-sim.num * total // (sim.num + sim.den)))]
-            if len(y):
-                found.append(np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])], axis=1))
+        sides = [(left, right)] if i == j or not closest else [(left, right), (right, left)]
+        for one, other in sides:
+            for at in range(0, len(one), 64):
+                x, y = one[at : at + 64, None], other[None, :]
+                total = size[x] + size[y]
+                fits = (comp[x] != comp[y]) & (sim.den * np.minimum(size[x], size[y]) >= sim.num * np.maximum(size[x], size[y]))
+                if not fits.any():
+                    continue
+                apart = np.bitwise_count(bits[x[:, 0]][:, None, :] ^ bits[other][None, :, :]).sum(axis=2, dtype=np.int64)
+                fits &= apart <= total - 2 * -(-sim.num * total // (sim.num + sim.den))
+                if closest:
+                    apart[~fits] = 1 << 40
+                    k = np.flatnonzero(fits.any(axis=1))
+                    r, c = k, apart[k].argmin(axis=1)
+                else:
+                    r, c = np.nonzero(fits & (doc[x] < doc[y]) if i == j else fits)
+                p, q = doc[one[at + r]], doc[other[c]]
+                found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1))
         return np.concatenate(found) if found else np.empty((0, 2), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,9 +402,12 @@ def jaccard_components(docs: DataFrame, sim: Similarity = Similarity()) -> DataF
     """``doc_id, text`` -> ``doc_id, n_shingles, component_id`` for every row; components of linked documents.
 
     1. One pass makes sets, sketches and keys; entries of a key's lists meet in bins, packed (see ``shingle_entries``).
-    2. Each list has its smallest member as leader. A document is compared with the leader that it shares most lists
-       with, then with its other leaders: in a group of near copies that makes a few comparisons a document.
-    3. Where members of a list are still of different components, all such pairs are compared, by sketch and then by
+    2. Lists with the same members count once. Each has one member as leader, the same for lists with the same choice, and
+       a document is compared with the leader that its sketch is most similar to: in a group of near copies that is one
+       comparison a document.
+    3. In lists with several components left, every member is compared with the one of another component that its
+       sketch is most similar to, which again makes pairs in proportion to the members.
+    4. Where members of a list are still of different components, all such pairs are compared, by sketch and then by
        text. What is left uncompared lies inside a component, so no link between components is lost.
 
     Pairs are never all emitted within a group. Null or blank texts have no shingles and link with nothing; repeated
@@ -367,24 +417,24 @@ def jaccard_components(docs: DataFrame, sim: Similarity = Similarity()) -> DataF
     source = docs.select("doc_id", "text")
     volume = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bins = max(48, volume // 12_000_000)
-    made = cut(shingle_entries(source, sim, light_boundary(source, sim), int(bins)), "entries")
-    rows = made.where("kind = 0").select("doc_id", "n", "d1", "d2", "sketch")
+    path = new_path(spark, "entries")
+    shingle_entries(source, sim, light_boundary(source, sim), int(bins)).write.parquet(path)
+    made = spark.read.schema(ENTRY).parquet(path)
+    rows = cut(made.where("kind = 0").select("doc_id", "n", "d1", "d2", "sketch"), "sets")
     sets = rows.where("doc_id is not null").dropDuplicates(["doc_id"])
-    lists = cut(shared_entries(made), "lists")
-    leaders = lists.groupBy("key").agg(F.min(F.struct("n", "doc_id")).alias("leader"))
-    stars = lists.join(leaders, "key").where(F.col("leader.doc_id") != F.col("doc_id")).groupBy(F.col("doc_id").alias("a"), F.col("leader.doc_id").alias("b")).agg(F.count("*").alias("w"))
-    stars = cut(stars, "stars")
-    best = stars.groupBy("a").agg(F.max(F.struct("w", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    every = new_path(spark, "shared")
+    shared_entries(made).write.parquet(every)
+    remove(spark, path)
+    lists = cut(distinct_lists(spark.read.schema("key long, doc_id long, n int").parquet(every)), "lists")
+    remove(spark, every)
+    leaders = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("leader"))
+    stars = lists.join(leaders, "key").where(F.col("leader.doc_id") != F.col("doc_id")).select(F.col("doc_id").alias("a"), F.col("leader.doc_id").alias("b")).distinct()
+    best = cut(likely(stars, sets, sim).groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "stars")
     links = cut(verified(best, sets, source, sim), "links")
     component = connected_components(links)
-    for step in ("stars", "lists"):
-        if step == "stars":
-            of = lambda s: component.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}"))  # noqa: E731, B023
-            apart = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-            apart = apart.join(best, ["a", "b"], "left_anti")
-        else:
-            apart = cross_pairs(lists, component, sets, sim)
-        more = cut(verified(cut(apart, "apart"), sets, source, sim), "links")
+    for closest in (True, False):
+        apart = cut(cross_pairs(lists, component, sets, sim, closest), "apart")
+        more = cut(verified(apart, sets, source, sim), "links")
         if more.take(1):
             links = links.unionByName(more)
             component = connected_components(links)

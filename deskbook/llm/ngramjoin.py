@@ -1,7 +1,7 @@
 """N-gram Jaccard join: a size-aware heavy-light similarity join of word-shingle sets.
 
-Small sets enumerate their subsets of the size that a partner must share: equal subsets mean a link. Large sets are put
-into inverted lists and the lists are scanned for candidates, which are then verified. A list's key is no single shingle (a
+Small sets enumerate their subsets of the size that a partner must share. Large sets are put
+into inverted lists. Sets that share a subset or a list are candidates, which are then verified. A list's key is no single shingle (a
 passage in a third of all documents would make lists of that length) but a part of the set: shingles are dealt by hash
 over more parts than a partner's differences can reach, so partners agree on whole parts. The boundary between small
 and large is where enumerating costs as much as listing, from the sizes at hand.
@@ -147,23 +147,23 @@ def _removals(n: int, r: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=None)
-def subset_sizes(n: int, sim: Similarity) -> tuple[int, ...]:
-    """Overlaps that link a set of size n with some partner, as the smaller or the larger one."""
-    sizes = {sim.overlap(n, m) for m in range(n, sim.largest(n) + 1)} | {sim.overlap(m, n) for m in range(1, n + 1) if sim.fits(m, n)}
-    return tuple(sorted(o for o in sizes if o <= n))
+def partners(n: int, sim: Similarity) -> tuple[tuple[int, int, int], ...]:
+    """``(smaller size, larger size, overlap that links them)`` of a set of size n with each size that fits."""
+    sizes = [m for m in range(1, sim.largest(n) + 1) if sim.fits(n, m)]
+    return tuple((min(n, m), max(n, m), o) for m in sizes if (o := sim.overlap(n, m)) <= min(n, m))
 
 
 def n_subsets(n: int, sim: Similarity) -> int:
-    return sum(math.comb(n, o) for o in subset_sizes(n, sim))
+    return sum(math.comb(n, o) for _, _, o in partners(n, sim))
 
 
 def subset_keys(h: np.ndarray, sim: Similarity) -> np.ndarray:
-    """Keys of all subsets of a small set that a partner could share; sharing one proves the link."""
+    """Keys of all subsets of a small set that a partner of each size would share: linked sets share one, and few others do."""
     mixed, keys = mix(h + U(1)), []
     total = mixed.sum(dtype=np.uint64)
-    for o in subset_sizes(len(h), sim):
+    for small, large, o in partners(len(h), sim):
         gone = mixed[_removals(len(h), len(h) - o)].sum(axis=1, dtype=np.uint64)
-        keys.append(mix(total - gone + U(o * 0xA24BAED4963EE407 % (1 << 64))))
+        keys.append(mix(total - gone + U((small * 0xA24BAED4963EE407 + large * 0x9FB21C651E98DF25) % (1 << 64))))
     return np.concatenate(keys)
 
 
@@ -276,11 +276,16 @@ def shared_entries(made: DataFrame) -> DataFrame:
 
 
 def distinct_lists(entries: DataFrame) -> DataFrame:
-    """The lists without those that have the very members of another: near copies share hundreds of lists."""
+    """``key, doc_id, n, leader`` of the lists without those that have the very members of another.
+
+    Near copies share hundreds of lists. The leader is the member with the smallest hash, so lists of one group of near
+    copies have few leaders, and a leader has no more lists than its set has parts.
+    """
     marks = [F.bit_xor(F.xxhash64("doc_id", F.lit(s))).alias(f"x{s}") for s in (1, 2)]
-    per_list = entries.groupBy("key").agg(F.count("*").alias("m"), *marks)
-    chosen = per_list.groupBy("m", "x1", "x2").agg(F.min("key").alias("key")).select("key")
-    return entries.join(chosen, "key", "left_semi")
+    leader = F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id"))["doc_id"].alias("leader")
+    per_list = entries.groupBy("key").agg(F.count("*").alias("m"), *marks, leader)
+    chosen = per_list.groupBy("m", "x1", "x2", "leader").agg(F.min("key").alias("key")).select("key", "leader")
+    return entries.join(chosen, "key")
 
 
 def likely(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
@@ -345,15 +350,16 @@ def cross_pairs(lists: DataFrame, component: DataFrame, sets: DataFrame, sim: Si
     ``closest``: for each member of a list only the one of another component with the most similar sketch.
 
     Lists whose members are all of one component are done. The others' members are compared by sketch, block against
-    block, so that only pairs worth a look at their texts become rows.
+    block, so that only pairs worth a look at their texts become rows. A leader's lists meet in one task, where a pair
+    that many of them repeat counts once; their number is bounded by the leader's size and their rows by the blocks.
     """
     named = lists.join(component.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("key", "members")
-    rows = named.select("key", "doc_id", "component").join(mixed, "key").join(sets.select("doc_id", "n", "sketch"), "doc_id")
+    rows = named.select("key", "leader", "doc_id", "component").join(mixed, "key").join(sets.select("doc_id", "n", "sketch"), "doc_id")
     n = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), n).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-    dealt = rows.select("*", own.alias("own"), F.explode(pairs).alias("p")).select("key", "p.i", "p.j", "own", "doc_id", "component", "n", "sketch")
+    dealt = rows.select("*", own.alias("own"), F.explode(pairs).alias("p")).select("leader", "key", "p.i", "p.j", "own", "doc_id", "component", "n", "sketch")
 
     def compare(g: pa.RecordBatch) -> np.ndarray:
         i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
@@ -381,21 +387,22 @@ def cross_pairs(lists: DataFrame, component: DataFrame, sets: DataFrame, sim: Si
         return np.concatenate(found) if found else np.empty((0, 2), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest, pending = None, np.empty((0, 2), np.int64)
         for batch in itertools.chain(batches, [None]):
             rows = rest if batch is None else batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-            if rows is None or not len(rows):
-                continue
-            key = np.stack([rows.column(k).to_numpy() for k in ("key", "i", "j")])
-            starts = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [len(rows)]))
-            if batch is not None:
-                starts, rest = starts[:-1], rows.slice(starts[-2])
-            found = [compare(rows.slice(a, b - a)) for a, b in itertools.pairwise(starts.tolist()) if b - a > 1]
-            if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+            if rows is not None and len(rows):
+                key = np.stack([rows.column(k).to_numpy() for k in ("leader", "i", "j", "key")])
+                starts = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [len(rows)]))
+                if batch is not None:
+                    starts, rest = starts[:-1], rows.slice(starts[-2])
+                found = [compare(rows.slice(a, b - a)) for a, b in itertools.pairwise(starts.tolist()) if b - a > 1]
+                pending = np.unique(np.concatenate([pending, *found]), axis=0)  # a leader's lists repeat their pairs
+            if len(pending) and (batch is None or len(pending) > 300_000):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pending[:, 0])), pa.array(np.ascontiguousarray(pending[:, 1]))], ["a", "b"])
+                pending = pending[:0]
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    dealt = dealt.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "key")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
@@ -427,8 +434,7 @@ def jaccard_components(docs: DataFrame, sim: Similarity = Similarity()) -> DataF
     remove(spark, path)
     lists = cut(distinct_lists(spark.read.schema("key long, doc_id long, n int").parquet(every)), "lists")
     remove(spark, every)
-    leaders = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("leader"))
-    stars = lists.join(leaders, "key").where(F.col("leader.doc_id") != F.col("doc_id")).select(F.col("doc_id").alias("a"), F.col("leader.doc_id").alias("b")).distinct()
+    stars = lists.where("leader <> doc_id").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
     best = cut(likely(stars, sets, sim).groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "stars")
     links = cut(verified(best, sets, source, sim), "links")
     component = connected_components(links)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, ngramjoin, pieces, pii, tokens, toxicity, urlfilter, vectors
+from . import chat, decontaminate, langid, ngramjoin, oracles, pieces, pii, tokens, toxicity, urlfilter, vectors
 
 QUERIES = {
     "op1_ngram_jaccard": ngramjoin.op1_ngram_jaccard,
@@ -16,4 +16,10 @@ QUERIES = {
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_chat_format": chat.op10_chat_format,
 }
-ORACLES = {"op2_url_filter": urlfilter.OP2_SQL, "op10_chat_format": chat.OP10_SQL}
+ORACLES = {
+    "op1_ngram_jaccard": oracles.OP1_SQL,
+    "op2_url_filter": urlfilter.OP2_SQL,
+    "op5_embedding_near_dup": oracles.OP5_SQL,
+    "op8_decontamination": oracles.OP8_SQL,
+    "op10_chat_format": chat.OP10_SQL,
+}

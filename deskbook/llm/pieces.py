@@ -9,10 +9,12 @@ next shorter prefix, and steps back when none is left; a bit field keeps the pla
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +24,7 @@ from .common import table
 
 SPACE = "▁"
 #: Chunks that a task remembers between clearings: bounds a worker's memory.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 
 class PieceModel:
@@ -42,6 +44,7 @@ class PieceModel:
         self.of_byte = {i: b for b, i in self.byte_ids.items()}
         self.piece_of = {i: p for p, i in self.ids.items()}
         self.alphabet = {c for p in self.ids if len(p) > 1 for c in p}
+        self.known = self.alphabet | {p for p in self.ids if len(p) == 1}
         self.automaton = ahocorasick.Automaton()
         for piece in (*self.ids, *(c for c in self.alphabet if c not in self.ids)):
             if self.merge(piece) == [piece]:
@@ -98,34 +101,50 @@ class PieceModel:
 
     def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of a chunk that starts and ends where no merge can cross; characters of no piece become bytes."""
+        if self.known.issuperset(chunk):
+            return self._ids(chunk)
         ids, start = [], 0
-        known = lambda c: c in self.alphabet or c in self.ids
         for i in range(len(chunk) + 1):
-            if i == len(chunk) or not known(chunk[i]):
-                for token in self.split(chunk[start:i]):
-                    ids.extend([self.ids[token]] if token in self.ids else [self.byte_ids[b] for b in token.encode()])
+            if i == len(chunk) or chunk[i] not in self.known:
+                ids += self._ids(chunk[start:i])
                 if i < len(chunk):
                     ids.extend(self.byte_ids[b] for b in chunk[i].encode())
                 start = i + 1
         return ids
 
+    def _ids(self, run: str) -> list[int]:
+        own, ids = self.ids, []
+        for token in self.split(run):
+            if token in own:
+                ids.append(own[token])
+            else:
+                ids.extend(self.byte_ids[b] for b in token.encode())
+        return ids
+
     def chunks(self, text: str) -> list[str]:
-        """Pieces of the text with its leading space, split where a space follows another character."""
+        """Parts of the text with its leading space: words with the spaces before them, and line feeds."""
         if not text:
             return []
-        marked = text.replace(" ", SPACE)
+        text = text.replace(SPACE, " ")
         if not self.splits:
-            return [SPACE + marked]
-        words = marked.split(SPACE)
-        if "" not in words:
-            return [SPACE + w for w in words]
-        found, spaces = [], 0  # runs of spaces stay with what follows
-        for w in words:
-            spaces += 1
-            if w:
-                found.append(SPACE * spaces + w)
-                spaces = 0
-        return found + [SPACE * spaces] * (spaces > 0)
+            return [SPACE + text.replace(" ", SPACE)]
+        found: list[str] = []
+        for n, line in enumerate(text.split("\n") if "\n" not in self.known else [text]):
+            if n:
+                found.append("\n")
+            words, spaces = line.split(" "), 0 if n else 1
+            if "" not in words:
+                found.append(SPACE * spaces + words[0])
+                found += [SPACE + w for w in words[1:]]
+                continue
+            for k, w in enumerate(words):
+                spaces += k > 0
+                if w:
+                    found.append(SPACE * spaces + w)
+                    spaces = 0
+            if spaces:
+                found.append(SPACE * spaces)
+        return found
 
     def encode(self, text: str) -> list[int]:
         return [i for c in self.chunks(text) for i in self.encode_chunk(c)]
@@ -155,19 +174,23 @@ def encode_texts(docs: DataFrame, model_path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, known = model(model_path), {}
+        m, known, odd = model(model_path), {}, {}
         for batch in batches:
-            ids = []
+            ids, texts = [], []
             for text in batch.text:
                 if len(known) > REMEMBERED:
                     known.clear()
-                own = []
-                for c in m.chunks(text):
+                    odd.clear()
+                own, chunks = array("i"), m.chunks(text)
+                for c in chunks:
                     if c not in known:
-                        known[c] = m.encode_chunk(c)
-                    own += known[c]
-                ids.append(own)
-            yield pd.DataFrame({"doc_id": batch.doc_id, "ids": ids, "decoded": [m.decode(i) for i in ids]})
+                        known[c] = array("i", m.encode_chunk(c))
+                        if (back := m.decode_part(known[c])) != c.replace(SPACE, " "):
+                            odd[c] = back
+                    own.extend(known[c])
+                ids.append(np.frombuffer(own, np.int32) if own else [])
+                texts.append("".join([odd.get(c, c) for c in chunks] if odd else chunks).replace(SPACE, " ")[1:])
+            yield pd.DataFrame({"doc_id": batch.doc_id, "ids": ids, "decoded": texts})
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, ids array<int>, decoded string")
 
@@ -175,31 +198,32 @@ def encode_texts(docs: DataFrame, model_path: str) -> DataFrame:
 def encoding_digests(docs: DataFrame, model_path: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of whole texts, made beside the encoding inside the task.
 
-    The same encoder as ``encode_texts``, but ids never leave the worker: a chunk is remembered as its id string, its
-    number of ids and its decoded text, and digests take these parts in order.
+    The same encoder as ``encode_texts``, but ids never leave the worker: a chunk is remembered as its id string (and as its
+    decoded text, where that is not the chunk itself), and digests take these parts in order.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, known = model(model_path), {}
+        m, known, odd = model(model_path), {}, {}
 
-        def part(chunk: str) -> tuple[str, int, str]:
+        def learn(chunk: str) -> None:
             ids = m.encode_chunk(chunk)
-            return ",".join(map(str, ids)), len(ids), m.decode_part(ids)
+            known[chunk] = ",".join(map(str, ids))
+            if (text := m.decode_part(ids)) != chunk.replace(SPACE, " "):
+                odd[chunk] = text
 
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.doc_id, batch.text):
                 if len(known) > REMEMBERED:
                     known.clear()
+                    odd.clear()
                 chunks = m.chunks(text)
-                try:
-                    parts = [known[c] for c in chunks]
-                except KeyError:
-                    known.update((c, part(c)) for c in set(chunks) if c not in known)
-                    parts = [known[c] for c in chunks]
-                decoded = "".join([p[2] for p in parts])
-                ids = ",".join([p[0] for p in parts])
-                rows.append((doc_id, sum([p[1] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded[1:].encode()).hexdigest()))
+                for c in chunks:
+                    if c not in known:
+                        learn(c)
+                ids = ",".join([known[c] for c in chunks])
+                decoded = "".join([odd.get(c, c) for c in chunks] if odd else chunks).replace(SPACE, " ")
+                rows.append((doc_id, ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded[1:].encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

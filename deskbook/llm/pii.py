@@ -89,7 +89,7 @@ def _terms(text):
 
 
 def disclosing_terms(found: DataFrame, least: int = LEAST_CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """``text, text_key, base`` of all documents -> ``entity, term, action`` for words that reveal an entity.
+    """``text, base`` of all documents -> ``entity, term, action`` for words that reveal an entity.
 
     A word reveals an entity if it stands near it in ``least`` different contexts or more (copies of one passage are one
     context) and their pointwise mutual information over documents reaches the given share of the entity's information.
@@ -97,17 +97,16 @@ def disclosing_terms(found: DataFrame, least: int = LEAST_CONTEXTS, generalise:
     key; the corpus's words are counted before they meet the candidates.
     """
     n_docs = found.count()
-    mention = found.where(F.size("base") > 0).select("text_key", "text", F.explode("base").alias("span"))
+    mention = found.where(F.size("base") > 0).select(F.monotonically_increasing_id().alias("row"), "text", F.explode("base").alias("span"))
     before = F.expr(f"substring(text, greatest(1, span.start - {CONTEXT_CHARS - 1}), least(span.start, {CONTEXT_CHARS}))")
     after = F.expr(f"substring(text, span.end + 1, {CONTEXT_CHARS})")
     whole = F.concat(F.when(F.col("span.start") > CONTEXT_CHARS, F.regexp_replace(before, r"^\S+", "")).otherwise(before), F.lit(" "), F.when(F.length("text") > F.col("span.end") + CONTEXT_CHARS, F.regexp_replace(after, r"\S+$", "")).otherwise(after))
-    near = mention.select("text_key", _entity(F.col("span.kind"), F.col("span.value")).alias("entity"), whole.alias("context"))
-    common = near.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= least)
-    pairs = near.select("text_key", "entity", F.xxhash64("context").alias("context"), F.explode(_terms(F.col("context"))).alias("term"))
-    counted = pairs.groupBy("entity", "term").agg(F.countDistinct("text_key").alias("n_both"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= least)
+    near = mention.select("row", _entity(F.col("span.kind"), F.col("span.value")).alias("entity"), whole.alias("context"))
+    common = near.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= least)
+    pairs = near.select("row", "entity", F.xxhash64("context").alias("context"), F.explode(_terms(F.col("context"))).alias("term"))
+    counted = pairs.groupBy("entity", "term").agg(F.countDistinct("row").alias("n_both"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= least)
     candidates = cut(counted.join(common, "entity"), "terms")
-    wanted = candidates.select("term").distinct()
-    spread = found.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term", "left_semi")
+    spread = found.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     information = F.log2(F.lit(float(n_docs)) / F.col("n_entity"))
     shared = F.log2(F.lit(float(n_docs)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     judged = candidates.join(spread, "term").where((information > 0) & (shared >= generalise * information))

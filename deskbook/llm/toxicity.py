@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ from .common import crc_held_out, table
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]*[^.!?\n\s][^.!?\n]*[.!?]*")
 #: Bounds of the labelled sample that the model is fitted on: rows a class, and bytes of text in all.
-SAMPLE_PER_CLASS, SAMPLE_BYTES = 2500, 24_000_000
+SAMPLE_PER_CLASS, SAMPLE_BYTES = 2000, 12_000_000
 MAX_FEATURES = 4000
 REMEMBERED = 400_000
 THRESHOLD = 0.7
@@ -76,50 +77,49 @@ class BagModel:
         return score
 
 
-def informative_features(bags: list[list[set[str]]], labels: np.ndarray, least: float = 13.0) -> list[str]:
+def document_features(text: str) -> set[str]:
+    return {f for w in set(WORD.findall(text.lower())) for f in word_features(w)}
+
+
+def distinct_texts(texts: list[str], labels: np.ndarray) -> list[int]:
+    """One of each set of near copies with one label (those with the same least hashes), so that copies don't vouch for their words."""
+    first: dict[tuple, int] = {}
+    for i, text in enumerate(texts):
+        hashes = sorted({zlib.crc32(f.encode()) for f in document_features(text)})
+        first.setdefault((tuple(hashes[:3]), labels[i]), i)
+    return sorted(first.values())
+
+
+def informative_features(texts: list[str], labels: np.ndarray, least: float = 13.0) -> list[str]:
     """Features that are commoner in toxic documents than chance allows.
 
     ``least`` bounds the log-likelihood ratio of a feature's toxic share against the sample's, about a millionth by chance.
+    Only features of toxic documents are counted, so the table stays small.
     """
-    total: dict[str, int] = {}
-    toxic: dict[str, int] = {}
-    for bag, y in zip(bags, labels):
-        for f in set().union(*bag) if bag else ():
-            total[f] = total.get(f, 0) + 1
-            if y:
-                toxic[f] = toxic.get(f, 0) + 1
+    toxic = Counter(f for t, y in zip(texts, labels) if y for f in document_features(t))
+    other = Counter(f for t, y in zip(texts, labels) if not y for f in document_features(t) if f in toxic)
     share, gain = float(labels.mean()), {}
     for f, k in toxic.items():
-        n, q = total[f], k / total[f]
+        n, q = k + other[f], k / (k + other[f])
         if q > share:
             gain[f] = n * (q * np.log(q / share) + ((1 - q) * np.log((1 - q) / (1 - share)) if q < 1 else 0))
     return sorted((f for f in gain if gain[f] >= least), key=lambda f: (-gain[f], f))[:MAX_FEATURES]
 
 
-def distinct_bags(bags: list[list[set[str]]], labels: np.ndarray) -> tuple[list, np.ndarray]:
-    """One bag of each set of near copies (those with the same least hashes), so that copies don't vouch for their words."""
-    first: dict[tuple, int] = {}
-    for i, bag in enumerate(bags):
-        hashes = sorted({zlib.crc32(f.encode()) for s in bag for f in s})
-        first.setdefault((tuple(hashes[:3]), labels[i]), i)
-    keep = sorted(first.values())
-    return [bags[i] for i in keep], labels[keep]
-
-
 def fit(texts: list[str], labels: list[int], epochs: int = 400, rate: float = 0.1, decay: float = 0.02) -> BagModel:
     """Fit the noisy-or of sentence scores to document labels by full-batch Adam; without both labels nothing is toxic."""
     y = np.asarray(labels, float)
     if len(y) == 0 or y.min() == y.max():
         return BagModel({}, 0.0)
-    bags = [[set().union(*map(word_features, WORD.findall(s.lower()))) for s in SENTENCE.findall(t)] for t in texts]
-    bags, y = distinct_bags(bags, y)
-    chosen = informative_features(bags, y)
+    keep = distinct_texts(texts, y)
+    texts, y = [texts[i] for i in keep], y[keep]
+    chosen = informative_features(texts, y)
     index = {f: i for i, f in enumerate(chosen)}
     # One instance a sentence with features; a document's other sentences differ by nothing but their number.
     doc, rows, cols, quiet = [], [], [], np.zeros(len(y))
-    for d, bag in enumerate(bags):
-        for sentence in bag:
-            own = [index[f] for f in sentence if f in index]
+    for d, text in enumerate(texts):
+        for sentence in SENTENCE.findall(text):
+            own = [index[f] for f in document_features(sentence) if f in index]
             if own:
                 rows += [len(doc)] * len(own)
                 cols += own

@@ -95,7 +95,7 @@ def test_rate_limit_batch_and_stream(spark, tmp_path):
     assert {r[2]: r[5] for r in batch} == {1: True, 2: True, 3: False, 4: True, 5: True}
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = jobs.stream_rate_limit(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), 2, 60_000)
-    query = stream.writeStream.format("memory").queryName("limits").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    query = stream.writeStream.format("memory").queryName("limits").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(once=True).start()
     query.awaitTermination()
     assert {tuple(r) for r in spark.table("limits").collect()} == batch
 

@@ -20,7 +20,7 @@ def test_tokens_split_marks_off(spark):
 
 
 def test_markdown(spark):
-    assert one(spark, T.strip_markdown("c"), "## Head\n\n- a [link](http://x) and `code`\n1. two\n\n\n\n```\nx\n```\n![i](u)") == "Head\n\na link and code\ntwo"
+    assert one(spark, T.strip_markdown("c"), "## Head\n\n- a [link](http://x) and `code`\n1. two\n\n\n\n```\nx\n```\n![i](u)") == "Head\na link and code\ntwo"
 
 
 def test_trailing_sources(spark):

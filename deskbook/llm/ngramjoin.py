@@ -347,7 +347,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, sim: Similarity
 def cross_pairs(lists: DataFrame, component: DataFrame, sets: DataFrame, sim: Similarity, closest: bool) -> DataFrame:
     """Pairs of different components that stand in one list and whose sizes and sketches allow a link.
 
-    ``closest``: for each member of a list only the one of another component with the most similar sketch.
+    ``closest``: for each component in a list only its pair with the most similar sketches.
 
     Lists whose members are all of one component are done. The others' members are compared by sketch, block against
     block, so that only pairs worth a look at their texts become rows. A leader's lists meet in one task, where a pair
@@ -378,13 +378,17 @@ def cross_pairs(lists: DataFrame, component: DataFrame, sets: DataFrame, sim: Si
                 fits &= apart <= total - 2 * -(-sim.num * total // (sim.num + sim.den))
                 if closest:
                     apart[~fits] = 1 << 40
-                    k = np.flatnonzero(fits.any(axis=1))
-                    r, c = k, apart[k].argmin(axis=1)
+                    r = np.flatnonzero(fits.any(axis=1))
+                    c = apart[r].argmin(axis=1)
                 else:
                     r, c = np.nonzero(fits & (doc[x] < doc[y]) if i == j else fits)
                 p, q = doc[one[at + r]], doc[other[c]]
-                found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1))
-        return np.concatenate(found) if found else np.empty((0, 2), np.int64)
+                found.append(np.stack([np.minimum(p, q), np.maximum(p, q), comp[one[at + r]], apart[r, c]], axis=1))
+        pairs = np.concatenate(found) if found else np.empty((0, 4), np.int64)
+        if closest and len(pairs):
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0], pairs[:, 3], pairs[:, 2]))]
+            pairs = pairs[np.concatenate(([True], pairs[1:, 2] != pairs[:-1, 2]))]
+        return pairs[:, :2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest, pending = None, np.empty((0, 2), np.int64)
@@ -412,8 +416,8 @@ def jaccard_components(docs: DataFrame, sim: Similarity = Similarity()) -> DataF
     2. Lists with the same members count once. Each has one member as leader, the same for lists with the same choice, and
        a document is compared with the leader that its sketch is most similar to: in a group of near copies that is one
        comparison a document.
-    3. In lists with several components left, every member is compared with the one of another component that its
-       sketch is most similar to, which again makes pairs in proportion to the members.
+    3. In lists with several components left, each component's pair with the most similar sketches is compared, which
+       makes a pair for each component of a list at most.
     4. Where members of a list are still of different components, all such pairs are compared, by sketch and then by
        text. What is left uncompared lies inside a component, so no link between components is lost.
 

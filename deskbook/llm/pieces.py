@@ -24,7 +24,9 @@ from .common import table
 
 SPACE = "▁"
 #: Chunks that a task remembers between clearings: bounds a worker's memory.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
+#: The same where ids are kept as numbers.
+REMEMBERED_IDS = 150_000
 
 
 class PieceModel:
@@ -178,7 +180,7 @@ def encode_texts(docs: DataFrame, model_path: str) -> DataFrame:
         for batch in batches:
             ids, texts = [], []
             for text in batch.text:
-                if len(known) > REMEMBERED:
+                if len(known) > REMEMBERED_IDS:
                     known.clear()
                     odd.clear()
                 own, chunks = array("i"), m.chunks(text)

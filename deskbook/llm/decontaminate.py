@@ -209,27 +209,34 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
 def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = 0.05, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without rows that items cover to ``coverage`` or more, and without item windows in the rows that stay.
 
-    Columns stay as they are but for ``text`` and, if there, ``n_chars``. Rows without hits keep their text, null
-    included; repeated rows are judged alike; without items all stay.
+    All blocks of items see the whole text and gather spans on the way, as in ``find_hits``; after the last one their union
+    is judged and cut once, so the blocks' size is no part of the result. Columns stay as they are but for ``text`` and,
+    if there, ``n_chars``. Rows without hits keep their text, null included; repeated rows are judged alike; without items
+    all stay.
     """
     spark, columns, schema = docs.sparkSession, docs.columns, docs.schema
-    rest = docs
-    for shared in item_blocks_shared(spark, items, block_bytes):
+    gathered = "spans" + "_" * max(map(len, columns))  # no column of docs
+    rest = docs.withColumn(gathered, F.array().cast("array<array<int>>"))
+    blocks, passed = list(item_blocks_shared(spark, items, block_bytes)), rest.schema
+    for n, shared in enumerate(blocks, 1):
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame], shared=shared, last=n == len(blocks)) -> Iterator[pd.DataFrame]:
             automaton = SuffixAutomaton([(i, words_of(t)) for i, t in shared.value], window)
             for batch in batches:
-                texts, keep = [], []
-                for text in batch["text"]:
+                texts, keep, rows = [], [], []
+                for text, before in zip(batch["text"], batch[gathered]):
                     words = words_of(text or "")
-                    spans, _ = automaton.scan(words)
+                    own, _ = automaton.scan(words)
+                    spans = union_spans(own, before) if len(before) else own
                     hit = sum(b - a for a, b in spans)
-                    keep.append(not hit or hit < coverage * len(words))
-                    texts.append(cut_spans(text, spans) if hit and keep[-1] else text)
-                batch["text"] = texts
+                    keep.append(not last or not hit or hit < coverage * len(words))
+                    texts.append(cut_spans(text, spans) if last and hit and keep[-1] else text)
+                    rows.append([] if last else [list(s) for s in spans])
+                batch["text"], batch[gathered] = texts, rows
                 yield batch[keep]
 
-        rest = rest.mapInPandas(run, schema)
+        rest = rest.mapInPandas(run, passed)
+    rest = rest.drop(gathered)
     if "n_chars" in columns:
         rest = rest.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(schema["n_chars"].dataType))
     return rest

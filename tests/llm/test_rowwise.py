@@ -117,3 +117,14 @@ def test_contamination_table(spark, block_bytes):
     kept = {r.doc_id: r.text for r in decontaminate.remove_contamination(docs, items, block_bytes=block_bytes).collect()}
     assert set(kept) == {1, 2, 5, 6} and kept[1] == f"{filler} ! tail" and kept[5] == "clean" and kept[2] is None
     assert decontaminate.find_hits(docs, items.limit(0)).where("size(spans) > 0").count() == 0
+
+
+def test_removal_judges_all_blocks_at_once(spark):
+    words, filler = [f"w{i}" for i in range(30)], " ".join(f"f{i}" for i in range(400))
+    a, b = " ".join(words[:20]), " ".join(words[14:])  # without the words of a, what is left of b is shorter than a window
+    c, d = (" ".join(f"{k}{i}" for i in range(13)) for k in "cd")
+    items = spark.createDataFrame([(1, a), (2, b), (3, c), (4, d)], "item_id long, text string")
+    rows = [(1, f"{filler} {c} z {d}", 7), (2, f"{filler} {filler} {' '.join(words)} tail", 7), (3, None, 7), (4, f"x {a} {filler} {filler}", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    one, many = ({r.doc_id: (r.text, r.spans) for r in decontaminate.remove_contamination(docs, items, block_bytes=n).collect()} for n in (decontaminate.BLOCK_BYTES, 50))
+    assert one == many == {2: (f"{filler} {filler}  tail", 7), 3: (None, 7), 4: (f"x  {filler} {filler}", 7)}  # 26 of 427 words are hit in row 1

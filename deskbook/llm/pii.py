@@ -1,8 +1,8 @@
 """Personal data and the terms that give it away, in DataFrame operations only.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. Corpus co-occurrence then estimates how strongly a
-word next to such a protected entity reveals it: the pointwise mutual information of the two against the entity's own
-information. Words over the disclosure thresholds are generalised or removed beside the entity itself.
+word in the documents of such a protected entity reveals it: the pointwise mutual information of the two against the
+entity's own information. Words over the disclosure thresholds are generalised or removed beside the entity itself.
 """
 
 from __future__ import annotations
@@ -23,10 +23,8 @@ PATTERNS = {
 #: What a text must hold for its pattern to be worth a search.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 PLACEHOLDERS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "generalise": "<TERM>", "remove": ""}
-#: Characters on either side of an entity whose words count as its context.
-CONTEXT_CHARS = 80
-#: Different contexts in which a word must stand beside an entity before it can disclose it.
-LEAST_CONTEXTS = 3
+#: Documents that a word and an entity must share before their mutual information is an estimate at all.
+LEAST_DOCS = 3
 #: Shares of the entity's information from which a word is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.85, 0.95
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
@@ -88,24 +86,21 @@ def _terms(text):
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{3,}"), F.lit(0)))
 
 
-def disclosing_terms(found: DataFrame, least: int = LEAST_CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def disclosing_terms(found: DataFrame, least: int = LEAST_DOCS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``text, base`` of all documents -> ``entity, term, action`` for words that reveal an entity.
 
-    A word reveals an entity if it stands near it in ``least`` different contexts or more (copies of one passage are one
-    context) and their pointwise mutual information over documents reaches the given share of the entity's information.
-    Counts are over all documents; group-bys are pre-aggregated, so an entity or word in a third of all rows is no hot
-    key; the corpus's words are counted before they meet the candidates.
+    A word reveals an entity if the pointwise mutual information of the two over whole documents reaches the given share
+    of the entity's information, and ``least`` documents or more have both. All counts are rows of the table, copies among
+    them; group-bys are pre-aggregated, so an entity or word in a third of all rows is no hot key; only entities of so many
+    documents meet their documents' words, and the corpus's words are counted before they meet the candidates.
     """
     n_docs = found.count()
-    mention = found.where(F.size("base") > 0).select(F.monotonically_increasing_id().alias("row"), "text", F.explode("base").alias("span"))
-    before = F.expr(f"substring(text, greatest(1, span.start - {CONTEXT_CHARS - 1}), least(span.start, {CONTEXT_CHARS}))")
-    after = F.expr(f"substring(text, span.end + 1, {CONTEXT_CHARS})")
-    whole = F.concat(F.when(F.col("span.start") > CONTEXT_CHARS, F.regexp_replace(before, r"^\S+", "")).otherwise(before), F.lit(" "), F.when(F.length("text") > F.col("span.end") + CONTEXT_CHARS, F.regexp_replace(after, r"\S+$", "")).otherwise(after))
-    near = mention.select("row", _entity(F.col("span.kind"), F.col("span.value")).alias("entity"), whole.alias("context"))
-    common = near.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= least)
-    pairs = near.select("row", "entity", F.xxhash64("context").alias("context"), F.explode(_terms(F.col("context"))).alias("term"))
-    counted = pairs.groupBy("entity", "term").agg(F.countDistinct("row").alias("n_both"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= least)
-    candidates = cut(counted.join(common, "entity"), "terms")
+    mention = found.where(F.size("base") > 0).select(F.array_distinct(F.transform("base", lambda s: _entity(s["kind"], s["value"]))).alias("entities"), _terms(F.col("text")).alias("terms"))
+    near = mention.select("terms", F.explode("entities").alias("entity"))
+    common = cut(near.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= least), "entities")
+    pairs = near.join(common, "entity").select("entity", "n_entity", F.explode("terms").alias("term"))
+    counted = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"))
+    candidates = cut(counted.where(F.col("n_both") >= least), "terms")
     spread = found.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     information = F.log2(F.lit(float(n_docs)) / F.col("n_entity"))
     shared = F.log2(F.lit(float(n_docs)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))

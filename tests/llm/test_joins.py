@@ -145,6 +145,15 @@ def test_disclosing_terms(spark):
     assert clean[31].text == "Zorblax alone, no address" and clean[30].text is None and clean[32].text == "mail <EMAIL> and <EMAIL>"
 
 
+def test_terms_far_from_the_entity_disclose_it(spark):
+    far, copy = "plain words again " * 9, "Quuxley writes from c@copy.example.com at night"
+    texts = [f"Zorblax {far} mail z@far.example.com" for _ in range(3)] + [copy] * 4
+    texts += [f"{'' if i else far}Mixwell {far if i < 3 else ''}10.0.0.9" for i in range(6)] + ["plain words again mail writes from at night"] * 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.entity, r.term): r.action for r in pii.disclosing_terms(df.withColumn("base", pii.base_spans(F.col("text")))).collect()}
+    assert got == {("email:z@far.example.com", t): "remove" for t in ("zorblax", "far")} | {("email:c@copy.example.com", t): "remove" for t in ("quuxley", "copy")} | {("ip:10.0.0.9", "mixwell"): "remove"}
+
+
 def test_url_filter(spark):
     edits = spark.createDataFrame(
         [("spam", "block", "h.example.com", "add", 10), ("spam", "block", "h.example.com", "remove", 20), ("spam", "block", "h.example.com", "remove", 5), ("ok", "allow", "h.example.com/en", "add", 12), ("x", "block", "example.com", "add", 15), ("x", "block", "example.com", "remove", 15), ("y", "block", None, "add", 1), ("z", "block", "h.example.com", "add", 10), ("z", "block", "h.example.com", "add", 10)],

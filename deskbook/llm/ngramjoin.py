@@ -279,9 +279,10 @@ def distinct_lists(entries: DataFrame) -> DataFrame:
     """``key, doc_id, n, leader`` of the lists without those that have the very members of another.
 
     Near copies share hundreds of lists. The leader is the member with the smallest hash, so lists of one group of near
-    copies have few leaders, and a leader has no more lists than its set has parts.
+    copies have few leaders, and a leader has no more lists than its set has parts. An id may stand in a list repeatedly:
+    members are marked by sums of hashes, in which it does not cancel (of 32 bits, so that no sum overflows).
     """
-    marks = [F.bit_xor(F.xxhash64("doc_id", F.lit(s))).alias(f"x{s}") for s in (1, 2)]
+    marks = [F.sum(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(s)), 32)).alias(f"x{s}") for s in (1, 2)]
     leader = F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id"))["doc_id"].alias("leader")
     per_list = entries.groupBy("key").agg(F.count("*").alias("m"), *marks, leader)
     chosen = per_list.groupBy("m", "x1", "x2", "leader").agg(F.min("key").alias("key")).select("key", "leader")

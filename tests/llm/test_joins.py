@@ -65,6 +65,36 @@ def test_jaccard_components(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), want.find(i)) for i, s in sets.items()}
 
 
+def test_lists_of_repeated_ids_stay_apart(spark):
+    ids = [r.id for r in spark.range(1, 9).orderBy(F.xxhash64("id")).collect()]  # the first leads every list it is in
+    lists = {1: [ids[0], ids[1]] * 2, 2: [ids[0], ids[2]] * 2, 3: [ids[0], ids[1]] * 2, 4: [ids[0]] * 2 + [ids[3]], 5: [ids[0]] + [ids[3]] * 2}
+    entries = spark.createDataFrame([(k, i, 9) for k, own in lists.items() for i in own], "key long, doc_id long, n int")
+    kept = {r.key for r in ngramjoin.distinct_lists(entries).collect()}
+    assert {1, 2} <= kept and 3 not in kept and kept & {4, 5}
+
+
+def test_table_united_with_itself(spark):
+    own, rows = random.Random(8), []
+    for size in (60, 100, 200):
+        for _ in range(25):  # each next text differs from the one before by a word or two more than the last
+            text = [f"w{own.randrange(10**6)}" for _ in range(size)]
+            for _ in range(8):
+                rows.append((len(rows), " ".join(text)))
+                for _ in range(own.randint(1, max(1, size // 50))):
+                    text[own.randrange(size)] = f"w{own.randrange(10**6)}"
+    sim = ngramjoin.Similarity()
+    sets = {i: shingle_set(t, 4) for i, t in rows}
+    want = Union(sets)
+    for a in sets:
+        for b in range(a + 1, (a // 8 + 1) * 8):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                want.link(a, b)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngramjoin.jaccard_components(df.union(df), sim).collect()
+    assert len(got) == 2 * len(rows) and {r.doc_id: r.component_id for r in got} == {i: want.find(i) for i in sets}
+
+
 def test_keep_one(spark):
     text = " ".join(f"w{i}" for i in range(50))
     df = spark.createDataFrame([(5, text, 1), (7, text + " more", 1), (9, "other text here", 1), (9, "other text here", 1), (11, None, 1), (None, "x", 1)], "doc_id long, text string, component_id int")

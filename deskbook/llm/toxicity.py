@@ -27,6 +27,8 @@ SAMPLE_PER_CLASS, SAMPLE_BYTES = 2000, 12_000_000
 MAX_FEATURES = 4000
 REMEMBERED = 400_000
 THRESHOLD = 0.7
+#: Similarity of two labelled texts' features from which one is a near copy of the other.
+ALIKE = 0.8
 
 
 def word_features(word: str) -> tuple[str, ...]:
@@ -82,12 +84,21 @@ def document_features(text: str) -> set[str]:
 
 
 def distinct_texts(texts: list[str], labels: np.ndarray) -> list[int]:
-    """One of each set of near copies with one label (those with the same least hashes), so that copies don't vouch for their words."""
-    first: dict[tuple, int] = {}
+    """One of each set of near copies with one label, so that copies don't vouch for their words.
+
+    Texts with the same least hashes are compared; a text is left out if its features' Jaccard similarity with a kept one
+    reaches ``ALIKE``. Texts that merely share common words all stay.
+    """
+    kept: dict[tuple, list[np.ndarray]] = {}
+    chosen = []
     for i, text in enumerate(texts):
-        hashes = sorted({zlib.crc32(f.encode()) for f in document_features(text)})
-        first.setdefault((tuple(hashes[:3]), labels[i]), i)
-    return sorted(first.values())
+        own = np.array(sorted({zlib.crc32(f.encode()) for f in document_features(text)}), np.uint32)
+        others = kept.setdefault((tuple(own[:3].tolist()), labels[i]), [])
+        shared = ((len(np.intersect1d(own, o, assume_unique=True)), len(o)) for o in others)
+        if not any(both >= ALIKE * (len(own) + n - both) for both, n in shared):
+            others.append(own)
+            chosen.append(i)
+    return chosen
 
 
 def informative_features(texts: list[str], labels: np.ndarray, least: float = 13.0) -> list[str]:

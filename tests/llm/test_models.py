@@ -59,3 +59,11 @@ def test_toxicity_finds_sentences(spark):
     got = [(r.doc_id, r.toxic_score >= toxicity.THRESHOLD) for r in toxicity.score_documents(docs, model).collect()]
     assert sorted(got) == [(1, False), (2, False), (3, True), (3, True), (4, False)]
     assert toxicity.fit([], []).weights == {} and toxicity.fit(["a"], [1]).scorer()("a")[0] < toxicity.THRESHOLD
+
+
+def test_texts_that_share_common_words_all_stay():
+    words = sorted((a + b + c for a in "abcdefgh" for b in "aeiou" for c in "klmnrst"), key=lambda w: toxicity.zlib.crc32(f"={w}".encode()))
+    texts = [" ".join(words[:3] + words[at : at + 40]) for at in (3, 43, 83, 123)]
+    texts += [texts[0] + " " + words[43], texts[1], "", ""]  # near copy, copy, and two without features
+    assert toxicity.distinct_texts(texts, np.zeros(len(texts))) == [0, 1, 2, 3, 6]
+    assert toxicity.distinct_texts([texts[0]] * 2, np.array([0, 1])) == [0, 1]

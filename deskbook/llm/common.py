@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a local one only where ``spark.checkpoint.dir`` is unset, as in tests."""
+    """The cluster's shared scratch folder, ``spark.checkpoint.dir``.
+
+    Only a session in one process (``local``, as in tests) gets a folder of its own where that is unset; on a cluster its
+    absence is an error, since executors would not see each other's files.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="deskbook-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -44,6 +51,18 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def attach(rows: DataFrame, lookup: DataFrame, keys: list[str], heat: str, n_rows: int) -> DataFrame:
+    """``rows`` left-joined with ``lookup`` (one row a key), where one key may hold any share of ``rows``.
+
+    ``heat`` is lookup's column with the number of a key's rows. Keys of a thousandth of ``n_rows`` or more (a thousand at
+    most, whatever the data's size) are broadcast and so joined where their rows are; the others are shuffled. Both
+    inputs are read twice and should be written tables. ``heat`` is dropped.
+    """
+    hot = F.col(heat) * 1000 >= max(n_rows, 1)
+    few, many = F.broadcast(lookup.where(hot).drop(heat)), lookup.where(~hot).drop(heat)
+    return rows.join(few, keys).unionByName(rows.join(few.select(keys), keys, "left_anti").join(many, keys, "left"))
+
+
 def crc_held_out(id_col: str = "doc_id"):
     """True for the third of ids that no model may learn labels from; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -65,14 +65,6 @@ def test_jaccard_components(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), want.find(i)) for i, s in sets.items()}
 
 
-def test_lists_of_repeated_ids_stay_apart(spark):
-    ids = [r.id for r in spark.range(1, 9).orderBy(F.xxhash64("id")).collect()]  # the first leads every list it is in
-    lists = {1: [ids[0], ids[1]] * 2, 2: [ids[0], ids[2]] * 2, 3: [ids[0], ids[1]] * 2, 4: [ids[0]] * 2 + [ids[3]], 5: [ids[0]] + [ids[3]] * 2}
-    entries = spark.createDataFrame([(k, i, 9) for k, own in lists.items() for i in own], "key long, doc_id long, n int")
-    kept = {r.key for r in ngramjoin.distinct_lists(entries).collect()}
-    assert {1, 2} <= kept and 3 not in kept and kept & {4, 5}
-
-
 def test_table_united_with_itself(spark):
     own, rows = random.Random(8), []
     for size in (60, 100, 200):

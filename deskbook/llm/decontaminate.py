@@ -7,16 +7,16 @@ than the window are windows of their own.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 #: Bytes to bytes: A-Z to lower case, everything that is no letter, digit or non-ASCII byte to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -30,33 +30,42 @@ def words_of(text: str) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton over word numbers; ``ends`` of a state names the items that have its words."""
+    """Generalised suffix automaton over word numbers, in memory proportional to the items' words.
+
+    States at which a match first reaches the window name the items with these words; short items are named where their
+    words end, and ``near`` points from any state to the next such place among its suffixes.
+    """
 
     def __init__(self, items: list[tuple[int, list[bytes]]], window: int = WINDOW):
         self.window = window
         self.numbers = {w: n for n, w in enumerate(dict.fromkeys(chain.from_iterable(w for _, w in items)), 1)}
         self.next, self.link, self.length = [{}], [-1], [0]
-        ends: list[set] = [set()]
-        whole: dict[int, set] = {}
-        for item, words in items:
+        for _, words in items:
             last = 0
             for w in words:
-                last = self._extend(last, self.numbers[w], ends)
-                ends[last].add(item)
+                last = self._extend(last, self.numbers[w])
+        by_length = sorted(range(1, len(self.next)), key=self.length.__getitem__)
+        self.holder = list(range(len(self.next)))  # the state of a state's last ``window`` words
+        for state in by_length:
+            if self.length[self.link[state]] >= window:
+                self.holder[state] = self.holder[self.link[state]]
+        self.items: dict[int, set] = {}
+        self.short: dict[int, list] = {}
+        for item, words in items:
+            state = 0
+            for n, w in enumerate(words, 1):
+                state = self.next[state][self.numbers[w]]
+                if n >= window:
+                    self.items.setdefault(self.holder[state], set()).add(item)
             if 0 < len(words) < window:
-                whole.setdefault(last, set()).add((len(words), item))
-        for state in sorted(range(len(ends)), key=self.length.__getitem__, reverse=True):
-            if self.link[state] >= 0:
-                ends[self.link[state]] |= ends[state]
-        #: Short items that end where a state's longest words end, its suffixes' among them.
-        self.short: list[tuple] = [()] * len(ends)
-        for state in sorted(range(1, len(ends)), key=self.length.__getitem__):
-            self.short[state] = self.short[self.link[state]] + tuple(sorted(whole.get(state, ())))
-        self.items = [frozenset(e) for e in ends]
+                self.short.setdefault(state, []).append((len(words), item))
+        self.near = [0] * len(self.next)
+        for state in by_length:
+            self.near[state] = state if state in self.short else self.near[self.link[state]]
         sizes = [len(w) for _, w in items if w]
         self.shortest = min([window, *sizes])
 
-    def _extend(self, last: int, word: int, ends: list[set]) -> int:
+    def _extend(self, last: int, word: int) -> int:
         nxt, link, length = self.next, self.link, self.length
 
         def split(p: int, q: int) -> int:
@@ -64,7 +73,6 @@ class SuffixAutomaton:
             nxt.append(dict(nxt[q]))
             link.append(link[q])
             length.append(length[p] + 1)
-            ends.append(set())
             link[q] = clone
             while p >= 0 and nxt[p].get(word) == q:
                 nxt[p][word] = clone
@@ -78,7 +86,6 @@ class SuffixAutomaton:
         nxt.append({})
         link.append(0)
         length.append(length[last] + 1)
-        ends.append(set())
         p = last
         while p >= 0 and word not in nxt[p]:
             nxt[p][word] = new
@@ -112,15 +119,15 @@ class SuffixAutomaton:
                 size += 1
             hit = 0
             if size >= window:
-                holder = state
-                while length[link[holder]] >= window:
-                    holder = link[holder]
-                found |= self.items[holder]
+                found |= self.items[self.holder[state]]
                 hit = window
-            for n_words, item in self.short[state]:
-                if n_words <= size:
-                    found.add(item)
-                    hit = max(hit, n_words)
+            place = self.near[state]
+            while place:
+                for n_words, item in self.short[place]:
+                    if n_words <= size:
+                        found.add(item)
+                        hit = max(hit, n_words)
+                place = self.near[link[place]]
             if hit:
                 if spans and at - hit <= spans[-1][1]:
                     start = min(spans[-1][0], at - hit)
@@ -132,14 +139,28 @@ class SuffixAutomaton:
                     spans.append((at - hit, at))
 
 
-def item_blocks_shared(spark: SparkSession, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator:
-    """Broadcasts of the test items in blocks of bounded size: all at once where a check of their size allows, else by hashed block."""
+_automata: dict[str, SuffixAutomaton] = {}
+
+
+def automaton_of(shared, window: int) -> SuffixAutomaton:
+    """The automaton of a broadcast block, built once by a worker process and replaced by the next block's."""
+    name, items = shared.value
+    if (key := f"{name}-{window}") not in _automata:
+        _automata.clear()
+        _automata[key] = SuffixAutomaton([(i, words_of(t)) for i, t in items], window)
+    return _automata[key]
+
+
+def item_blocks(spark: SparkSession, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple]:
+    """``(broadcast, last)`` of the test items in blocks of bounded size, one at a time: all items at once where a check of
+    their size allows, else by hashed block."""
     source = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     total = source.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
     for block in range(blocks):
         part = source if blocks == 1 else source.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        yield spark.sparkContext.broadcast([(r.item_id, r.text) for r in part.collect()])
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [(r.item_id, r.text) for r in part.collect()]))
+        yield shared, block == blocks - 1
 
 
 def union_spans(one: list, other: list) -> list[tuple[int, int]]:
@@ -153,33 +174,40 @@ def union_spans(one: list, other: list) -> list[tuple[int, int]]:
     return merged
 
 
+SPANS = pa.list_(pa.list_(pa.int32()))
+
+
 def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, text`` x ``item_id, text`` -> ``doc_id, n_words, spans, items`` of every row of ``docs``.
 
     ``spans`` are merged word spans ``[start, end)`` inside item windows, ``items`` the ids whose windows occur. The
     items are a stated query set: they are broadcast as one automaton where their checked size allows, else all rows pass
-    one block of items after another and gather spans on the way. Rows stay where they are, without a shuffle. Null or
-    empty text has no words; null item ids count as an item without a name; repeated rows stay apart; without items
-    nothing is hit; extra columns are dropped.
+    one block of items after another and gather spans on the way, written to the shared folder in between, so that a task
+    holds one block. Rows stay where they are, without a shuffle. Null or empty text has no words; the words of an item
+    without an id are hit, but no id is listed for it; repeated rows stay apart; without items nothing is hit; extra
+    columns are dropped; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     schema = "doc_id long, text string, n_words long, spans array<array<int>>, items array<long>"
-    rest = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<int>>").alias("spans"), F.array().cast("array<long>").alias("items"))
-    blocks = list(item_blocks_shared(spark, items, block_bytes))
-    for n, shared in enumerate(blocks, 1):
+    rest = docs.select(F.col("doc_id").cast("long"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<int>>").alias("spans"), F.array().cast("array<long>").alias("items"))
+    for shared, last in item_blocks(docs.sparkSession, items, block_bytes):
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared, last=n == len(blocks)) -> Iterator[pd.DataFrame]:
-            automaton = SuffixAutomaton([(i, words_of(t)) for i, t in shared.value], window)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
+            automaton = automaton_of(shared, window)
             for batch in batches:
-                rows = []
-                for doc_id, text, spans, before in zip(batch.doc_id, batch.text, batch.spans, batch["items"]):
-                    words = words_of(text)
+                sizes, spans, names = [], [], []
+                for text, before, known in zip(batch.column("text"), batch.column("spans"), batch.column("items")):
+                    words = words_of(text.as_py() or "")
                     own, found = automaton.scan(words)
-                    spans = union_spans(own, spans) if len(spans) else own
-                    rows.append((doc_id, None if last else text, len(words), [list(s) for s in spans], list({*before, *found} - {None})))
-                yield pd.DataFrame(rows, columns=["doc_id", "text", "n_words", "spans", "items"])
-
-        rest = rest.mapInPandas(run, schema)
+                    sizes.append(len(words))
+                    spans.append(union_spans(own, before.as_py()) if len(before) else own)
+                    names.append(sorted({*known.as_py(), *found} - {None}) if found or len(known) else [])
+                text = pa.nulls(len(batch), pa.string()) if last else batch.column("text")
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text, pa.array(sizes, pa.int64()), pa.array(spans, SPANS), pa.array(names, pa.list_(pa.int64()))], ["doc_id", "text", "n_words", "spans", "items"])
+
+        rest = rest.mapInArrow(run, schema)
+        if not last:
+            rest = cut(rest, "hits")
+            shared.unpersist()
     return rest.drop("text")
 
 
@@ -214,28 +242,35 @@ def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW
     if there, ``n_chars``. Rows without hits keep their text, null included; repeated rows are judged alike; without items
     all stay.
     """
-    spark, columns, schema = docs.sparkSession, docs.columns, docs.schema
+    columns, schema = docs.columns, docs.schema
     gathered = "spans" + "_" * max(map(len, columns))  # no column of docs
     rest = docs.withColumn(gathered, F.array().cast("array<array<int>>"))
-    blocks, passed = list(item_blocks_shared(spark, items, block_bytes)), rest.schema
-    for n, shared in enumerate(blocks, 1):
+    passed = rest.schema
+    for shared, last in item_blocks(docs.sparkSession, items, block_bytes):
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared, last=n == len(blocks)) -> Iterator[pd.DataFrame]:
-            automaton = SuffixAutomaton([(i, words_of(t)) for i, t in shared.value], window)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
+            automaton = automaton_of(shared, window)
             for batch in batches:
-                texts, keep, rows = [], [], []
-                for text, before in zip(batch["text"], batch[gathered]):
+                texts, keep, rows, changed = [], [], [], False
+                for text, before in zip(batch.column("text").to_pylist(), batch.column(gathered)):
                     words = words_of(text or "")
                     own, _ = automaton.scan(words)
-                    spans = union_spans(own, before) if len(before) else own
+                    spans = union_spans(own, before.as_py()) if len(before) else own
                     hit = sum(b - a for a, b in spans)
                     keep.append(not last or not hit or hit < coverage * len(words))
-                    texts.append(cut_spans(text, spans) if last and hit and keep[-1] else text)
-                    rows.append([] if last else [list(s) for s in spans])
-                batch["text"], batch[gathered] = texts, rows
-                yield batch[keep]
-
-        rest = rest.mapInPandas(run, passed)
+                    cutting = last and hit and keep[-1]
+                    texts.append(cut_spans(text, spans) if cutting else text)
+                    rows.append([] if last else spans)
+                    changed |= bool(cutting)
+                if changed:
+                    batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+                batch = batch.set_column(batch.schema.get_field_index(gathered), gathered, pa.array(rows, SPANS))
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        rest = rest.mapInArrow(run, passed)
+        if not last:
+            rest = cut(rest, "hits")
+            shared.unpersist()
     rest = rest.drop(gathered)
     if "n_chars" in columns:
         rest = rest.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(schema["n_chars"].dataType))
@@ -243,4 +278,5 @@ def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents`` against all of ``benchmark``, 13-word windows; cases as in ``find_hits``."""
     return contamination(find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))

@@ -23,7 +23,7 @@ def test_pipeline(spark):
         before, kept = kept, stage(spark, kept, DATA).cache()
         assert kept.columns == docs.columns and kept.count() <= before.count(), name
         if name == "toxicity":
-            model = toxicity.fit(*toxicity.labelled_sample(docs, spark.read.parquet(f"{DATA}/labels.parquet")))
+            model = toxicity.fit(toxicity.labelled_sample(docs, spark.read.parquet(f"{DATA}/labels.parquet")))
             score = model.scorer()
             assert {r.doc_id for r in docs.collect() if score(r.text or "")[0] < toxicity.THRESHOLD} == {r.doc_id for r in kept.collect()}
         if name == "ngram_jaccard":

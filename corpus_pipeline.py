@@ -12,7 +12,7 @@ from deskbook.llm.common import cut, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model scores below the threshold; it learns from the labels of all documents."""
-    model = toxicity.fit(*toxicity.labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    model = toxicity.fit(toxicity.labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
     return toxicity.score_documents(docs, model).where(F.col("toxic_score") < toxicity.THRESHOLD).drop("toxic_score", "offending")
 
 

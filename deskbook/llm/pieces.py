@@ -9,24 +9,43 @@ next shorter prefix, and steps back when none is left; a bit field keeps the pla
 from __future__ import annotations
 
 import hashlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
 SPACE = "▁"
-#: Chunks that a task remembers between clearings: bounds a worker's memory.
-REMEMBERED = 400_000
-#: The same where ids are kept as numbers.
-REMEMBERED_IDS = 150_000
+#: Chunks that a worker remembers in each of two generations, and the longest that it remembers: bounds its memory.
+REMEMBERED, LONGEST_REMEMBERED = 300_000, 48
+#: Rows whose ids are made at once.
+SLICE = 500
+
+
+class Remembered(dict):
+    """What ``learn`` makes of each key, remembered for two generations of ``most`` keys: common keys stay, rare ones go."""
+
+    def __init__(self, learn: Callable[[str], object], most: int = REMEMBERED):
+        super().__init__()
+        self.learn, self.most, self.old = learn, most, {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.learn(key)
+            if len(key) > LONGEST_REMEMBERED:
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class PieceModel:
@@ -82,23 +101,23 @@ class PieceModel:
         """Tokens of a text whose characters all stand in the vocabulary's alphabet, by backtracking."""
         longest = [0] * len(text)
         for end, n in self.automaton.iter(text):
-            if n > longest[end - n + 1]:
-                longest[end - n + 1] = n
-        open_at, tokens, at = (1 << (len(text) + 1)) - 1, [], 0
-        token = text[: longest[0]] if text else None
+            longest[end - n + 1] = n  # ends grow, so the last match at a place is its longest
+        closed, tokens, at, last = bytearray(len(text) + 1), [], 0, None
+        compatible, token = self.compatible, text[: longest[0]] if text else None
         while token is not None:
-            while True:
-                end = at + len(token)
-                if open_at >> end & 1 and (not tokens or self.compatible(tokens[-1], token)):
-                    tokens.append(token)
-                    at = end
-                    token = text[at : at + longest[at]] if at < len(text) else None
-                    break
+            end = at + len(token)
+            if not closed[end] and (last is None or compatible(last, token)):
+                tokens.append(token)
+                at, last = end, token
+                token = text[at : at + longest[at]] if at < len(text) else None
+                continue
+            token = self.prefix(token)
+            while token is None:
+                closed[at] = 1
+                token = tokens.pop()  # its end is closed now, so a shorter one is tried
+                at -= len(token)
+                last = tokens[-1] if tokens else None
                 token = self.prefix(token)
-                if token is None:
-                    open_at &= ~(1 << at)
-                    token = tokens.pop()  # its end is closed now, so a shorter one is tried
-                    at -= len(token)
         return tokens
 
     def encode_chunk(self, chunk: str) -> list[int]:
@@ -115,13 +134,11 @@ class PieceModel:
         return ids
 
     def _ids(self, run: str) -> list[int]:
-        own, ids = self.ids, []
-        for token in self.split(run):
-            if token in own:
-                ids.append(own[token])
-            else:
-                ids.extend(self.byte_ids[b] for b in token.encode())
-        return ids
+        own, tokens = self.ids, self.split(run)
+        try:
+            return [own[t] for t in tokens]
+        except KeyError:
+            return [i for t in tokens for i in ([own[t]] if t in own else [self.byte_ids[b] for b in t.encode()])]
 
     def chunks(self, text: str) -> list[str]:
         """Parts of the text with its leading space: words with the spaces before them, and line feeds."""
@@ -132,22 +149,19 @@ class PieceModel:
             return [SPACE + text.replace(" ", SPACE)]
         found: list[str] = []
         for n, line in enumerate(text.split("\n") if "\n" not in self.known else [text]):
-            if n:
-                found.append("\n")
-            words, spaces = line.split(" "), 0 if n else 1
-            if "" not in words:
-                found.append(SPACE * spaces + words[0])
-                found += [SPACE + w for w in words[1:]]
-                continue
-            for k, w in enumerate(words):
-                spaces += k > 0
-                if w:
-                    found.append(SPACE * spaces + w)
-                    spaces = 0
-            if spaces:
-                found.append(SPACE * spaces)
+            found += ["\n"] * (n > 0) + self.line_chunks(line, n == 0)
         return found
 
+    def line_chunks(self, line: str, first: bool) -> list[str]:
+        """Chunks of one line; the text's first line has a space before it."""
+        found, spaces = [], int(first)
+        for k, w in enumerate(line.split(" ")):
+            spaces += k > 0
+            if w:
+                found.append(SPACE * spaces + w)
+                spaces = 0
+        return [*found, SPACE * spaces] if spaces else found
+
     def encode(self, text: str) -> list[int]:
         return [i for c in self.chunks(text) for i in self.encode_chunk(c)]
 
@@ -163,9 +177,47 @@ class PieceModel:
         return text[1:] if text.startswith(" ") and ids and ids[0] not in self.of_byte else text
 
 
+class Encoder:
+    """Encodes whole texts chunk by chunk, each chunk's ids in the form that ``pack`` gives them."""
+
+    def __init__(self, path: str, pack: Callable[[list[int]], object]):
+        self.model, self.pack, self.odd = PieceModel(path), pack, {}
+        self.words = Remembered(lambda word: self._learn(SPACE + word))
+        self.others = Remembered(self._learn, REMEMBERED // 4)
+        self.lines = "\n" not in self.model.known
+
+    def _learn(self, chunk: str):
+        ids = self.model.encode_chunk(chunk)
+        if (back := self.model.decode_part(ids)) != chunk.replace(SPACE, " "):
+            self.odd[chunk] = back  # characters that don't come back as they were
+        return self.pack(ids)
+
+    def parts(self, text: str) -> list:
+        """The packed ids of the text's chunks in order."""
+        if not text or not self.model.splits:
+            return [self.others[c] for c in self.model.chunks(text)]
+        text, found = text.replace(SPACE, " "), []
+        for n, line in enumerate(text.split("\n") if self.lines else [text]):
+            words = line.split(" ")
+            if "" in words:  # runs of spaces belong to the word behind them
+                found += [self.others[c] for c in (*["\n"] * (n > 0), *self.model.line_chunks(line, n == 0))]
+                continue
+            if n:
+                found += [self.others["\n"], self.others[words.pop(0)]]
+            found += map(self.words.__getitem__, words)
+        return found
+
+    def decoded(self, text: str) -> str:
+        """The text that the ids of ``text`` decode to: the text itself but for its odd chunks."""
+        if not self.odd:
+            return text.replace(SPACE, " ")
+        return "".join([self.odd.get(c, c) for c in self.model.chunks(text)]).replace(SPACE, " ")[1:]
+
+
 @lru_cache(maxsize=2)
-def model(path: str) -> PieceModel:
-    return PieceModel(path)
+def encoder(path: str, kind: str) -> Encoder:
+    """A worker's encoder, kept between its tasks."""
+    return Encoder(path, (lambda ids: np.array(ids, np.int32).tobytes()) if kind == "bytes" else lambda ids: ",".join(map(str, ids)))
 
 
 def encode_texts(docs: DataFrame, model_path: str) -> DataFrame:
@@ -175,61 +227,42 @@ def encode_texts(docs: DataFrame, model_path: str) -> DataFrame:
     table gives no rows; extra columns are dropped.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, known, odd = model(model_path), {}, {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(model_path, "bytes")
         for batch in batches:
-            ids, texts = [], []
-            for text in batch.text:
-                if len(known) > REMEMBERED_IDS:
-                    known.clear()
-                    odd.clear()
-                own, chunks = array("i"), m.chunks(text)
-                for c in chunks:
-                    if c not in known:
-                        known[c] = array("i", m.encode_chunk(c))
-                        if (back := m.decode_part(known[c])) != c.replace(SPACE, " "):
-                            odd[c] = back
-                    own.extend(known[c])
-                ids.append(np.frombuffer(own, np.int32) if own else [])
-                texts.append("".join([odd.get(c, c) for c in chunks] if odd else chunks).replace(SPACE, " ")[1:])
-            yield pd.DataFrame({"doc_id": batch.doc_id, "ids": ids, "decoded": texts})
-
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, ids array<int>, decoded string")
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
+                texts = [t.as_py() or "" for t in part.column("text")]
+                ids = [b"".join(own.parts(t)) for t in texts]
+                ends = np.cumsum([0, *[len(i) // 4 for i in ids]])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array([own.decoded(t) for t in texts], pa.string())], ["doc_id", "ids", "decoded"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def encoding_digests(docs: DataFrame, model_path: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of whole texts, made beside the encoding inside the task.
 
-    The same encoder as ``encode_texts``, but ids never leave the worker: a chunk is remembered as its id string (and as its
-    decoded text, where that is not the chunk itself), and digests take these parts in order.
+    The same encoder as in ``encode_texts``, but ids never leave the worker: a chunk is remembered as its id string, and
+    digests take these parts in order. Cases as there.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, known, odd = model(model_path), {}, {}
-
-        def learn(chunk: str) -> None:
-            ids = m.encode_chunk(chunk)
-            known[chunk] = ",".join(map(str, ids))
-            if (text := m.decode_part(ids)) != chunk.replace(SPACE, " "):
-                odd[chunk] = text
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, digest = encoder(model_path, "text"), lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.doc_id, batch.text):
-                if len(known) > REMEMBERED:
-                    known.clear()
-                    odd.clear()
-                chunks = m.chunks(text)
-                for c in chunks:
-                    if c not in known:
-                        learn(c)
-                ids = ",".join([known[c] for c in chunks])
-                decoded = "".join([odd.get(c, c) for c in chunks] if odd else chunks).replace(SPACE, " ")
-                rows.append((doc_id, ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded[1:].encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            sizes, ids, decoded = [], [], []
+            for text in batch.column("text"):
+                text = text.as_py() or ""
+                joined = ",".join(own.parts(text))
+                sizes.append(joined.count(",") + 1 if joined else 0)
+                ids.append(digest(joined))
+                decoded.append(digest(own.decoded(text)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents`` with the public model ``piece_bpe_32k``; cases as in ``encode_texts``."""
     return encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

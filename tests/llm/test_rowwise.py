@@ -6,6 +6,7 @@ import re
 
 import public_tokenizers as P
 import pytest
+from conftest import DATA
 
 from deskbook.llm import chat, decontaminate, pieces, tokens
 
@@ -45,13 +46,46 @@ def test_pieces_match_the_library():
     for t in TEXTS:
         ids = lib.encode(t)
         assert own.encode(t) == ids and own.decode(ids) == lib.decode(ids)
+    packed = pieces.Encoder(path, tuple)
+    packed.words.most = packed.others.most = 7  # forgets all the time
+    for t in [*TEXTS, "\n", "\n\na", "a\n", " \n b", "a \n  b\n", "▁a▁"]:
+        ids = lib.encode(t)
+        assert [i for part in packed.parts(t) for i in part] == ids and packed.decoded(t) == lib.decode(ids)
+
+
+def test_very_long_words_take_linear_time():
+    import sentencepiece
+    import time
+
+    path = P.path("piece_bpe_32k.model")
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceModel(path)
+    word = "".join(R.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5000))
+    own.encode(word)
+    assert own.encode(word * 4) == lib.encode(word * 4)
+    took = []
+    for n in (10, 40):
+        began = time.process_time()
+        own.encode(word * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0]
+
+
+def test_pieces_of_documents_match_the_library(spark):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {(r.doc_id, len(ids := lib.encode(r.text or "")), sha(",".join(map(str, ids))), sha(lib.decode(ids))) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert {tuple(r) for r in pieces.op9_sentencepiece(spark, DATA).collect()} == want
 
 
 def test_piece_table(spark):
-    df = spark.createDataFrame([(1, None, 1), (2, "a b", 1), (2, "a b", 1)], "doc_id long, text string, ids int")
+    big = (1 << 53) + 1
+    df = spark.createDataFrame([(1, None, 1), (big, "a b", 1), (big, "a b", 1), (None, "", 1)], "doc_id long, text string, ids int")
     path = P.path("piece_bpe_32k.model")
     digests, texts = pieces.encoding_digests(df, path).collect(), pieces.encode_texts(df, path).collect()
-    assert sorted(r.n_tokens for r in digests) == [0, 2, 2] and sorted(r.decoded for r in texts) == ["", "a b", "a b"]
+    assert sorted(r.n_tokens for r in digests) == [0, 0, 2, 2] and sorted(r.decoded for r in texts) == ["", "", "a b", "a b"]
+    assert sorted((r.doc_id for r in digests), key=str) == sorted([None, 1, big, big], key=str)
     for d, t in zip(sorted(digests, key=str), sorted(texts, key=lambda r: str(r.doc_id))):
         assert d.decoded_sha256 in {hashlib.sha256(x.decoded.encode()).hexdigest() for x in texts} and t.ids is not None
     assert pieces.encode_texts(df.limit(0), path).count() == 0

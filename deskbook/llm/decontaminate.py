@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, lean_batches, table
 
 #: Bytes to bytes: A-Z to lower case, everything that is no letter, digit or non-ASCII byte to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -187,6 +187,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_byt
     without an id are hit, but no id is listed for it; repeated rows stay apart; without items nothing is hit; extra
     columns are dropped; an empty table gives no rows.
     """
+    lean_batches(docs.sparkSession)
     schema = "doc_id long, text string, n_words long, spans array<array<int>>, items array<long>"
     rest = docs.select(F.col("doc_id").cast("long"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<int>>").alias("spans"), F.array().cast("array<long>").alias("items"))
     for shared, last in item_blocks(docs.sparkSession, items, block_bytes):
@@ -242,6 +243,7 @@ def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW
     if there, ``n_chars``. Rows without hits keep their text, null included; repeated rows are judged alike; without items
     all stay.
     """
+    lean_batches(docs.sparkSession)
     columns, schema = docs.columns, docs.schema
     gathered = "spans" + "_" * max(map(len, columns))  # no column of docs
     rest = docs.withColumn(gathered, F.array().cast("array<array<int>>"))

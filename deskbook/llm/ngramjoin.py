@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, connected_components, cut, new_path, remove, table
+from .common import attach, connected_components, cut, lean_batches, new_path, remove, table
 
 U = np.uint64
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
@@ -41,9 +41,9 @@ LONGEST_LIGHT = 40
 #: Share of a set's size that partners are to have in common among the smallest hashes.
 COMMON = 0.1
 #: Texts that are hashed together: documents and bytes (a longer text is a batch of its own).
-BATCH_DOCS, BATCH_BYTES = 2000, 2_000_000
+BATCH_DOCS, BATCH_BYTES = 1000, 1_200_000
 #: Bytes of text whose shingles meet in one bin.
-BIN_BYTES = 12_000_000
+BIN_BYTES = 24_000_000
 #: Ids that may be broadcast to pick texts; more are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 
@@ -520,11 +520,12 @@ def jaccard_components(docs: DataFrame, sim: Similarity = Similarity()) -> DataF
     nothing and gets a null component; an empty table gives none; other columns are not looked at.
     """
     spark = docs.sparkSession
+    lean_batches(spark)
     source = docs.select("doc_id", "text")
     volume = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bins = max(48, volume // BIN_BYTES)
     path, answers = new_path(spark, "counted"), new_path(spark, "shared")
-    with small_batches(spark, 2000):
+    with small_batches(spark, 1000):
         counted_shingles(source, sim, light_boundary(source, sim), int(bins)).write.parquet(path)
     made = spark.read.schema(MADE).parquet(path)
     with small_batches(spark, 256):

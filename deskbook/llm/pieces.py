@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean_batches, table
 
 SPACE = "▁"
 #: Chunks that a worker remembers in each of two generations, and the longest that it remembers: bounds its memory.
-REMEMBERED, LONGEST_REMEMBERED = 300_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 200_000, 48
 #: Rows whose ids are made at once.
 SLICE = 500
 
@@ -69,11 +69,11 @@ class PieceModel:
         self.automaton = ahocorasick.Automaton()
         for piece in (*self.ids, *(c for c in self.alphabet if c not in self.ids)):
             if self.merge(piece) == [piece]:
-                self.automaton.add_word(piece, len(piece))
+                self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
         self.whole = {p for p in self.automaton}
-        self.shorter = {}
-        self.compatible = lru_cache(maxsize=300_000)(lambda a, b: self.merge(a + b) == [a, b])
+        self.reach, self.shorter = max(map(len, self.whole)), {}
+        self.compatible = lru_cache(maxsize=100_000)(lambda a, b: self.merge(a + b) == [a, b])
         #: No piece has a space after another character: no merge crosses such a place.
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
 
@@ -97,19 +97,22 @@ class PieceModel:
             self.shorter[piece] = next((piece[:n] for n in range(len(piece) - 1, 0, -1) if piece[:n] in self.whole), None)
         return self.shorter[piece]
 
+    def longest(self, text: str, at: int) -> str:
+        """The longest token at a place that the run of longest matches steps over."""
+        found = text[at : at + self.automaton.longest_prefix(text[at : at + self.reach])]
+        return found if found in self.whole else self.prefix(found)
+
     def split(self, text: str) -> list[str]:
         """Tokens of a text whose characters all stand in the vocabulary's alphabet, by backtracking."""
-        longest = [0] * len(text)
-        for end, n in self.automaton.iter(text):
-            longest[end - n + 1] = n  # ends grow, so the last match at a place is its longest
+        ahead = {end - len(token) + 1: token for end, token in self.automaton.iter_long(text)}  # one longest match behind another
         closed, tokens, at, last = bytearray(len(text) + 1), [], 0, None
-        compatible, token = self.compatible, text[: longest[0]] if text else None
+        compatible, token = self.compatible, ahead.get(0)
         while token is not None:
             end = at + len(token)
             if not closed[end] and (last is None or compatible(last, token)):
                 tokens.append(token)
                 at, last = end, token
-                token = text[at : at + longest[at]] if at < len(text) else None
+                token = (ahead.get(at) or self.longest(text, at)) if at < len(text) else None
                 continue
             token = self.prefix(token)
             while token is None:
@@ -238,6 +241,7 @@ def encode_texts(docs: DataFrame, model_path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array([own.decoded(t) for t in texts], pa.string())], ["doc_id", "ids", "decoded"])
 
+    lean_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
@@ -260,6 +264,7 @@ def encoding_digests(docs: DataFrame, model_path: str) -> DataFrame:
                 decoded.append(digest(own.decoded(text)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    lean_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .common import crc_held_out, cut, table
+from .common import crc_held_out, cut, lean_batches, table
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]*[^.!?\n\s][^.!?\n]*[.!?]*")
 #: Bound of the labelled sample that the model is fitted on: rows of each class, whole texts of any length.
 SAMPLE_PER_CLASS = 2000
 #: Words that a task remembers between clearings: bounds a worker's memory.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 THRESHOLD = 0.7
 #: Similarity of two labelled texts' features from which one is a near copy of the other.
 ALIKE = 0.8
@@ -206,6 +206,7 @@ def score_documents(docs: DataFrame, model: BagModel) -> DataFrame:
     repeated rows score alike; an empty table gives no rows; columns of these two names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the fitted features' weights
+    lean_batches(docs.sparkSession)
     kept = docs.drop("toxic_score", "offending")
     span = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("chance", DoubleType())])
     schema = StructType([*kept.schema.fields, StructField("toxic_score", DoubleType()), StructField("offending", ArrayType(span))])

@@ -1,16 +1,20 @@
 """Personal data and the terms that give it away, in DataFrame operations only.
 
-Patterns find e-mail addresses, IP addresses, card and phone numbers. Corpus co-occurrence then estimates how strongly a
-word in the documents of such a protected entity reveals it: the pointwise mutual information of the two against the
-entity's own information. Words over the disclosure thresholds are generalised or removed beside the entity itself.
+Patterns find e-mail addresses, IP addresses, card and phone numbers, and strings that look like keys. Each value is a
+protected entity, and so is each of these classes. Corpus co-occurrence then estimates how strongly a word in the
+documents of an entity reveals it: the pointwise mutual information of the two against the entity's own information.
+Words over the disclosure thresholds are generalised or removed beside the entity itself, if their co-occurrence is more
+evidence than chance gives among all the pairs that were looked at.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import attach, cut, table
 
 #: Patterns by kind, in the order in which spans are listed. Runs that already failed are not tried from their middle
 #: (the look-behinds), and repeated groups give nothing back (the possessive quantifiers): same matches, linear time.
@@ -22,9 +26,15 @@ PATTERNS = {
 }
 #: What a text must hold for its pattern to be worth a search.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-PLACEHOLDERS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "generalise": "<TERM>", "remove": ""}
+#: Keys and passwords: long strings with letters and digits both. Protected, but no base kind.
+SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
+PLACEHOLDERS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "secret": "<SECRET>", "generalise": "<TERM>", "remove": ""}
 #: Documents that a word and an entity must share before their mutual information is an estimate at all.
 LEAST_DOCS = 3
+#: Bits by which the evidence for a pair is to exceed the logarithm of the number of pairs: one false one in 1024 corpora.
+MARGIN = 10.0
+#: Parts of a text that are put together at once; blocks of them keep the work linear in the text's length.
+BLOCK = 256
 #: Shares of the entity's information from which a word is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.85, 0.95
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
@@ -53,10 +63,21 @@ def _valid(kind: str, value):
     return F.lit(True)
 
 
+def _let(value, body):
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _blocks(array):
+    """An array in slices of BLOCK elements; none for an empty array."""
+    count = F.ceil(F.size(array) / BLOCK).cast("int")
+    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(array, i * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.array())
+
+
 def _located(text, pattern: str, kind, keep):
     """Spans of a pattern's matches that ``keep`` accepts: what lies between matches tells where they stand."""
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    none = F.array().cast(SPAN)
 
     def step(acc, part):
         gap, hit = part["gap"], part["hit"]
@@ -65,7 +86,12 @@ def _located(text, pattern: str, kind, keep):
         own = F.array(F.struct(kind(hit).alias("kind"), first.alias("start"), last.alias("end"), hit.alias("value")))
         return F.struct(F.coalesce(last, first).alias("at"), F.when(hit.isNotNull() & keep(hit), F.concat(acc["spans"], own)).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["spans"])
+    def block(acc, own):
+        start = F.struct(acc["at"].alias("at"), none.alias("spans"))
+        return F.aggregate(own, start, step, lambda done: F.struct(done["at"].alias("at"), F.concat(acc["spans"], F.array(done["spans"])).alias("spans")))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    return _let(parts, lambda p: F.aggregate(_blocks(p), zero, block, lambda acc: F.flatten(acc["spans"])))
 
 
 def base_spans(text):
@@ -78,81 +104,137 @@ def base_spans(text):
     return F.concat(*found)
 
 
+def secret_spans(text):
+    """Spans of strings that look like keys."""
+    mixed = lambda hit: hit.rlike("[0-9]") & hit.rlike("[A-Za-z]")
+    return F.when(text.rlike("[A-Za-z0-9+/_-]{20}"), _located(text, SECRET, lambda hit: F.lit("secret"), mixed)).otherwise(F.array().cast(SPAN))
+
+
 def _entity(kind, value):
-    return F.concat(kind, F.lit(":"), F.when(kind.isin("card", "phone"), _digits(value)).otherwise(F.lower(value)))
+    return F.concat(kind, F.lit(":"), F.when(kind.isin("card", "phone"), _digits(value)).when(kind == "secret", value).otherwise(F.lower(value)))
+
+
+def _entities(spans):
+    """The protected values of a text's spans and their classes."""
+    return F.array_distinct(F.concat(F.transform(spans, lambda s: _entity(s["kind"], s["value"])), F.transform(spans, lambda s: F.concat(F.lit("any "), s["kind"]))))
 
 
 def _terms(text):
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{3,}"), F.lit(0)))
 
 
-def disclosing_terms(found: DataFrame, least: int = LEAST_DOCS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """``text, base`` of all documents -> ``entity, term, action`` for words that reveal an entity.
+def marked(docs: DataFrame, texts: bool = True) -> DataFrame:
+    """``docs`` with ``base`` and ``private`` (base spans and secrets), located once and written to the shared folder.
+
+    ``texts`` false: texts of rows without private spans, which nothing reads again, are left out.
+    """
+    text = F.coalesce("text", F.lit(""))
+    found = docs.drop("base", "terms", "private").withColumn("base", base_spans(text)).withColumn("private", F.concat("base", F.filter(secret_spans(text), lambda s: ~_meets(s, F.col("base")))))
+    return cut(found if texts else found.withColumn("text", F.when(F.size("private") > 0, F.col("text"))), "marked")
+
+
+def _meets(span, others):
+    return F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
+
+
+def disclosing_terms(private: DataFrame, corpus: DataFrame, least: int = LEAST_DOCS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """``text, private`` of documents with entities, ``text`` of all documents -> ``entity, term, action`` for words that
+    reveal an entity.
 
     A word reveals an entity if the pointwise mutual information of the two over whole documents reaches the given share
-    of the entity's information, and ``least`` documents or more have both. All counts are rows of the table, copies among
-    them; group-bys are pre-aggregated, so an entity or word in a third of all rows is no hot key; only entities of so many
-    documents meet their documents' words, and the corpus's words are counted before they meet the candidates.
+    of the entity's information. Both must share ``least`` documents, and the evidence (these documents times the
+    information in bits) must exceed the logarithm of the number of such pairs by MARGIN, so that none of the many pairs
+    of rare words gets there by chance. All counts are rows of the table, copies among them; group-bys are pre-aggregated,
+    so an entity or word in a third of all rows is no hot key; words inside an entity don't count as words beside it; only entities of so many documents meet their documents'
+    words, and the corpus's words are counted before they meet the candidates.
     """
-    n_docs = found.count()
-    mention = found.where(F.size("base") > 0).select(F.array_distinct(F.transform("base", lambda s: _entity(s["kind"], s["value"]))).alias("entities"), _terms(F.col("text")).alias("terms"))
-    near = mention.select("terms", F.explode("entities").alias("entity"))
+    n_docs = corpus.count()
+    outside = _replaced(F.col("text"), _in_order(F.col("private")), lambda kind: F.lit(" "))
+    near = private.select(_terms(outside).alias("terms"), _entities(F.col("private")).alias("entities")).select("terms", F.explode("entities").alias("entity"))
     common = cut(near.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= least), "entities")
     pairs = near.join(common, "entity").select("entity", "n_entity", F.explode("terms").alias("term"))
     counted = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"))
     candidates = cut(counted.where(F.col("n_both") >= least), "terms")
-    spread = found.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    enough = math.log2(max(1, candidates.count())) + MARGIN
+    spread = corpus.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= least)
     information = F.log2(F.lit(float(n_docs)) / F.col("n_entity"))
     shared = F.log2(F.lit(float(n_docs)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    judged = candidates.join(spread, "term").where((information > 0) & (shared >= generalise * information))
+    judged = candidates.join(spread, "term").where((information > 0) & (shared >= generalise * information) & (F.col("n_both") * shared >= enough))
     return judged.select("entity", "term", F.when(shared >= remove * information, "remove").otherwise("generalise").alias("action"))
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
+def find_pii(docs: DataFrame, texts: bool = True) -> DataFrame:
     """All columns of ``docs`` with ``base`` and ``terms``: arrays of ``{kind, start, end, value}`` in code points.
 
-    ``base`` holds the patterns' spans kind by kind; ``terms`` (kind ``generalise`` or ``remove``) the words that reveal
-    one of the row's own entities, outside base spans. Rows without entities take no part in any shuffle. Null text counts
-    as empty and has no spans; repeated rows are judged alike; an empty table gives no rows; columns of the two names are
-    replaced.
+    ``base`` holds the patterns' spans kind by kind; ``terms`` the secrets (kind ``secret``) and the words that reveal one
+    of the row's own entities (kind ``generalise`` or ``remove``), outside base spans, by place. Rows without entities take
+    no part in any shuffle of texts. Null text counts as empty and has no spans; repeated rows are judged alike; an empty
+    table gives no rows; columns named base, terms and private are replaced. ``texts`` false: texts of rows without
+    entities are null in the result.
     """
-    clean = docs.drop("base", "terms")
-    keyed = clean.withColumn("base", base_spans(F.coalesce("text", F.lit(""))))
-    narrow = keyed.select(F.coalesce("text", F.lit("")).alias("text"), F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), "base")
-    terms = cut(disclosing_terms(narrow), "disclosing")
-    own = narrow.where(F.size("base") > 0).select("text_key", F.explode(F.transform("base", lambda s: _entity(s["kind"], s["value"]))).alias("entity")).distinct()
-    per_word = own.join(terms, "entity").groupBy("text_key", "term").agg(F.max("action").alias("action"))  # the stronger one
-    actions = per_word.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("actions"))
+    found = marked(docs, texts)
+    private = F.size("private") > 0
+    narrow = found.where(private).select("text", "private")
+    terms = cut(disclosing_terms(narrow, docs), "disclosing")
+    distinct = narrow.groupBy(F.md5("text").alias("text_key_")).agg(F.count("*").alias("rows_"), F.first("private").alias("private"))
+    own = distinct.select("text_key_", "rows_", _entities(F.col("private")).alias("entities")).select("text_key_", "rows_", F.explode("entities").alias("entity"))
+    per_word = own.join(terms, "entity").groupBy("text_key_", "rows_", "term").agg(F.max("action").alias("action"))  # the stronger one
+    actions = cut(per_word.groupBy("text_key_", "rows_").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("actions")), "actions")
     none = F.array().cast(SPAN)
-    plain = keyed.where(F.size("base") == 0).withColumn("terms", none)
-    touched = keyed.where(F.size("base") > 0).withColumn("text_key_", F.md5("text")).join(actions.withColumnRenamed("text_key", "text_key_"), "text_key_", "left")
+    plain = found.where(~private).withColumn("terms", none)
+    touched = attach(found.where(private).withColumn("text_key_", F.md5("text")), actions, ["text_key_"], "rows_", narrow.count())
     lookup = lambda hit: F.element_at(F.col("actions"), F.lower(hit))
     words = _located(F.col("text"), r"\p{L}+", lookup, lambda hit: lookup(hit).isNotNull())
-    outside = F.filter(words, lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    touched = touched.withColumn("terms", F.when(F.col("actions").isNotNull(), outside).otherwise(none)).drop("text_key_", "actions")
-    return plain.unionByName(touched)
+    outside = F.filter(words, lambda w: ~_meets(w, F.col("private")))
+    secrets = F.filter("private", lambda s: s["kind"] == "secret")
+    by_place = F.array_sort(F.concat(secrets, F.when(F.col("actions").isNotNull(), outside).otherwise(none)), lambda x, y: x["start"] - y["start"])
+    return plain.unionByName(touched.withColumn("terms", by_place).drop("text_key_", "actions")).drop("private")
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with entities and disclosing words replaced by their placeholders; ``n_chars``, if there, follows."""
-    found, columns = find_pii(docs), docs.columns
-    spans = F.array_sort(F.transform(F.concat("base", "terms"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    text, mark = F.col("text"), F.create_map(*[F.lit(x) for pair in PLACEHOLDERS.items() for x in pair])
+def _in_order(spans):
+    return F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+
+def _replaced(text, spans, mark):
+    """``text`` with the spans (by start) replaced by ``mark`` of their kinds; of overlapping ones the first."""
+    behind = lambda rest, n: F.substring(rest, n + 1, F.length(rest))
 
     def step(acc, s):
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), mark[s["kind"]])
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), piece.alias("out")))
+        ahead = s["start"] >= acc["at"]
+        out = F.when(ahead, F.concat(acc["out"], F.substring(acc["rest"], F.lit(1), s["start"] - acc["at"]), mark(s["kind"]))).otherwise(acc["out"])
+        end = F.greatest(acc["at"], s["end"])
+        return F.struct(end.alias("at"), behind(acc["rest"], end - acc["at"]).alias("rest"), out.alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    made = found.withColumn("text", F.when(F.size("base") > 0, rest).otherwise(text))
-    if "n_chars" in columns:
-        made = made.withColumn("n_chars", F.when(F.size("base") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return made.select(columns)
+    def block(acc, own):
+        end = F.greatest(acc["at"], F.array_max(F.transform(own, lambda s: s["end"])))
+        start = F.struct(acc["at"].alias("at"), F.substring(acc["rest"], F.lit(1), end - acc["at"]).alias("rest"), F.lit("").alias("out"))
+        done = F.aggregate(own, start, step, lambda a: a["out"])
+        return F.struct(end.alias("at"), behind(acc["rest"], end - acc["at"]).alias("rest"), F.concat(acc["out"], F.array(done)).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), text.alias("rest"), F.array().cast("array<string>").alias("out"))
+    return _let(spans, lambda p: F.aggregate(_blocks(p), zero, block, lambda acc: F.concat(F.array_join(acc["out"], ""), acc["rest"])))
+
+
+def sanitise(docs: DataFrame) -> DataFrame:
+    """``docs`` with entities, secrets and disclosing words replaced by their placeholders; ``n_chars``, if there, follows.
+
+    All rows and columns stay (columns named base, terms or private too); rows without entities keep their text, null included; cases as in ``find_pii``.
+    """
+    named = {c: f"{c}_kept_" for c in docs.columns if c in ("base", "terms", "private")}
+    found = find_pii(docs.withColumnsRenamed(named))
+    placeholder = F.create_map(*[F.lit(x) for pair in PLACEHOLDERS.items() for x in pair])
+    spans = _in_order(F.concat("base", "terms"))
+    touched = F.size("base") + F.size("terms") > 0
+    made = found.withColumn("text", F.when(touched, _replaced(F.col("text"), spans, lambda kind: placeholder[kind])).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        made = made.withColumn("n_chars", F.when(touched, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return made.drop("base", "terms").withColumnsRenamed({v: k for k, v in named.items()}).select(docs.columns)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Spans in all of ``documents``, with ``n_spans``, the number of all; cases as in ``find_pii``."""
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, PATTERNS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "terms")).alias("spans"))
+    every = F.concat("base", "terms")
+    return found.select("doc_id", *map(count, PATTERNS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(every).alias("spans"), F.size(every).cast("long").alias("n_spans"))

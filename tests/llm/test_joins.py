@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from deskbook.llm import common, ngramjoin, pii, urlfilter, vectors
@@ -154,26 +155,89 @@ def test_base_spans(spark):
     assert all([(s.kind, s.start, s.end) for s in r.base] == brute_pii(r.text) for r in rows) and len(rows) == len(texts)
 
 
-def test_disclosing_terms(spark):
-    fill = lambda i: f"alpha{chr(97 + i)} beta{chr(97 + i)} common words go here"
-    rows = [(i, f"{fill(i)} Zorblax lives at 10.0.0.{7 if i < 5 else 50 + i} {fill(i + 1)}" if i < 5 else f"{fill(i)} common text only") for i in range(24)]
-    rows += [(30, None), (31, "Zorblax alone, no address"), (32, "mail x@y.example.com and y@y.example.com")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
-    found = {r.doc_id: r for r in pii.find_pii(df).collect()}
-    words = {s.value for i in range(5) for s in found[i].terms}
-    assert "lives" in words and "common" not in words and not found[31].terms and not found[30].base
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
+
+
+def brute_private(text):
+    base = [(k, a, b) for k, a, b in brute_pii(text)]
+    secrets = [("secret", m.start(), m.end()) for m in SECRET.finditer(text or "") if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    return base, [s for s in secrets if not any(a < s[2] and s[1] < b for _, a, b in base)]
+
+
+def brute_terms(rows, least=pii.LEAST_DOCS):
+    """Scores of all pairs over ``(doc_id, text)`` rows by counting, and the spans that they give each row."""
+    words = lambda t: set(re.findall(r"[^\W\d_]{3,}", t.lower()))
+    entity = lambda k, v: f"{k}:" + (re.sub("[^0-9]", "", v) if k in ("card", "phone") else v if k == "secret" else v.lower())
+    n_term, n_entity, n_both, own = {}, {}, {}, []
+    for _, text in rows:
+        text = text or ""
+        base, secrets = brute_private(text)
+        mine = {entity(k, text[a:b]) for k, a, b in base + secrets} | {f"any {k}" for k, _, _ in base + secrets}
+        own.append(mine)
+        for w in words(text):
+            n_term[w] = n_term.get(w, 0) + 1
+        out, at = "", 0
+        for _, a, b in sorted(base + secrets, key=lambda s: (s[1], s[2], s[0])):
+            out, at = (out + text[at:a] + " ", b) if a >= at else (out, max(at, b))
+        for e in mine:
+            n_entity[e] = n_entity.get(e, 0) + 1
+            for w in words(out + text[at:]):
+                n_both[e, w] = n_both.get((e, w), 0) + 1
+    pairs = {p: n for p, n in n_both.items() if n >= least and n_entity[p[0]] >= least}
+    enough, found = math.log2(max(1, len(pairs))) + pii.MARGIN, {}
+    for (e, w), n in pairs.items():
+        information, shared = math.log2(len(rows) / n_entity[e]), math.log2(len(rows) * n / (n_entity[e] * n_term[w]))
+        if information > 0 and shared >= pii.GENERALISE * information and n * shared >= enough:
+            found[e, w] = "remove" if shared >= pii.REMOVE * information else "generalise"
+    spans = []
+    for (_, text), mine in zip(rows, own):
+        base, secrets = brute_private(text)
+        actions = {}
+        for (e, w), action in found.items():
+            if e in mine:
+                actions[w] = max(action, actions.get(w, ""))
+        taken = base + secrets
+        hits = [(actions[m[0].lower()], m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", text or "") if m[0].lower() in actions]
+        spans.append(base + sorted([*secrets, *(h for h in hits if not any(a < h[2] and h[1] < b for _, a, b in taken))], key=lambda s: s[1]))
+    return found, spans
+
+
+def planted(rows):
+    """Documents with words that give entities away, near and far from them."""
+    far, top = "plain words go on and on here " * 30, max(i for i, _ in rows)
+    texts = [f"Zorblax {far} lives behind 10.0.0.{i % 5} and 10.0.0.9" for i in range(12)] + [f"mail Quuxley at c@copy.example.com or +1 (555) 010-{1000 + i}" for i in range(9)]
+    texts += [f"Mixwell {'10.0.0.9' if i < 3 else ''} {far}" for i in range(12)] + [f"the passwort is {'0123456789abcdef' * 2}{i}" for i in range(10)]
+    return [*rows, *((top + 1 + i, t) for i, t in enumerate(texts))]
+
+
+def test_disclosing_terms_of_documents(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    for rows in (docs, planted(docs), planted(docs) * 2):
+        want, spans = brute_terms(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        marked = pii.marked(df)
+        got = {(r.entity, r.term): r.action for r in pii.disclosing_terms(marked.where("size(private) > 0").select("text", "private"), df).collect()}
+        assert got == want
+        found = sorted((r.doc_id, [(s.kind, s.start, s.end) for s in [*r.base, *r.terms]]) for r in pii.find_pii(df).collect())
+        assert found == sorted((i, s) for (i, _), s in zip(rows, spans))
+    flagged = {w for _, w in want}
+    assert {"zorblax", "quuxley", "passwort"} <= flagged and "mixwell" not in flagged and "plain" not in flagged
+
+
+def test_sanitised_texts(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    rows = [(i, t, len(t or ""), "x") for i, t in planted(docs)] + [(900_001, None, 0, "x"), (900_002, "a@b.co " * 20_000, 140_000, "x"), (None, "x@y.zw", 6, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, base string")
     clean = {r.doc_id: r for r in pii.sanitise(df).collect()}
-    assert "10.0.0.7" not in clean[0].text and "<IP>" in clean[0].text and "lives" not in clean[0].text and clean[0].n_chars == len(clean[0].text)
-    assert clean[31].text == "Zorblax alone, no address" and clean[30].text is None and clean[32].text == "mail <EMAIL> and <EMAIL>"
-
-
-def test_terms_far_from_the_entity_disclose_it(spark):
-    far, copy = "plain words again " * 9, "Quuxley writes from c@copy.example.com at night"
-    texts = [f"Zorblax {far} mail z@far.example.com" for _ in range(3)] + [copy] * 4
-    texts += [f"{'' if i else far}Mixwell {far if i < 3 else ''}10.0.0.9" for i in range(6)] + ["plain words again mail writes from at night"] * 30
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {(r.entity, r.term): r.action for r in pii.disclosing_terms(df.withColumn("base", pii.base_spans(F.col("text")))).collect()}
-    assert got == {("email:z@far.example.com", t): "remove" for t in ("zorblax", "far")} | {("email:c@copy.example.com", t): "remove" for t in ("quuxley", "copy")} | {("ip:10.0.0.9", "mixwell"): "remove"}
+    assert len(clean) == len(rows) and pii.sanitise(df).columns == df.columns and {r.base for r in clean.values()} == {"x"}
+    assert clean[900_001].text is None and clean[900_002].text == "<EMAIL> " * 20_000 and clean[None].text == "<EMAIL>"
+    for i, text, n_chars, _ in rows:
+        got, spans = clean[i], brute_private(text)
+        assert (got.text == text and got.n_chars == n_chars) == (not any(spans)) and (text is None or got.n_chars == len(got.text))
+        assert not any(text[a:b] in got.text for part in spans for _, a, b in part)
+    last = max(i for i, _ in docs)
+    assert clean[last + 1].text.startswith(" plain words") and clean[last + 1].text.endswith("<IP> and <IP>")
+    assert pii.sanitise(df.limit(0)).count() == 0 and pii.find_pii(df.limit(0)).count() == 0
 
 
 def test_url_filter(spark):

@@ -7,25 +7,26 @@ positions. The network is trained in numpy by backpropagation through time.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_held_out, table
+from .common import crc_held_out, lean_batches, table
 
 HIDDEN = 8
 #: Bytes of a window; byte 256 fills windows up and leaves the state as it is.
 WINDOW, PAD = 128, 256
 #: Windows that run beside one another.
 LANES = 2048
-#: Bounds of the labelled sample: documents a language, snippets a document and their characters.
-SAMPLE_PER_LANGUAGE, SNIPPETS, SNIPPET_CHARS = 400, 4, 96
-LETTER = re.compile(r"[^\W\d_]")
+#: Bounds of the labelled sample: documents a language (whole texts), and windows of LEARNT bytes a language of all that
+#: these texts consist of.
+SAMPLE_PER_LANGUAGE, SAMPLE_WINDOWS, LEARNT = 400, 4000, 96
+LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
@@ -127,7 +128,7 @@ class Network:
 
 
 def train(snippets: list[bytes], labels: list[str], steps: int = 260, batch: int = 128, length: int = 48, rate: float = 0.03, seed: int = 7) -> Network | None:
-    """Fit a network by Adam on windows at random places of the snippets; None without any snippet."""
+    """Fit a network by Adam on pieces at random places of the labelled windows; None without any."""
     languages = sorted(set(labels))
     if not languages:
         return None
@@ -180,44 +181,70 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
     return sums / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
 
 
-def labelled_snippets(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[bytes], list[str]]:
-    """Snippets at evenly spaced places of a bounded sample of documents of each known language, by hashed id."""
-    own = docs.where("lang is not null and text is not null and text <> ''").where(~crc_held_out())
-    place = lambda i: F.substring("text", (F.greatest(F.lit(0), F.length("text") - SNIPPET_CHARS) * i / max(1, SNIPPETS - 1) + 1).cast("int"), F.lit(SNIPPET_CHARS))
-    narrow = own.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.array_distinct(F.array(*map(place, range(SNIPPETS)))).alias("snippets"))
-    ranked = narrow.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= per_language)
-    rows = sorted(ranked.select("lang", "doc_id", "snippets").collect(), key=lambda r: (r.lang, str(r.doc_id)))
-    pairs = [(s.encode(), r.lang) for r in rows for s in r.snippets if LETTER.search(s)]
-    return [p[0] for p in pairs], [p[1] for p in pairs]
+def first_of_each(df: DataFrame, key: str, order: str, k: int) -> DataFrame:
+    """The k rows of each key that come first in ``order`` (numbers that spread evenly), ties as they come.
+
+    Ranked by a part of the key first, so that a key with a third of all rows is no single task's; k rows of each part
+    are left for the second ranking.
+    """
+    part = F.pmod(F.col(order), F.lit(64))
+    ranked = df.withColumn("rank_", F.row_number().over(Window.partitionBy(key, part).orderBy(order))).where(F.col("rank_") <= k)
+    return ranked.withColumn("rank_", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("rank_") <= k).drop("rank_")
+
+
+def labelled_windows(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, windows: int = SAMPLE_WINDOWS) -> tuple[list[bytes], list[str]]:
+    """Windows of bytes with a letter, and their languages, of a bounded sample of documents of each known language.
+
+    Documents are taken by hashed id and cut up whole; of their windows a sample is taken by hash. Ids or languages that are
+    null, and texts that are null or empty, are not learnt from.
+    """
+    own = docs.where("lang is not null and doc_id is not null and text is not null and text <> ''").where(~crc_held_out())
+    picked = first_of_each(own.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")), "lang", "h", per_language).select("lang", "doc_id").distinct()
+    texts = docs.select("lang", "doc_id", "text").join(F.broadcast(picked), ["lang", "doc_id"])  # per_language ids of each language
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, text in zip(batch.column("lang"), batch.column("text")):
+                raw = text.as_py().encode()
+                for at in range(0, len(raw), LEARNT << 10):
+                    parts = [raw[i : i + LEARNT] for i in range(at, min(len(raw), at + (LEARNT << 10)), LEARNT)]
+                    kept = [p for p in parts if LETTER.search(p.decode("utf-8", "ignore"))]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(kept), pa.string()), pa.array(kept, pa.binary())], ["lang", "part"])
+
+    parts = texts.select("lang", "text").mapInArrow(cut_up, "lang string, part binary").withColumn("h", F.xxhash64("part"))
+    rows = sorted(first_of_each(parts, "lang", "h", windows).collect(), key=lambda r: (r.lang, r.h, bytes(r.part)))
+    return [bytes(r.part) for r in rows], [r.lang for r in rows]
 
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     """``doc_id, text`` -> ``doc_id, lang_pred, score, probabilities`` for whole texts.
 
-    Row-local, no shuffle. ``und`` (score 0) where the text is null or has no letter, or where nothing could be learnt;
-    else the language with the highest mean probability over the text's bytes and that mean. Repeated rows are judged
-    alike, extra columns dropped, an empty table gives no rows.
+    Row-local, no shuffle. ``und`` (score 0) where the text is null or has no letter (of any script; digits, fractions and
+    numerals are none), or where nothing could be learnt; else the language with the highest mean probability over the
+    text's bytes and that mean. Repeated rows are judged alike, extra columns dropped, an empty table gives no rows.
     """
+    lean_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand weights
+    chances = pa.map_(pa.string(), pa.float64())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
-            texts = [t if isinstance(t, str) and LETTER.search(t) and net else "" for t in batch.text]
+            texts = [t if t and net and LETTER.search(t) else "" for t in batch.column("text").to_pylist()]
             known = [i for i, t in enumerate(texts) if t]
-            pred, score, each = ["und"] * len(texts), np.zeros(len(texts)), [{} for _ in texts]
+            pred, score, each = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
             if known:
-                p = pooled(net, [texts[i].encode() for i in known])
-                for i, row in zip(known, p):
+                for i, row in zip(known, pooled(net, [texts[i].encode() for i in known])):
                     best = int(row.argmax())
                     pred[i], score[i] = net.languages[best], min(1.0, float(row[best]))
-                    each[i] = dict(zip(net.languages, map(float, row)))
-            yield pd.DataFrame({"doc_id": batch.doc_id, "lang_pred": pred, "score": score, "probabilities": each})
+                    each[i] = list(zip(net.languages, map(float, row)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(each, chances)], ["doc_id", "lang_pred", "score", "probabilities"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double, probabilities map<string,double>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, probabilities map<string,double>")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all of ``documents`` by a network that learns from those not held out; cases as in ``identify``."""
     docs = table(spark, sf_dir, "documents")
-    net = train(*labelled_snippets(docs))
+    net = train(*labelled_windows(docs))
     return identify(docs, net).select("doc_id", crc_held_out().alias("held_out"), "lang_pred", "score")

@@ -29,15 +29,36 @@ def test_gradients_match_differences():
 
 def test_languages_held_out(spark):
     docs = common.table(spark, DATA, "documents")
-    net = langid.train(*langid.labelled_snippets(docs))
-    rows = langid.identify(docs, net).join(docs.select("doc_id", "lang"), "doc_id").where(common.crc_held_out()).where("lang_pred <> 'und'").collect()
-    assert sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows) > 0
-    odd = spark.createDataFrame([(1, None, 0.0), (2, "", 0.0), (3, "12 !?", 0.0), (4, "the and " * 30000, 0.0)], "doc_id long, text string, score double")
-    got = {r.doc_id: (r.lang_pred, 0 <= r.score <= 1) for r in langid.identify(odd, net).collect()}
-    assert {i: p for i, (p, _) in got.items() if i < 4} == {1: "und", 2: "und", 3: "und"} and got[4] == ("en", True)
+    net = langid.train(*langid.labelled_windows(docs))
+    truth = {r.doc_id: r for r in docs.withColumn("out", common.crc_held_out()).collect()}
+    rows = {r.doc_id: r for r in langid.op3_language_id(spark, DATA).collect()}
+    assert len(rows) == len(truth)
+    for i, r in rows.items():  # against the mean over each text's own positions
+        text = truth[i].text or ""
+        assert r.held_out == truth[i].out and (r.lang_pred == "und") == (not any(c.isalpha() for c in text))
+        if r.lang_pred != "und":
+            raw, total = np.frombuffer(text.encode(), np.uint8), np.zeros(len(net.languages))
+            for at in range(0, len(raw), langid.WINDOW):
+                total += net.probabilities(raw[None, at : at + langid.WINDOW].astype(np.int64)).sum(axis=(0, 1))
+            assert net.languages[int(total.argmax())] == r.lang_pred and abs(total.max() / len(raw) - r.score) < 1e-4
+    judged = [r for i, r in rows.items() if r.held_out and r.lang_pred != "und" and truth[i].lang]
+    assert sum(r.lang_pred == truth[r.doc_id].lang for r in judged) >= 0.95 * len(judged) > 0
+    big = (1 << 53) + 1
+    cases = [(1, None, 0.0), (2, "", 0.0), (3, "12 !? ½ ² ① Ⅷ", 0.0), (big, "the and " * 30000, 0.0), (big, "the and " * 30000, 0.0), (None, "the and", 0.0)]
+    odd = spark.createDataFrame(cases, "doc_id long, text string, score double")
+    got = sorted(((r.doc_id, r.lang_pred) for r in langid.identify(odd, net).collect()), key=str)
+    assert got == sorted([(1, "und"), (2, "und"), (3, "und"), (big, "en"), (big, "en"), (None, "en")], key=str)
+    assert langid.identify(odd.limit(0), net).count() == 0
     assert langid.train([], []) is None and {r.lang_pred for r in langid.identify(odd, None).collect()} == {"und"}
 
 
+def test_sample_takes_the_first_of_each_key(spark):
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, 'a', 'b') as k", "xxhash64(id) as h")
+    want = {k: sorted(r.h for r in df.where(f"k = '{k}'").collect())[:100] for k in "ab"}
+    got = langid.first_of_each(df, "k", "h", 100).collect()
+    assert {k: sorted(r.h for r in got if r.k == k) for k in "ab"} == want
+
+
 def test_toxicity_finds_sentences(spark):
     rng = np.random.default_rng(1)
     words = ["".join(rng.choice(list("abcdeilmnorstu"), 7)) for _ in range(300)]

@@ -9,21 +9,25 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table
+from .common import attach, cut, lean_batches, new_path, table
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 #: Characters whose class every regular-expression engine agrees on; texts with others go to the library whole.
 PLAIN = r"[^\t\n\r\x20-\x7e¡-¬®-ſ]"
 #: The byte-level pre-tokenizer's pattern (fixed value of the public vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens that a task remembers between clearings: bounds a worker's memory.
-REMEMBERED = 600_000
+#: Pre-tokens that a worker remembers between clearings, and the longest that it remembers: bounds its memory.
+REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
+#: Digests of a cache that may be broadcast; those of a larger one are joined by a shuffle.
+MOST_BROADCAST = 500_000
 
 
 def tokenizer_digest(path: str) -> str:
@@ -59,8 +63,16 @@ class Counter:
             return sum(map(known.__getitem__, words))
         except KeyError:
             new = list({w for w in words if w not in known})
-            known.update(zip(new, self.whole(new)))
-            return sum(map(known.__getitem__, words))
+            counted = dict(zip(new, self.whole(new)))
+            total = sum(known[w] if w in known else counted[w] for w in words)
+            known.update(item for item in counted.items() if len(item[0]) <= LONGEST_REMEMBERED)
+            return total
+
+
+@lru_cache(maxsize=1)
+def counter(path: str) -> Counter:
+    """A worker's counter, kept between its tasks."""
+    return Counter(path)
 
 
 def normalised(text):
@@ -71,34 +83,41 @@ def normalised(text):
 def count_with_cache(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col: str = "doc_id") -> DataFrame:
     """``id, n_bytes, n_tokens`` for every row of ``docs`` (``id_col``, ``text``), growing the cache at ``cache_path``.
 
-    The cache is a Parquet table of CACHE_SCHEMA, append-only; a missing one counts as empty. Only ids and digests are
-    shuffled to find misses: a digest's smallest row stands for its copies, so a content that makes up a third of the rows
-    is pre-aggregated to one; only the stands-in's texts are dealt out for encoding. Null text counts as empty (0
-    tokens), repeated ids and repeated texts keep one row each as given, an empty table gives none, extra columns are
-    dropped. A rerun after a failure may append a key twice; readers take one row a key.
+    The cache is a Parquet table of CACHE_SCHEMA, append-only; a missing one counts as empty. Contents are dealt by digest,
+    each once a map task, so one that makes up a third of the rows is pre-aggregated; those that the cache lacks are
+    encoded, once each whatever their ids, and appended. Counts are joined back by digest, very common ones where their
+    rows are. Null text counts as empty (0 tokens); null and repeated ids and repeated texts keep a row each as given; an
+    empty table gives none; extra columns are dropped. A rerun after a failure may append a key twice; readers take one
+    row a key.
     """
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer_path)
-    source = docs.select(F.col(id_col).alias("id"), normalised("text").alias("text"))
-    keyed = source.select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("content_digest"))
+    lean_batches(spark)
+    source = docs.select(F.col(id_col).alias("id"), normalised("text").alias("text")).withColumn("content_digest", F.unhex(F.sha2("text", 256)))
     try:
         cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         cache = spark.createDataFrame([], CACHE_SCHEMA)
-    cached = cache.where(F.col("tokenizer_digest") == version).select("content_digest")
-    stand_in = keyed.groupBy("content_digest").agg(F.min("id").alias("id")).join(cached, "content_digest", "left_anti").select(F.col("id").alias("rep"), F.col("content_digest").alias("rep_digest"))
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = Counter(tokenizer_path)
+    cached = cache.where(F.col("tokenizer_digest") == version).select("content_digest").distinct()
+    contents = source.select("content_digest", "text")
+    if (n_cached := cached.count()) and n_cached <= MOST_BROADCAST:
+        contents = contents.join(F.broadcast(cached), "content_digest", "left_anti")  # texts with known counts stay where they are
+    misses = contents.groupBy("content_digest").agg(F.first("text").alias("text"))
+    if n_cached > MOST_BROADCAST:
+        misses = misses.join(cached, "content_digest", "left_anti")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(tokenizer_path)
         for batch in batches:
-            yield pd.DataFrame({"content_digest": batch.content_digest, "tokenizer_digest": version, "n_tokens": [count(t) for t in batch.text]})
+            n = [count(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("content_digest"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["content_digest", "tokenizer_digest", "n_tokens"])
 
-    texts = source.withColumn("content_digest", F.unhex(F.sha2("text", 256)))
-    misses = texts.join(stand_in, F.col("id").eqNullSafe(F.col("rep")) & (F.col("content_digest") == F.col("rep_digest")), "left_semi")
-    misses.select("content_digest", "text").mapInPandas(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    misses.select("content_digest", "text").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    keyed = cut(source.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "content_digest"), "digests")
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.join(counts, "content_digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
+    common = cut(keyed.groupBy("content_digest").agg(F.count("*").alias("rows_")).join(counts, "content_digest"), "counts")
+    return attach(keyed, common, ["content_digest"], "rows_", keyed.count()).select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

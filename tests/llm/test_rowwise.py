@@ -109,6 +109,25 @@ def test_cache_encodes_misses_alone(spark, tmp_path):
     assert tokens.count_with_cache(df.limit(0), file, str(tmp_path / "other")).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [tokens.MOST_BROADCAST, 0])
+def test_repeated_and_null_ids_are_encoded_once(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(tokens, "MOST_BROADCAST", broadcast)
+    path, file = str(tmp_path / "cache"), P.path("byte_bpe_50k.json")
+    rows = [(1, "one two")] * 4 + [(1, "three")] * 3 + [(None, "one two"), (None, "three"), (2, None), ((1 << 53) + 1, "x" * 200_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for part, size in ((rows[:9], 2), (rows, 4), (rows, 4)):
+        got = tokens.count_with_cache(spark.createDataFrame(part, df.schema), file, path).collect()
+        assert spark.read.parquet(path).count() == size and len(got) == len(part)
+    count = tokens.Counter(file)
+    assert sorted(map(str, got)) == sorted(str(type(got[0])(doc_id=i, n_bytes=len((t or "").encode()), n_tokens=count.whole([t or ""])[0])) for i, t in rows)
+
+
+def test_counts_of_documents_match_the_library(spark):
+    whole, docs = tokens.Counter(P.path("byte_bpe_50k.json")).whole, spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    want = {(r.doc_id, len((r.text or "").encode()), n, n > 1024) for r, n in zip(docs, whole([r.text or "" for r in docs]))}
+    assert {tuple(r) for r in tokens.op6_token_counts(spark, DATA).collect()} == want
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 

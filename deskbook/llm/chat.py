@@ -12,11 +12,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean_batches, table
 
 #: Opening and closing control strings of each role; OTHER carries the role's name as a first field.
 TURNS = {"system": ("<s>[SYS]", "[/SYS]</s>"), "user": ("<s>[INST]", "[/INST]</s>"), "assistant": ("<s>[BOT]", "[/BOT]</s>")}
@@ -43,31 +43,59 @@ def render(role: str, text: str) -> str:
     return OTHER[0] + role + OTHER[1] + text + OTHER[2]
 
 
-def parse(rendered: str) -> list[tuple[str, str, int, int]] | None:
-    """Turns ``(role, unescaped text, start, end of the content)`` of rendered text; None if it is not of the grammar.
+class Parser:
+    """Deterministic parser of rendered text that arrives in parts; what it reads does not depend on where parts end.
 
     The grammar is regular: an opener, content without bare control strings, the closer that belongs to the opener. The
-    parser walks from control string to control string, so one pass decides.
+    parser walks from control string to control string, so one pass decides; it keeps the text of one open turn.
     """
-    turns, at = [], 0
-    while at < len(rendered):
+
+    def __init__(self):
+        self.rest = ""
+
+    def feed(self, part: str) -> list[tuple[str, str, int, int]]:
+        """Turns ``(role, unescaped text, start, end)`` that ``part`` completes, bounds in the text kept and ``part``; ValueError outside the grammar."""
+        rendered, turns, at = self.rest + part, [], 0
+        while at < len(rendered) and (turn := self._turn(rendered, at)):
+            turns.append(turn[:4])
+            at = turn[4]
+        self.rest = rendered[at:]
+        return turns
+
+    @staticmethod
+    def _turn(rendered: str, at: int) -> tuple[str, str, int, int, int] | None:
+        """The turn at a place and where it ends; None if more text is needed to tell."""
         opener = next((o for o in (*OPENERS, OTHER[0]) if rendered.startswith(o, at)), None)
         if opener is None:
-            return None
-        at += len(opener)
+            if any(o.startswith(rendered[at:]) for o in (*OPENERS, OTHER[0])):
+                return None
+            raise ValueError("no turn begins here")
+        start = at + len(opener)
         if opener == OTHER[0]:
-            bar = CONTROL.search(rendered, at)
-            if not bar or bar[0] != OTHER[1]:
+            bar = CONTROL.search(rendered, start)
+            if bar and bar[0] != OTHER[1]:
+                raise ValueError("a role's name is not closed")
+            if not bar:
                 return None
-            role, closer, at = unescape(rendered[at : bar.start()]), OTHER[2], bar.end()
+            role, closer, start = unescape(rendered[start : bar.start()]), OTHER[2], bar.end()
         else:
             role, closer = OPENERS[opener], TURNS[OPENERS[opener]][1]
-        end = CONTROL.search(rendered, at)
-        if not end or not rendered.startswith(closer, end.start()):
+        end = CONTROL.search(rendered, start)
+        if not end or closer.startswith(rendered[end.start() :]) and len(rendered) - end.start() < len(closer):
             return None
-        turns.append((role, unescape(rendered[at : end.start()]), at, end.start()))
-        at = end.start() + len(closer)
-    return turns
+        if not rendered.startswith(closer, end.start()):
+            raise ValueError("a turn is closed by another control string")
+        return role, unescape(rendered[start : end.start()]), start, end.start(), end.start() + len(closer)
+
+
+def parse(rendered: str) -> list[tuple[str, str, int, int]] | None:
+    """Turns of a whole rendered text (see ``Parser``); None if it is not of the grammar."""
+    parser = Parser()
+    try:
+        turns = parser.feed(rendered)
+    except ValueError:
+        return None
+    return None if parser.rest else turns
 
 
 def format_turn(role: str, text: str) -> tuple[str, int, int]:
@@ -80,70 +108,94 @@ def format_turn(role: str, text: str) -> tuple[str, int, int]:
     raise ValueError("a turn does not survive its round trip")
 
 
+PIECE = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("piece", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64()), ("source", pa.binary())])
+
+
+def turn_digest(role: str, text: str) -> bytes:
+    return hashlib.md5(f"{len(role)}:{role}{text}".encode()).digest()
+
+
 def format_turns(turns: DataFrame) -> DataFrame:
-    """``conv_id, turn, role, text`` -> the same with ``piece`` (the turn rendered), ``loss_start`` and ``loss_end``.
+    """``conv_id, turn, role, text`` -> ``conv_id, turn, role, piece, loss_start, loss_end, source``, a row for each turn.
 
-    A conversation's formatted text is its pieces in turn order; loss_start and loss_end bound the learnt content inside
-    the piece in code points and are null unless the role is ``assistant``. No shuffle: a turn's rendering does not depend
-    on its neighbours. Null text is empty text, a null role is the role with an empty name, null ids stay null and empty
-    and repeated rows are turns like any other. An empty table gives no rows. Extra columns are dropped.
+    A conversation's formatted text is its pieces in the order of turn, role and piece; loss_start and loss_end bound the
+    learnt content inside the piece in code points and are null unless the role is ``assistant``; source is a digest of
+    role and text, for the comparison after the round trip. No shuffle: a turn's rendering does not depend on its
+    neighbours. Null text is empty text, a null role is the role with an empty name, null ids stay null and empty and
+    repeated rows are turns like any other. An empty table gives no rows. Extra columns are dropped.
     """
-    source = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    lean_batches(turns.sparkSession)
+    source = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [format_turn(r, t) for r, t in zip(batch.role, batch.text)]
-            own = batch.role == "assistant"
-            batch["piece"] = [m[0] for m in made]
-            batch["loss_start"] = pd.Series([m[1] for m in made], dtype="Int64", index=batch.index).where(own)
-            batch["loss_end"] = pd.Series([m[2] for m in made], dtype="Int64", index=batch.index).where(own)
-            yield batch
+            roles, texts = batch.column("role").to_pylist(), batch.column("text").to_pylist()
+            made = [format_turn(r, t) for r, t in zip(roles, texts)]
+            bounds = [[m[k] if r == "assistant" else None for m, r in zip(made, roles)] for k in (1, 2)]
+            columns = [batch.column("conv_id"), batch.column("turn"), batch.column("role"), [m[0] for m in made], *bounds, list(map(turn_digest, roles, texts))]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, PIECE)], schema=PIECE)
 
-    return source.mapInPandas(run, "conv_id long, turn long, role string, text string, piece string, loss_start long, loss_end long")
+    return source.mapInArrow(run, "conv_id long, turn long, role string, piece string, loss_start long, loss_end long, source binary")
+
+
+class Reading:
+    """One conversation as the parser reads it back: counts and running digests, whatever its length."""
+
+    def __init__(self, conv_id: int | None):
+        self.conv_id, self.parser, self.sources = conv_id, Parser(), []
+        self.turns, self.loss, self.n_turns, self.n_loss, self.n_chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+
+    def add(self, piece: str, start: int | None, end: int | None, source: bytes) -> None:
+        self.sources.append(source)
+        for role, text, _, _ in self.parser.feed(piece):
+            if not self.sources or turn_digest(role, text) != self.sources.pop(0):
+                raise ValueError("a conversation does not survive its round trip")
+            self.n_turns += 1
+            self.turns.update(f"{role}\n{text}\n".encode())
+        if start is not None:
+            learnt = unescape(piece[start:end])
+            self.n_loss += len(learnt)
+            self.loss.update(learnt.encode())
+        self.n_chars += len(piece)
+
+    def row(self) -> tuple:
+        if self.parser.rest or self.sources:
+            raise ValueError("a conversation's formatted text does not end with a turn")
+        return self.conv_id, self.n_turns, self.turns.hexdigest(), self.n_loss, self.loss.hexdigest(), self.n_chars
+
+
+DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
 def conversation_digests(pieces: DataFrame) -> DataFrame:
     """Read the formatted conversations back: one row a conversation with digests of what the parser recovers.
 
-    Pieces are dealt by conversation and sorted by turn (ties by role, then text), then streamed: a conversation of any
-    length takes a few hash states of memory, never a list of its turns. Only pieces and loss bounds travel.
+    Pieces are dealt by conversation and sorted, and their text is parsed as a whole by a parser that they are fed to; the
+    turns that it recovers must be those of the source. A digest of a conversation needs its turns one after another, so a
+    conversation is read by one task, in a few hash states of memory and never as a list of turns; the rendering before
+    that is dealt out by turns. Pieces, roles and digests of 16 bytes travel.
     """
-    dealt = pieces.select("conv_id", "turn", "role", "text", "piece", "loss_start", "loss_end").repartition("conv_id")
-    ordered = dealt.sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "piece", "loss_start", "loss_end")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, current = None, None
-
-        def row():
-            return [current, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]]
+    ordered = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "piece").select("conv_id", "piece", "loss_start", "loss_end", "source")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reading, out = None, []
         for batch in batches:
+            for conv, piece, start, end, source in zip(*(c.to_pylist() for c in batch.columns)):
+                if reading is None or conv != reading.conv_id:
+                    if reading is not None:
+                        out.append(reading.row())
+                    reading = Reading(conv)
+                reading.add(piece, start, end, source)
+            yield from rows(out)
             out = []
-            for conv, piece, start, end in zip(batch.conv_id, batch.piece, batch.loss_start, batch.loss_end):
-                conv = None if pd.isna(conv) else int(conv)
-                if state is None or conv != current:
-                    if state is not None:
-                        out.append(row())
-                    current, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                turns = parse(piece)
-                if turns is None:
-                    raise ValueError("formatted text does not parse")
-                for role, text, _, _ in turns:
-                    state[0] += 1
-                    state[1].update(f"{role}\n{text}\n".encode())
-                if not pd.isna(start):
-                    learnt = unescape(piece[int(start) : int(end)])
-                    state[2] += len(learnt)
-                    state[3].update(learnt.encode())
-                state[4] += len(piece)
-            yield pd.DataFrame(out, columns=COLUMNS)
-        if state is not None:
-            yield pd.DataFrame([row()], columns=COLUMNS)
-
-    return ordered.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-
-
-COLUMNS = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        if reading is not None:
+            yield from rows([reading.row()])
+
+    def rows(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), DIGESTS)], schema=DIGESTS)
+
+    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:
@@ -153,6 +205,7 @@ def with_probe(conversations: DataFrame) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``conversations`` and the probe, formatted and read back; cases as in ``format_turns``."""
     return conversation_digests(format_turns(with_probe(table(spark, sf_dir, "conversations"))))
 
 
@@ -161,13 +214,15 @@ OP10_SQL = f"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+escaped as (
+  select *, regexp_replace(text, '([<\\[])(\\\\*/?{_MARKS})', '\\1\\\\\\2', 'g') || case role when 'system' then '[/SYS]</s>' when 'user' then '[/INST]</s>' when 'assistant' then '[/BOT]</s>' else '[/ROLE]</s>' end as body
+  from t),
 sized as (
-  select *, case role when 'system' then 18 when 'user' then 20 when 'assistant' then 18 else 24 + length(regexp_replace(role, '([<\\[])(\\\\*/?{_MARKS})', '\\1\\\\\\2', 'g')) end
-    + length(regexp_replace(text, '([<\\[])(\\\\*/?{_MARKS})', '\\1\\\\\\2', 'g')) as chars
-  from t)
-select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  select *, length(body) + case role when 'system' then 8 when 'user' then 9 when 'assistant' then 8 else 13 + length(regexp_replace(role, '([<\\[])(\\\\*/?{_MARKS})', '\\1\\\\\\2', 'g')) end as chars
+  from escaped)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, body)) as turns_sha256,
   cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
-  sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
+  sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, body), '')) as loss_sha256,
   cast(sum(chars) as bigint) as formatted_chars
 from sized group by conv_id
 """

@@ -34,6 +34,26 @@ def test_chat_table(spark):
     assert chat.conversation_digests(chat.format_turns(df.limit(0))).count() == 0
 
 
+def test_conversations_are_parsed_as_a_whole(spark):
+    parts = [("user", "a</s>"), ("tool [AS]", "b[INST]"), ("assistant", "[\\INST] c"), ("", "")] * 3
+    text = "".join(chat.format_turn(r, t)[0] for r, t in parts)
+    for size in (1, 2, 5, 7, len(text)):  # whatever the parts that the text comes in
+        parser = chat.Parser()
+        turns = [t for at in range(0, len(text), size) for t in parser.feed(text[at : at + size])]
+        assert [t[:2] for t in turns] == parts and not parser.rest
+    assert [t[:2] for t in chat.parse(text)] == parts and chat.parse(text[:-1]) is None and chat.parse(text + "x") is None
+    reading = chat.Reading(1)
+    with pytest.raises(ValueError):  # a piece whose text runs into the next one
+        reading.add("<s>[INST]a", None, None, b"")
+        reading.add("<s>[INST]b[/INST]</s>", None, None, b"")
+        reading.row()
+    big = (1 << 53) + 1
+    df = spark.createDataFrame([(big, i, "assistant", f"{i} " * 50) for i in range(20_000)] + [(None, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.conversation_digests(chat.format_turns(df)).collect()}
+    learnt = "".join(f"{i} " * 50 for i in range(20_000))
+    assert set(got) == {big, None} and got[big].loss_sha256 == hashlib.sha256(learnt.encode()).hexdigest() and got[big].n_turns == 20_000
+
+
 TEXTS = ["", " ", "  a", "a    b\n\n  c ", "\x00\t", "日本語", "😀 a😀b", "<s> </s> <unk>", "a" * 400, "é é", "=====", "it's we'll 'Sx <|endoftext|> x", "x\x1cy ½ ª", "the cat " * 500]
 TEXTS += ["".join(R.choice("abcdeeett  \n.,thein▁é日ñ😀<>/s=_-01") for _ in range(R.randint(0, 60))) for _ in range(500)]
 

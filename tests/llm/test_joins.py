@@ -9,6 +9,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from deskbook.llm import common, ngramjoin, pii, urlfilter, vectors
+from deskbook.llm.oracles import OP5_SQL
 
 R = random.Random(6)
 
@@ -134,6 +135,38 @@ def test_large_buckets_meet_in_blocks(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect()} == {(49, 0)}
 
 
+def test_vectors_of_a_table_with_links(spark, duck, tmp_path):
+    rng = np.random.default_rng(9)
+    table = [[float(v) for v in r.embedding] for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("embedding").collect()]
+    rows = [np.array(r) for r in table[:60]]
+    for k in range(12):  # chains and tight groups, exact copies among them
+        base = np.array(table[k])
+        noise = lambda c: c * np.linalg.norm(base) * (v := rng.standard_normal(len(base))) / np.linalg.norm(v)
+        rows += [base + noise(0.05) for _ in range(k)] + [base + noise(0.3) for _ in range(k)] + [base] * (k % 3)
+    rows = [[float(np.float32(v)) for v in r] for r in rows]
+    df = spark.createDataFrame([(i, r, "x") for i, r in enumerate(rows)], "vec_id long, embedding array<float>, component_id string")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duck.cursor()
+    con.execute(f"create temp view planted as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(OP5_SQL.replace("from embeddings", "from planted")).fetchall()
+    got = vectors.op5_embedding_near_dup(spark, str(tmp_path)).select("vec_id", "n_links", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and sum(r.n_links for r in got) > 100
+    empty = vectors.near_duplicates(df.limit(0))
+    assert empty.count() == 0 and vectors.near_duplicates(df.unionByName(df)).count() == 2 * len(rows)
+
+
+def test_recall_just_above_the_threshold(spark):
+    rng, pairs = np.random.default_rng(12), []
+    for _ in range(1000):
+        a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+        c = rng.uniform(0.951, 0.96)
+        pairs += [a, c * a + math.sqrt(1 - c * c) * b]
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(pairs)], "vec_id long, embedding array<double>")
+    found = vectors.near_duplicates(df).where("n_links > 0").count() / len(pairs)
+    print("recall", found)
+    assert found >= 0.95
+
+
 def luhn(digits):
     doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
     return sum(d - 9 if d > 9 else d for d in doubled) % 10 == 0

@@ -281,3 +281,16 @@ def test_url_filter(spark):
     rows = [(1, "https://h.example.com/a", 9), (2, "https://h.example.com/a", 10), (3, "http://u@H.example.com:80/en/b?q", 12), (4, "https://h.example.com/a", 20), (5, None, 10), (6, "nonsense", 10), (7, "//h.example.com", None)]
     got = {r.page_id: (r.verdict, r.matched_lists, r.n_active) for r in urlfilter.filter_captures(spark.createDataFrame(rows, "page_id long, url string, fetched long"), edits).collect()}
     assert got == {1: ("none", None, 0), 2: ("block", "spam,z", 2), 3: ("allow", "ok", 3), 4: ("block", "z", 1), 5: ("none", None, 0), 6: ("none", None, 0), 7: ("none", None, 0)}
+    none = urlfilter.filter_captures(spark.createDataFrame(rows, "page_id long, url string, fetched long"), edits.limit(0)).collect()
+    assert len(none) == len(rows) and {r.verdict for r in none} == {"none"}
+
+
+def test_captures_keep_a_row_each(spark):
+    edit = lambda key, list_="l", effect="block": (list_, effect, key, "add", 0)
+    edits = spark.createDataFrame([edit("h.example.com/"), edit("a.example.com/p?x=1"), edit("a.example.com/p", "m", "allow"), edit("10.0.0.7"), edit("0.7"), edit("[::1]"), edit("localhost")], "list string, effect string, key string, action string, day long")
+    rows = [(1, "http://h.example.com/", 5, 0), (1, "http://h.example.com", 5, 0), (1, "http://h.example.com/x", 5, 0), (1, "http://h.example.com/x", 5, 1), (2, "http://a.example.com/p?x=1#f", 5, 0), (2, "http://a.example.com/p/?x=2", 5, 0),
+            (3, "http://9.9.0.7/a", 5, 0), (3, "http://10.0.0.7:8080/a", 5, 0), (4, "http://[::1]:80/", 5, 0), (5, "http://localhost/", 5, 0), (None, "http://h.example.com?", 5, 0)]
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched long, host int")
+    got = sorted((str(r.page_id), r.verdict, str(r.matched_key), r.n_active) for r in urlfilter.filter_captures(captures, edits).collect())
+    assert got == sorted([("1", "block", "h.example.com/", 1)] * 2 + [("1", "none", "None", 0)] * 2 + [("2", "block", "a.example.com/p?x=1", 2), ("2", "allow", "a.example.com/p", 1), ("3", "none", "None", 0), ("3", "block", "10.0.0.7", 1), ("4", "block", "[::1]", 1), ("5", "block", "localhost", 1), ("None", "block", "h.example.com/", 1)])
+    assert urlfilter.filter_captures(captures.limit(0), edits).count() == 0

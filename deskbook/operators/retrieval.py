@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.urls import host_of
+from ..sources.scratch import cut
 
 K1, B = 1.2, 0.75
 TITLE_TERM, TITLE_PHRASE, TEXT_PHRASE = 0.8, 2.5, 1.2
+#: Step of scores: finer than any difference that matters, and whole numbers of it add up alike in any order.
+POINT = 1e-9
 
 
 def normalize_source(value: Column, aliases: dict[str, str]) -> Column:
@@ -44,44 +48,125 @@ def index_stats(terms: DataFrame) -> DataFrame:
     return terms.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.coalesce(F.sum("doc_len"), F.lit(0)) / F.greatest(F.lit(1), F.count("*"))).alias("avgdl"))
 
 
-def postings(terms: DataFrame) -> DataFrame:
+def postings(terms: DataFrame, key: str = "chunk_id") -> DataFrame:
     """``chunk_id, doc_len, term, tf, in_title``; a chunk's terms are counted on the map side."""
-    exploded = terms.select("chunk_id", "doc_len", "title_terms", F.explode("tokens").alias("term")).withColumn("in_title", F.array_contains("title_terms", F.col("term")))
-    return exploded.groupBy("chunk_id", "doc_len", "term", "in_title").agg(F.count("*").alias("tf"))
+    exploded = terms.select(key, "doc_len", "title_terms", F.explode("tokens").alias("term")).withColumn("in_title", F.array_contains("title_terms", F.col("term")))
+    return exploded.groupBy(key, "doc_len", "term", "in_title").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"))
 
 
+class Index(NamedTuple):
+    """A corpus' lexical index as written tables, for any number of query batches.
+
+    ``chunks``: ``cid`` (a number) for each ``chunk_id, url, source, doc_len``; ``posts``: ``cid, doc_len, term, in_title,
+    tf``; ``stats``: one row; ``texts``: the chunks that the index was made of.
+    """
+
+    chunks: DataFrame
+    posts: DataFrame
+    stats: DataFrame
+    texts: DataFrame
+
+
+def build_index(chunks: DataFrame) -> Index:
+    """Tokenise the chunks once and write their postings to the shared folder."""
+    terms = cut(chunk_terms(chunks).withColumn("cid", F.monotonically_increasing_id()), "terms")  # numbers are fixed once they are written
+    meta = chunks.select("chunk_id", "url", F.col("source") if "source" in chunks.columns else F.lit(None).cast("string").alias("source"))
+    return Index(cut(terms.select("cid", "chunk_id", "doc_len").join(meta, "chunk_id"), "chunks"), cut(postings(terms, "cid"), "postings"), index_stats(terms), chunks)
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """``query_id, pos, term``: a query's distinct terms in order."""
     return queries.select("query_id", F.posexplode(F.array_distinct(T.tokenize("query")))).select("query_id", "pos", F.col("col").alias("term"))
 
 
-def bm25_scores(queries: DataFrame, chunks: DataFrame, sources: Iterable[str] | None = None) -> DataFrame:
-    """``query_id, chunk_id, score, terms`` of every chunk that has a term of the query (``terms`` in query order).
+def term_hits(queries: DataFrame, index: Index) -> DataFrame:
+    """``query_id, cid, points, matched`` of every chunk that has a term of the query.
 
-    Only postings of the queries' own vocabulary leave the map side. Texts do not take part in scoring; the phrase boosts
-    look them up for scored pairs. Document frequencies and the number of chunks are of the whole corpus whatever
-    ``sources`` asks for: None is no filter, an empty list no rows.
+    ``points`` sums the terms' weights in whole steps of POINT, so sums don't depend on their order; ``matched`` counts the
+    terms. Only postings of the queries' own vocabulary leave the map side, and of a pair only numbers. Document
+    frequencies and the number of chunks are of the whole corpus.
     """
-    asked, terms = query_terms(queries), chunk_terms(chunks)
-    vocabulary = asked.select("term").distinct()
-    exploded = terms.select("chunk_id", "doc_len", "title_terms", F.explode("tokens").alias("term")).join(vocabulary, "term", "left_semi")
-    posts = exploded.withColumn("in_title", F.array_contains("title_terms", F.col("term"))).groupBy("chunk_id", "doc_len", "term", "in_title").agg(F.count("*").alias("tf"))
-    stats = F.broadcast(index_stats(terms))  # one row
-    weighed = posts.join(document_frequency(posts), "term").crossJoin(stats)
+    asked = query_terms(queries).select("query_id", "term")
+    posts = index.posts.join(asked.select("term").distinct(), "term", "left_semi")
+    weighed = posts.join(document_frequency(posts), "term").crossJoin(F.broadcast(index.stats))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     own = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * (F.col("doc_len") / F.col("avgdl"))))
-    weighed = weighed.select("chunk_id", "term", (own + F.when(F.col("in_title"), TITLE_TERM * idf).otherwise(0.0)).alias("w"))
-    hits = asked.join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.sum("w").alias("score"), F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("hits"))
-    wanted = chunks if sources is None else chunks.where(F.col("source").isin(*sources)) if list(sources) else chunks.where(F.lit(False))
-    texts = wanted.select("chunk_id", F.lower("title").alias("title"), F.lower(T.clean_chunk_text("text")).alias("text"))
-    phrase = queries.select("query_id", F.lower(T.strip("query")).alias("phrase"))
-    scored = hits.join(phrase, "query_id").join(texts, "chunk_id")
-    boost = F.when(F.col("title").contains(F.col("phrase")), TITLE_PHRASE).otherwise(0.0) + F.when(F.col("text").contains(F.col("phrase")), TEXT_PHRASE).otherwise(0.0)
-    return scored.select("query_id", "chunk_id", (F.col("score") + boost).alias("score"), F.transform("hits", lambda h: h["term"]).alias("terms"))
+    weight = own + F.when(F.col("in_title"), TITLE_TERM * idf).otherwise(0.0)
+    weighed = weighed.select("cid", "term", F.round(weight / POINT).cast("long").alias("points"))
+    return asked.join(weighed, "term").groupBy("query_id", "cid").agg(F.sum("points").alias("points"), F.count("*").alias("matched"))
+
+
+def phrases(queries: DataFrame) -> DataFrame:
+    """``query_id, phrase, needed``: the whole query in lower case, and how many of its distinct terms a text with it must have.
+
+    Words inside the phrase stand in such a text as they are; its first and last may be parts of longer words there.
+    """
+    phrase, terms = F.lower(T.strip("query")), F.array_distinct(T.tokenize("query"))
+    words = F.split(phrase, r"(?U)\s+")
+    inside = F.when(F.size(words) > 2, F.array_distinct(T.tokenize(F.array_join(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), " ")))).otherwise(F.array().cast("array<string>"))
+    return queries.select("query_id", phrase.alias("phrase"), F.size(F.array_intersect(inside, terms)).alias("needed"))
+
+
+def phrase_boosts(pairs: DataFrame, index: Index, asked: DataFrame) -> DataFrame:
+    """``query_id, cid, boost`` (in points) of those of the pairs whose title or text has the whole query; texts are read for these pairs alone."""
+    texts = index.texts.select("chunk_id", F.lower("title").alias("title"), F.lower(T.clean_chunk_text("text")).alias("text"))
+    rows = pairs.select("query_id", "cid").join(asked.select("query_id", "phrase"), "query_id").join(index.chunks.select("cid", "chunk_id"), "cid").join(texts, "chunk_id")
+    steps = lambda boost: round(boost / POINT)
+    boost = F.when(F.col("title").contains(F.col("phrase")), steps(TITLE_PHRASE)).otherwise(0) + F.when(F.col("text").contains(F.col("phrase")), steps(TEXT_PHRASE)).otherwise(0)
+    return rows.select("query_id", "cid", boost.cast("long").alias("boost")).where("boost > 0")
+
+
+def _of_sources(index: Index, sources: Iterable[str] | None) -> DataFrame:
+    """The index's chunks of the sources: None is no filter, an empty list no rows."""
+    return index.chunks if sources is None else index.chunks.where(F.col("source").isin(*sources)) if list(sources) else index.chunks.where(F.lit(False))
+
+
+def matched_terms(pairs: DataFrame, index: Index, queries: DataFrame) -> DataFrame:
+    """``pairs`` with ``terms``, the query's terms that the chunk has, in query order."""
+    hits = pairs.select("query_id", "cid").join(query_terms(queries), "query_id").join(index.posts.select("cid", "term"), ["cid", "term"])
+    terms = hits.groupBy("query_id", "cid").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))), lambda h: h["term"]).alias("terms"))
+    return pairs.join(terms, ["query_id", "cid"])
+
+
+def bm25_scores(queries: DataFrame, chunks: DataFrame | Index, sources: Iterable[str] | None = None) -> DataFrame:
+    """``query_id, chunk_id, score, terms`` of every chunk that has a term of the query (``terms`` in query order).
+
+    Texts do not take part in scoring; the phrase boosts look them up for pairs that have all the terms inside the phrase.
+    A batch of queries that only needs its best chunks is ``top_chunks``' task.
+    """
+    index = chunks if isinstance(chunks, Index) else build_index(chunks)
+    asked = phrases(queries)
+    hits = cut(term_hits(queries, index).join(_of_sources(index, sources).select("cid", "chunk_id"), "cid").join(asked.select("query_id", "needed"), "query_id"), "hits")
+    boosts = phrase_boosts(hits.where("matched >= needed"), index, asked)
+    scored = hits.join(boosts, ["query_id", "cid"], "left").withColumn("score", (F.col("points") + F.coalesce("boost", F.lit(0))) * POINT)
+    return matched_terms(scored, index, queries).select("query_id", "chunk_id", "score", "terms")
+
+
+def top_chunks(queries: DataFrame, index: Index, k: int, sources: Iterable[str] | None = None, signals: DataFrame | None = None) -> DataFrame:
+    """``query_id, rank, chunk_id, url, score, terms``: each query's ``k`` best chunks, scores times ``signals``' multipliers where given.
+
+    Pairs are ranked by their terms' weights first. Texts are read for those alone that the phrase boosts could still bring
+    among the first k: pairs with all the terms inside the phrase, whose boosted score reaches the k-th best address.
+    """
+    asked = phrases(queries)
+    hits = term_hits(queries, index).join(_of_sources(index, sources).select("cid", "chunk_id", "url"), "cid").join(asked.select("query_id", "needed"), "query_id")
+    most = round((TITLE_PHRASE + TEXT_PHRASE) / POINT)
+    hits = hits.withColumn("score", F.col("points") * POINT)
+    hits = hits.withColumn("multiplier", F.lit(1.0)) if signals is None else apply_multipliers(hits, signals)
+    hits = hits.withColumn("could", F.when(F.col("matched") >= F.col("needed"), (F.col("points") + most) * POINT * F.col("multiplier")).otherwise(F.col("score")))
+    hits = cut(hits.select("query_id", "cid", "chunk_id", "url", "points", "multiplier", "score", "could"), "hits")
+    by_address = hits.groupBy("query_id", "url").agg(F.max("score").alias("best"))
+    ranked = by_address.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("best").desc()))).where(F.col("r") <= k)
+    least = ranked.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("best")).alias("least"))  # null: fewer addresses than k
+    alive = cut(hits.join(least, "query_id").where("least is null or could >= least"), "alive")
+    boosts = phrase_boosts(alive.where("could > score"), index, asked)
+    final = alive.join(boosts, ["query_id", "cid"], "left").withColumn("score", (F.col("points") + F.coalesce("boost", F.lit(0))) * POINT * F.col("multiplier"))
+    top = diverse_top_k(final.select("query_id", "cid", "chunk_id", "url", "score"), k)
+    return matched_terms(top, index, queries).drop("cid")
 
 
 def apply_multipliers(scores: DataFrame, signals: DataFrame) -> DataFrame:
@@ -95,9 +180,8 @@ def apply_multipliers(scores: DataFrame, signals: DataFrame) -> DataFrame:
 def diverse_top_k(scores: DataFrame, k: int) -> DataFrame:
     """``query_id, rank, ...``: each address's best chunk first, in score order, then the rest until ``k``.
 
-    Scores are compared at four decimals, ties by chunk id. Spark keeps a group's first k rows before the shuffle.
+    Ties go by chunk id. Spark keeps a group's first k rows before the shuffle.
     """
-    scores = scores.withColumn("score", F.round("score", 4))
     by_score = [F.col("score").desc(), F.col("chunk_id")]
     in_url = F.row_number().over(Window.partitionBy("query_id", "url").orderBy(*by_score))
     best = scores.withColumn("in_url", in_url).where(F.col("in_url") <= k)

@@ -311,50 +311,55 @@ df as (select term, count(*) as df from post group by term)
 """
 _SCORES = (
     _INDEX
-    + f""", q as (select query_id, query, lower({S.trimmed('query')}) as phrase, list_distinct({S.tokens('query')}) as toks from v_queries),
+    + f""", q as (select query_id, query, lower({S.trimmed('query')}) as phrase, list_distinct({S.tokens('query')}) as toks, {S.tokens('query')} as every from v_queries),
 qt as (select query_id, unnest(toks) as term from q),
 w as (
-  select qt.query_id, p.chunk_id, ln(1 + (n.n - df.df + 0.5) / (df.df + 0.5)) * ((p.tf * 2.2) / (p.tf + 1.2 * (0.25 + 0.75 * (greatest(1, len(c.toks)) / n.avgdl))) + case when list_contains(c.title_toks, p.term) then 0.8 else 0 end) as w
+  select qt.query_id, p.chunk_id, cast(round((ln(1 + (n.n - df.df + 0.5) / (df.df + 0.5)) * ((p.tf * 2.2) / (p.tf + 1.2 * (0.25 + 0.75 * (greatest(1, len(c.toks)) / n.avgdl))) + case when list_contains(c.title_toks, p.term) then 0.8 else 0 end)) / 1e-9) as bigint) as w
   from qt join post p on p.term = qt.term join df on df.term = qt.term join c on c.chunk_id = p.chunk_id cross join n),
 raw as (select query_id, chunk_id, sum(w) as s, count(*) as matched from w group by all),
 scored as (
-  select raw.query_id, raw.chunk_id, c.url, c.ord, c.source, raw.matched, raw.s + case when contains(lower(c.title), q.phrase) then 2.5 else 0 end + case when contains(lower({S.cleaned('c.text')}), q.phrase) then 1.2 else 0 end as score
+  select raw.query_id, raw.chunk_id, c.url, c.ord, c.source, raw.matched, cast(raw.s + case when contains(lower(c.title), q.phrase) then 2500000000 else 0 end + case when contains(lower({S.cleaned('c.text')}), q.phrase) then 1200000000 else 0 end as bigint)::double * 1e-9::double as score
   from raw join c on c.chunk_id = raw.chunk_id join q on q.query_id = raw.query_id)
 """
 )
 
 
 def _top(scored: str, k: int) -> str:
-    return f""", urls as (select *, round(score, 4) as s4, row_number() over (partition by query_id, url order by round(score, 4) desc, chunk_id) as u from {scored}),
-top as (select *, row_number() over (partition by query_id order by case when u = 1 then 0 else 1 end, s4 desc, chunk_id) as rank from urls)
+    return f""", urls as (select *, row_number() over (partition by query_id, url order by score desc, chunk_id) as u from {scored}),
+top as (select *, row_number() over (partition by query_id order by case when u = 1 then 0 else 1 end, score desc, chunk_id) as rank from urls)
 """
 
 
-def _scored(spark, d, sources=None):
-    chunks = view(spark, d, "v_chunks1")
-    return retrieval.bm25_scores(view(spark, d, "v_queries"), chunks, sources).join(chunks.select("chunk_id", "url"), "chunk_id")
+def _top_chunks(spark, d, k, **how):
+    return retrieval.top_chunks(view(spark, d, "v_queries"), retrieval.build_index(view(spark, d, "v_chunks1")), k, **how)
 
 
-@query(_SCORES + _top("scored", 6) + "select query_id, rank, chunk_id, s4 as score from top where rank <= 6")
+@query(_SCORES + _top("scored", 6) + "select query_id, rank, chunk_id, score from top where rank <= 6")
 def bm25_top_k(spark, d):
-    return retrieval.diverse_top_k(_scored(spark, d), 6).select("query_id", "rank", "chunk_id", "score")
+    return _top_chunks(spark, d, 6).select("query_id", "rank", "chunk_id", "score")
 
 
-@query(_SCORES + ", few as (select * exclude (url), case when ord % 3 = 0 then 'https://one' else 'https://two' end as url from scored where source in ('src0', 'src1'))" + _top("few", 6) + "select query_id, rank, chunk_id, s4 as score, matched from top where rank <= 6")
+@query(_SCORES + ", few as (select * exclude (url), case when ord % 3 = 0 then 'https://one' else 'https://two' end as url from scored where source in ('src0', 'src1'))" + _top("few", 6) + ", hit as (select top.query_id, top.rank, top.chunk_id, string_agg(t.term, ' ' order by t.pos) as terms from top join (select query_id, term, list_position(every, term) as pos from (select query_id, every, unnest(toks) as term from q)) t on t.query_id = top.query_id join post p on p.chunk_id = top.chunk_id and p.term = t.term where top.rank <= 6 group by all) select top.query_id, top.rank, top.chunk_id, top.score, top.matched, sha256(hit.terms) as terms_sha from top join hit on hit.query_id = top.query_id and hit.rank = top.rank")
 def bm25_top_k_filtered(spark, d):
-    chunks = view(spark, d, "v_chunks1")
-    scored = retrieval.bm25_scores(view(spark, d, "v_queries"), chunks, ["src0", "src1"]).join(chunks.select("chunk_id", F.when(F.col("ord") % 3 == 0, "https://one").otherwise("https://two").alias("url")), "chunk_id")
-    return retrieval.diverse_top_k(scored, 6).select("query_id", "rank", "chunk_id", "score", F.size("terms").cast("long").alias("matched"))
+    chunks = view(spark, d, "v_chunks1").withColumn("url", F.when(F.col("ord") % 3 == 0, "https://one").otherwise("https://two"))
+    top = retrieval.top_chunks(view(spark, d, "v_queries"), retrieval.build_index(chunks), 6, sources=["src0", "src1"])
+    return top.select("query_id", "rank", "chunk_id", "score", F.size("terms").cast("long").alias("matched"), F.sha2(F.array_join("terms", " "), 256).alias("terms_sha"))
+
+
+@query(_SCORES + "select query_id, count(*) as n_chunks, sum(cast(round(score * 1e6) as bigint))::bigint as points, max(score) as best from scored group by query_id")
+def bm25_all_scores(spark, d):
+    scores = retrieval.bm25_scores(view(spark, d, "v_queries"), view(spark, d, "v_chunks1"))
+    return scores.groupBy("query_id").agg(F.count("*").alias("n_chunks"), F.sum(F.round(F.col("score") * 1e6).cast("long")).alias("points"), F.max("score").alias("best"))
 
 
 _SIGNALS = "sig as (select chunk_id, case when ord % 4 = 0 then 0.7::double when ord % 4 = 1 then 1.2::double when ord % 4 = 2 then 'nan'::double end as multiplier from v_chunks1 where ord % 5 <> 0)"
 
 
-@query(_SCORES + f", {_SIGNALS}, adj as (select s.* exclude (score), s.score * case when g.multiplier is null or isnan(g.multiplier) then 1 else g.multiplier end as score from scored s left join sig g on g.chunk_id = s.chunk_id)" + _top("adj", 6) + "select query_id, rank, chunk_id, s4 as score from top where rank <= 6")
+@query(_SCORES + f", {_SIGNALS}, adj as (select s.* exclude (score), s.score * case when g.multiplier is null or isnan(g.multiplier) then 1 else g.multiplier end as score from scored s left join sig g on g.chunk_id = s.chunk_id)" + _top("adj", 6) + "select query_id, rank, chunk_id, score from top where rank <= 6")
 def bm25_with_signals(spark, d):
     m = F.expr("case when ord % 4 = 0 then double(0.7) when ord % 4 = 1 then double(1.2) when ord % 4 = 2 then double('NaN') end")
     signals = view(spark, d, "v_chunks1").where("ord % 5 <> 0").select("chunk_id", m.alias("multiplier"))
-    return retrieval.diverse_top_k(retrieval.apply_multipliers(_scored(spark, d), signals), 6).select("query_id", "rank", "chunk_id", "score")
+    return _top_chunks(spark, d, 6, signals=signals).select("query_id", "rank", "chunk_id", "score")
 
 
 @query(_INDEX + "select p.term, df.df, sum(p.tf)::bigint as tf from post p join df on df.term = p.term group by all")
@@ -377,13 +382,13 @@ def corpus_stats(spark, d):
 
 @query(
     _SCORES + _top("scored", 6)
-    + f""", cit as (select top.query_id, top.rank, top.chunk_id, v.doc_id, v.title, v.url, v.section, top.s4 as score, {S.cleaned('v.text')} as t, q.toks as asked from top join v_chunks1 v on v.chunk_id = top.chunk_id join q on q.query_id = top.query_id where top.rank <= 6),
+    + f""", cit as (select top.query_id, top.rank, top.chunk_id, v.doc_id, v.title, v.url, v.section, top.score as score, {S.cleaned('v.text')} as t, q.toks as asked from top join v_chunks1 v on v.chunk_id = top.chunk_id join q on q.query_id = top.query_id where top.rank <= 6),
 hit as (select *, list_min(list_filter(list_transform(asked, lambda x: instr(lower(t), x)), lambda y: y > 0)) as p from cit)
 select query_id, rank, chunk_id, doc_id, title, url, section, score, case when p is null then case when length({S.compact('t')}) > 220 then substring({S.compact('t')}, 1, 220) || '...' else {S.compact('t')} end
   else case when p > 91 then '...' else '' end || {S.compact("substring(t, greatest(0, p - 91) + 1, 280)")} || case when greatest(0, p - 91) + 280 < length(t) then '...' else '' end end as snippet from hit"""
 )
 def citation_rows(spark, d):
-    ranked = retrieval.diverse_top_k(_scored(spark, d), 6)
+    ranked = _top_chunks(spark, d, 6)
     return retrieval.citations(ranked, view(spark, d, "v_chunks1"), view(spark, d, "v_queries"))
 
 
@@ -393,7 +398,7 @@ def citation_rows(spark, d):
 select q.query_id, sha256('Answer from these excerpts.' || chr(10) || coalesce(string_agg(block, chr(10) || chr(10) order by rank), 'No context found.')) as prompt_sha from v_queries q left join b on b.query_id = q.query_id group by q.query_id"""
 )
 def prompts(spark, d):
-    ranked = retrieval.diverse_top_k(_scored(spark, d), 3)
+    ranked = _top_chunks(spark, d, 3)
     made = retrieval.prompt_contexts(ranked, view(spark, d, "v_chunks1"), view(spark, d, "v_queries"), "Answer from these excerpts.")
     return made.select("query_id", F.sha2("prompt", 256).alias("prompt_sha"))
 

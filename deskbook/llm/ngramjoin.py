@@ -439,10 +439,12 @@ def cross_pairs(groups: DataFrame, component: DataFrame, sets: DataFrame, sim: S
     the work is that of the rest against all; blocks of both are dealt out as tasks of bounded size.
     """
     named = groups.select("leader", "doc_id").join(component.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    named = cut(named, "members")
+    n_rows = named.count()
     per_part = named.groupBy("leader", "component").agg(F.count("*").alias("m"))
     mixed = per_part.groupBy("leader").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = mixed.select("leader", F.col("top.component").alias("main"), F.ceil(F.col("top.m") / MAIN_BLOCK).cast("int").alias("n_main"), F.ceil((F.col("all") - F.col("top.m")) / BLOCK).cast("int").alias("n_rest"))
-    rows = named.join(mixed, "leader")
+    mixed = mixed.select("leader", F.col("top.component").alias("main"), F.ceil(F.col("top.m") / MAIN_BLOCK).cast("int").alias("n_main"), F.ceil((F.col("all") - F.col("top.m")) / BLOCK).cast("int").alias("n_rest"), "all")
+    rows = attach(named, cut(mixed, "mixed"), ["leader"], "all", n_rows).where("main is not null")  # a large group is split over tasks
     inside = F.col("component") == F.col("main")
     own = F.pmod(F.xxhash64("doc_id"), F.when(inside, F.col("n_main")).otherwise(F.col("n_rest"))).cast("int")
     rest, main = F.sequence(F.lit(0), F.col("n_rest") - 1), F.sequence(F.lit(0), F.col("n_main") - 1)

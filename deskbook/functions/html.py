@@ -1,392 +1,143 @@
-"""A small HTML tree and the article extractor on it; pure Python, for use inside vectorised helpers."""
+"""Fields, bodies and Markdown of HTML pages as column expressions.
+
+Pages are read with patterns, so the work stays in the JVM and in one pass a page. An element reaches to the first closing
+tag of its name: one that holds another of the same name ends with it. Patterns avoid what other engines' don't know
+(looking around, referring back), so that a query can be checked elsewhere.
+"""
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-from html.parser import HTMLParser
-from urllib.parse import urljoin, urlsplit
-
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset(("script", "style", "template"))
-HEADINGS = ("h2", "h3", "h4")
-#: A start tag that ends open elements, and those it ends.
-ENDS = {"p": ("p",), "li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "option": ("option",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
-BLOCKS_END_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
-SCOPES = frozenset(("ul", "ol", "table", "dl", "div", "section", "article", "main", "body"))
-
-
-@dataclass(eq=False)
-class Node:
-    tag: str
-    attrs: dict[str, str] = field(default_factory=dict)
-    parent: Node | None = None
-    children: list[Node | str] = field(default_factory=list)
-
-    def walk(self) -> Iterator[Node]:
-        """Elements below, in document order; the tree may lose nodes on the way."""
-        for child in list(self.children):
-            if isinstance(child, Node) and child.parent is self:
-                yield child
-                yield from child.walk()
-
-    def find_all(self, *tags: str) -> list[Node]:
-        return [n for n in self.walk() if n.tag in tags]
-
-    def find(self, *tags: str, **attrs: str) -> Node | None:
-        return next((n for n in self.walk() if n.tag in tags and all(n.attrs.get(k) == v for k, v in attrs.items())), None)
-
-    def strings(self) -> Iterator[str]:
-        for child in self.children:
-            if isinstance(child, str):
-                yield child
-            elif child.tag not in SILENT:
-                yield from child.strings()
-
-    def text(self, between: str = " ") -> str:
-        return between.join(self.strings()).strip()
-
-    @property
-    def classes(self) -> list[str]:
-        return self.attrs.get("class", "").split()
-
-    def remove(self) -> None:
-        if self.parent:
-            self.parent.children = [c for c in self.parent.children if c is not self]
-            self.parent = None
-
-    def replace(self, other: Node | str) -> None:
-        if self.parent:
-            self.parent.children = [other if c is self else c for c in self.parent.children]
-            if isinstance(other, Node):
-                other.parent = self.parent
-            self.parent = None
-
-    def following(self) -> list[Node]:
-        if not self.parent:
-            return []
-        own = self.parent.children
-        at = next(i for i, c in enumerate(own) if c is self)
-        return [c for c in own[at + 1 :] if isinstance(c, Node)]
-
-
-class _Builder(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root")
-
-    def _end(self, tags: tuple[str, ...], scopes: frozenset = frozenset()) -> None:
-        node = self.at
-        while node.parent is not None and node.tag not in scopes:
-            if node.tag in tags:
-                self.at = node.parent
-                return
-            node = node.parent
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        for other in ENDS.get(tag, ()):
-            self._end((other,), SCOPES)
-        if tag in BLOCKS_END_P:
-            self._end(("p",), SCOPES)
-        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
-        self.at.children.append(node)
-        if tag not in VOID:
-            self.at = node
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node is not None and node.tag != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.at = node.parent
-
-    def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
-
-
-def parse(html: str) -> Node:
-    builder = _Builder()
-    builder.feed(html)
-    builder.close()
-    return builder.root
-
-
-def matcher(selector: str):
-    """Predicate of a simple selector: tag, ``.class``, ``[attr*='part']`` and joins of these."""
-    tag = re.match(r"[a-zA-Z][\w-]*", selector)
-    classes = re.findall(r"\.([\w-]+)", re.sub(r"\[.*?\]", "", selector))
-    attrs = re.findall(r"\[([\w-]+)(?:(\*?=)['\"]?(.*?)['\"]?)?\]", selector)
-
-    def match(n: Node) -> bool:
-        own = n.classes
-        if tag and n.tag != tag[0].lower() or any(c not in own for c in classes):
-            return False
-        return all(a in n.attrs and (not op or (v in n.attrs[a] if op == "*=" else n.attrs[a] == v)) for a, op, v in attrs)
-
-    return match
-
-
-def select(node: Node, selector: str) -> list[Node]:
-    match = matcher(selector)
-    return [n for n in node.walk() if match(n)]
-
-
-def _tidy(text: str) -> str:
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text.replace("\r\n", "\n"))).strip()
-
-
-def plain_text(markdown: str) -> str:
-    for pattern, to in ((r"```[\s\S]*?```", " "), (r"`([^`]+)`", r"\1"), (r"!\[[^\]]*\]\([^\)]+\)", " "), (r"\[([^\]]+)\]\([^\)]+\)", r"\1"), (r"(?m)^#+\s+", ""), (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^\s*\d+\.\s+", "")):
-        markdown = re.sub(pattern, to, markdown)
-    return _tidy(markdown)
-
-
-# --- Markdown -------------------------------------------------------------------------------------------------------
-
-
-def _callout(text: str) -> str:
-    return next((w.capitalize() for w in ("warning", "important", "tip") if w in text), "Note")
-
-
-def _mark_callouts(body: Node, innermost: bool) -> None:
-    """Notes, tips and warnings become quotations. By class or by a ``note:`` in the text, outermost element first (or innermost)."""
-    nodes = list(body.walk())
-    for n in reversed(nodes) if innermost else nodes:
-        top = n
-        while top.parent is not None and top is not body:
-            top = top.parent
-        if top is not body or n.tag == "blockquote":
-            continue
-        text, classes = n.text().lower(), " ".join(n.classes)
-        if any(w in classes for w in ("note", "tip", "warning", "important", "alert")) or any(w in text for w in ("note:", "tip:", "warning:", "important:")):
-            content = n.text()
-            if content and not (innermost and n.find("blockquote")):
-                quote = Node("blockquote")
-                quote.children.append(Node("p", {}, quote, [f"{_callout(text)}: {content}"]))
-                n.replace(quote)
-
-
-def _flatten_tables(body: Node) -> None:
-    for table in body.find_all("table"):
-        rows = [cells for tr in table.find_all("tr") if (cells := [c.text() for c in tr.find_all("th", "td")])]
-        if not rows:
-            table.remove()
-        elif all(len(r) == 2 for r in rows):
-            table.replace(Node("p", {}, None, ["\n".join(f"- {k}: {v}" for k, v in rows)]))
-        else:
-            names = lambda i: rows[0][i] if i < len(rows[0]) else f"Field {i + 1}"  # noqa: E731, B023
-            table.replace(Node("p", {}, None, ["\n".join("- " + "; ".join(f"{names(i)}: {v}" for i, v in enumerate(r)) for r in rows[1:])]))
-
-
-def _inline(node: Node, base: str) -> str:
-    return "".join(re.sub(r"[ \t\r\f]*\n[ \t\r\f]*(?!- )", " ", c) if isinstance(c, str) and node.tag != "p" else c if isinstance(c, str) else _render(c, base) for c in node.children)
-
-
-def _render(n: Node, base: str, depth: int = 0) -> str:
-    if n.tag in SILENT or n.tag in ("head", "title"):
-        return ""
-    if n.tag == "pre":
-        return "\n\n```\n" + "\n".join(n.strings()) + "\n```\n\n"
-    if n.tag == "br":
-        return "\n"
-    if n.tag == "hr":
-        return "\n\n---\n\n"
-    if n.tag == "img":
-        return f"![{n.attrs.get('alt', '')}]({n.attrs.get('src', '')})"
-    if n.tag in ("ul", "ol"):
-        items = [c for c in n.children if isinstance(c, Node) and c.tag == "li"]
-        lines = []
-        for i, item in enumerate(items, 1):
-            own = "".join(c if isinstance(c, str) else _render(c, base, depth + 1) for c in item.children).strip()
-            lines.append("  " * depth + (f"{i}. " if n.tag == "ol" else "- ") + re.sub(r"\n+", "\n", own))
-        return ("\n" if depth else "\n\n") + "\n".join(lines) + ("\n" if depth else "\n\n")
-    inner = _inline(n, base)
-    stripped = inner.strip()
-    if n.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        return f"\n\n{'#' * max(2, int(n.tag[1]))} {stripped}\n\n"
-    if n.tag == "a":
-        href = n.attrs.get("href", "")
-        return f"[{stripped}]({href if href.startswith('mailto:') else urljoin(base, href)})" if href and stripped else inner
-    if n.tag in ("b", "strong"):
-        return f"**{stripped}**" if stripped else inner
-    if n.tag in ("i", "em"):
-        return f"*{stripped}*" if stripped else inner
-    if n.tag == "code":
-        return f"`{stripped}`" if stripped else inner
-    if n.tag == "blockquote":
-        return "\n\n" + "\n".join(f"> {line}".rstrip() for line in stripped.split("\n")) + "\n\n"
-    if n.tag in ("p", "div", "section", "article", "main", "header", "footer", "nav", "aside", "tr", "dl", "dt", "dd", "figure", "#root", "body", "html"):
-        return f"\n\n{stripped}\n\n" if stripped else ""
-    return inner
-
-
-def to_markdown(body: Node, base: str, callout_mode: str = "reference") -> str:
-    _flatten_tables(body)
-    _mark_callouts(body, callout_mode == "innermost")
-    text = _tidy(_render(body, base))
-    return _tidy(re.sub(r"(?m)^#+\s*$", "", text))
-
-
-# --- Articles -------------------------------------------------------------------------------------------------------
-
-
-def _date(text: str) -> str | None:
-    from dateutil import parser
-
-    try:
-        return parser.parse(text, fuzzy=True).isoformat() if text else None
-    except (ValueError, OverflowError, TypeError):
-        return None
-
-
-def title_of(root: Node) -> str:
-    h1 = root.find("h1")
-    if h1:
-        return h1.text()
-    og = root.find("meta", property="og:title")
-    if og and og.attrs.get("content"):
-        return og.attrs["content"].strip()
-    title = root.find("title")
-    return title.text() if title else ""
-
-
-def dates_of(root: Node) -> tuple[str | None, str | None]:
-    """Updated and published: meta properties, else the first readable ``<time>``, else labels in the text."""
-    names = {"article:modified_time": 0, "og:updated_time": 0, "article:published_time": 1, "og:published_time": 1}
-    found: list[str | None] = [None, None]
-    for m in root.find_all("meta"):
-        if (side := names.get(m.attrs.get("property", ""))) is not None:
-            found[side] = _date(m.attrs.get("content", "")) or found[side]
-    if not any(found):
-        found[0] = next((d for t in root.find_all("time") if (d := _date(t.attrs.get("datetime") or t.text()))), None)
-        text = root.text()
-        for side, label in enumerate(("Updated", "Published")):
-            if hit := re.search(label + r"\s*[:\-]?\s*([A-Za-z0-9, ]{4,})", text):
-                found[side] = _date(hit[1]) or found[side]
-    return found[0], found[1]
-
-
-def breadcrumbs_of(root: Node) -> list[str]:
-    navs = [n for n in root.find_all("nav") if "breadcrumb" in n.attrs.get("aria-label", "").lower()][:1]
-    boxes = [n for n in root.walk() if {"slds-breadcrumb", "breadcrumbs"} & set(n.classes)][:1]
-    for place in (*navs, *boxes):
-        if crumbs := [t for n in place.find_all("li", "a", "span") if (t := n.text()) and t.lower() != "home"]:
-            return crumbs
-    return []
-
-
-def tags_of(root: Node) -> list[str]:
-    tags = [m.attrs["content"].strip() for m in root.find_all("meta") if m.attrs.get("property") == "article:tag" and m.attrs.get("content")]
-    if not tags and (m := root.find("meta", name="keywords")):
-        tags = [k.strip() for k in m.attrs.get("content", "").split(",") if k.strip()]
-    if not tags:
-        box = next((n for n in root.walk() if {"tags", "article-tags", "topic-tags"} & set(n.classes)), None)
-        tags = [t for a in box.find_all("a") if (t := a.text())] if box else []
-    return list(dict.fromkeys(tags))
-
-
-def summary_of(root: Node) -> str | None:
-    m = root.find("meta", name="description")
-    return m.attrs["content"].strip() if m and m.attrs.get("content") else None
-
-
-def body_score(node: Node, title: str) -> float:
-    """How much a node looks like an article's body; 0 below 200 characters."""
-    text = node.text()
-    if len(text) < 200:
-        return 0.0
-    links = sum(len(" ".join(a.strings())) for a in node.find_all("a"))
-    score = len(text) / 100 + 5 * len(node.find_all(*HEADINGS)) + 3 * len(node.find_all("ul", "ol")) - 50 * links / len(text)
-    score += 10 if title and title.lower() in text.lower() else 0
-    return score - (20 if any(w in " ".join(node.classes).lower() for w in ("nav", "footer", "header", "breadcrumb", "menu")) else 0)
-
-
-def body_candidates(root: Node, selectors: list[str]) -> list[Node]:
-    return [n for s in selectors for n in select(root, s)] or root.find_all("article", "main", "section", "div")
-
-
-def remove_boilerplate(body: Node, selectors: list[str]) -> None:
-    for s in selectors:
-        for n in select(body, s):
-            n.remove()
-    for n in list(body.walk()):
-        if n.attrs.get("aria-hidden") == "true" or "display:none" in n.attrs.get("style", "").replace(" ", "").lower():
-            n.remove()
-
-
-def take_related(body: Node, url: str) -> list[dict]:
-    """Links after headings that say ``related``; these parts are taken out of the body."""
-    found = []
-    for h in body.find_all(*HEADINGS):
-        if "related" in h.text().lower():
-            for n in h.following():
-                if n.tag in HEADINGS:
-                    break
-                found += [{"label": a.text() or a.attrs["href"], "url": urljoin(url, a.attrs["href"])} for a in n.find_all("a") if a.attrs.get("href")]
-                n.remove()
-            h.remove()
-    return found
-
-
-def attachments_of(body: Node, url: str) -> list[dict]:
-    links = [a for a in body.find_all("a") if any(w in a.attrs.get("href", "") for w in ("FileDownload", "servlet.shepherd", "download"))]
-    return [{"name": a.text() or a.attrs["href"].split("/")[-1], "url": urljoin(url, a.attrs["href"])} for a in links]
-
-
-def doc_prefix(host: str) -> str:
-    host = re.sub(r"\.com$", "", re.sub(r"^www\.", "", host.lower())).replace(".", "-")
-    return re.sub(r"[^a-z0-9-]+", "-", host).strip("-") or "source"
-
-
-def absolute(url: str, base: str | None = None) -> str:
-    from .urls import normalize_url_one
-
-    return normalize_url_one(url, base) or url
-
-
-@dataclass(frozen=True)
-class ExtractConfig:
-    # Where bodies are looked for, and what is no part of them.
-    selectors: tuple[str, ...] = ("article", "[data-aura-class*='knowledge']", ".forceCommunityArticleDetail", ".slds-rich-text-editor__output", ".knowledgeArticle")
-    remove: tuple[str, ...] = ("nav", "header", "footer", "aside", "script", "style", ".slds-breadcrumb", ".breadcrumbs", ".helpful", ".feedback", ".survey", ".related", ".article-related", ".vote")
-    min_body_chars: int = 200
-    sources: tuple[tuple[str, str], ...] = ()  # (host, key)
-    own_suffix: str = ".example.com"
-    callout_mode: str = "reference"
-
-
-def extract(html: str, url: str, config: ExtractConfig = ExtractConfig()) -> dict:
-    """The article of a page; ValueError with the reason if there is none."""
-    root = parse(html)
-    link = next((n for n in root.find_all("link") if "canonical" in n.attrs.get("rel", "").split() and n.attrs.get("href")), None)
-    canonical = absolute(link.attrs["href"], url) if link else absolute(url)
-    host = urlsplit(canonical).netloc.lower() or urlsplit(url).netloc.lower()
-    title, (updated, published) = title_of(root), dates_of(root)
-    made = {"url": canonical, "title": title, "updated_at": updated, "published_at": published, "breadcrumbs": breadcrumbs_of(root), "tags": tags_of(root), "summary": summary_of(root)}
-    scored = [(body_score(n, title), -i, n) for i, n in enumerate(body_candidates(root, list(config.selectors)))]
-    score, _, body = max(scored, key=lambda s: s[:2], default=(0.0, 0, None))
-    if body is None or score <= 0:
-        raise ValueError("No article body found")
-    remove_boilerplate(body, list(config.remove))
-    made["related_links"] = take_related(body, url)
-    made["attachments"] = attachments_of(body, url)
-    body.parent = None
-    markdown = to_markdown(body, canonical, config.callout_mode)
-    plain = plain_text(markdown)
-    if len(plain) < config.min_body_chars:
-        raise ValueError("Extracted body too short")
-    if len(title) < 3:
-        raise ValueError("Missing or empty title")
-    known = re.search(r"\bka[0-9A-Za-z]{13,18}\b", html)
-    source = dict(config.sources).get(host) or (host.split(".", 1)[0] if host.endswith(config.own_suffix) else host or "unknown")
-    return made | {
-        "doc_id": f"{doc_prefix(host)}:{known[0] if known else hashlib.sha256(canonical.encode()).hexdigest()}", "body_markdown": markdown, "body_text": plain,
-        "source": source, "source_host": host, "content_hash": hashlib.sha256(f"{title}|{updated or ''}|{markdown}".encode()).hexdigest(),
-    }
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from . import text as T
+
+# Elements that are no part of a body, and classes that mark such blocks.
+BOILERPLATE = ("script", "style", "template", "nav", "header", "footer", "aside", "form", "noscript")
+MARKED = r"slds-breadcrumb|breadcrumbs|helpful|feedback|survey|related|article-related|vote"
+# Elements and classes that hold bodies, and what addresses of attachments contain.
+BODIES = (r"(?is)<article\b[^>]*>.*?</article\s*>", r"(?is)<main\b[^>]*>.*?</main\s*>", r"(?is)<section\b[^>]*>.*?</section\s*>", r'(?is)<div\b[^>]*class="[^"]*(?:knowledgeArticle|forceCommunityArticleDetail|slds-rich-text-editor__output)[^"]*"[^>]*>.*?</div\s*>')
+ATTACHMENT = ("FileDownload", "servlet.shepherd", "download")
+NAVIGATION = r"(?is)^<[^>]*class=\"[^\"]*(?:nav|footer|header|breadcrumb|menu)"
+ANCHOR, HREF = r"(?is)<a\b[^>]*href\s*=\s*[\"'][^\"']*[\"'][^>]*>.*?</a\s*>", r"(?is)^<a\b[^>]*href\s*=\s*[\"']([^\"']*)[\"']"
+#: A heading of related articles, what is below it, and the next heading or the end.
+RELATED = r"(?is)<h[2-4]\b[^>]*>[^<]*related[^<]*</h[2-4]\s*>(.*?)(<h[2-4]\b|\z)"
+#: Elements to Markdown, in this order; what is left of tags goes last.
+MARKDOWN = (
+    (r"(?is)<pre\b[^>]*>(.*?)</pre\s*>", "\n\n```\n$1\n```\n\n"), (r"(?is)<h[12]\b[^>]*>", "\n\n## "), (r"(?is)<h3\b[^>]*>", "\n\n### "), (r"(?is)<h[4-6]\b[^>]*>", "\n\n#### "),
+    (r"(?is)<li\b[^>]*>", "\n- "), (r"(?is)<blockquote\b[^>]*>", "\n\n> "), (r"(?is)<a\b[^>]*href\s*=\s*[\"']([^\"']*)[\"'][^>]*>([^<]*)</a\s*>", "[$2]($1)"), (r"(?is)</t[dh]\s*>", "; "),
+    (r"(?is)<br\b[^>]*>", "\n"), (r"(?is)</?(?:p|div|section|article|main|ul|ol|table|h[1-6]|blockquote)\b[^>]*>", "\n\n"), (r"(?is)</tr\s*>", "\n"), (r"(?s)<[^>]*>", ""),
+)
+#: Character references, the one that makes others last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: White space of Markdown, line by line.
+TIDY = ((r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"))
+
+
+def replaced(c: Column, steps) -> Column:
+    return reduce(lambda out, step: F.regexp_replace(out, *step), steps, c)
+
+
+def unescaped(c: Column) -> Column:
+    return reduce(lambda out, e: F.replace(out, F.lit(e[0]), F.lit(e[1])), ENTITIES, c)
+
+
+def plain(c: Column) -> Column:
+    """Text of a piece of HTML, tags as spaces."""
+    return T.compact(unescaped(F.regexp_replace(c, r"(?s)<[^>]*>", " ")))
+
+
+def some(c: Column) -> Column:
+    return F.nullif(T.strip(c), F.lit(""))
+
+
+def element(name: str) -> str:
+    return rf"(?is)<{name}\b[^>]*>(.*?)</{name}\s*>"
+
+
+def without_boilerplate(html: Column) -> Column:
+    marked = [(rf'(?is)<{n}\b[^>]*class="(?:[^"]* )?(?:{MARKED})(?: [^"]*)?"[^>]*>.*?</{n}\s*>', " ") for n in ("div", "ul", "section")]
+    return replaced(html, [(r"(?s)<!--.*?-->", " "), *((element(n), " ") for n in BOILERPLATE), *marked])
+
+
+def meta(html: Column, key: str, value: str) -> Column:
+    """Content of the first ``<meta>`` with an attribute, whichever comes first; null if it is empty or missing."""
+    first = F.regexp_extract(html, rf'(?is)<meta\b[^>]*{key}="(?:{value})"[^>]*content="([^"]*)"', 1)
+    return F.coalesce(some(unescaped(first)), some(unescaped(F.regexp_extract(html, rf'(?is)<meta\b[^>]*content="([^"]*)"[^>]*{key}="(?:{value})"', 1))))
+
+
+def title(html: Column) -> Column:
+    """The first h1, else og:title, else the title element, else the empty text."""
+    first = lambda name: some(plain(F.regexp_extract(html, element(name), 1)))
+    return F.coalesce(first("h1"), meta(html, "property", "og:title"), first("title"), F.lit(""))
+
+
+def date(c: Column) -> Column:
+    """ISO form of a date as pages write it, null for anything else."""
+    c = F.regexp_replace(c, r"[,\s]+", " ")
+    return F.date_format(F.coalesce(F.try_to_timestamp(c), *(F.try_to_timestamp(c, F.lit(f)) for f in ("MMMM d yyyy", "MMM d yyyy", "d MMMM yyyy", "M/d/yyyy"))), "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def dates(html: Column) -> tuple[Column, Column]:
+    """``(updated, published)``: of meta elements if there are any, else of a time element and labels in the text."""
+    updated, published = date(meta(html, "property", "article:modified_time|og:updated_time")), date(meta(html, "property", "article:published_time|og:published_time"))
+    known = updated.isNotNull() | published.isNotNull()
+    text = plain(html)
+    label = lambda word: date(T.strip(F.regexp_extract(text, word + r"\s*[:-]?\s*((?:[A-Za-z]+ \d{1,2},? \d{4})|(?:\d{4}-\d{2}-\d{2})|(?:\d{1,2} [A-Za-z]+ \d{4}))", 1)))
+    time = date(F.coalesce(some(F.regexp_extract(html, r'(?is)<time\b[^>]*datetime="([^"]*)"', 1)), some(plain(F.regexp_extract(html, element("time"), 1)))))
+    return F.when(known, updated).otherwise(F.coalesce(label("Updated"), time)), F.when(known, published).otherwise(label("Published"))
+
+
+def texts_of(html: Column, pattern: str) -> Column:
+    """Non-empty texts of all matches."""
+    return F.filter(F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), plain), lambda t: t != "")
+
+
+def breadcrumbs(html: Column) -> Column:
+    part = F.coalesce(some(F.regexp_extract(html, r'(?is)<nav\b[^>]*aria-label="[^"]*breadcrumb[^"]*"[^>]*>(.*?)</nav\s*>', 1)), F.regexp_extract(html, r'(?is)<(?:ul|ol|div)\b[^>]*class="[^"]*breadcrumbs?\b[^"]*"[^>]*>(.*?)</(?:ul|ol|div)\s*>', 1))
+    items = texts_of(part, element("li"))
+    return F.filter(F.when(F.size(items) > 0, items).otherwise(texts_of(part, element("a"))), lambda t: F.lower(t) != "home")
+
+
+def tags(html: Column) -> Column:
+    own = F.transform(F.regexp_extract_all(html, F.lit(r'(?is)<meta\b[^>]*property="article:tag"[^>]*content="([^"]*)"'), F.lit(1)), lambda t: T.strip(unescaped(t)))
+    words = F.transform(F.split(F.coalesce(meta(html, "name", "keywords"), F.lit("")), ","), T.strip)
+    listed = texts_of(F.regexp_extract(html, r'(?is)<(?:ul|div)\b[^>]*class="(?:[^"]* )?(?:tags|article-tags|topic-tags)(?: [^"]*)?"[^>]*>(.*?)</(?:ul|div)\s*>', 1), element("a"))
+    full = lambda a: F.array_distinct(F.filter(a, lambda t: t != ""))
+    return F.when(F.size(full(own)) > 0, full(own)).when(F.size(full(words)) > 0, full(words)).otherwise(full(listed))
+
+
+def links(html: Column, base: Column) -> Column:
+    """Array of ``{label, url}`` of the anchors, addresses resolved against ``base``."""
+    anchors = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(0))
+    return F.transform(anchors, lambda a: F.struct(plain(a).alias("label"), resolved(F.regexp_extract(a, HREF, 1), base).alias("url")))
+
+
+def resolved(href: Column, base: Column) -> Column:
+    origin, folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"([^/:])/[^/]*$", "$1")
+    return F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, "^([^:]*:)", 1), href)).when(href.startswith("/"), F.concat(origin, href)).otherwise(F.concat(folder, F.lit("/"), href))
+
+
+def count(html: Column, pattern: str) -> Column:
+    return F.size(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)))
+
+
+def body_score(block: Column, page_title: Column) -> Column:
+    """How much a block looks like the body: its text and structure, less its links; nothing under 200 characters."""
+    text = plain(block)
+    linked = F.length(F.array_join(texts_of(block, ANCHOR), ""))
+    score = F.length(text) / 100 + 5 * count(block, r"(?i)<h[234]\b") + 3 * count(block, r"(?i)<[uo]l\b") - 50 * (linked / F.greatest(F.lit(1), F.length(text)))
+    named = F.when((page_title != "") & F.lower(text).contains(F.lower(page_title)), 10).otherwise(0)
+    return F.when(F.length(text) < 200, F.lit(0.0)).otherwise(score + named - F.when(block.rlike(NAVIGATION), 20).otherwise(0))
+
+
+def candidates(html: Column) -> Column:
+    """The blocks that could be the body; all divisions' if there are none."""
+    found = F.flatten(F.array(*(F.regexp_extract_all(html, F.lit(p), F.lit(0)) for p in BODIES)))
+    return F.when(F.size(found) > 0, found).otherwise(F.regexp_extract_all(html, F.lit(r"(?is)<div\b[^>]*>.*?</div\s*>"), F.lit(0)))
+
+
+def markdown(block: Column) -> Column:
+    return T.strip(replaced(unescaped(replaced(block, MARKDOWN)), TIDY))

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import _tidy
 from ..sources.schemas import CHUNK
 
 HEADING = re.compile(r"(#{2,4})\s+(.*)$")
@@ -20,6 +19,11 @@ def tokens(text: str) -> int:
     return max(1, len(text) // 4) if text else 0
 
 
+def tidy(text: str) -> str:
+    """``normalize_whitespace`` of one text."""
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text.replace("\r\n", "\n"))).strip()
+
+
 def split_sections(markdown: str, title: str) -> list[tuple[list[str], str]]:
     """``(heading path, content)`` of the parts between headings of levels two to four; the path starts with the title.
 
@@ -98,9 +102,9 @@ def chunk_text(markdown: str, title: str, least: int = 200, most: int = 500) ->
         pieces += [(path, t) for t in pack(run, "\n\n", most)]
     merged: list[tuple[list[str], str]] = []
     for path, text in pieces:
-        text = _tidy(text)
+        text = tidy(text)
         if merged and tokens(text) < least:
-            merged[-1] = (merged[-1][0], _tidy(merged[-1][1] + "\n\n" + text))
+            merged[-1] = (merged[-1][0], tidy(merged[-1][1] + "\n\n" + text))
         else:
             merged.append((path, text))
     return merged

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import text as T
-from ..sources.schemas import ARTICLE, CACHE
+from ..functions import urls as U
+from ..sources.schemas import CACHE
 
 # What pages say that keep a crawler out.
 BLOCKED = ("access denied", "forbidden", "blocked", "verify you are human")
@@ -31,12 +29,6 @@ def is_blocked(html: Column) -> Column:
     return out
 
 
-def page_title(html: Column) -> Column:
-    """Title of well-formed pages in expressions alone: the first h1, else og:title, else the title element."""
-    first = lambda p: F.nullif(T.strip(F.regexp_replace(F.regexp_extract(html, p, 1), "<[^>]+>", " ")), F.lit(""))
-    return F.coalesce(first(r"(?is)<h1[^>]*>(.*?)</h1>"), first(r'(?is)<meta[^>]*property="og:title"[^>]*content="([^"]*)"'), first(r"(?is)<title[^>]*>(.*?)</title>"), F.lit(""))
-
-
 def known_id(html: Column) -> Column:
     return F.nullif(F.regexp_extract(html, r"\bka[0-9A-Za-z]{13,18}\b", 0), F.lit(""))
 
@@ -62,36 +54,39 @@ def content_hash(title: Column, updated_at: Column, markdown: Column) -> Column:
     return F.sha2(F.concat_ws("|", title, F.coalesce(updated_at, F.lit("")), markdown), 256)
 
 
-def extract_articles(pages: DataFrame, config: H.ExtractConfig = H.ExtractConfig()) -> DataFrame:
-    """A full article or an ``error`` for each page (``page_id, url, html``); row by row inside Arrow batches, no shuffle."""
-    names = [c.split(" ")[0] for c in ("page_id long|" + ARTICLE.replace(", ", "|")).split("|")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for page_id, url, html in zip(batch.page_id, batch.url, batch.html):
-                try:
-                    rows.append({"page_id": page_id, **H.extract(html or "", url or "", config)})
-                except ValueError as e:
-                    rows.append({"page_id": page_id, "url": url, "error": str(e)})
-            yield pd.DataFrame([[r.get(c) for c in (*names, "error")] for r in rows], columns=[*names, "error"], dtype=object)
+def body_candidates(pages: DataFrame) -> DataFrame:
+    """``page_id, node, score`` of each block that could be the body, in order."""
+    blocks = pages.select("page_id", H.title(F.col("html")).alias("title"), H.candidates(F.col("html")).alias("blocks"))
+    return blocks.select("page_id", "title", F.posexplode("blocks").alias("node", "block")).select("page_id", "node", H.body_score(F.col("block"), F.col("title")).alias("score"))
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id long, {ARTICLE}, error string")
 
+def extract_articles(pages: DataFrame, least: int = 200, own_suffix: str = ".example.com", sources: dict[str, str] | None = None) -> DataFrame:
+    """A full article or an ``error`` for each page (``page_id, url, html``); expressions alone, no shuffle.
 
-def score_candidates(pages: DataFrame, config: H.ExtractConfig = H.ExtractConfig()) -> DataFrame:
-    """``page_id, node, tag, score`` of each node that could be the body."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for page_id, html in zip(batch.page_id, batch.html):
-                root = H.parse(html or "")
-                title = H.title_of(root)
-                rows += [(page_id, i, n.tag, H.body_score(n, title)) for i, n in enumerate(H.body_candidates(root, list(config.selectors)))]
-            yield pd.DataFrame(rows, columns=["page_id", "node", "tag", "score"])
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, node int, tag string, score double")
+    The body is the best-scored block; related links leave it, and so do navigation, forms and the like. Pages without
+    any body, or with fewer than ``least`` characters of it, are errors.
+    """
+    html, title = F.coalesce("html", F.lit("")), F.col("title")
+    canonical = H.some(F.regexp_extract(html, r'(?is)<link\b[^>]*rel="canonical"[^>]*href="([^"]*)"', 1))
+    updated, published = H.dates(html)
+    seen = pages.select("page_id", html.alias("html"), F.coalesce("url", F.lit("")).alias("base"), U.normalize_url(H.resolved(F.coalesce(canonical, F.col("url"), F.lit("")), F.coalesce("url", F.lit("")))).alias("url"), H.title(html).alias("title"))
+    scored = F.transform(H.candidates(F.col("html")), lambda b, i: F.struct((-H.body_score(b, title)).alias("below"), i.alias("i"), b.alias("block")))
+    chosen = seen.withColumn("best", F.array_min(scored)).withColumn("block", F.when(F.col("best.below") < 0, F.col("best.block")))
+    body = H.without_boilerplate(F.col("block"))
+    shaped = chosen.withColumn("body", F.regexp_replace(body, H.RELATED, " $2")).withColumn("beside", F.regexp_extract(body, H.RELATED, 1)).withColumn("body_markdown", H.markdown(F.col("body")))
+    host = U.netloc_of("url")
+    error = F.when(F.col("block").isNull(), "No article body found").when(F.length("body_markdown") < least, "Extracted body too short")
+    made = shaped.select("page_id", "base", "url", "title", "html", "body", "beside", "body_markdown", error.alias("error"), updated.alias("updated_at"), published.alias("published_at"), host.alias("source_host"))
+    attached = F.filter(H.links(F.col("body"), F.col("base")), lambda link: F.exists(F.array(*map(F.lit, H.ATTACHMENT)), lambda t: link["url"].contains(t)))
+    fields = {
+        "doc_id": stable_doc_id(F.col("source_host"), F.col("html"), F.col("url")), "url": F.col("url"), "title": title, "updated_at": F.col("updated_at"), "published_at": F.col("published_at"), "breadcrumbs": H.breadcrumbs(F.col("html")), "tags": H.tags(F.col("html")),
+        "summary": H.meta(F.col("html"), "name", "description"), "body_markdown": F.col("body_markdown"), "body_text": T.strip_markdown("body_markdown"),
+        "attachments": F.transform(attached, lambda link: F.struct(F.coalesce(F.nullif(link["label"], F.lit("")), F.substring_index(link["url"], "/", -1)).alias("name"), link["url"].alias("url"))),
+        "related_links": F.transform(H.links(F.col("beside"), F.col("base")), lambda link: F.struct(F.coalesce(F.nullif(link["label"], F.lit("")), link["url"]).alias("label"), link["url"].alias("url"))),
+        "source": source_key(F.col("source_host"), own_suffix, sources), "source_host": F.col("source_host"), "content_hash": content_hash(title, F.col("updated_at"), F.col("body_markdown")),
+    }
+    kept = [c if n == "url" else F.when(F.col("error").isNull(), c) for n, c in fields.items()]
+    return made.select("page_id", *[c.alias(n) for n, c in zip(fields, kept)], "error")
 
 
 def merge_articles(existing: DataFrame, scraped: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -183,15 +183,26 @@ def blocked_pages(spark, d):
     return pages.select("page_id", corpus.is_blocked(F.col("html")).alias("blocked"))
 
 
-@query()
+_DOC_PREFIX = r"coalesce(nullif(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(host, '^www\.', ''), '\.com$', ''), '.', '-'), '[^a-z0-9-]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'source')"
+_ATTACHED = f"len(list_filter(regexp_extract_all(body, {S.literal(S.html.ANCHOR)}, 0), lambda a: contains(regexp_extract(a, {S.literal(S.html.HREF)}, 1), 'FileDownload') or contains(regexp_extract(a, {S.literal(S.html.HREF)}, 1), 'servlet.shepherd') or contains(regexp_extract(a, {S.literal(S.html.HREF)}, 1), 'download')))"
+
+
+@query(f"""with {S.bodies_of_pages()}, n as ({_NORMAL}),
+made as (
+  select b.*, n.normal, lower(regexp_extract(n.normal, '^[a-z]+://([^/?#]*)', 1)) as host, case when body is null then 'No article body found' when length(markdown) < 200 then 'Extracted body too short' end as error
+  from bodies b join n using (page_id))
+select page_id, normal as url, error, case when error is null then {_DOC_PREFIX} || ':' || coalesce(nullif(regexp_extract(html, '\bka[0-9A-Za-z]{{13,18}}\b'), ''), sha256(normal)) end as doc_id, case when error is null then title end as title,
+  case when error is null then case when ends_with(host, '.example.com') then split_part(host, '.', 1) when host = '' then 'unknown' else host end end as source, case when error is null then host end as source_host,
+  case when error is null then sha256(concat(title, '||', markdown)) end as content_hash, case when error is null then length(markdown) end as n_markdown, case when error is null then {_ATTACHED} end as n_attachments
+from made""")
 def extracted_articles(spark, d):
     made = corpus.extract_articles(view(spark, d, "pages"))
-    return made.select("page_id", "doc_id", "url", "title", "source", "source_host", "content_hash", F.length("body_markdown").alias("n_markdown"), F.size("attachments").alias("n_attachments"), "error")
+    return made.select("page_id", "url", "error", "doc_id", "title", "source", "source_host", "content_hash", F.length("body_markdown").cast("long").alias("n_markdown"), F.when(F.col("error").isNull(), F.size("attachments")).cast("long").alias("n_attachments"))
 
 
-@query(f"select page_id, count(*) as nodes from (select page_id, unnest(regexp_extract_all(html, '<article[ >]')) from pages) group by page_id")
+@query(f"with {S.blocks_of_pages()} select page_id, i as node, round(score, 6) as score from blocks")
 def body_candidates(spark, d):
-    return corpus.score_candidates(view(spark, d, "pages")).groupBy("page_id").agg(F.count("*").alias("nodes"))
+    return corpus.body_candidates(view(spark, d, "pages")).select("page_id", F.col("node").cast("long").alias("node"), F.round("score", 6).alias("score"))
 
 
 _HOSTS = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1))"

@@ -1,16 +1,14 @@
 from pyspark.sql import functions as F
 
-from deskbook.functions import html as H
 from deskbook.operators import chunking as C
 from deskbook.operators import corpus
 
 
-def test_chunks_of_many_sentences():
-    body = "## Steps\n\n" + " ".join(["This is a sentence for chunking."] * 220)
-    chunks = C.chunk_text(body, "Guide", least=1, most=50)
-    assert len(chunks) > 1 and all(C.tokens(t) <= 50 for _, t in chunks)
-    assert all(p == ["Guide", "Steps"] for p, _ in chunks)
-    assert " ".join(t for _, t in chunks).count("chunking.") == 220
+def test_sentences_are_packed_up_to_the_bound():
+    body = "## Tea\n\n" + " ".join(f"Cup {i} is warm!" for i in range(300))
+    chunks = C.chunk_text(body, "Kitchen", least=1, most=40)
+    assert {tuple(p) for p, _ in chunks} == {("Kitchen", "Tea")} and max(C.tokens(t) for _, t in chunks) <= 40
+    assert " ".join(t for _, t in chunks).split("! ") == body.split("\n\n")[1].split("! ")
 
 
 def test_skipped_heading_levels_nest():
@@ -35,39 +33,37 @@ def test_lists_split_by_item():
     assert all(p.startswith("- item") for p in parts) and all(C.tokens(p) <= 40 for p in parts)
 
 
-PAGE = """<html><head><meta property="og:title" content="How to Reset Password"><meta property="article:published_time" content="2024-01-02T00:00:00Z"></head>
-<body><nav>menu</nav><article><h1>How to Reset Password</h1><p>Open the settings page and choose reset to start again with your account today.
-<p>Download the <a href="/download/user-guide.pdf">guide</a> for more.<table><tr><th>Key</th><td>Value</td></tr></table>
-<ul><li>one<li>two</ul>""" + "<p>" + "Long text. " * 30 + """<h2>Related Articles</h2><ul><li><a href="/articles/other">Other</a></li></ul></article></body></html>"""
-
-
-def test_extraction():
-    made = H.extract(PAGE, "https://support.example.com/articles/reset?utm_source=x", H.ExtractConfig(min_body_chars=40))
-    assert made["title"] == "How to Reset Password" and made["published_at"].startswith("2024-01-02")
-    assert made["attachments"] == [{"name": "guide", "url": "https://support.example.com/download/user-guide.pdf"}]
-    assert made["related_links"] == [{"label": "Other", "url": "https://support.example.com/articles/other"}]
-    assert made["source"] == "support" and made["doc_id"].startswith("support-example:") and made["url"] == "https://support.example.com/articles/reset"
-    assert "- one\n- two" in made["body_markdown"] and "- Key: Value" in made["body_markdown"] and "Related" not in made["body_markdown"]
-    assert made["body_markdown"].startswith("## How to Reset Password")
-
-
-def test_callouts():
-    outer = H.to_markdown(H.parse('<div><p>Intro</p><div class="x"><p>Note: mind the gap</p></div></div>'), "https://h/")
-    assert outer == "> Note: Intro Note: mind the gap"
-    inner = H.to_markdown(H.parse('<div><p>Intro</p><div class="x"><p>Note: mind the gap</p></div></div>'), "https://h/", "innermost")
-    assert inner == "Intro\n\n> Note: Note: mind the gap"
-
-
-def test_wide_tables():
-    html = "<table><tr><th>A</th><th>B</th><th>C</th></tr><tr><td>1</td><td>2</td><td>3</td></tr></table>"
-    assert H.to_markdown(H.parse(html), "https://h/") == "- A: 1; B: 2; C: 3"
+PAGE = """<html><head><title>Site</title><meta content="Turn a lamp on &amp; off" property="og:title"><meta property="article:modified_time" content="2023-05-06T07:08:09">
+<meta name="keywords" content="lamp, light,, lamp"><meta name="description" content=" Lamps "></head><body>
+<nav aria-label="Breadcrumbs"><ol><li><a href="/">Home</a></li><li><a href="/l">Lamps</a></li></ol></nav>
+<article><h2>Switch</h2><p>Press &lt;on&gt;. <a href="files/plan.pdf?download=1">The plan</a> shows <b>more</b>.</p><ul><li>red<li>green</ul><pre>a = 1</pre>
+<table><tr><th>Watt</th><td>5</td></tr></table><script>var x = "<p>no</p>";</script><div class="feedback x">Did this help?</div><p>""" + "A long line about lamps. " * 12 + """</p>
+<h3>Related lamps</h3><ul><li><a href="/lamps/blue">Blue</a></li></ul><h3>End</h3><p>Bye</p></article></body></html>"""
+
+
+def test_extraction(spark):
+    pages = spark.createDataFrame([(1, "https://help.example.com/lamps/on?utm_source=x", PAGE), (2, "https://h/b", "<p>none</p>"), (3, "https://h/c", None), (4, None, PAGE), (5, "https://h/d", "<article>" + "word " * 41 + "</article>")], "page_id long, url string, html string")
+    rows = {r.page_id: r for r in corpus.extract_articles(pages).collect()}
+    assert {i: r.error for i, r in rows.items()} == {1: None, 2: "No article body found", 3: "No article body found", 4: None, 5: None}
+    assert {r.error for r in corpus.extract_articles(pages.where("page_id = 5"), least=500).collect()} == {"Extracted body too short"}
+    made = rows[1]
+    assert (made.title, made.updated_at, made.published_at, made.summary) == ("Turn a lamp on & off", "2023-05-06T07:08:09", None, "Lamps")
+    assert made.tags == ["lamp", "light"] and made.breadcrumbs == ["Lamps"]
+    assert [tuple(a) for a in made.attachments] == [("The plan", "https://help.example.com/lamps/files/plan.pdf?download=1")]
+    assert [tuple(a) for a in made.related_links] == [("Blue", "https://help.example.com/lamps/blue")]
+    assert made.url == "https://help.example.com/lamps/on" and made.source == "help" and made.doc_id.startswith("help-example:")
+    body = made.body_markdown
+    assert body.startswith("## Switch\n\nPress <on>. [The plan](files/plan.pdf?download=1) shows more.\n\n- red\n- green") and "```\na = 1\n```" in body and "Watt; 5;" in body
+    assert body.endswith("### End\n\nBye") and not any(x in body for x in ("Blue", "var x", "Did this", "Home"))
+    assert corpus.extract_articles(pages.limit(0)).count() == 0
 
 
-def test_failures(spark):
-    pages = spark.createDataFrame([(1, "https://h/a", "<p>none</p>"), (2, "https://h/b", None), (3, None, PAGE)], "page_id long, url string, html string")
-    got = {r.page_id: r.error for r in corpus.extract_articles(pages).collect()}
-    assert got == {1: "No article body found", 2: "No article body found", 3: None}
-    assert corpus.extract_articles(pages.limit(0)).count() == 0
+def test_body_scores(spark):
+    words = "some words here " * 20
+    html = f'<h1>Tea</h1><article><a href="x">{words}</a></article><main><h2>a</h2><ol></ol>{words} tea</main><section class="menu">{words}</section><section>short</section>'
+    got = [r.score for r in corpus.body_candidates(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("node").collect()]
+    n = len(words.strip())
+    assert got == [n / 100 - 50, (n + 6) / 100 + 5 + 3 + 10, n / 100 - 20, 0.0]
 
 
 def test_merge_is_idempotent(spark):

@@ -123,6 +123,11 @@ def _terms(text):
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{3,}"), F.lit(0)))
 
 
+def _outside_terms():
+    """Words of ``text`` outside the spans in ``private``."""
+    return _terms(_replaced(F.col("text"), _in_order(F.col("private")), lambda kind: F.lit(" ")))
+
+
 def marked(docs: DataFrame, texts: bool = True) -> DataFrame:
     """``docs`` with ``base`` and ``private`` (base spans and secrets), located once and written to the shared folder.
 
@@ -149,8 +154,7 @@ def disclosing_terms(private: DataFrame, corpus: DataFrame, least: int = LEAST_D
     words, and the corpus's words are counted before they meet the candidates.
     """
     n_docs = corpus.count()
-    outside = _replaced(F.col("text"), _in_order(F.col("private")), lambda kind: F.lit(" "))
-    near = private.select(_terms(outside).alias("terms"), _entities(F.col("private")).alias("entities")).select("terms", F.explode("entities").alias("entity"))
+    near = private.select(_outside_terms().alias("terms"), _entities(F.col("private")).alias("entities")).select("terms", F.explode("entities").alias("entity"))
     common = cut(near.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= least), "entities")
     pairs = near.join(common, "entity").select("entity", "n_entity", F.explode("terms").alias("term"))
     counted = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"))
@@ -176,9 +180,10 @@ def find_pii(docs: DataFrame, texts: bool = True) -> DataFrame:
     private = F.size("private") > 0
     narrow = found.where(private).select("text", "private")
     terms = cut(disclosing_terms(narrow, docs), "disclosing")
-    distinct = narrow.groupBy(F.md5("text").alias("text_key_")).agg(F.count("*").alias("rows_"), F.first("private").alias("private"))
-    own = distinct.select("text_key_", "rows_", _entities(F.col("private")).alias("entities")).select("text_key_", "rows_", F.explode("entities").alias("entity"))
-    per_word = own.join(terms, "entity").groupBy("text_key_", "rows_", "term").agg(F.max("action").alias("action"))  # the stronger one
+    distinct = narrow.groupBy(F.md5("text").alias("text_key_"), "text").agg(F.count("*").alias("rows_"), F.first("private").alias("private"))
+    own = distinct.select("text_key_", "rows_", _entities(F.col("private")).alias("entities"), _outside_terms().alias("words")).select("text_key_", "rows_", "words", F.explode("entities").alias("entity"))
+    own = own.join(terms.select("entity").distinct(), "entity", "left_semi").select("text_key_", "rows_", "entity", F.explode("words").alias("term"))  # a text meets its own words alone
+    per_word = own.join(terms, ["entity", "term"]).groupBy("text_key_", "rows_", "term").agg(F.max("action").alias("action"))  # the stronger one
     actions = cut(per_word.groupBy("text_key_", "rows_").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("actions")), "actions")
     none = F.array().cast(SPAN)
     plain = found.where(~private).withColumn("terms", none)

@@ -2,13 +2,37 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that searches ignore.
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "i", "if", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "when", "where", "which", "who", "why", "with", "you", "your")
-# Latin letters whose compatibility decomposition is a base letter and a mark.
-DECOMPOSED = {"a": "àáâãäå", "c": "ç", "e": "èéêë", "i": "ìíîï", "n": "ñ", "o": "òóôõö", "u": "ùúûü", "y": "ýÿ"}
+
+
+def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
+    """What compatibility decomposition leaves of characters outside ASCII, all but a-z, 0-9 and white space as spaces.
+
+    Two tables by rule: characters that become one letter or digit and at most one run of spaces behind it, and the few that
+    become several (ligatures, fractions, numbers in brackets).
+    """
+    single, several = {}, {}
+    for code in range(0x80, 0x20000):
+        c = chr(code)
+        if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7B0 or c.lower() != c:
+            continue
+        parts = unicodedata.normalize("NFKD", c)
+        left = re.sub(r"[^a-z0-9\s]", " ", parts)
+        if parts != c and re.search("[a-z0-9]", left):
+            (single if re.fullmatch(r"[a-z0-9] *", left) else several)[c] = left
+    return single, several
+
+
+#: Lower-case characters whose decomposition holds a letter or digit.
+SINGLE, SEVERAL = _decompositions()
+MARKED = "".join(c for c, to in SINGLE.items() if len(to) > 1)
 
 
 def col(c) -> Column:
@@ -17,11 +41,11 @@ def col(c) -> Column:
 
 def strip(c) -> Column:
     """Without white space of any script at either end."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(col(c), r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def strip_end(c) -> Column:
-    return F.regexp_replace(col(c), r"(?U)\s+$", "")
+    return F.regexp_replace(col(c), r"(?U)(?<!\s)\s++$", "")
 
 
 def compact(c) -> Column:
@@ -66,8 +90,10 @@ def clean_chunk_text(c) -> Column:
 def tokenize(c) -> Column:
     """Search terms: lower case, marks split off letters, all but letters and digits dropped, short words and stop words gone."""
     c = F.lower(col(c))
-    for base, letters in DECOMPOSED.items():
-        c = F.regexp_replace(c, f"[{letters}]", f"{base} ")
+    one_by_one = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(to).alias("to")) for x, to in SEVERAL.items()])
+    rare = F.aggregate(one_by_one, c, lambda acc, e: F.replace(acc, e["x"], e["to"]))
+    c = F.when(c.rlike(f"[{''.join(SEVERAL)}]"), rare).otherwise(c)
+    c = F.translate(F.regexp_replace(c, f"([{MARKED}])", "$1 "), "".join(SINGLE), "".join(to[0] for to in SINGLE.values()))
     words = F.split(F.regexp_replace(c, r"[^a-z0-9\s]", " "), r"\s+")
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOPWORDS))
 
@@ -77,15 +103,31 @@ def thread_title(content, default: str = "New thread") -> Column:
     return F.when(text == "", default).when(F.length(text) <= 72, text).otherwise(F.concat(strip_end(F.substring(text, 1, 69)), F.lit("...")))
 
 
-_SOURCE_LINE = r"(?:\[\d+\]|\d+\.|-\s*\[\d+\]|-)\s+https?://\S+"
-TRAILING_SOURCES = rf"(?i)(?:^|\n)[^\S\n]*sources[^\S\n]*:?[^\S\n]*(?:\n[^\S\n]*)*(?:\n[^\S\n]*{_SOURCE_LINE}[^\S\n]*(?:\n[^\S\n]*)*)+$"
+BLANK, SOURCES = r"^[^\S\n]*$", r"(?i)^[^\S\n]*sources[^\S\n]*:?[^\S\n]*$"
+SOURCE_LINE = r"(?i)^[^\S\n]*(?:\[\d+\]|\d+\.|-[^\S\n]*\[\d+\]|-)[^\S\n]+https?://\S+[^\S\n]*$"
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def strip_trailing_sources(content) -> Column:
-    """Without a closing list of sources: a heading line and address lines alone, to the end."""
+    """Without a closing list of sources: a heading line and address lines alone, to the end.
+
+    Read line by line: the last line that is neither blank nor an address must be the heading.
+    """
     text = F.regexp_replace(col(content), "\r\n", "\n")
-    cut = F.regexp_replace(text, TRAILING_SOURCES, "")
-    return F.when(text.rlike(TRAILING_SOURCES), strip_end(cut)).when(strip(text) == "", F.lit("")).otherwise(text)
+
+    other = lambda line: ~line.rlike(BLANK) & ~line.rlike(SOURCE_LINE)
+
+    def cut(lines):
+        last = F.coalesce(F.array_max(F.transform(lines, lambda line, i: F.when(other(line), i))), F.lit(-1))
+        source = F.coalesce(F.array_max(F.transform(lines, lambda line, i: F.when(line.rlike(SOURCE_LINE), i))), F.lit(-1))
+        ends = let(F.struct(last.alias("last"), source.alias("source")), lambda e: F.when((e["source"] > e["last"]) & (e["last"] >= 0) & F.get(lines, e["last"]).rlike(SOURCES), e["last"]))
+        return let(ends, lambda n: F.when(n.isNotNull(), strip_end(F.array_join(F.slice(lines, F.lit(1), n), "\n"))))
+
+    return F.coalesce(let(F.split(text, "\n"), cut), F.when(strip(text) == "", F.lit("")).otherwise(text))
 
 
 def space_citations(content) -> Column:
@@ -94,18 +136,33 @@ def space_citations(content) -> Column:
 
 
 def join_list_continuations(content) -> Column:
-    """Wrapped lines of list items joined to their item, outside code fences."""
+    """Wrapped lines of list items joined to their item, outside code fences.
+
+    Lines are folded in blocks, whose results are put together at the end: the work stays linear in the text.
+    """
     lines = F.split(F.regexp_replace(col(content), "\r\n", "\n"), "\n")
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("fence"))
+    none = F.array().cast("array<string>")
 
     def step(acc, line):
-        trimmed, out = strip(line), acc["out"]
-        fence, last = trimmed.startswith("```"), F.coalesce(F.element_at(out, -1), F.lit(""))
-        joins = ~acc["fence"] & (F.size(out) > 0) & line.rlike(r"^\s{2,}\S") & ~trimmed.rlike(r"^(?:(?:[-*]|\d+\.)\s+|>|\||```)") & last.rlike(r"^\s*(?:[-*]|\d+\.)\s+")
-        joined = F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.concat(strip_end(last), F.lit(" "), trimmed)))
-        return F.struct(F.when(~fence & joins, joined).otherwise(F.concat(out, F.array(line))).alias("out"), F.when(fence, ~acc["fence"]).otherwise(acc["fence"]).alias("fence"))
+        trimmed, last = strip(line), acc["last"]
+        fence = trimmed.startswith("```")
+        joins = ~acc["fence"] & last.isNotNull() & line.rlike(r"^\s{2,}\S") & ~trimmed.rlike(r"^(?:(?:[-*]|\d+\.)\s+|>|\||```)") & last.rlike(r"^\s*(?:[-*]|\d+\.)\s+")
+        joined = ~fence & F.coalesce(joins, F.lit(False))
+        out = F.when(joined | last.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(last)))
+        return F.struct(out.alias("out"), F.when(joined, F.concat(strip_end(last), F.lit(" "), trimmed)).otherwise(line).alias("last"), F.when(fence, ~acc["fence"]).otherwise(acc["fence"]).alias("fence"))
+
+    def block(acc, own):
+        start = F.struct(none.alias("out"), acc["last"].alias("last"), acc["fence"].alias("fence"))
+        return F.aggregate(own, start, step, lambda done: F.struct(F.concat(acc["out"], F.array(done["out"])).alias("out"), done["last"].alias("last"), done["fence"].alias("fence")))
+
+    zero = F.struct(F.array().cast("array<array<string>>").alias("out"), F.lit(None).cast("string").alias("last"), F.lit(False).alias("fence"))
+    return let(lines, lambda own: F.aggregate(in_blocks(own), zero, block, lambda acc: F.array_join(F.concat(F.flatten(acc["out"]), F.array(acc["last"])), "\n")))
+
 
-    return F.array_join(F.aggregate(lines, start, step, lambda acc: acc["out"]), "\n")
+def in_blocks(array: Column, size: int = 256) -> Column:
+    """An array in slices of ``size`` elements."""
+    count = F.ceil(F.size(array) / size).cast("int")
+    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(array, i * size + 1, F.lit(size)))).otherwise(F.array())
 
 
 def mask_secret(c) -> Column:

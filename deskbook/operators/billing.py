@@ -138,8 +138,9 @@ def normalized_usage(messages: DataFrame, prompt: str, reply: str) -> DataFrame:
 
 
 def max_turn_cost(prompts: DataFrame, max_output_tokens: int, safety: float = 1.25) -> DataFrame:
-    """``prompts`` (``model_id, prompt``) with the tokens and cents to reserve; ``cents`` is null where no price is known."""
-    own = prompts.withColumn("input_tokens", F.greatest(F.lit(1), T.estimate_service_tokens("prompt"))).withColumn("output_tokens", F.lit(max(1, max_output_tokens)))
+    """``prompts`` (``model_id`` and ``prompt``, or its ``prompt_chars``) with the tokens and cents to reserve; ``cents`` is null where no price is known."""
+    estimate = F.ceil(F.col("prompt_chars") / 4).cast("int") if "prompt_chars" in prompts.columns else T.estimate_service_tokens("prompt")
+    own = prompts.withColumn("input_tokens", F.greatest(F.lit(1), estimate)).withColumn("output_tokens", F.lit(max(1, max_output_tokens)))
     cents = F.when(F.col("tier") != "unknown", F.greatest(F.lit(1), F.ceil(F.col("cost_usd") * 100 * safety))).cast("long")
     return turn_costs(own).withColumn("cents", cents).drop("cost_cents")
 

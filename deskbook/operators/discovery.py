@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
 from ..functions import urls as U
+from ..sources.scratch import cut
 
 
 def robots_sitemaps(robots: DataFrame) -> DataFrame:
@@ -41,67 +42,69 @@ def sitemap_entries(sitemaps: DataFrame) -> DataFrame:
     return parsed.select("sitemap", "s.kind", F.explode("s.locs").alias("loc"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.cache()
-    path = f"{folder.rstrip('/')}/discovery-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def expand_sitemaps(seeds: DataFrame, sitemaps: DataFrame, patterns: Iterable[str], max_depth: int = 8) -> DataFrame:
-    """Article addresses below the seed sitemaps (``url``); every sitemap is read once, level by level."""
-    entries = _cut(sitemap_entries(sitemaps))
-    level, seen, found = seeds.select("url").distinct(), seeds.select("url").distinct(), None
-    for _ in range(max_depth):
+def expand_sitemaps(seeds: DataFrame, sitemaps: DataFrame, patterns: Iterable[str]) -> DataFrame:
+    """Article addresses below the seed sitemaps (``url``); every sitemap is read once, level by level until none is new."""
+    entries = cut(sitemap_entries(sitemaps), "sitemaps")
+    level = seen = cut(seeds.select("url").distinct(), "level")
+    found = None
+    while level.take(1):
         at = entries.join(level, entries.sitemap == level.url, "left_semi")
         pages = at.where("kind = 'urls'").where(U.is_article_url("loc", patterns)).select(F.col("loc").alias("url"))
         found = pages if found is None else found.unionByName(pages)
-        level = _cut(at.where("kind = 'index'").select(F.col("loc").alias("url")).distinct().join(seen, "url", "left_anti"))
-        if not level.take(1):
-            break
+        level = cut(at.where("kind = 'index'").select(F.col("loc").alias("url")).distinct().join(seen, "url", "left_anti"), "level")
         seen = seen.unionByName(level)
-    return found.distinct()
+    return seen.limit(0) if found is None else found.distinct()
+
+
+#: Links that expressions resolve as the exact form does: absolute, or from the root, without a query or dots to climb.
+PLAIN_LINK = r"^(?:[a-z]+://[A-Za-z0-9.:-]+|/(?=[^/]|$))[^?#%;\s]*$"
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """``page_id, url, link``: each link's exact normalised form, resolved against its page."""
+    """``page_id, url, link``: each link's exact normalised form, resolved against its page; odd ones by a vectorised helper."""
     hrefs = F.regexp_extract_all("html", F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']+)["']"""), F.lit(1))
-    return pages.select("page_id", "url", F.explode(hrefs).alias("href")).select("page_id", "url", U.normalize_url_exact("href", "url").alias("link")).where("link is not null")
+    rows = pages.select("page_id", "url", F.explode(hrefs).alias("href"))
+    simple = F.col("href").rlike(PLAIN_LINK) & ~F.col("href").contains("/.") & F.col("url").rlike("^[a-z]+://[^/?#]+")
+    whole = F.when(F.col("href").startswith("/"), F.concat(F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1), "href")).otherwise(F.col("href"))
+    easy = rows.where(simple).select("page_id", "url", U.normalize_url(whole).alias("link"))
+    odd = rows.where(~F.coalesce(simple, F.lit(False))).select("page_id", "url", U.normalize_url_exact("href", "url").alias("link"))
+    return easy.unionByName(odd.where("link is not null"))
 
 
-def classify_links(links: DataFrame, base: str, patterns: Iterable[str], seen: DataFrame) -> DataFrame:
-    """``link, kind`` of the distinct unseen links within the base's domain: ``article`` or ``frontier``."""
+def classify_links(links: DataFrame, base: str, patterns: Iterable[str], seen: DataFrame, roots: Iterable[str] | None = None) -> DataFrame:
+    """``link, kind`` of the distinct unseen links within the base's domain: ``article``, or ``frontier`` under a category root
+    (``roots``; the base itself where none are given)."""
     own = links.select("link").distinct().where(U.same_domain("link", F.lit(base)))
-    kind = F.when(U.is_article_url("link", patterns), "article").when(F.col("link").startswith(base), "frontier")
+    below = reduce(lambda out, r: out | F.col("link").startswith(r), roots or [base], F.lit(False))
+    kind = F.when(U.is_article_url("link", patterns), "article").when(below, "frontier")
     return own.withColumn("kind", kind).where("kind is not null").join(seen.select(F.col("url").alias("link")), "link", "left_anti")
 
 
-def crawl(pages: DataFrame, roots: DataFrame, base: str, patterns: Iterable[str], max_pages: int = 200, max_levels: int = 50) -> DataFrame:
+def crawl(pages: DataFrame, roots: DataFrame, base: str, patterns: Iterable[str], max_pages: int = 200, under: Iterable[str] | None = None) -> DataFrame:
     """Articles reached from ``roots`` (``url``) over stored pages, breadth first, visiting ``max_pages`` pages at most.
 
-    ``url, level``. The bound is the operator's feature; within a level pages come in order of their address.
+    ``url, level``. The bound is the operator's feature; within a level pages come in order of their address. ``under``:
+    prefixes of pages that may be visited. Levels go on until the bound is reached or nothing is left to visit.
     """
-    links = _cut(page_links(pages.withColumn("url", U.normalize_url("url"))))
-    level, seen, visited, found = roots.select("url").distinct(), roots.select("url").distinct(), 0, None
-    for depth in range(max_levels):
-        level = _cut(level.orderBy("url").limit(max_pages - visited))
+    links = cut(page_links(pages.withColumn("url", U.normalize_url("url"))), "links")
+    level = seen = roots.select("url").distinct()
+    visited, depth, found = 0, 0, roots.select("url", F.lit(0).alias("level")).limit(0)
+    while visited < max_pages:
+        level = cut(level.orderBy("url").limit(max_pages - visited), "level")
         n = level.count()
         if not n:
             break
         visited += n
-        at = _cut(classify_links(links.join(level, "url", "left_semi"), base, patterns, seen))
-        articles = at.where("kind = 'article'").select(F.col("link").alias("url"), F.lit(depth).alias("level"))
-        found = articles if found is None else found.unionByName(articles)
-        seen = _cut(seen.unionByName(at.select(F.col("link").alias("url"))))
-        level = at.where("kind = 'frontier'").select(F.col("link").alias("url"))
-    return found if found is not None else roots.select("url", F.lit(0).alias("level")).limit(0)
+        at = cut(classify_links(links.join(level, "url", "left_semi"), base, patterns, seen, under), "links")
+        found = found.unionByName(at.where("kind = 'article'").select(F.col("link").alias("url"), F.lit(depth).alias("level")))
+        seen = cut(seen.unionByName(at.select(F.col("link").alias("url"))), "seen")
+        level, depth = at.where("kind = 'frontier'").select(F.col("link").alias("url")), depth + 1
+    return found
 
 
 def discover(pages: DataFrame, category_roots: DataFrame, base: str, patterns: Iterable[str], least: int = 50) -> DataFrame:
     """The crawl from the category roots, and from the base too where that finds fewer than ``least`` addresses."""
-    found = _cut(crawl(pages, category_roots, base, patterns).select("url").distinct())
+    found = cut(crawl(pages, category_roots, base, patterns).select("url").distinct())
     if found.count() >= least:
         return found
     again = crawl(pages, pages.sparkSession.createDataFrame([(base,)], "url string"), base, patterns)

@@ -66,3 +66,13 @@ def display_text(content, has_citations):
     """Assistant text as shown: without a closing source list if citations are kept apart, citation marks spaced, wrapped list lines joined."""
     shown = F.when(has_citations, T.strip_trailing_sources(content)).otherwise(T.col(content))
     return T.join_list_continuations(T.space_citations(shown))
+
+
+def prompt_sizes(messages: DataFrame, instructions: str) -> DataFrame:
+    """``thread_id, model_id, prompt_chars``: characters of each thread's messages in order below the instructions, a line
+    each, without white space at the end. Sizes are summed, so no thread's text is put together anywhere."""
+    sized = messages.select("thread_id", "model_id", F.struct("created_ts", "message_id").alias("at"), F.length("content").alias("n"), F.length(T.strip_end("content")).alias("filled"))
+    last = sized.groupBy("thread_id").agg(F.max("model_id").alias("model_id"), F.max(F.when(F.col("filled") > 0, F.struct("at", "filled"))).alias("last"))
+    upto = sized.select("thread_id", "at", "n").join(last.select("thread_id", "last"), "thread_id").where(F.col("at") < F.col("last.at")).groupBy("thread_id").agg(F.sum(F.col("n") + 1).alias("before"))
+    chars = F.lit(len(instructions)) + F.when(F.col("last").isNotNull(), 1 + F.coalesce("before", F.lit(0)) + F.col("last.filled")).otherwise(0)
+    return last.join(upto, "thread_id", "left").select("thread_id", "model_id", chars.alias("prompt_chars"))

@@ -116,9 +116,9 @@ def urls_from_search_results(spark, d):
     return discovery.urls_in_text(texts, "https://thther.example.org/", ("/en/",))
 
 
-@query("select distinct url from (select url from pages union all select url from v_articles) order by url limit 100")
+@query("select distinct url from (select url from pages union all select url from v_articles) ")
 def merged_urls(spark, d):
-    return discovery.merge_discovered([view(spark, d, "pages"), view(spark, d, "v_articles")], 100)
+    return discovery.merge_discovered([view(spark, d, "pages"), view(spark, d, "v_articles")])
 
 
 def _sources(spark, d):
@@ -142,17 +142,23 @@ def robots_sitemap_lines(spark, d):
 
 
 def _sitemaps(spark, d):
+    """Sitemaps over the pages: files of a few hundred addresses by hash, an index for each host, one index of these."""
     pages = view(spark, d, "pages").select(U.netloc_of("url").alias("host"), F.split_part(F.col("url"), F.lit("?"), F.lit(1)).alias("url"))
-    locs = pages.groupBy("host").agg(F.array_join(F.transform(F.sort_array(F.collect_set("url")), lambda u: F.concat(F.lit("<url><loc>"), u, F.lit("</loc></url>"))), "").alias("x"))
-    leaf = locs.select(F.concat(F.lit("https://"), "host", F.lit("/sitemap.xml")).alias("url"), F.when(F.length("host") % 5 == 0, "<urlset><broken>").otherwise(F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "x", F.lit("</urlset>"))).alias("xml"))
-    index = leaf.agg(F.array_join(F.transform(F.sort_array(F.collect_list("url")), lambda u: F.concat(F.lit("<sitemap><loc>"), u, F.lit("</loc></sitemap>"))), "").alias("x"))
-    return leaf.unionByName(index.select(F.lit("https://root/sitemap.xml").alias("url"), F.concat(F.lit("<sitemapindex>"), "x", F.lit("</sitemapindex>")).alias("xml")))
+    files = max(1, pages.count() // 200)
+    own = pages.select("host", "url", F.concat(F.lit("https://"), "host", F.lit("/sitemap-"), F.pmod(F.xxhash64("url"), F.lit(files)).cast("string"), F.lit(".xml")).alias("file")).distinct()
+    listing = lambda of, tag: F.array_join(F.collect_list(F.concat(F.lit(f"<{tag}><loc>"), of, F.lit(f"</loc></{tag}>"))), "")
+    broken = F.length("host") % 5 == 0
+    leaf = own.groupBy("host", "file").agg(listing(F.col("url"), "url").alias("x")).select(F.col("file").alias("url"), F.when(broken, "<urlset><broken>").otherwise(F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "x", F.lit("</urlset>"))).alias("xml"))
+    part = F.pmod(F.xxhash64("host"), F.lit(files)).cast("string")
+    hosts = own.select("host", "file", F.concat(F.lit("https://root/"), part, F.lit(".xml")).alias("index")).distinct()
+    middle = hosts.groupBy("index").agg(listing(F.col("file"), "sitemap").alias("x")).select(F.col("index").alias("url"), F.concat(F.lit("<sitemapindex>"), "x", F.lit("</sitemapindex>")).alias("xml"))
+    return leaf.unionByName(middle)
 
 
 @query(f"select distinct split_part(url, '?', 1) as url from pages where length({_HOST}) % 5 <> 0 and contains(split_part(url, '?', 1), '/en/')")
 def sitemap_expansion(spark, d):
-    seeds = spark.createDataFrame([("https://root/sitemap.xml",)], "url string")
-    return discovery.expand_sitemaps(seeds, _sitemaps(spark, d), ("/en/",))
+    sitemaps = _sitemaps(spark, d)
+    return discovery.expand_sitemaps(sitemaps.where("url like 'https://root/%'").select("url"), sitemaps, ("/en/",))
 
 
 @query(f"select url, not (length({_HOST}) % 2 = 0 and regexp_matches(url, '^[a-z]+://[^/]*/en/')) as allowed from pages")
@@ -162,7 +168,12 @@ def robots_rules(spark, d):
     return discovery.robots_verdicts(pages.select("url"), hosts.select("host", F.lit("User-agent: *\nDisallow: /en/\n").alias("text")), "deskbook")
 
 
-@query()
+@query("""
+with recursive l as (select page_id, 'https://crawl.example.com/cat/' || page_id as url, unnest([page_id * 3 + 1, page_id * 3 + 2]) as cat, page_id * 3 + 3 as doc from pages),
+seen as (select 'https://crawl.example.com/cat/0' as url, 0 as level union select 'https://crawl.example.com/cat/' || l.cat, s.level + 1 from seen s join l on l.url = s.url),
+ranked as (select url, level, row_number() over (order by level, url) as r from (select distinct * from seen))
+select distinct 'https://crawl.example.com/doc/' || l.doc as url, r.level from ranked r join l on l.url = r.url where r.r <= 200
+""")
 def crawl_levels(spark, d):
     pages = view(spark, d, "pages")
     links = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.concat(F.lit('<a href="https://crawl.example.com/'), F.when(i == 3, "doc/").otherwise("cat/"), (F.col("page_id") * 3 + i).cast("string"), F.lit('">x</a>'))), "")
@@ -606,9 +617,7 @@ ids as (select distinct model_id from p)"""
 
 @query(f"with {_PROMPTS}, {S.price_ctes()}, n as (select p.thread_id, p.model_id, r.*, greatest(1, {S.service_estimate('prompt')}) as i from p left join resolved r on r.model_id = p.model_id) select thread_id, i as input_tokens, cast(case when input_rate is not null then greatest(1, ceil((case when i > threshold then i / 1e6::double * long_input_rate + 800 / 1e6::double * long_output_rate else i / 1e6::double * input_rate + 800 / 1e6::double * output_rate end) * 100 * 1.25)) end as bigint) as cents from n")
 def reservation_estimates(spark, d):
-    ordered = F.sort_array(F.collect_list(F.struct("created_ts", "message_id", "content")))
-    prompts = view(spark, d, "v_messages").groupBy("thread_id").agg(F.max("model_id").alias("model_id"), F.concat(F.lit("Answer from these excerpts.\n"), F.array_join(F.transform(ordered, lambda m: m["content"]), "\n")).alias("prompt"))
-    return billing.max_turn_cost(prompts, 800).select("thread_id", "input_tokens", "cents")
+    return billing.max_turn_cost(threads.prompt_sizes(view(spark, d, "v_messages"), "Answer from these excerpts."), 800).select("thread_id", "input_tokens", "cents")
 
 
 _LEDGER = """
@@ -750,9 +759,9 @@ def thread_titles(spark, d):
 _DRESSED = "concat('See [1][2][3].', {n}, '- first', {n}, '   goes on', {n}, '- ', content, {n}, 'Sources:', {n}, '[1] https://a.example.com/x', {n}, '- https://b.example.com', {n})"
 
 
-@query("select message_id, concat('See [1] [2] [3].', chr(10), '- first goes on', chr(10), '- ', content) as shown, concat('See [1] [2] [3].', chr(10), '- first goes on', chr(10), '- ', content, chr(10), 'Sources:', chr(10), '[1] https://a.example.com/x', chr(10), '- https://b.example.com', chr(10)) as kept from v_messages where not regexp_matches(content, '\\s$')")
+@query("select message_id, regexp_replace(concat('See [1] [2] [3].', chr(10), '- first goes on', chr(10), '- ', content), '\\s+$', '') as shown, concat('See [1] [2] [3].', chr(10), '- first goes on', chr(10), '- ', content, chr(10), 'Sources:', chr(10), '[1] https://a.example.com/x', chr(10), '- https://b.example.com', chr(10)) as kept from v_messages")
 def displayed_text(spark, d):
-    dressed = view(spark, d, "v_messages").where(~F.col("content").rlike(r"\s$")).select("message_id", F.expr(_DRESSED.format(n="'\\n'")).alias("c"))
+    dressed = view(spark, d, "v_messages").select("message_id", F.expr(_DRESSED.format(n="'\\n'")).alias("c"))
     return dressed.select("message_id", threads.display_text("c", F.lit(True)).alias("shown"), threads.display_text("c", F.lit(False)).alias("kept"))
 
 

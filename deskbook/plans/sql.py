@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions import html
-from ..functions.text import DECOMPOSED, STOPWORDS
+from ..functions.text import MARKED, SEVERAL, SINGLE, STOPWORDS
 from ..operators.billing import EXACT, PATTERN_ONLY, PATTERNS, PRICES, UNRESOLVED, provider_of
 
 BACKSLASH = chr(92)
@@ -33,8 +33,10 @@ def tidy(x: str) -> str:
 
 def tokens(x: str) -> str:
     x = f"lower({x})"
-    for base, letters in DECOMPOSED.items():
-        x = f"regexp_replace({x}, '[{letters}]', '{base} ', 'g')"
+    rare = x
+    for character, to in SEVERAL.items():
+        rare = f"replace({rare}, '{character}', '{to}')" if len(character.encode()) < 3 else rare
+    x = f"translate(regexp_replace({rare}, '([{MARKED}])', '\\1 ', 'g'), '{''.join(SINGLE)}', '{''.join(to[0] for to in SINGLE.values())}')"
     return f"list_filter(string_split_regex(regexp_replace({x}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 1 and w not in ({WORDS}))"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -99,10 +100,14 @@ def stream_admissions(entries: DataFrame) -> DataFrame:
 
 
 def signal_updater(read_log: Callable[[], DataFrame], citations: DataFrame, threads: Callable[[], DataFrame], write: Callable[[DataFrame, int], None]):
-    """``foreachBatch`` handler: new ratings' chunks get their signals anew from the whole log, which a repeat leaves as they are."""
+    """``foreachBatch`` handler: new ratings' chunks get their signals anew from the whole log, which a repeat leaves as they are.
+
+    Ratings are of messages (``message_id``) or of whole threads (``thread_id``), which touch all that the thread cites.
+    """
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        touched = citations.join(batch.select("message_id").distinct(), "message_id", "left_semi").select("chunk_id").distinct()
+        rated = [citations.join(batch.select(c).where(F.col(c).isNotNull()).distinct(), c, "left_semi").select("chunk_id") for c in ("message_id", "thread_id") if c in batch.columns]
+        touched = reduce(DataFrame.unionByName, rated).distinct()
         own = citations.join(touched, "chunk_id", "left_semi")
         write(feedback.ranking_signals(own, feedback.latest_feedback(read_log(), "message_id"), threads()), epoch)
 

@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from deskbook.operators import access, billing, feedback, retrieval, threads
+from deskbook.operators import access, billing, corpus, feedback, retrieval, threads
 from deskbook.streaming import jobs
 
 
@@ -118,3 +118,35 @@ def test_signal_stream(spark, tmp_path):
     handle = jobs.signal_updater(lambda: log, cited, lambda: none, lambda df, epoch: out.extend(df.collect()))
     spark.readStream.schema(log.schema).parquet(str(tmp_path / "in")).writeStream.foreachBatch(handle).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert [(r.chunk_id, r.rating_count) for r in out] == [("c1", 1)]
+    threads = spark.createDataFrame([(2, "t2", 7, 1, datetime(2024, 1, 1))], none.schema)
+    out.clear()
+    handle = jobs.signal_updater(lambda: log, cited, lambda: threads, lambda df, epoch: out.extend(df.collect()))
+    handle(threads, 1)
+    assert [(r.chunk_id, r.rating_count, r.low_count) for r in out] == [("c2", 1, 1)]
+
+
+def test_page_ingestion(spark, tmp_path):
+    page = lambda i, words: (i, f"https://h.example.com/p{i}", f"<h1>P{i}</h1><article>{words * 60}</article>")
+    schema = "page_id long, url string, html string"
+    pages = spark.createDataFrame([page(1, "first words "), page(2, "other words "), (3, "https://h.example.com/p3", "Access denied"), (4, "https://h.example.com/p4", "<p>nothing</p>")], schema)
+    pages.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stored = {"articles": corpus.extract_articles(pages.limit(0)).drop("page_id", "error"), "cache": spark.createDataFrame([], "url string, content_hash string")}
+    chunks = {}
+
+    def write(merged, fresh, epoch):
+        merged.write.parquet(str(tmp_path / f"articles{epoch}"))
+        chunks[epoch] = sorted((r.doc_id, r.chunk_id) for r in fresh.collect())
+        stored["articles"] = spark.read.parquet(str(tmp_path / f"articles{epoch}"))
+        stored["cache"] = stored["articles"].select("url", "content_hash")
+
+    handle = jobs.page_ingester(spark, lambda: (stored["articles"], stored["cache"]), write)
+    spark.readStream.schema(schema).parquet(str(tmp_path / "in")).writeStream.foreachBatch(handle).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert stored["articles"].count() == 2 and len(chunks[0]) == 2
+    handle(spark.createDataFrame([page(1, "first words "), page(2, "changed words ")], schema), 1)
+    assert stored["articles"].count() == 2 and len(chunks[1]) == 1 and stored["articles"].where("body_markdown like '%changed%'").count() == 1
+
+
+def test_prompt_sizes(spark):
+    rows = [("a", "m", 2, "x2", "hi  "), ("a", None, 1, "x1", " yo "), ("a", None, 3, "x3", " "), ("b", None, 1, "y1", "\n"), ("c", "n", 1, "z", "é")]
+    got = {r.thread_id: (r.model_id, r.prompt_chars) for r in threads.prompt_sizes(spark.createDataFrame(rows, "thread_id string, model_id string, created_ts long, message_id string, content string"), "Do:").collect()}
+    assert got == {"a": ("m", len("Do:\n yo \nhi")), "b": (None, 3), "c": ("n", 5)}

@@ -15,6 +15,16 @@ def test_token_estimates(spark):
         assert one(spark, T.estimate_service_tokens("c"), value) == service
 
 
+def test_tokens_by_compatibility_decomposition(spark):
+    import re
+    import unicodedata
+
+    texts = ["ő ž ﬁx ａｂｃ １２ ①② ½ ⑩x", "Ｌｏｇｉｎ ﬂow ẛ̣ ℡ Ⅷ", "naïve ŉa Ǆ x² ㎏ K", "日本 ㈱ éé"]
+    for text in texts:
+        plain = re.sub(r"[^a-z0-9\s]", " ", unicodedata.normalize("NFKD", text.lower()))
+        assert one(spark, T.tokenize("c"), text) == [w for w in plain.split() if len(w) > 1 and w not in T.STOPWORDS]
+
+
 def test_tokens_split_marks_off(spark):
     assert one(spark, T.tokenize("c"), "How étion the Straße™ of LOGIN-page") == ["tion", "stra", "login", "page"]
 
@@ -30,6 +40,9 @@ def test_trailing_sources(spark):
     assert strip("Sources\n\n") == "Sources\n\n"
     assert strip("Sources of power are many.\n[1] https://a.example.com") == "Sources of power are many.\n[1] https://a.example.com"
     assert strip("\n \n") == ""
+    assert strip("a\nSources\n\n" + "\n" * 100_000) == "a\nSources\n\n" + "\n" * 100_000
+    assert strip("a\nSources:" + "\n[1] https://a.example.com" * 100_000) == "a" and strip("Sources\r\n1. https://a.example.com") == ""
+    assert strip("x" + "\n" * 100_000 + "y") == "x" + "\n" * 100_000 + "y"
 
 
 def test_citation_spacing_and_lists(spark):
@@ -37,7 +50,8 @@ def test_citation_spacing_and_lists(spark):
     join = lambda v: one(spark, T.join_list_continuations("c"), v)
     assert join("- one\n   more\n   - nested\ntext\n   kept") == "- one more\n   - nested\ntext\n   kept"
     assert join("```\n- one\n   code\n```") == "```\n- one\n   code\n```"
-    assert join("1. a  \n  b\n  c") == "1. a b c"
+    assert join("1. a  \n  b\n  c") == "1. a b c" and join("") == ""
+    assert join("- a\n  b\n" * 20_000) == "- a b\n" * 20_000
 
 
 def test_titles_and_masks(spark):

@@ -13,43 +13,44 @@ from ..sources.schemas import USAGE
 
 PROVIDERS = ("openai", "anthropic", "gemini")
 
-# USD per million input and output tokens; threshold and rates of the long-context tier where there is one.
-PRICES = {
-    "gpt-5.2-pro": (21, 168), "gpt-5.2": (1.75, 14), "gpt-5.1": (1.25, 10), "gpt-5": (1.25, 10), "gpt-5-mini": (0.25, 2), "gpt-5-nano": (0.05, 0.4),
-    "claude-opus-4-6": (15, 75, 200_000, 30, 75), "claude-opus-4-1": (15, 75), "claude-opus-4": (15, 75), "claude-sonnet-4-5": (3, 15, 200_000, 6, 15),
-    "claude-sonnet-4": (3, 15), "claude-3-7-sonnet": (3, 15), "claude-3-5-sonnet": (3, 15), "claude-haiku-4-5": (1, 5), "claude-3-5-haiku": (0.8, 4),
-    "claude-3-opus": (15, 75), "claude-3-haiku": (0.25, 1.25),
-    "gemini-2.5-pro": (1.25, 10, 200_000, 2.5, 15), "gemini-2.5-flash": (0.3, 2.5), "gemini-2.5-flash-lite": (0.1, 0.4), "gemini-2.0-flash": (0.1, 0.4),
-    "gemini-2.0-flash-lite": (0.075, 0.3), "gemini-3-pro-preview": (2, 12, 200_000, 4, 18), "gemini-3-flash-preview": (0.5, 3), "gemini-3-pro-image-preview": (2, 120),
-    "gemini-2.5-flash-image": (0.3, 30), "gemini-2.5-flash-preview-tts": (0.5, 10), "gemini-2.5-pro-preview-tts": (1, 20),
-    "gemini-2.5-computer-use-preview-10-2025": (1.25, 10, 200_000, 2.5, 15),
-}
-# Model ids by their exact key that are not the family's own name.
-EXACT = {
-    "claude-opus-4-6-20260114": "claude-opus-4-6", "claude-opus-4-1-20250805": "claude-opus-4-1", "claude-opus-4-0": "claude-opus-4", "claude-opus-4-20250514": "claude-opus-4",
-    "claude-sonnet-4-5-20250929": "claude-sonnet-4-5", "claude-sonnet-4-0": "claude-sonnet-4", "claude-sonnet-4-20250514": "claude-sonnet-4", "claude-haiku-4-5-20251001": "claude-haiku-4-5",
-    "claude-3-7-sonnet-latest": "claude-3-7-sonnet", "claude-3-7-sonnet-20250219": "claude-3-7-sonnet", "claude-3-5-sonnet-latest": "claude-3-5-sonnet",
-    "claude-3-5-sonnet-20241022": "claude-3-5-sonnet", "claude-3-5-sonnet-20240620": "claude-3-5-sonnet", "claude-3-5-haiku-latest": "claude-3-5-haiku",
-    "claude-3-5-haiku-20241022": "claude-3-5-haiku", "claude-3-opus-20240229": "claude-3-opus", "claude-3-haiku-20240307": "claude-3-haiku",
-    "gemini-2.5-pro-preview-06-05": "gemini-2.5-pro", "gemini-2.5-pro-preview-05-06": "gemini-2.5-pro", "gemini-2.5-flash-preview-05-20": "gemini-2.5-flash",
-    "gemini-2.5-flash-preview-09-2025": "gemini-2.5-flash", "gemini-2.5-flash-lite-preview-06-17": "gemini-2.5-flash-lite", "gemini-2.5-flash-lite-preview-09-2025": "gemini-2.5-flash-lite",
-}
-# Family names that are no exact keys themselves (patterns alone lead to them).
-PATTERN_ONLY = ("claude-opus-4", "claude-sonnet-4", "claude-3-7-sonnet", "claude-3-5-sonnet", "claude-3-5-haiku", "claude-3-opus", "claude-3-haiku")
+# Families of models with their exact ids, the pattern of their dated and previewed ids, USD per million
+# input and output tokens, and threshold and rates of the long-context tier where there is one. Patterns are tried in order.
+MODELS = (
+    ("gpt-5.2-pro", ("gpt-5.2-pro",), None, 21, 168),
+    ("gpt-5.2", ("gpt-5.2",), None, 1.75, 14),
+    ("gpt-5.1", ("gpt-5.1",), None, 1.25, 10),
+    ("gpt-5", ("gpt-5",), None, 1.25, 10),
+    ("gpt-5-mini", ("gpt-5-mini",), None, 0.25, 2),
+    ("gpt-5-nano", ("gpt-5-nano",), None, 0.05, 0.4),
+    ("claude-opus-4-6", ("claude-opus-4-6", "claude-opus-4-6-20260114"), r"^claude-opus-4-6(?:-\d{8})?$", 15, 75, 200_000, 30, 75),
+    ("claude-opus-4-1", ("claude-opus-4-1", "claude-opus-4-1-20250805"), r"^claude-opus-4-1(?:-\d{8})?$", 15, 75),
+    ("claude-opus-4", ("claude-opus-4-0", "claude-opus-4-20250514"), r"^claude-opus-4(?:-(?:0|\d{8}))?$", 15, 75),
+    ("claude-sonnet-4-5", ("claude-sonnet-4-5", "claude-sonnet-4-5-20250929"), r"^claude-sonnet-4-5(?:-\d{8})?$", 3, 15, 200_000, 6, 15),
+    ("claude-sonnet-4", ("claude-sonnet-4-0", "claude-sonnet-4-20250514"), r"^claude-sonnet-4(?:-(?:0|\d{8}))?$", 3, 15),
+    ("claude-haiku-4-5", ("claude-haiku-4-5", "claude-haiku-4-5-20251001"), r"^claude-haiku-4-5(?:-\d{8})?$", 1, 5),
+    ("claude-3-7-sonnet", ("claude-3-7-sonnet-latest", "claude-3-7-sonnet-20250219"), r"^claude-3-7-sonnet(?:-(?:latest|\d{8}))?$", 3, 15),
+    ("claude-3-5-sonnet", ("claude-3-5-sonnet-latest", "claude-3-5-sonnet-20241022", "claude-3-5-sonnet-20240620"), r"^claude-3-5-sonnet(?:-(?:latest|\d{8}))?$", 3, 15),
+    ("claude-3-5-haiku", ("claude-3-5-haiku-latest", "claude-3-5-haiku-20241022"), r"^claude-3-5-haiku(?:-(?:latest|\d{8}))?$", 0.8, 4),
+    ("claude-3-opus", ("claude-3-opus-20240229",), r"^claude-3-opus(?:-(?:latest|\d{8}))?$", 15, 75),
+    ("claude-3-haiku", ("claude-3-haiku-20240307",), r"^claude-3-haiku(?:-(?:latest|\d{8}))?$", 0.25, 1.25),
+    ("gemini-2.5-pro", ("gemini-2.5-pro", "gemini-2.5-pro-preview-06-05", "gemini-2.5-pro-preview-05-06"), r"^gemini-2\.5-pro(?:-preview-(?:\d{2}-\d{2}|\d{2}-\d{4}))?$", 1.25, 10, 200_000, 2.5, 15),
+    ("gemini-2.5-flash", ("gemini-2.5-flash", "gemini-2.5-flash-preview-05-20", "gemini-2.5-flash-preview-09-2025"), r"^gemini-2\.5-flash(?:-preview-(?:\d{2}-\d{2}|\d{2}-\d{4}))?$", 0.3, 2.5),
+    ("gemini-2.5-flash-lite", ("gemini-2.5-flash-lite", "gemini-2.5-flash-lite-preview-06-17", "gemini-2.5-flash-lite-preview-09-2025"), r"^gemini-2\.5-flash-lite(?:-preview-(?:\d{2}-\d{2}|\d{2}-\d{4}))?$", 0.1, 0.4),
+    ("gemini-2.0-flash", ("gemini-2.0-flash",), r"^gemini-2\.0-flash(?:-\d{3})?$", 0.1, 0.4),
+    ("gemini-2.0-flash-lite", ("gemini-2.0-flash-lite",), r"^gemini-2\.0-flash-lite(?:-\d{3})?$", 0.075, 0.3),
+    ("gemini-3-pro-preview", ("gemini-3-pro-preview",), None, 2, 12, 200_000, 4, 18),
+    ("gemini-3-flash-preview", ("gemini-3-flash-preview",), None, 0.5, 3),
+    ("gemini-3-pro-image-preview", ("gemini-3-pro-image-preview",), None, 2, 120),
+    ("gemini-2.5-flash-image", ("gemini-2.5-flash-image",), None, 0.3, 30),
+    ("gemini-2.5-flash-preview-tts", ("gemini-2.5-flash-preview-tts",), None, 0.5, 10),
+    ("gemini-2.5-pro-preview-tts", ("gemini-2.5-pro-preview-tts",), None, 1, 20),
+    ("gemini-2.5-computer-use-preview-10-2025", ("gemini-2.5-computer-use-preview-10-2025",), None, 1.25, 10, 200_000, 2.5, 15),
+)
 # Ids that are known to have no price; the search stops at them.
 UNRESOLVED = (
     "gemini-2.0-flash-preview-image-generation", "gemini-2.0-flash-exp-image-generation", "gemini-flash-latest", "gemini-flash-lite-latest", "gemini-pro-latest", "gemini-exp-1206",
     "claude-opus-4-5", "claude-opus-4-5-20251001",
 )
-# Patterns of dated and previewed ids, in order; the family follows.
-PATTERNS = (
-    (r"^claude-opus-4-6(?:-\d{8})?$", "claude-opus-4-6"), (r"^claude-opus-4-1(?:-\d{8})?$", "claude-opus-4-1"), (r"^claude-opus-4(?:-(?:0|\d{8}))?$", "claude-opus-4"),
-    (r"^claude-sonnet-4-5(?:-\d{8})?$", "claude-sonnet-4-5"), (r"^claude-sonnet-4(?:-(?:0|\d{8}))?$", "claude-sonnet-4"), (r"^claude-haiku-4-5(?:-\d{8})?$", "claude-haiku-4-5"),
-    (r"^claude-3-7-sonnet(?:-(?:latest|\d{8}))?$", "claude-3-7-sonnet"), (r"^claude-3-5-sonnet(?:-(?:latest|\d{8}))?$", "claude-3-5-sonnet"), (r"^claude-3-5-haiku(?:-(?:latest|\d{8}))?$", "claude-3-5-haiku"),
-    (r"^claude-3-opus(?:-(?:latest|\d{8}))?$", "claude-3-opus"), (r"^claude-3-haiku(?:-(?:latest|\d{8}))?$", "claude-3-haiku"),
-    (r"^gemini-2\.5-pro(?:-preview-(?:\d{2}-\d{2}|\d{2}-\d{4}))?$", "gemini-2.5-pro"), (r"^gemini-2\.5-flash(?:-preview-(?:\d{2}-\d{2}|\d{2}-\d{4}))?$", "gemini-2.5-flash"),
-    (r"^gemini-2\.5-flash-lite(?:-preview-(?:\d{2}-\d{2}|\d{2}-\d{4}))?$", "gemini-2.5-flash-lite"), (r"^gemini-2\.0-flash(?:-\d{3})?$", "gemini-2.0-flash"), (r"^gemini-2\.0-flash-lite(?:-\d{3})?$", "gemini-2.0-flash-lite"),
-)
 RATES = "family string, input_rate double, output_rate double, threshold long, long_input_rate double, long_output_rate double"
 
 
@@ -59,15 +60,18 @@ def provider_of(family: str) -> str:
 
 def price_list(spark: SparkSession) -> DataFrame:
     """``family`` with its rates; the long-context columns are null without such a tier."""
-    rows = [(f, *map(float, r[:2]), int(r[2]) if len(r) > 2 else None, *(map(float, r[3:]) if len(r) > 2 else (None, None))) for f, r in PRICES.items()]
+    rows = [(f, *map(float, r[:2]), int(r[2]) if len(r) > 2 else None, *(map(float, r[3:]) if len(r) > 2 else (None, None))) for f, _, _, *r in MODELS]
     return spark.createDataFrame(rows, RATES)
 
 
+def exact_ids() -> dict[str, str | None]:
+    """Families by ``provider:id``; none for ids known to have no price."""
+    return {f"{provider_of(i)}:{i}": family for family, ids, *_ in MODELS for i in ids} | {f"{provider_of(i)}:{i}": None for i in UNRESOLVED}
+
+
 def price_keys(spark: SparkSession) -> DataFrame:
     """``key, family`` of exact ids; a null family means known to have no price."""
-    own = {f"{provider_of(f)}:{f}": f for f in PRICES if f not in PATTERN_ONLY} | {f"{provider_of(f)}:{k}": f for k, f in EXACT.items()}
-    own |= {f"{provider_of(k)}:{k}": None for k in UNRESOLVED}
-    return spark.createDataFrame(sorted(own.items()), "key string, family string")
+    return spark.createDataFrame(sorted(exact_ids().items()), "key string, family string")
 
 
 def split_model_id(model_id: Column) -> tuple[Column, Column]:
@@ -95,8 +99,9 @@ def resolve_prices(model_ids: DataFrame) -> DataFrame:
         own = keys.select(F.col("key").alias(f"k_{name}"), F.struct("family").alias(name))
         found = found.withColumn(f"v_{name}", F.concat_ws(":", "provider", variant)).join(own, F.col(f"v_{name}") == F.col(f"k_{name}"), "left").drop(f"v_{name}", f"k_{name}")
     by_pattern = F.lit(None).cast("string")
-    for pattern, family in reversed(PATTERNS):
-        by_pattern = F.when(F.col("api_model").rlike(pattern) & (F.col("provider") == provider_of(family)), family).otherwise(by_pattern)
+    for family, _, pattern, *_ in reversed(MODELS):
+        if pattern:
+            by_pattern = F.when(F.col("api_model").rlike(pattern) & (F.col("provider") == provider_of(family)), family).otherwise(by_pattern)
     family = F.coalesce(*tries, F.struct(by_pattern.alias("family")))["family"]
     return found.select("model_id", "provider", "api_model", family.alias("family")).join(F.broadcast(price_list(spark)), "family", "left").select("model_id", "provider", "api_model", *[c.split()[0] for c in RATES.split(", ")])
 

@@ -6,7 +6,7 @@ import re
 
 from ..functions import html
 from ..functions.text import MARKED, SEVERAL, SINGLE, STOPWORDS
-from ..operators.billing import EXACT, PATTERN_ONLY, PATTERNS, PRICES, UNRESOLVED, provider_of
+from ..operators.billing import MODELS, exact_ids, provider_of
 
 BACKSLASH = chr(92)
 HEADING, LIST, DIVISION = r"(?i)<h[234]\b", r"(?i)<[uo]l\b", r"(?is)<div\b[^>]*>.*?</div\s*>"
@@ -51,10 +51,9 @@ def service_estimate(x: str) -> str:
 def price_ctes() -> str:
     """``prices``, ``keys`` and ``patterns`` as values, and ``resolved(model_id, ...)`` of the table ``ids(model_id)``."""
     number = lambda v: "null" if v is None else f"{v}::double"
-    prices = ", ".join(f"('{f}', {', '.join(number(v) for v in (*r, *[None] * (5 - len(r))))})" for f, r in PRICES.items())
-    own = [(f"{provider_of(f)}:{f}", f) for f in PRICES if f not in PATTERN_ONLY] + [(f"{provider_of(f)}:{k}", f) for k, f in EXACT.items()] + [(f"{provider_of(k)}:{k}", None) for k in UNRESOLVED]
-    keys = ", ".join(f"('{k}', {'null' if f is None else repr(f)})" for k, f in own)
-    patterns = ", ".join(f"({i}, '{provider_of(f)}', '{p}', '{f}')" for i, (p, f) in enumerate(PATTERNS))
+    prices = ", ".join(f"('{f}', {', '.join(number(v) for v in (*r, *[None] * (5 - len(r))))})" for f, _, _, *r in MODELS)
+    keys = ", ".join(f"('{k}', {'null' if f is None else repr(f)})" for k, f in exact_ids().items())
+    patterns = ", ".join(f"({i}, '{provider_of(f)}', '{p}', '{f}')" for i, (f, _, p, *_) in enumerate(MODELS) if p)
     return rf"""prices(family, input_rate, output_rate, threshold, long_input_rate, long_output_rate) as (values {prices}),
 keys(key, family) as (values {keys}), patterns(n, provider, pattern, family) as (values {patterns}),
 parts as (select model_id, split_part(model_id, ':', 1) as provider, trim(substring(model_id, instr(model_id, ':') + 1)) as api_model from ids where model_id is not null),

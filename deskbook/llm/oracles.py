@@ -32,3 +32,52 @@ items as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct
 select w.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
 from w left join covered using (doc_id) left join items using (doc_id)
 """
+
+OP7_SQL = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+cut as (
+  select r, text, 1 as k, 'email' as kind, regexp_extract_all(text, 'EMAIL') as h, string_split_regex(text, 'EMAIL') as g from d
+  union all select r, text, 2, 'ip', regexp_extract_all(text, 'IP'), string_split_regex(text, 'IP') from d
+  union all select r, text, 3, 'card', regexp_extract_all(text, 'CARD'), string_split_regex(text, 'CARD') from d
+  union all select r, text, 4, 'phone', regexp_extract_all(text, 'PHONE'), string_split_regex(text, 'PHONE') from d
+  union all select r, text, 5, 'secret', regexp_extract_all(text, 'SECRET'), string_split_regex(text, 'SECRET') from d),
+each_ as (select *, unnest(range(1, len(h) + 1)) as i from cut where len(h) > 0),
+placed as (
+  select r, k, kind, h[i] as v, regexp_replace(h[i], '[^0-9]', '', 'g') as digits,
+    cast(list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[:i - 1], lambda x: length(x))), 0) as bigint) as a from each_),
+valid as (
+  select r, k, kind, v, a, a + length(v) as b, kind || ':' || case when kind in ('card', 'phone') then digits when kind = 'secret' then v else lower(v) end as entity from placed
+  where case kind when 'ip' then len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 or coalesce(try_cast(nullif(ltrim(x, '0'), '') as integer), 0) > 255)) = 0
+    when 'card' then length(digits) between 16 and 19 and list_sum(list_transform(range(1, length(digits) + 1), lambda i: case when i % 2 = 1 then cast(reverse(digits)[i] as integer) when cast(reverse(digits)[i] as integer) > 4 then 2 * cast(reverse(digits)[i] as integer) - 9 else 2 * cast(reverse(digits)[i] as integer) end)) % 10 = 0
+    when 'phone' then length(digits) between 8 and 15 when 'secret' then regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]') else true end),
+private as (select * from valid x where k < 5 or not exists (select 1 from valid y where y.r = x.r and y.k < 5 and y.a < x.b and x.a < y.b)),
+entities as (select distinct r, entity from private union select distinct r, 'any ' || kind from private),
+gaps as (select *, coalesce(max(b) over (partition by r order by a, b, kind rows between unbounded preceding and 1 preceding), 0) as before from private),
+outside as (select d.r, string_agg(case when a >= before then substring(text, before + 1, a - before) || ' ' else '' end, '' order by a, b, kind) || substring(any_value(text), max(b) + 1) as t from gaps join d using (r) group by d.r),
+near as (select r, unnest(list_distinct(regexp_extract_all(lower(t), '\p{L}{3,}'))) as term from outside),
+spread as (select term, count(*) as n_term from (select unnest(list_distinct(regexp_extract_all(lower(text), '\p{L}{3,}'))) as term from d) group by term),
+size_ as (select count(*)::double as n from d),
+counts as (select entity, count(*) as n_entity from entities group by entity having count(*) >= 3),
+pairs as (select entity, n_entity, term, count(*) as n_both from entities join counts using (entity) join near using (r) group by all having count(*) >= 3),
+judged as (
+  select entity, term, n_both, log2(n / n_entity) as information, log2(n * n_both / (n_entity * n_term)) as shared from pairs join spread using (term) cross join size_),
+flagged as (
+  select entity, term, case when shared >= 0.95 * information then 'remove' else 'generalise' end as action from judged
+  where information > 0 and shared >= 0.85 * information and n_both * shared >= log2(greatest(1, (select count(*) from pairs))) + 10),
+actions as (select r, term, max(action) as action from entities join flagged using (entity) group by all),
+words as (select d.r, regexp_extract_all(text, '\p{L}+') as h, string_split_regex(text, '\p{L}+') as g from d where r in (select r from actions)),
+word_ as (select *, unnest(range(1, len(h) + 1)) as i from words),
+found as (
+  select w.r, x.action as kind, cast(list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[:i - 1], lambda x: length(x))), 0) as bigint) as a, length(h[i]) as n
+  from word_ w join actions x on x.r = w.r and x.term = lower(h[i])),
+terms as (
+  select r, kind, a, a + n as b from found f where not exists (select 1 from private p where p.r = f.r and p.a < f.a + f.n and f.a < p.b)
+  union all select r, kind, a, b from private where k = 5),
+base as (select r, count_if(k = 1) as e, count_if(k = 2) as i, count_if(k = 3) as c, count_if(k = 4) as p, count(*) as n, string_agg(kind || ':' || a || ':' || b, ',' order by k, a) as listed from private where k < 5 group by r),
+more as (select r, count(*) as n, string_agg(kind || ':' || a || ':' || b, ',' order by a) as listed from terms group by r)
+select doc_id, coalesce(e, 0)::bigint as n_email, coalesce(i, 0)::bigint as n_ip, coalesce(c, 0)::bigint as n_card, coalesce(p, 0)::bigint as n_phone, sha256(coalesce(base.listed, '')) as base_sha256,
+  concat_ws(',', base.listed, more.listed) as spans, (coalesce(base.n, 0) + coalesce(more.n, 0))::bigint as n_spans
+from d left join base using (r) left join more using (r)
+"""
+for _name, _pattern in (("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("IP", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("CARD", r"[0-9]([\x20-]?[0-9])+"), ("PHONE", r"\+[0-9][\x20().0-9-]+[0-9]"), ("SECRET", "[A-Za-z0-9+/_-]{20,}")):
+    OP7_SQL = OP7_SQL.replace(f"'{_name}'", f"'{_pattern}'")

@@ -20,6 +20,7 @@ ORACLES = {
     "op1_ngram_jaccard": oracles.OP1_SQL,
     "op2_url_filter": urlfilter.OP2_SQL,
     "op5_embedding_near_dup": oracles.OP5_SQL,
+    "op7_pii": oracles.OP7_SQL,
     "op8_decontamination": oracles.OP8_SQL,
     "op10_chat_format": chat.OP10_SQL,
 }

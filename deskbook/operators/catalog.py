@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -33,9 +33,10 @@ def document_summaries(chunks: DataFrame) -> DataFrame:
 
 
 def ordered_chunks(chunks: DataFrame) -> DataFrame:
-    """``doc_id, chunk_ids`` in the order of their ordinals, else of the ids."""
-    key = F.struct(chunk_ordinal(F.col("chunk_id")).alias("ordinal"), F.col("chunk_id"))
-    return chunks.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(key)), lambda k: k["chunk_id"]).alias("chunk_ids"))
+    """``doc_id, position, chunk_id``: a document's chunks in the order of their ordinals, else of the ids; one row each, so a
+    document of any size is sorted (and spilled) but never put into one row."""
+    order = Window.partitionBy("doc_id").orderBy(chunk_ordinal(F.col("chunk_id")), "chunk_id")
+    return chunks.select("doc_id", "chunk_id").withColumn("position", F.row_number().over(order))
 
 
 def search_catalogue(chunks: DataFrame, query: str, source: str = "all") -> DataFrame:

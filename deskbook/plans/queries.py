@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import access, billing, catalog, chunking, corpus, discovery, feedback, retrieval, threads
-from ..sources import jsonl
+from ..sources import jsonl, scratch
+from ..sources.schemas import CRAWL_ERROR
 from ..sources.views import view, with_views
 from ..streaming import jobs
 from . import sql as S
@@ -257,7 +258,42 @@ def crawl_errors(spark, d):
 
 @query("select url, error, '2024-01-01T00:00:00Z' as timestamp from v_scraped where error is not null")
 def error_log(spark, d):
-    return view(spark, d, "v_scraped").where("error is not null").select("url", "error", F.lit("2024-01-01T00:00:00Z").alias("timestamp"))
+    """Written by a fresh run over stale rows, gone on with by a resumed one, and read back."""
+    rows, path = view(spark, d, "v_scraped").withColumn("timestamp", F.lit("2024-01-01T00:00:00Z")), scratch.new_path(spark, "errors")
+    jsonl.write_errors(rows.withColumn("error", F.lit("stale")), path)
+    jsonl.write_errors(rows.where("ord % 2 = 0"), path)
+    jsonl.write_errors(rows.where("ord % 2 = 1"), path, resume=True)
+    return jsonl.read_jsonl(spark, path, CRAWL_ERROR)
+
+
+@query("select count(*) as n_urls, count(distinct url) as n_distinct, sha256(string_agg(url, chr(10) order by url)) as urls_sha from pages")
+def url_documents(spark, d):
+    path = scratch.new_path(spark, "urls")
+    jsonl.write_jsonl(jsonl.url_document(view(spark, d, "pages")), path)
+    urls = jsonl.read_url_document(spark, path)
+    return urls.agg(F.count("*").alias("n_urls"), F.countDistinct("url").alias("n_distinct"), F.sha2(F.array_join(F.sort_array(F.collect_list("url")), "\n"), 256).alias("urls_sha"))
+
+
+def _stored_chunks(spark, d):
+    """Chunk lines, a seventeenth malformed, others without a title or a document id."""
+    own = view(spark, d, "v_chunks1").withColumn("title", F.expr("case when ord % 5 <> 0 then title end")).withColumn("doc_id", F.expr("case when ord % 7 <> 0 then doc_id end"))
+    line = F.when(F.col("ord") % 17 == 0, F.lit('{"chunk_id": "broken')).otherwise(F.to_json(F.struct("chunk_id", "doc_id", "url", "title", "section", "text", "source")))
+    path = scratch.new_path(spark, "chunk-lines")
+    own.select(line.alias("value")).write.text(path)
+    return path
+
+
+_COMPLETE = "title <> '' and text <> '' and ord % 17 <> 0 and ord % 5 <> 0"
+
+
+@query(f"select chunk_id, source, sha256(text) as text_sha from v_chunks1 where {_COMPLETE}")
+def stored_chunks(spark, d):
+    return jsonl.read_chunks(spark, _stored_chunks(spark, d)).select("chunk_id", "source", F.sha2("text", 256).alias("text_sha"))
+
+
+@query(f"select chunk_id, doc_id from v_chunks1 where {_COMPLETE} and ord % 7 <> 0")
+def stored_catalogue_chunks(spark, d):
+    return jsonl.read_catalogue_chunks(spark, _stored_chunks(spark, d)).select("chunk_id", "doc_id")
 
 
 @query("select coalesce(s.url, c.url) as url, coalesce(s.doc_id, c.doc_id) as doc_id, coalesce(s.content_hash, c.content_hash) as content_hash, coalesce(case when s.error is null and s.url is not null then 'success' when s.url is not null then 'error' end, c.status) as status, coalesce(s.error, c.error) as error from v_cache c full join v_scraped s on s.url = c.url")
@@ -295,6 +331,14 @@ def chunk_manifest(spark, d):
     return made.select("articles_written", "chunks_written", F.col("chunk_tokens.avg").alias("avg_tokens"), F.col("chunk_tokens.max").alias("max_tokens"))
 
 
+@query("select doc_id, url, title, source, source_host from v_articles where trim(body_markdown, chr(10) || chr(13) || chr(9) || ' ') <> ''")
+def chunk_attributes(spark, d):
+    """What chunks carry of their articles, the same for all of a document's."""
+    chunks = chunking.chunk_articles(view(spark, d, "v_articles"))
+    counted = chunking.chunk_counts(chunks).where("n_chunks > 0")
+    return chunks.join(counted, "doc_id").select("doc_id", "url", "title", "source", "source_host").distinct()
+
+
 @query()
 def article_chunks(spark, d):
     chunks = chunking.chunk_articles(view(spark, d, "v_articles"))
@@ -449,9 +493,9 @@ def document_catalogue(spark, d):
     return catalog.document_summaries(_parts(spark, d))
 
 
-@query(_PARTS_SQL + " select doc_id, array_to_string(list(chunk_id order by cast(split_part(chunk_id, '#', 2) as bigint), chunk_id), ',') as chunk_ids from p group by doc_id")
+@query(_PARTS_SQL + " select doc_id, row_number() over (partition by doc_id order by cast(split_part(chunk_id, '#', 2) as bigint), chunk_id) as position, chunk_id from p")
 def ordered_chunk_lists(spark, d):
-    return catalog.ordered_chunks(_parts(spark, d)).select("doc_id", F.array_join("chunk_ids", ",").alias("chunk_ids"))
+    return catalog.ordered_chunks(_parts(spark, d)).withColumn("position", F.col("position").cast("long"))
 
 
 @query(_PARTS_SQL + ", g as (select s.* from s where source = 'src1' and (contains(lower(title), 'part 2') or contains(lower(url), 'part 2') or doc_id in (select doc_id from p where contains(lower(section), 'part 2')))) select *, (select count(*) from g) as filtered from g")
@@ -573,6 +617,11 @@ def thread_ratings(spark, d):
     return feedback.rating_summary(view(spark, d, "v_threads"), _feedback(spark, d)[1], "thread_id", 7)
 
 
+@query(_LATEST + "select m.message_id, round(avg(mf.rating), 2) as mean_rating, count(mf.rating) as rating_count, max(case when mf.user_id = 7 then mf.rating end) as mine from v_messages m left join mf on mf.message_id = m.message_id group by m.message_id")
+def message_ratings(spark, d):
+    return feedback.rating_summary(view(spark, d, "v_messages"), _feedback(spark, d)[0], "message_id", 7)
+
+
 # --- billing -----------------------------------------------------------------------------------------------------------
 
 _TURNS = "t as (select message_id, thread_id, turn, created_ts, model_id, cast(json_extract(usage, '$.inputTokens') as double) as input_tokens, cast(json_extract(usage, '$.outputTokens') as double) as output_tokens from v_messages where role = 'assistant'), ids as (select distinct model_id from t)"

@@ -33,6 +33,8 @@ PLACEHOLDERS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<P
 LEAST_DOCS = 3
 #: Bits by which the evidence for a pair is to exceed the logarithm of the number of pairs: one false one in 1024 corpora.
 MARGIN = 10.0
+#: Pairs of entity and word that may be broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 300_000
 #: Parts of a text that are put together at once; blocks of them keep the work linear in the text's length.
 BLOCK = 256
 #: Shares of the entity's information from which a word is generalised, and from which it is removed.
@@ -182,8 +184,9 @@ def find_pii(docs: DataFrame, texts: bool = True) -> DataFrame:
     terms = cut(disclosing_terms(narrow, docs), "disclosing")
     distinct = narrow.groupBy(F.md5("text").alias("text_key_"), "text").agg(F.count("*").alias("rows_"), F.first("private").alias("private"))
     own = distinct.select("text_key_", "rows_", _entities(F.col("private")).alias("entities"), _outside_terms().alias("words")).select("text_key_", "rows_", "words", F.explode("entities").alias("entity"))
-    own = own.join(terms.select("entity").distinct(), "entity", "left_semi").select("text_key_", "rows_", "entity", F.explode("words").alias("term"))  # a text meets its own words alone
-    per_word = own.join(terms, ["entity", "term"]).groupBy("text_key_", "rows_", "term").agg(F.max("action").alias("action"))  # the stronger one
+    own = own.select("text_key_", "rows_", "entity", F.explode("words").alias("term"))  # a text meets its own words alone
+    flagged = F.broadcast(terms) if terms.count() <= MOST_BROADCAST else terms
+    per_word = own.join(flagged, ["entity", "term"]).groupBy("text_key_", "rows_", "term").agg(F.max("action").alias("action"))  # the stronger one
     actions = cut(per_word.groupBy("text_key_", "rows_").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("actions")), "actions")
     none = F.array().cast(SPAN)
     plain = found.where(~private).withColumn("terms", none)

@@ -201,3 +201,20 @@ def test_removal_judges_all_blocks_at_once(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans int")
     one, many = ({r.doc_id: (r.text, r.spans) for r in decontaminate.remove_contamination(docs, items, block_bytes=n).collect()} for n in (decontaminate.BLOCK_BYTES, 50))
     assert one == many == {2: (f"{filler} {filler}  tail", 7), 3: (None, 7), 4: (f"x  {filler} {filler}", 7)}  # 26 of 427 words are hit in row 1
+
+
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 40])
+def test_hits_of_odd_rows(spark, block_bytes):
+    big, item = (1 << 53) + 1, " ".join(f"w{i}" for i in range(13))
+    items = spark.createDataFrame([(1, item, "x"), (None, "lone words", "x"), (2, item, "x"), (2, item, "x"), (3, "", "x")], "item_id long, text string, spans string")
+    rows = [(big, f"{item} z", "x"), (big, f"{item} z", "x"), (None, "Lone words here", "x"), (4, None, "x"), (5, "", "x"), (6, ("filler " * 50 + item + " ") * 2000, "x"), (7, f"{item} {item}", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, items string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.contamination(decontaminate.find_hits(docs, items, block_bytes=block_bytes)).collect())
+    assert got == sorted([(str(big), 14, 13, 2, True)] * 2 + [("None", 3, 2, 0, True), ("4", 0, 0, 0, False), ("5", 0, 0, 0, False), ("6", 126_000, 26_000, 2, True), ("7", 26, 26, 2, True)])
+    assert decontaminate.find_hits(docs.limit(0), items).count() == 0 and decontaminate.find_hits(docs, items.limit(0)).where("size(items) > 0").count() == 0
+
+
+def test_matches_longer_than_a_window_are_tracked():
+    words = [f"w{i}" for i in range(40)]
+    automaton = decontaminate.SuffixAutomaton([(1, [w.encode() for w in words]), (2, [w.encode() for w in words[10:30]])], 13)
+    assert automaton.scan([w.encode() for w in ["x", *words, "y", *words[20:33]]]) == ([(1, 41), (42, 55)], {1, 2})

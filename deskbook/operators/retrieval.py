@@ -72,10 +72,13 @@ class Index(NamedTuple):
 
 
 def build_index(chunks: DataFrame) -> Index:
-    """Tokenise the chunks once and write their postings to the shared folder."""
+    """Tokenise the chunks once and write their postings to the shared folder.
+
+    Postings lie chunk by chunk, so whoever sums over a chunk's terms has them in one task before any shuffle.
+    """
     terms = cut(chunk_terms(chunks).withColumn("cid", F.monotonically_increasing_id()), "terms")  # numbers are fixed once they are written
     meta = chunks.select("chunk_id", "url", F.col("source") if "source" in chunks.columns else F.lit(None).cast("string").alias("source"))
-    return Index(cut(terms.select("cid", "chunk_id", "doc_len").join(meta, "chunk_id"), "chunks"), cut(postings(terms, "cid"), "postings"), index_stats(terms), chunks)
+    return Index(cut(terms.select("cid", "chunk_id", "doc_len").join(meta, "chunk_id"), "chunks"), cut(postings(terms.repartition("cid"), "cid"), "postings"), index_stats(terms), chunks)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

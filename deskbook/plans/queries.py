@@ -345,6 +345,28 @@ def article_chunks(spark, d):
     return chunks.select("chunk_id", "doc_id", "section", "tokens_estimate", F.sha2("text", 256).alias("text_sha"))
 
 
+_SECTIONS = "concat('## First', {n}, body_markdown, {n}, {n}, '#### Second', {n}, body_markdown, {n}, '### Third', {n}, '## Fourth', {n}, {n}, body_markdown)"
+
+
+@query(f"""with a as (select doc_id, title, {S.tidy("trim(regexp_replace(regexp_replace(body_markdown, chr(13) || chr(10), chr(10), 'g'), '^\\s+|\\s+$', '', 'g'))")} as t from v_articles), f as (select * from a where length(t) between 900 and 2000 and not contains(t, chr(10) || chr(10)))
+select doc_id, 0 as n, title || ' > First' as path, 'First' as section, sha256(t) as text_sha from f union all select doc_id, 1, title || ' > First > Second', 'Second', sha256(t) from f union all select doc_id, 2, title || ' > Fourth', 'Fourth', sha256(t) from f""")
+def section_chunks(spark, d):
+    """Articles of several sections, each a chunk: heading levels that are skipped, sections without content, headings that end others."""
+    own = view(spark, d, "v_articles").withColumn("t", T.normalize_whitespace("body_markdown")).where("length(t) between 900 and 2000 and not contains(t, '\n\n')")
+    chunks = chunking.chunk_articles(own.withColumn("body_markdown", F.expr(_SECTIONS.format(n="'\n'"))))
+    return chunks.select("doc_id", catalog.chunk_ordinal(F.col("chunk_id")).alias("n"), F.array_join("heading_path", " > ").alias("path"), "section", F.sha2("text", 256).alias("text_sha"))
+
+
+@query("""with a as (select doc_id, 40 + ord % 30 as n from v_articles), c as (select *, (n + 19) // 20 as parts, n - 20 * ((n + 19) // 20 - 1) as last from a)
+select doc_id, case when last <= 8 then parts - 1 else parts end as n_chunks, case when last <= 8 then 1999 + 2 + 100 * last - 1 else 100 * last - 1 end as last_chars from c""")
+def list_chunks(spark, d):
+    """One list of 40 to 69 items of 99 characters an article: twenty fit a chunk, a small rest joins the one before."""
+    items = F.transform(F.sequence(F.lit(1), (40 + F.col("ord") % 30).cast("int")), lambda i: F.concat(F.lit("- "), F.lpad(i.cast("string"), 97, "x")))
+    chunks = chunking.chunk_articles(view(spark, d, "v_articles").withColumn("body_markdown", F.array_join(items, "\n")))
+    last = F.max_by(F.length("text"), catalog.chunk_ordinal(F.col("chunk_id")))
+    return chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), last.cast("long").alias("last_chars"))
+
+
 # Documents have one section and one block; so the sentence packer and the merging of small chunks are two folds.
 @query(rf"""
 with recursive a as (select ord, doc_id, trim(regexp_replace(regexp_replace(body_markdown, '\r\n', chr(10), 'g'), '^\s+|\s+$', '', 'g')) as t from v_articles),

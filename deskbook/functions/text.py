@@ -90,10 +90,10 @@ def clean_chunk_text(c) -> Column:
 def tokenize(c) -> Column:
     """Search terms: lower case, marks split off letters, all but letters and digits dropped, short words and stop words gone."""
     c = F.lower(col(c))
-    one_by_one = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(to).alias("to")) for x, to in SEVERAL.items()])
-    rare = F.aggregate(one_by_one, c, lambda acc, e: F.replace(acc, e["x"], e["to"]))
-    c = F.when(c.rlike(f"[{''.join(SEVERAL)}]"), rare).otherwise(c)
-    c = F.translate(F.regexp_replace(c, f"([{MARKED}])", "$1 "), "".join(SINGLE), "".join(to[0] for to in SINGLE.values()))
+    plain = lambda c, of: F.translate(F.regexp_replace(c, f"([{''.join(x for x in of if x in MARKED)}])", "$1 "), "".join(of), "".join(to[0] for to in of.values()))
+    one_by_one = F.split(F.lit("|".join(x + to for x, to in SEVERAL.items())), r"\|")  # folded to one literal
+    any_script = plain(F.aggregate(one_by_one, c, lambda acc, e: F.replace(acc, F.substring(e, 1, 1), F.substring(e, F.lit(2), F.length(e)))), SINGLE)
+    c = F.when(c.rlike(r"[^\x00-\xbb\xbf-\xff]"), any_script).otherwise(plain(c, {x: to for x, to in SINGLE.items() if x <= "\xff"}))  # Latin letters need short tables
     words = F.split(F.regexp_replace(c, r"[^a-z0-9\s]", " "), r"\s+")
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOPWORDS))
 

@@ -76,7 +76,9 @@ def build_index(chunks: DataFrame) -> Index:
 
     Postings lie chunk by chunk, so whoever sums over a chunk's terms has them in one task before any shuffle.
     """
-    terms = cut(chunk_terms(chunks).withColumn("cid", F.monotonically_increasing_id()), "terms")  # numbers are fixed once they are written
+    cores = chunks.sparkSession.sparkContext.defaultParallelism
+    spread = chunks.repartition(cores, "chunk_id") if len(chunks.inputFiles()) < cores else chunks  # few files: else one task has all the work
+    terms = cut(chunk_terms(spread).withColumn("cid", F.monotonically_increasing_id()), "terms")  # numbers are fixed once they are written
     meta = chunks.select("chunk_id", "url", F.col("source") if "source" in chunks.columns else F.lit(None).cast("string").alias("source"))
     return Index(cut(terms.select("cid", "chunk_id", "doc_len").join(meta, "chunk_id"), "chunks"), cut(postings(terms.repartition("cid"), "cid"), "postings"), index_stats(terms), chunks)
 

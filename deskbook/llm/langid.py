@@ -13,18 +13,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_held_out, lean_batches, table
+from .common import crc_held_out, cut, lean_batches, table
 
 HIDDEN = 8
 #: Bytes of a window; byte 256 fills windows up and leaves the state as it is.
 WINDOW, PAD = 128, 256
 #: Windows that run beside one another.
 LANES = 2048
-#: Bounds of the labelled sample: documents a language (whole texts), and windows of LEARNT bytes a language of all that
-#: these texts consist of.
+#: Bounds of the labelled sample, within a fifth: documents a language (whole texts), and windows of LEARNT bytes a language
+#: of all that these texts consist of.
 SAMPLE_PER_LANGUAGE, SAMPLE_WINDOWS, LEARNT = 400, 4000, 96
 LETTER = regex.compile(r"\p{L}")
 
@@ -181,26 +181,23 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
     return sums / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
 
 
-def first_of_each(df: DataFrame, key: str, order: str, k: int) -> DataFrame:
-    """The k rows of each key that come first in ``order`` (numbers that spread evenly), ties as they come.
-
-    Ranked by a part of the key first, so that a key with a third of all rows is no single task's; k rows of each part
-    are left for the second ranking.
-    """
-    part = F.pmod(F.col(order), F.lit(64))
-    ranked = df.withColumn("rank_", F.row_number().over(Window.partitionBy(key, part).orderBy(order))).where(F.col("rank_") <= k)
-    return ranked.withColumn("rank_", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("rank_") <= k).drop("rank_")
+def about(df: DataFrame, key: str, order: str, k: int) -> DataFrame:
+    """About 1.2 * k rows of each key, all where there are no more: those whose hash ``order`` lies below the share that k is
+    of the key's rows. Rows are to be distinct. They stay where they are; only the keys' counts (of languages) travel."""
+    counts = F.broadcast(df.groupBy(key).agg(F.count("*").alias("of_")))  # a row a language
+    place = F.shiftrightunsigned(F.col(order), 1) / F.lit(float(1 << 63))
+    return df.join(counts, key).where(place * F.col("of_") < 1.2 * k).drop("of_")
 
 
 def labelled_windows(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, windows: int = SAMPLE_WINDOWS) -> tuple[list[bytes], list[str]]:
     """Windows of bytes with a letter, and their languages, of a bounded sample of documents of each known language.
 
-    Documents are taken by hashed id and cut up whole; of their windows a sample is taken by hash. Ids or languages that are
+    Documents are taken by hashed id and cut up whole; of their distinct windows a sample is taken by hash. Ids or languages that are
     null, and texts that are null or empty, are not learnt from.
     """
     own = docs.where("lang is not null and doc_id is not null and text is not null and text <> ''").where(~crc_held_out())
-    picked = first_of_each(own.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")), "lang", "h", per_language).select("lang", "doc_id").distinct()
-    texts = docs.select("lang", "doc_id", "text").join(F.broadcast(picked), ["lang", "doc_id"])  # per_language ids of each language
+    picked = about(own.select("lang", "doc_id").distinct().withColumn("h", F.xxhash64("doc_id")), "lang", "h", per_language).select("lang", "doc_id")
+    texts = docs.select("lang", "doc_id", "text").join(F.broadcast(picked), ["lang", "doc_id"])  # about 1.2 * per_language ids of each language
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,8 +208,8 @@ def labelled_windows(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, w
                     kept = [p for p in parts if LETTER.search(p.decode("utf-8", "ignore"))]
                     yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(kept), pa.string()), pa.array(kept, pa.binary())], ["lang", "part"])
 
-    parts = texts.select("lang", "text").mapInArrow(cut_up, "lang string, part binary").withColumn("h", F.xxhash64("part"))
-    rows = sorted(first_of_each(parts, "lang", "h", windows).collect(), key=lambda r: (r.lang, r.h, bytes(r.part)))
+    parts = cut(texts.select("lang", "text").mapInArrow(cut_up, "lang string, part binary").distinct().withColumn("h", F.xxhash64("part")), "windows")
+    rows = sorted(about(parts, "lang", "h", windows).collect(), key=lambda r: (r.lang, r.h, bytes(r.part)))
     return [bytes(r.part) for r in rows], [r.lang for r in rows]
 
 

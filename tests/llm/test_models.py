@@ -52,11 +52,12 @@ def test_languages_held_out(spark):
     assert langid.train([], []) is None and {r.lang_pred for r in langid.identify(odd, None).collect()} == {"und"}
 
 
-def test_sample_takes_the_first_of_each_key(spark):
-    df = spark.range(3000).selectExpr("if(id % 3 = 0, 'a', 'b') as k", "xxhash64(id) as h")
-    want = {k: sorted(r.h for r in df.where(f"k = '{k}'").collect())[:100] for k in "ab"}
-    got = langid.first_of_each(df, "k", "h", 100).collect()
-    assert {k: sorted(r.h for r in got if r.k == k) for k in "ab"} == want
+def test_sample_takes_rows_by_hash(spark):
+    df = spark.range(30_000).selectExpr("if(id % 3 = 0, 'a', if(id < 50, 'c', 'b')) as k", "xxhash64(id) as h")
+    got, all_rows = langid.about(df, "k", "h", 500).collect(), df.collect()
+    for k, least, most in (("a", 500, 700), ("b", 500, 700), ("c", 33, 33)):
+        own = sorted(r.h % (1 << 64) for r in got if r.k == k)
+        assert least <= len(own) <= most and own == sorted(r.h % (1 << 64) for r in all_rows if r.k == k)[: len(own)]
 
 
 def test_toxicity_finds_sentences(spark):

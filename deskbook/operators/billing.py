@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.schemas import USAGE
 
 PROVIDERS = ("openai", "anthropic", "gemini")
 

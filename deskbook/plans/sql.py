@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from ..functions import html
 from ..functions.text import MARKED, SEVERAL, SINGLE, STOPWORDS
 from ..operators.billing import MODELS, exact_ids, provider_of

@@ -6,7 +6,6 @@ import re
 
 import numpy as np
 from conftest import DATA
-from pyspark.sql import functions as F
 
 from deskbook.llm import common, ngramjoin, pii, urlfilter, vectors
 from deskbook.llm.oracles import OP5_SQL

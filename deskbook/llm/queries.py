@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, ngramjoin, oracles, pieces, pii, resample, tokens, toxicity, urlfilter, vectors
+from . import chat, decontaminate, divergence, langid, ngramjoin, oracles, pieces, pii, resample, tokens, toxicity, urlfilter, vectors
 
 QUERIES = {
     "op1_ngram_jaccard": ngramjoin.op1_ngram_jaccard,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_chat_format": chat.op10_chat_format,
+    "op11_source_divergence": divergence.op11_source_divergence,
     "op13_importance_resampling": resample.op13_importance_resampling,
 }
 ORACLES = {
@@ -24,5 +25,6 @@ ORACLES = {
     "op7_pii": oracles.OP7_SQL,
     "op8_decontamination": oracles.OP8_SQL,
     "op10_chat_format": chat.OP10_SQL,
+    "op11_source_divergence": divergence.OP11_SQL,
     "op13_importance_resampling": resample.OP13_SQL,
 }

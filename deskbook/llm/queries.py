@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, divergence, langid, ngramjoin, oracles, pieces, pii, resample, tokens, toxicity, urlfilter, vectors
+from . import chat, decontaminate, divergence, langid, ngramjoin, oracles, pieces, pii, resample, secretscan, tokens, toxicity, urlfilter, vectors
 
 QUERIES = {
     "op1_ngram_jaccard": ngramjoin.op1_ngram_jaccard,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_chat_format": chat.op10_chat_format,
     "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_secret_scan": secretscan.op12_secret_scan,
     "op13_importance_resampling": resample.op13_importance_resampling,
 }
 ORACLES = {

@@ -12,7 +12,7 @@ from deskbook.llm.queries import ORACLES, QUERIES
 def test_sql(spark, duck, name):
     got, want = QUERIES[name](spark, DATA).toPandas(), duck.sql(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    plain = lambda f: sorted(tuple("" if v is None or v != v else str(v) for v in r) for r in f[sorted(f.columns)].itertuples(index=False))
+    plain = lambda f: sorted(tuple("" if str(v) in ("None", "nan", "<NA>") else str(int(v)) if isinstance(v, float) and v == int(v) else str(v) for v in r) for r in f[sorted(f.columns)].itertuples(index=False))
     assert plain(got) == plain(want)
 
 

@@ -1,143 +1,157 @@
-"""Fields, bodies and Markdown of HTML pages as column expressions.
+"""Tokens, attributes and fields of HTML pages as SQL text.
 
-Pages are read with patterns, so the work stays in the JVM and in one pass a page. An element reaches to the first closing
-tag of its name: one that holds another of the same name ends with it. Patterns avoid what other engines' don't know
-(looking around, referring back), so that a query can be checked elsewhere.
+Patterns find tags and what a page says about itself; bodies are read from tag events (``operators.pages``). Functions take
+and return SQL: these expressions are large, and one text is one call to build.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from . import text as T
-
-# Elements that are no part of a body, and classes that mark such blocks.
-BOILERPLATE = ("script", "style", "template", "nav", "header", "footer", "aside", "form", "noscript")
-MARKED = r"slds-breadcrumb|breadcrumbs|helpful|feedback|survey|related|article-related|vote"
-# Elements and classes that hold bodies, and what addresses of attachments contain.
-BODIES = (r"(?is)<article\b[^>]*>.*?</article\s*>", r"(?is)<main\b[^>]*>.*?</main\s*>", r"(?is)<section\b[^>]*>.*?</section\s*>", r'(?is)<div\b[^>]*class="[^"]*(?:knowledgeArticle|forceCommunityArticleDetail|slds-rich-text-editor__output)[^"]*"[^>]*>.*?</div\s*>')
+#: Every character of a page belongs to one token: a comment, a script or style as a whole, a tag, or text between them.
+TOKEN = (
+    r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<[!?][^>]*>"
+    r"""|</?[a-z][^<>"']*(?:(?:"[^"<]*"|'[^'<]*')[^<>"']*){0,60}>|</?[a-z][^<>]*>|[^<]+|<"""
+)
+# What addresses of attachments contain.
 ATTACHMENT = ("FileDownload", "servlet.shepherd", "download")
-NAVIGATION = r"(?is)^<[^>]*class=\"[^\"]*(?:nav|footer|header|breadcrumb|menu)"
-ANCHOR, HREF = r"(?is)<a\b[^>]*href\s*=\s*[\"'][^\"']*[\"'][^>]*>.*?</a\s*>", r"(?is)^<a\b[^>]*href\s*=\s*[\"']([^\"']*)[\"']"
-#: A heading of related articles, what is below it, and the next heading or the end.
-RELATED = r"(?is)<h[2-4]\b[^>]*>[^<]*related[^<]*</h[2-4]\s*>(.*?)(<h[2-4]\b|\z)"
-#: Elements to Markdown, in this order; what is left of tags goes last.
-MARKDOWN = (
-    (r"(?is)<pre\b[^>]*>(.*?)</pre\s*>", "\n\n```\n$1\n```\n\n"), (r"(?is)<h[12]\b[^>]*>", "\n\n## "), (r"(?is)<h3\b[^>]*>", "\n\n### "), (r"(?is)<h[4-6]\b[^>]*>", "\n\n#### "),
-    (r"(?is)<li\b[^>]*>", "\n- "), (r"(?is)<blockquote\b[^>]*>", "\n\n> "), (r"(?is)<a\b[^>]*href\s*=\s*[\"']([^\"']*)[\"'][^>]*>([^<]*)</a\s*>", "[$2]($1)"), (r"(?is)</t[dh]\s*>", "; "),
-    (r"(?is)<br\b[^>]*>", "\n"), (r"(?is)</?(?:p|div|section|article|main|ul|ol|table|h[1-6]|blockquote)\b[^>]*>", "\n\n"), (r"(?is)</tr\s*>", "\n"), (r"(?s)<[^>]*>", ""),
+# Character references, the one that makes others last.
+ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&#160;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"), ("&bull;", "•"), ("&hellip;", "…"),
+    ("&mdash;", "—"), ("&ndash;", "–"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&times;", "×"), ("&deg;", "°"), ("&euro;", "€"), ("&amp;", "&"),
+)
+#: Dates in running text: year first; two numbers and a year, month first unless it can't be one; months by name.
+MONTH = "(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+DATE_FORMS = (
+    (r"(?:^|[^0-9])(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?:[^0-9]|$)", "ymd"), (r"(?:^|[^0-9])(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(?:[^0-9]|$)", "mdy"),
+    (r"(?:^|[^a-z])" + MONTH + r"\.? +(\d{1,2})(?:st|nd|rd|th)?,? +(\d{4})(?:[^0-9]|$)", "bdy"), (r"(?:^|[^0-9])(\d{1,2})(?:st|nd|rd|th)?[ -](?:of )?" + MONTH + r"\.?,?[ -](\d{4})(?:[^0-9]|$)", "dby"),
 )
-#: Character references, the one that makes others last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-#: White space of Markdown, line by line.
-TIDY = ((r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"))
+CLOCK, ZONE = r"(?:^|[^0-9:])(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\.\d+)? *([ap])?", r"\d(?::\d{2})+(?:\.\d+)? *(?:[ap]\.?m\.?)? *(z|utc|gmt|[+-]\d{2}:?\d{2})(?:[^a-z0-9]|$)"
+LABELLED = r"\s*[:-]?\s*([A-Za-z0-9,./: +-]{4,})"
 
 
-def replaced(c: Column, steps) -> Column:
-    return reduce(lambda out, step: F.regexp_replace(out, *step), steps, c)
+def lit(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
-def unescaped(c: Column) -> Column:
-    return reduce(lambda out, e: F.replace(out, F.lit(e[0]), F.lit(e[1])), ENTITIES, c)
+def listed(names) -> str:
+    return ", ".join(map(lit, names))
 
 
-def plain(c: Column) -> Column:
-    """Text of a piece of HTML, tags as spaces."""
-    return T.compact(unescaped(F.regexp_replace(c, r"(?s)<[^>]*>", " ")))
+def let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def some(c: Column) -> Column:
-    return F.nullif(T.strip(c), F.lit(""))
+def replaced(x: str, steps) -> str:
+    return reduce(lambda out, step: f"regexp_replace({out}, {lit(step[0])}, {lit(step[1])})", steps, x)
 
 
-def element(name: str) -> str:
-    return rf"(?is)<{name}\b[^>]*>(.*?)</{name}\s*>"
+def compact(x: str) -> str:
+    """White space of any script collapsed to single spaces, none at the ends."""
+    return f"trim(regexp_replace({x}, {lit('(?U)' + chr(92) + 's+')}, ' '))"
 
 
-def without_boilerplate(html: Column) -> Column:
-    marked = [(rf'(?is)<{n}\b[^>]*class="(?:[^"]* )?(?:{MARKED})(?: [^"]*)?"[^>]*>.*?</{n}\s*>', " ") for n in ("div", "ul", "section")]
-    return replaced(html, [(r"(?s)<!--.*?-->", " "), *((element(n), " ") for n in BOILERPLATE), *marked])
+def unescaped(x: str) -> str:
+    """Character references as what they stand for, one after another."""
+    step = "(out, e) -> replace(out, concat(substring_index(e, ';', 1), ';'), substring(e, instr(e, ';') + 1))"
+    return f"if(contains({x}, '&'), aggregate(array({listed(r + to for r, to in ENTITIES)}), {x}, {step}), {x})"
 
 
-def meta(html: Column, key: str, value: str) -> Column:
-    """Content of the first ``<meta>`` with an attribute, whichever comes first; null if it is empty or missing."""
-    first = F.regexp_extract(html, rf'(?is)<meta\b[^>]*{key}="(?:{value})"[^>]*content="([^"]*)"', 1)
-    return F.coalesce(some(unescaped(first)), some(unescaped(F.regexp_extract(html, rf'(?is)<meta\b[^>]*content="([^"]*)"[^>]*{key}="(?:{value})"', 1))))
-
-
-def title(html: Column) -> Column:
-    """The first h1, else og:title, else the title element, else the empty text."""
-    first = lambda name: some(plain(F.regexp_extract(html, element(name), 1)))
-    return F.coalesce(first("h1"), meta(html, "property", "og:title"), first("title"), F.lit(""))
-
+def words(x: str) -> str:
+    """A text between tags with its references resolved and single blanks."""
+    return compact(unescaped(x))
 
-def date(c: Column) -> Column:
-    """ISO form of a date as pages write it, null for anything else."""
-    c = F.regexp_replace(c, r"[,\s]+", " ")
-    return F.date_format(F.coalesce(F.try_to_timestamp(c), *(F.try_to_timestamp(c, F.lit(f)) for f in ("MMMM d yyyy", "MMM d yyyy", "d MMMM yyyy", "M/d/yyyy"))), "yyyy-MM-dd'T'HH:mm:ss")
 
-
-def dates(html: Column) -> tuple[Column, Column]:
-    """``(updated, published)``: of meta elements if there are any, else of a time element and labels in the text."""
-    updated, published = date(meta(html, "property", "article:modified_time|og:updated_time")), date(meta(html, "property", "article:published_time|og:published_time"))
-    known = updated.isNotNull() | published.isNotNull()
-    text = plain(html)
-    label = lambda word: date(T.strip(F.regexp_extract(text, word + r"\s*[:-]?\s*((?:[A-Za-z]+ \d{1,2},? \d{4})|(?:\d{4}-\d{2}-\d{2})|(?:\d{1,2} [A-Za-z]+ \d{4}))", 1)))
-    time = date(F.coalesce(some(F.regexp_extract(html, r'(?is)<time\b[^>]*datetime="([^"]*)"', 1)), some(plain(F.regexp_extract(html, element("time"), 1)))))
-    return F.when(known, updated).otherwise(F.coalesce(label("Updated"), time)), F.when(known, published).otherwise(label("Published"))
-
-
-def texts_of(html: Column, pattern: str) -> Column:
-    """Non-empty texts of all matches."""
-    return F.filter(F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), plain), lambda t: t != "")
+def plain(x: str) -> str:
+    """Text of a piece of HTML, tags as spaces."""
+    return let("h_", f"regexp_replace({x}, {lit('(?s)<[^>]*>')}, ' ')", words("h_"))
 
 
-def breadcrumbs(html: Column) -> Column:
-    part = F.coalesce(some(F.regexp_extract(html, r'(?is)<nav\b[^>]*aria-label="[^"]*breadcrumb[^"]*"[^>]*>(.*?)</nav\s*>', 1)), F.regexp_extract(html, r'(?is)<(?:ul|ol|div)\b[^>]*class="[^"]*breadcrumbs?\b[^"]*"[^>]*>(.*?)</(?:ul|ol|div)\s*>', 1))
-    items = texts_of(part, element("li"))
-    return F.filter(F.when(F.size(items) > 0, items).otherwise(texts_of(part, element("a"))), lambda t: F.lower(t) != "home")
+def some(x: str) -> str:
+    return let("s_", f"trim({x})", "if(s_ = '', null, s_)")
 
 
-def tags(html: Column) -> Column:
-    own = F.transform(F.regexp_extract_all(html, F.lit(r'(?is)<meta\b[^>]*property="article:tag"[^>]*content="([^"]*)"'), F.lit(1)), lambda t: T.strip(unescaped(t)))
-    words = F.transform(F.split(F.coalesce(meta(html, "name", "keywords"), F.lit("")), ","), T.strip)
-    listed = texts_of(F.regexp_extract(html, r'(?is)<(?:ul|div)\b[^>]*class="(?:[^"]* )?(?:tags|article-tags|topic-tags)(?: [^"]*)?"[^>]*>(.*?)</(?:ul|div)\s*>', 1), element("a"))
-    full = lambda a: F.array_distinct(F.filter(a, lambda t: t != ""))
-    return F.when(F.size(full(own)) > 0, full(own)).when(F.size(full(words)) > 0, full(words)).otherwise(full(listed))
+def element(name: str) -> str:
+    return rf"(?is)<{name}\b[^>]*>(.*?)</{name}\s*>"
 
 
-def links(html: Column, base: Column) -> Column:
-    """Array of ``{label, url}`` of the anchors, addresses resolved against ``base``."""
-    anchors = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(0))
-    return F.transform(anchors, lambda a: F.struct(plain(a).alias("label"), resolved(F.regexp_extract(a, HREF, 1), base).alias("url")))
+def attribute(tag: str, name: str) -> str:
+    """An attribute's value, quoted or not, empty if the tag has none."""
+    value = f"regexp_extract({tag}, {lit(rf'(?is)\s{name}\s*=\s*(' + '"[^"]*"|' + r"'[^']*'" + r'|[^\s"' + "'" + r'>]+)')}, 1)"
+    bare = "^[\"']|[\"']$"
+    return f"if(contains(lower({tag}), {lit(name)}), {let('v_', f'regexp_replace({value}, {lit(bare)}, {lit("")})', unescaped('v_'))}, '')"
 
 
-def resolved(href: Column, base: Column) -> Column:
-    origin, folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"([^/:])/[^/]*$", "$1")
-    return F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, "^([^:]*:)", 1), href)).when(href.startswith("/"), F.concat(origin, href)).otherwise(F.concat(folder, F.lit("/"), href))
+def meta(html: str, key: str, value: str) -> str:
+    """Content of the first ``<meta>`` with an attribute, whichever comes first; null if it is empty or missing."""
+    find = lambda pattern: some(let("m_", f"regexp_extract({html}, {lit(pattern)}, 1)", unescaped("m_")))
+    return f"coalesce({find(rf'(?is)<meta\b[^>]*{key}="(?:{value})"[^>]*content="([^"]*)"')}, {find(rf'(?is)<meta\b[^>]*content="([^"]*)"[^>]*{key}="(?:{value})"')})"
 
 
-def count(html: Column, pattern: str) -> Column:
-    return F.size(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)))
+def title(html: str) -> str:
+    """The first h1, else og:title, else the title element, else the empty text."""
+    first = lambda name: some(plain(f"regexp_extract({html}, {lit(element(name))}, 1)"))
+    return f"coalesce({first('h1')}, {meta(html, 'property', 'og:title')}, {first('title')}, '')"
+
+
+def date(x: str) -> str:
+    """ISO form of the first date in a text, with the time and the zone's offset if it has them; null without a date.
+
+    Forms with a name or the year in front are read before others; of two numbers the first is the month unless it is above
+    12. Forms without a day and days that don't exist are no dates.
+    """
+    part = lambda pattern, k: f"regexp_extract(d_, {lit(pattern)}, {k})"
+    month = lambda m: f"cast((instr('janfebmaraprmayjunjulaugsepoctnovdec', {m}) + 2) / 3 as int)"
+    whens = []
+    for pattern, form in DATE_FORMS:
+        one, two, three = (part(pattern, k) for k in (1, 2, 3))
+        order = {"ymd": (one, two, three), "bdy": (three, month(one), two), "dby": (three, month(two), one)}.get(form)
+        made = f"concat_ws('-', {', '.join(order)})" if order else f"if(cast({one} as int) > 12, concat_ws('-', {three}, {two}, {one}), concat_ws('-', {three}, {one}, {two}))"
+        whens.append((form, f"when d_ rlike {lit(pattern)} then {made}"))
+    day = "case " + " ".join(w for _, w in sorted(whens, key=lambda w: ("ymd", "bdy", "dby", "mdy").index(w[0]))) + " end"
+    hour = f"pmod(cast({part(CLOCK, 1)} as int), if({part(CLOCK, 4)} = '', 24, 12)) + if({part(CLOCK, 4)} = 'p', 12, 0)"
+    clock = f"if(d_ rlike {lit(CLOCK)}, concat_ws(':', lpad({hour}, 2, '0'), {part(CLOCK, 2)}, lpad({part(CLOCK, 3)}, 2, '0')), '00:00:00')"
+    zone = let("z_", part(ZONE, 1), "case when z_ = '' then '' when z_ in ('z', 'utc', 'gmt') then '+00:00' else concat(substring(z_, 1, 3), ':', right(z_, 2)) end")
+    stamp = let("y_", f"try_to_timestamp({day}, 'yyyy-M-d')", f"if(y_ is null, null, concat(date_format(y_, 'yyyy-MM-dd'), 'T', {clock}, {zone}))")
+    return let("d_", f"lower(regexp_replace({x}, '([0-9])T([0-9])', '$1 $2'))", stamp)
+
+
+def dates(html: str) -> str:
+    """``array(updated, published)``: of meta elements if there are any, else of a time element and labels in the text."""
+    own = f"array({date(meta(html, 'property', 'article:modified_time|og:updated_time'))}, {date(meta(html, 'property', 'article:published_time|og:published_time'))})"
+    extract = lambda pattern: f"regexp_extract({html}, {lit(pattern)}, 1)"
+    time = f"coalesce({some(extract(r'(?is)<time\b[^>]*datetime="([^"]*)"'))}, {some(plain(extract(element('time'))))})"
+    label = lambda word: f"regexp_extract(t_, {lit(word + LABELLED)}, 1)"
+    told = let("t_", plain(html), f"transform(array({label('Updated')}, {label('Published')}, {time}), x_ -> {date('x_')})")
+    return let("own_", own, f"if(own_[0] is not null or own_[1] is not null, own_, {let('told_', told, 'array(coalesce(told_[0], told_[2]), told_[1])')})")
+
+
+def texts_of(html: str, pattern: str) -> str:
+    """Non-empty texts of all matches."""
+    return f"filter(transform(regexp_extract_all({html}, {lit(pattern)}, 0), e_ -> {plain('e_')}), t_ -> t_ <> '')"
 
 
-def body_score(block: Column, page_title: Column) -> Column:
-    """How much a block looks like the body: its text and structure, less its links; nothing under 200 characters."""
-    text = plain(block)
-    linked = F.length(F.array_join(texts_of(block, ANCHOR), ""))
-    score = F.length(text) / 100 + 5 * count(block, r"(?i)<h[234]\b") + 3 * count(block, r"(?i)<[uo]l\b") - 50 * (linked / F.greatest(F.lit(1), F.length(text)))
-    named = F.when((page_title != "") & F.lower(text).contains(F.lower(page_title)), 10).otherwise(0)
-    return F.when(F.length(text) < 200, F.lit(0.0)).otherwise(score + named - F.when(block.rlike(NAVIGATION), 20).otherwise(0))
+def breadcrumbs(html: str) -> str:
+    extract = lambda pattern, group: f"regexp_extract({html}, {lit(pattern)}, {group})"
+    part = f"coalesce({some(extract(r'(?is)<nav\b[^>]*aria-label="[^"]*breadcrumb[^"]*"[^>]*>(.*?)</nav\s*>', 1))}, {extract(r'(?is)<(?:ul|ol|div)\b[^>]*class="[^"]*breadcrumbs?\b[^"]*"[^>]*>(.*?)</(?:ul|ol|div)\s*>', 1)})"
+    items = let("i_", texts_of("p_", element("li")), f"if(size(i_) > 0, i_, {texts_of('p_', element('a'))})")
+    return f"filter({let('p_', part, items)}, t_ -> lower(t_) <> 'home')"
 
 
-def candidates(html: Column) -> Column:
-    """The blocks that could be the body; all divisions' if there are none."""
-    found = F.flatten(F.array(*(F.regexp_extract_all(html, F.lit(p), F.lit(0)) for p in BODIES)))
-    return F.when(F.size(found) > 0, found).otherwise(F.regexp_extract_all(html, F.lit(r"(?is)<div\b[^>]*>.*?</div\s*>"), F.lit(0)))
+def tags(html: str) -> str:
+    full = lambda x: f"array_distinct(filter({x}, t_ -> t_ <> ''))"
+    own = f"transform(regexp_extract_all({html}, {lit(r'(?is)<meta\b[^>]*property="article:tag"[^>]*content="([^"]*)"')}, 1), t_ -> trim({unescaped('t_')}))"
+    keywords = f"transform(split(coalesce({meta(html, 'name', 'keywords')}, ''), ','), t_ -> trim(t_))"
+    box = f"regexp_extract({html}, {lit(r'(?is)<(?:ul|div)\b[^>]*class="(?:[^"]* )?(?:tags|article-tags|topic-tags)(?: [^"]*)?"[^>]*>(.*?)</(?:ul|div)\s*>')}, 1)"
+    return let("own_", full(own), f"if(size(own_) > 0, own_, {let('w_', full(keywords), f'if(size(w_) > 0, w_, {full(texts_of(box, element("a")))})')})")
 
 
-def markdown(block: Column) -> Column:
-    return T.strip(replaced(unescaped(replaced(block, MARKDOWN)), TIDY))
+def resolved(href: str, base: str) -> str:
+    """An address against its page's."""
+    bare = f"regexp_replace({base}, {lit('[?#].*$')}, '')"
+    folder = f"regexp_replace({bare}, {lit('([^/:])/[^/]*$')}, '$1')"
+    return (
+        f"case when {href} rlike '^[A-Za-z][A-Za-z0-9+.-]*:' then {href} when startswith({href}, '//') then concat(regexp_extract({base}, '^([^:]*:)', 1), {href})"
+        f" when startswith({href}, '/') then concat(regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1), {href}) when startswith({href}, '#') or startswith({href}, '?') then concat({bare}, {href}) else concat({folder}, '/', {href}) end"
+    )

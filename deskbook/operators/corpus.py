@@ -9,6 +9,7 @@ from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
 from ..sources.schemas import CACHE
+from . import pages as P
 
 # What pages say that keep a crawler out.
 BLOCKED = ("access denied", "forbidden", "blocked", "verify you are human")
@@ -54,39 +55,44 @@ def content_hash(title: Column, updated_at: Column, markdown: Column) -> Column:
     return F.sha2(F.concat_ws("|", title, F.coalesce(updated_at, F.lit("")), markdown), 256)
 
 
-def body_candidates(pages: DataFrame) -> DataFrame:
-    """``page_id, node, score`` of each block that could be the body, in order."""
-    blocks = pages.select("page_id", H.title(F.col("html")).alias("title"), H.candidates(F.col("html")).alias("blocks"))
-    return blocks.select("page_id", "title", F.posexplode("blocks").alias("node", "block")).select("page_id", "node", H.body_score(F.col("block"), F.col("title")).alias("score"))
+def _seen(pages: DataFrame) -> DataFrame:
+    """Pages with their final address and title, numbered and dealt for ``operators.pages``."""
+    html = F.translate(F.coalesce("html", F.lit("")), "".join(P.MARKS), "")
+    own = P.numbered(pages.select("page_id", F.coalesce("url", F.lit("")).alias("base"), html.alias("html")))
+    canonical = H.some(f"regexp_extract(html, {H.lit('(?is)<link[^>]*rel="canonical"[^>]*href="([^"]*)"')}, 1)")
+    own = P.having(own, canonical=canonical, title=H.title("html"))
+    own = P.having(own, url=f"if(canonical is null, base, {H.resolved('canonical', 'base')})")
+    return own.withColumn("url", U.normalize_url("url")).drop("canonical")
 
 
-def extract_articles(pages: DataFrame, least: int = 200, own_suffix: str = ".example.com", sources: dict[str, str] | None = None) -> DataFrame:
-    """A full article or an ``error`` for each page (``page_id, url, html``); expressions alone, no shuffle.
+def body_candidates(pages: DataFrame, selectors=P.BODIES, classes=P.BODY_CLASSES) -> DataFrame:
+    """``page_id, node, score`` of each element that could be the body, numbered in order from 0."""
+    found = P.scored(P.matched(P.tag_events(_seen(pages), classes), selectors, classes)).where("score is not null")
+    return found.selectExpr("page_id", "row_number() over (partition by r order by i) - 1 as node", "score")
 
-    The body is the best-scored block; related links leave it, and so do navigation, forms and the like. Pages without
-    any body, or with fewer than ``least`` characters of it, are errors.
+
+def extract_articles(
+    pages: DataFrame, least: int = 500, own_suffix: str = ".example.com", sources: dict[str, str] | None = None, selectors=P.BODIES, classes=P.BODY_CLASSES, removed=P.REMOVED, removed_classes=P.REMOVED_CLASSES
+) -> DataFrame:
+    """A full article or an ``error`` for each page (``page_id, url, html``).
+
+    The body is the best-scored element; related links leave it, and so do boilerplate and hidden elements. Pages without
+    any body, with fewer than ``least`` characters of plain text in it or with a title below three are errors, in this
+    order. Null pages are empty; repeated rows are read apart; an empty table gives no rows. Pages are shuffled once.
     """
-    html, title = F.coalesce("html", F.lit("")), F.col("title")
-    canonical = H.some(F.regexp_extract(html, r'(?is)<link\b[^>]*rel="canonical"[^>]*href="([^"]*)"', 1))
-    updated, published = H.dates(html)
-    seen = pages.select("page_id", html.alias("html"), F.coalesce("url", F.lit("")).alias("base"), U.normalize_url(H.resolved(F.coalesce(canonical, F.col("url"), F.lit("")), F.coalesce("url", F.lit("")))).alias("url"), H.title(html).alias("title"))
-    scored = F.transform(H.candidates(F.col("html")), lambda b, i: F.struct((-H.body_score(b, title)).alias("below"), i.alias("i"), b.alias("block")))
-    chosen = seen.withColumn("best", F.array_min(scored)).withColumn("block", F.when(F.col("best.below") < 0, F.col("best.block")))
-    body = H.without_boilerplate(F.col("block"))
-    shaped = chosen.withColumn("body", F.regexp_replace(body, H.RELATED, " $2")).withColumn("beside", F.regexp_extract(body, H.RELATED, 1)).withColumn("body_markdown", H.markdown(F.col("body")))
-    host = U.netloc_of("url")
-    error = F.when(F.col("block").isNull(), "No article body found").when(F.length("body_markdown") < least, "Extracted body too short")
-    made = shaped.select("page_id", "base", "url", "title", "html", "body", "beside", "body_markdown", error.alias("error"), updated.alias("updated_at"), published.alias("published_at"), host.alias("source_host"))
-    attached = F.filter(H.links(F.col("body"), F.col("base")), lambda link: F.exists(F.array(*map(F.lit, H.ATTACHMENT)), lambda t: link["url"].contains(t)))
-    fields = {
-        "doc_id": stable_doc_id(F.col("source_host"), F.col("html"), F.col("url")), "url": F.col("url"), "title": title, "updated_at": F.col("updated_at"), "published_at": F.col("published_at"), "breadcrumbs": H.breadcrumbs(F.col("html")), "tags": H.tags(F.col("html")),
-        "summary": H.meta(F.col("html"), "name", "description"), "body_markdown": F.col("body_markdown"), "body_text": T.strip_markdown("body_markdown"),
-        "attachments": F.transform(attached, lambda link: F.struct(F.coalesce(F.nullif(link["label"], F.lit("")), F.substring_index(link["url"], "/", -1)).alias("name"), link["url"].alias("url"))),
-        "related_links": F.transform(H.links(F.col("beside"), F.col("base")), lambda link: F.struct(F.coalesce(F.nullif(link["label"], F.lit("")), link["url"]).alias("label"), link["url"].alias("url"))),
-        "source": source_key(F.col("source_host"), own_suffix, sources), "source_host": F.col("source_host"), "content_hash": content_hash(title, F.col("updated_at"), F.col("body_markdown")),
-    }
-    kept = [c if n == "url" else F.when(F.col("error").isNull(), c) for n, c in fields.items()]
-    return made.select("page_id", *[c.alias(n) for n, c in zip(fields, kept)], "error")
+    seen = _seen(pages)
+    fields = P.having(seen, dates=H.dates("html"), breadcrumbs=H.breadcrumbs("html"), tags=H.tags("html"), summary=H.meta("html", "name", "description")).withColumn("source_host", U.netloc_of("url"))
+    fields = fields.withColumns({"doc_id": stable_doc_id(F.col("source_host"), F.col("html"), F.col("url")), "source": source_key(F.col("source_host"), own_suffix, sources)}).drop("html")
+    found = P.bodies(seen.select("r", "page_id", "url", "title", "html"), selectors, classes, removed, removed_classes).withColumnRenamed("markdown", "body_markdown").withColumn("body_text", T.strip_markdown("body_markdown"))
+    error = f"case when body_markdown is null then 'No article body found' when length(body_text) < {least} then 'Extracted body too short' when length(title) < 3 then 'Missing or empty title' end"
+    attached = " or ".join(f"contains(x.href, {H.lit(t)})" for t in H.ATTACHMENT)
+    linked = lambda fine, name, other: f"transform(filter(links, x -> {fine}), x -> struct(if(x.label = '', {other}, x.label) as {name}, {H.resolved('x.href', 'base')} as url))"
+    made = P.having(
+        fields.join(found, "r", "left"), error=error, updated_at="dates[0]", published_at="dates[1]", attachments=linked(f"x.mark = 'K' and ({attached})", "name", "substring_index(x.href, '/', -1)"), related_links=linked("x.mark = 'R'", "label", "x.href"),
+    )
+    made = made.withColumn("content_hash", content_hash(F.col("title"), F.col("updated_at"), F.col("body_markdown")))
+    names = ("doc_id", "title", "updated_at", "published_at", "breadcrumbs", "tags", "summary", "body_markdown", "body_text", "attachments", "related_links", "source", "source_host", "content_hash")
+    return made.selectExpr("page_id", "url", *(f"if(error is null, {n}, null) as {n}" for n in names), "error")
 
 
 def merge_articles(existing: DataFrame, scraped: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import access, billing, catalog, chunking, corpus, discovery, feedback, retrieval, threads
@@ -196,27 +197,95 @@ def blocked_pages(spark, d):
 
 
 _DOC_PREFIX = r"coalesce(nullif(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(host, '^www\.', ''), '\.com$', ''), '.', '-'), '[^a-z0-9-]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'source')"
-_ATTACHED = f"len(list_filter(regexp_extract_all(body, {S.literal(S.html.ANCHOR)}, 0), lambda a: contains(regexp_extract(a, {S.literal(S.html.HREF)}, 1), 'FileDownload') or contains(regexp_extract(a, {S.literal(S.html.HREF)}, 1), 'servlet.shepherd') or contains(regexp_extract(a, {S.literal(S.html.HREF)}, 1), 'download')))"
-
-
-@query(f"""with {S.bodies_of_pages()}, n as ({_NORMAL}),
+@query(f"""with {S.plain_pages()}, n as ({_NORMAL}),
 made as (
-  select b.*, n.normal, lower(regexp_extract(n.normal, '^[a-z]+://([^/?#]*)', 1)) as host, case when body is null then 'No article body found' when length(markdown) < 200 then 'Extracted body too short' end as error
-  from bodies b join n using (page_id))
+  select p.*, n.normal, lower(regexp_extract(n.normal, '^[a-z]+://([^/?#]*)', 1)) as host, case when length(said) < 200 then 'No article body found' when length({_markdown_sql('markdown')}) < 500 then 'Extracted body too short' when length(title) < 3 then 'Missing or empty title' end as error
+  from plain p join n using (page_id))
 select page_id, normal as url, error, case when error is null then {_DOC_PREFIX} || ':' || coalesce(nullif(regexp_extract(html, '\bka[0-9A-Za-z]{{13,18}}\b'), ''), sha256(normal)) end as doc_id, case when error is null then title end as title,
   case when error is null then case when ends_with(host, '.example.com') then split_part(host, '.', 1) when host = '' then 'unknown' else host end end as source, case when error is null then host end as source_host,
-  case when error is null then sha256(concat(title, '||', markdown)) end as content_hash, case when error is null then length(markdown) end as n_markdown, case when error is null then {_ATTACHED} end as n_attachments
+  case when error is null then sha256(concat(title, '||', markdown)) end as content_hash, case when error is null then length(markdown) end as n_markdown, case when error is null then 0 end as n_attachments
 from made""")
 def extracted_articles(spark, d):
     made = corpus.extract_articles(view(spark, d, "pages"))
     return made.select("page_id", "url", "error", "doc_id", "title", "source", "source_host", "content_hash", F.length("body_markdown").cast("long").alias("n_markdown"), F.when(F.col("error").isNull(), F.size("attachments")).cast("long").alias("n_attachments"))
 
 
-@query(f"with {S.blocks_of_pages()} select page_id, i as node, round(score, 6) as score from blocks")
+@query(f"with {S.plain_pages()} select page_id, 0 as node, case when length(said) < 200 then 0 else round(length(said)::double / 100 + case when title <> '' and contains(lower(said), lower(title)) then 10 else 0 end, 6) end as score from plain")
 def body_candidates(spark, d):
     return corpus.body_candidates(view(spark, d, "pages")).select("page_id", F.col("node").cast("long").alias("node"), F.round("score", 6).alias("score"))
 
 
+# Pages of every kind of markup around a document's words, and what each must become, said once for both engines.
+_WORDS = "trim(regexp_replace(regexp_replace(text, '[^a-zA-Z]+', ' '{g}), ' +', ' '{g}))"
+_KINDS = (
+    ("<div class=\"x knowledgeArticle\"><div>Intro</div><p>{w}</p><div><div>Inner</div>middle</div>end</div>", "Intro|{w}|Inner|middle|end"),
+    ("<article><h2>Outer</h2><p>{w}</p><article><h3>Inner</h3><p>{w}</p></article><p>tail</p></div></article><p>outside</p>", "## Outer|{w}|### Inner|{w}|tail"),
+    ("<article><p>{w}</p><div style=\"display : none\">no<div>no</div>no</div><nav>no<nav>no</nav>no</nav><p aria-hidden=\"true\">no</p><ul class=\"a vote\"><li>no</ul><script>if (a < b) no</script><!-- <p>no -->yes<p>end</article>", "{w}|yes|end"),
+    ("<article><p>{w}</p><div class=\"alert-box\"><p>Mind <b>this</b></p><ul><li>one</li></ul></div><p>Important: look</p><p class=\"warning\">hot</p><p>end</p></article>", "{w}|> Note: Mind this one|> Important: Important: look|> Note: hot|end"),
+    ("<article><p>{w}</p><table><tr><th>A</th><td>1 &amp; 2</td></tr><tr><td>B</td><td><p>x</p><p>y</p></td></tr></table><table><tr><th>A</th><th>B</th><th>C</th></tr><tr><td>1</td><td>2</td><td>3</td></tr><tr><td>4<td>5<td>6<td>7</table><table></table>end</article>", "{w}|- A: 1 & 2/- B: x y|- A: 1; B: 2; C: 3/- A: 4; B: 5; C: 6; Field 4: 7|end"),
+    ("<article><p>{w}</p><ul><li>one<ul><li>deep</li><li>deeper<ol><li>a<li>b</ol></li></ul></li><li><p>two</p></li></ul><ol><li>first</li><li>second</li></ol>end</article>", "{w}|- one/  - deep/  - deeper/    1. a/    2. b/- two|1. first/2. second|end"),
+    ("<article><p>{w}</p><h2> </h2><h1>Top</h1><h5>Low</h5><pre>if a:~    b  =  1</pre><blockquote><p>said</p><p>twice</p></blockquote><p>an <em>odd</em> <strong>bold</strong> <code>x = 1</code><b>open</p><hr>end</article>", "{w}|## Top|##### Low|```/if a:/    b  =  1/```|> said/>/> twice|an *odd* **bold** `x = 1`open|---|end"),
+    ("<article><p>{w}</p><a href=\"/d/FileDownload?id=1\">Plan</a> or <a href='mailto:a@b.example'>mail</a><div><h3>Our <i>Related</i> pages</h3><p>no <a href=\"two/x\">Two</a></p><div><h2>no</h2></div><h3>Kept</h3></div><h4>Related</h4><ul><li><a href=\"#three\"></a></li></ul></article>", "{w}|[Plan](https://kb.example.com/d/FileDownload?id=1) or [mail](mailto:a@b.example)|### Kept"),
+)
+
+
+def _kinds(g: str, html: bool) -> str:
+    """A case for each kind: ``a/b`` are lines, ``a|b`` blocks."""
+    w = f"concat({_WORDS.format(g=g)}, ' ', repeat('some more words ', 40), 'then')"
+    said = lambda x: x if html else x.replace("|", "\n\n").replace("/", "\n").replace("https:\n\nkb", "https://kb").replace("https:\n", "https:/").replace("com\nd\nFile", "com/d/File").replace("\n/kb", "//kb")
+    case = " ".join(f"when {k} then concat({', '.join(w if part == '{w}' else S.literal(part.replace('~', chr(10))) for part in _split(said(pair[0 if html else 1])))})" for k, pair in enumerate(_KINDS))
+    return f"case doc_id % {len(_KINDS)} {case} end"
+
+
+def _split(x: str) -> list[str]:
+    out = []
+    for k, part in enumerate(x.split("{w}")):
+        out += (["{w}"] if k else []) + [part]
+    return [p for p in out if p]
+
+
+@query(f"""select doc_id as page_id, cast(doc_id % {len(_KINDS)} as bigint) as kind, cast(null as varchar) as error, sha256({_kinds(", 'g'", False)}) as markdown_sha, cast(case when doc_id % {len(_KINDS)} = 7 then 1 else 0 end as bigint) as n_attachments,
+  case when doc_id % {len(_KINDS)} = 7 then 'Two https://kb.example.com/a/two/x,#three https://kb.example.com/a/b#three' else '' end as related from documents""")
+def article_markdown(spark, d):
+    pages = view(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.lit("https://kb.example.com/a/b").alias("url"), F.concat(F.lit("<title>Page</title>"), F.expr(_kinds("", True))).alias("html"))
+    made = corpus.extract_articles(pages)
+    related = F.array_join(F.transform("related_links", lambda x: F.concat_ws(" ", x["label"], x["url"])), ",")
+    return made.select("page_id", (F.col("page_id") % len(_KINDS)).alias("kind"), "error", F.sha2("body_markdown", 256).alias("markdown_sha"), F.size("attachments").cast("long").alias("n_attachments"), related.alias("related"))
+
+
+_MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_MONTH = "case 1 + doc_id % 12 " + " ".join(f"when {k} then '{m}'" for k, m in enumerate(_MONTHS, 1)) + " end"
+_Y, _M, _D = "cast(1990 + doc_id % 40 as {s})", "cast(1 + doc_id % 12 as {s})", "cast(1 + doc_id % 28 as {s})"
+_TWO = "lpad({x}, 2, '0')"
+_DATED = (  # a page's words for a date, and what follows the day in its ISO form; null for what is none
+    (f"concat('<meta property=\"article:modified_time\" content=\"', {_Y}, '-', {_TWO.format(x=_M)}, '-', {_TWO.format(x=_D)}, 'T07:08:09Z\">')", "T07:08:09+00:00"),
+    (f"concat('<meta content=\"', {_Y}, '-', {_M}, '-', {_D}, ' 17:05 +02:30\" property=\"og:updated_time\">')", "T17:05:00+02:30"),
+    (f"concat('<time datetime=\"', {_Y}, '/', {_M}, '/', {_D}, '\">x</time>')", "T00:00:00"),
+    (f"concat('<time>on ', {_MONTH}, ' ', {_D}, 'th, ', {_Y}, ' at 3:04 PM</time>')", "T15:04:00"),
+    (f"concat('<p>Updated: ', {_D}, ' ', substring({_MONTH}, 1, 3), ' ', {_Y}, '</p>')", "T00:00:00"),
+    (f"concat('<p>Updated ', {_MONTH}, ' ', {_D}, ', ', {_Y}, '</p>')", "T00:00:00"),
+    (f"concat('<time>', {_M}, '/', {_D}, '/', {_Y}, ' 12:30 am UTC</time>')", "T00:30:00+00:00"),
+    (f"concat('<time>', {_D}, ' of ', {_MONTH}, ', ', {_Y}, '</time>')", "T00:00:00"),
+    (f"concat('<time>', {_MONTH}, ' ', {_Y}, '</time>')", None),
+    (f"concat('<time>', {_Y}, '-02-30</time><p>Updated soon</p>')", None),
+    ("'<time>in 12 days or so</time>'", None),
+    (f"concat('<time>31.', {_TWO.format(x='7')}, '.', {_Y}, ' 23:59:58</time>')", "31"),
+)
+
+
+def _dated(s: str) -> str:
+    return f"case doc_id % {len(_DATED)} " + " ".join(f"when {k} then {x}" for k, (x, _) in enumerate(_DATED)) + " end"
+
+
+_ISO = "case doc_id % " + str(len(_DATED)) + " " + " ".join(f"when {k} then " + ("null" if t is None else f"concat({_Y}, '-07-31T23:59:58')" if t == "31" else f"concat({_Y}, '-', {_TWO.format(x=_M)}, '-', {_TWO.format(x=_D)}, '{t}')") for k, (_, t) in enumerate(_DATED)) + " end"
+
+
+@query("select doc_id, " + _ISO.replace("{s}", "varchar") + " as updated_at from documents")
+def page_dates(spark, d):
+    pages = view(spark, d, "documents").select("doc_id", F.expr(_dated("string").replace("{s}", "string")).alias("html"))
+    return pages.select("doc_id", F.expr(H.dates("html"))[0].alias("updated_at"))
+
+
 _HOSTS = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1))"
 
 

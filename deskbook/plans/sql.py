@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from ..functions import html
 from ..functions.text import MARKED, SEVERAL, SINGLE, STOPWORDS
 from ..operators.billing import MODELS, exact_ids, provider_of
 
-BACKSLASH = chr(92)
-HEADING, LIST, DIVISION = r"(?i)<h[234]\b", r"(?i)<[uo]l\b", r"(?is)<div\b[^>]*>.*?</div\s*>"
 WORDS = ", ".join(f"'{w}'" for w in STOPWORDS)
 
 
@@ -46,6 +43,10 @@ def service_estimate(x: str) -> str:
     return f"cast(case when length({trimmed(x)}) > 0 then greatest(1, ceil(length({trimmed(x)}) / 4.0)) else 0 end as integer)"
 
 
+def literal(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
 def price_ctes() -> str:
     """``prices``, ``keys`` and ``patterns`` as values, and ``resolved(model_id, ...)`` of the table ``ids(model_id)``."""
     number = lambda v: "null" if v is None else f"{v}::double"
@@ -66,47 +67,14 @@ resolved as (
   left join lateral (select case when e.model_id is not null then e.family else b.family end as family) f on true left join prices p on p.family = f.family)"""
 
 
-def literal(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
-
-
-def steps(x: str, pairs) -> str:
-    """Replacements one after another, groups written as DuckDB does."""
-    for pattern, to in pairs:
-        x = f"regexp_replace({x}, {literal(pattern)}, {literal(to.replace('$', BACKSLASH))}, 'g')"
-    return x
-
-
-def unescaped(x: str) -> str:
-    for reference, to in html.ENTITIES:
-        x = f"replace({x}, {literal(reference)}, {literal(to)})"
-    return x
-
-
-def plain_html(x: str) -> str:
-    return compact(unescaped(f"regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g')"))
-
-
-def blocks_of_pages() -> str:
-    """``blocks``: ``page_id, url, html, title, i, block, score`` of each block that could be a page's body."""
-    of = lambda pattern: f"regexp_extract_all(html, {literal(pattern)}, 0)"
-    first = lambda name: f"nullif({plain_html(f'regexp_extract(html, {literal(html.element(name))}, 1)')}, '')"
-    links = f"array_to_string(list_filter(list_transform(regexp_extract_all(block, {literal(html.ANCHOR)}, 0), lambda a: {plain_html('a')}), lambda x: x <> ''), '')"
-    number = lambda pattern: f"len(regexp_extract_all(block, {literal(pattern)}, 0))"
-    return f"""pages_ as (select page_id, url, coalesce(html, '') as html from pages),
-titled as (select *, coalesce({first('h1')}, {first('title')}, '') as title, list_concat(list_concat({of(html.BODIES[0])}, {of(html.BODIES[1])}), list_concat({of(html.BODIES[2])}, {of(html.BODIES[3])})) as found from pages_),
-listed as (select * exclude (found), case when len(found) > 0 then found else {of(r'(?is)<div\b[^>]*>.*?</div\s*>')} end as found from titled),
-each_ as (select * exclude (found), unnest(found) as block, unnest(range(len(found))) as i from listed),
-texts as (select *, {plain_html('block')} as t, {links} as linked, {number(HEADING)} as headings, {number(LIST)} as lists from each_),
-blocks as (
-  select page_id, url, html, title, i, block, case when length(t) < 200 then 0.0::double else (length(t)::double / 100 + 5 * headings + 3 * lists - 50 * (length(linked)::double / greatest(1, length(t))))
-    + case when title <> '' and contains(lower(t), lower(title)) then 10 else 0 end - case when regexp_matches(block, {literal(html.NAVIGATION)}) then 20 else 0 end end as score from texts)"""
-
+def plain_pages() -> str:
+    """``plain``: ``page_id, url, html, title, body, markdown, said`` of the pages table, each with one article of paragraphs.
 
-def bodies_of_pages() -> str:
-    """``bodies``: ``page_id, url, html, title, body, markdown`` of the best block, null where no block scores."""
-    body = steps("block", [(r"(?s)<!--.*?-->", " "), *((html.element(n), " ") for n in html.BOILERPLATE), *((rf'(?is)<{n}\b[^>]*class="(?:[^"]* )?(?:{html.MARKED})(?: [^"]*)?"[^>]*>.*?</{n}\s*>', " ") for n in ("div", "ul", "section")), (html.RELATED, " $2")])
-    return blocks_of_pages() + f""",
-best as (select * from blocks where score > 0 qualify row_number() over (partition by page_id order by score desc, i) = 1),
-bodied as (select p.page_id, p.url, p.html, p.title, {body} as body from listed p left join best b on b.page_id = p.page_id),
-bodies as (select *, {trimmed(steps(unescaped(steps('body', html.MARKDOWN)), html.TIDY))} as markdown from bodied)"""
+    Written for the markup of these pages alone: what lies between the article's tags, paragraphs and breaks.
+    """
+    text = "replace(replace(replace(x, '&quot;', '\"'), '&copy;', '©'), '&amp;', '&')"
+    marked = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '\\s+', ' ', 'g'), '<h1>', chr(10) || chr(10) || '## ', 'g'), '</?p>|</h1>', chr(10) || chr(10), 'g'), '<br>', chr(10), 'g'), '</?b>', '', 'g')"
+    tidied = "regexp_replace(regexp_replace(regexp_replace(" + text.replace("x,", f"{marked},", 1) + ", ' +', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"
+    return f"""plain as (
+  select *, trim({tidied}, ' ' || chr(10)) as markdown, {compact(text.replace("x,", "regexp_replace(body, '<[^>]*>', ' ', 'g'),", 1))} as said
+  from (select page_id, url, html, {compact(text.replace("x,", "regexp_extract(html, '<h1>([^<]*)</h1>', 1),", 1))} as title, regexp_extract(html, '(?s)<article>(.*)</article>', 1) as body from pages))"""

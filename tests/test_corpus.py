@@ -42,10 +42,15 @@ PAGE = """<html><head><title>Site</title><meta content="Turn a lamp on &amp; off
 
 
 def test_extraction(spark):
-    pages = spark.createDataFrame([(1, "https://help.example.com/lamps/on?utm_source=x", PAGE), (2, "https://h/b", "<p>none</p>"), (3, "https://h/c", None), (4, None, PAGE), (5, "https://h/d", "<article>" + "word " * 41 + "</article>")], "page_id long, url string, html string")
-    rows = {r.page_id: r for r in corpus.extract_articles(pages).collect()}
-    assert {i: r.error for i, r in rows.items()} == {1: None, 2: "No article body found", 3: "No article body found", 4: None, 5: None}
-    assert {r.error for r in corpus.extract_articles(pages.where("page_id = 5"), least=500).collect()} == {"Extracted body too short"}
+    pages = spark.createDataFrame(
+        [(1, "https://help.example.com/lamps/on?utm_source=x", PAGE), (1, "https://help.example.com/lamps/on?utm_source=x", PAGE), (2, "https://h/b", "<p>none</p>"), (3, "https://h/c", None), (4, None, PAGE), (5, "https://h/d", "<article>" + "word " * 141 + "</article>"), (6, "https://h/e", ""), (7, "https://h/f", "<" * 500 + "<a b='c <p x=\"" * 500)],
+        "page_id long, url string, html string",
+    )
+    found = corpus.extract_articles(pages.repartition(3), least=200).collect()
+    rows = {r.page_id: r for r in found}
+    none = "No article body found"
+    assert len(found) == 8 and {i: r.error for i, r in rows.items()} == {1: None, 2: none, 3: none, 4: None, 5: "Missing or empty title", 6: none, 7: none}
+    assert {r.error for r in corpus.extract_articles(pages.where("page_id = 5"), least=900).collect()} == {"Extracted body too short"}
     made = rows[1]
     assert (made.title, made.updated_at, made.published_at, made.summary) == ("Turn a lamp on & off", "2023-05-06T07:08:09", None, "Lamps")
     assert made.tags == ["lamp", "light"] and made.breadcrumbs == ["Lamps"]
@@ -53,17 +58,35 @@ def test_extraction(spark):
     assert [tuple(a) for a in made.related_links] == [("Blue", "https://help.example.com/lamps/blue")]
     assert made.url == "https://help.example.com/lamps/on" and made.source == "help" and made.doc_id.startswith("help-example:")
     body = made.body_markdown
-    assert body.startswith("## Switch\n\nPress <on>. [The plan](files/plan.pdf?download=1) shows more.\n\n- red\n- green") and "```\na = 1\n```" in body and "Watt; 5;" in body
+    assert body.startswith("## Switch\n\nPress <on>. [The plan](https://help.example.com/lamps/files/plan.pdf?download=1) shows **more**.\n\n- red\n- green") and "```\na = 1\n```" in body and "- Watt: 5" in body
     assert body.endswith("### End\n\nBye") and not any(x in body for x in ("Blue", "var x", "Did this", "Home"))
     assert corpus.extract_articles(pages.limit(0)).count() == 0
 
 
+def test_bodies_by_other_selectors_and_unclosed_elements(spark):
+    text = "words of a page " * 40
+    rows = [
+        (1, f"<title>Page</title><main><p>{text}</main>"), (2, f"<title>Page</title></div></p><div><div class='own big'><p>{text}"), (3, f"<title>Page</title><form><article><p>{text}<p style='DISPLAY: NONE'>gone<p>kept</article></form>"),
+        (4, f"<title>Page</title><article>{text}<div class='feedback'>gone<div>gone</div></div></div>kept</article>"), (5, f"<title>Page</title><article><h2>Related</h2><ul><li><a href='x'>X</a></li></ul></article><article>{text}</article>"),
+        (6, "<title>Page</title>" + "<div>" * 400 + text + "</div>" * 300), (7, f"<title>Page</title><article title='a > b'>{text}<a href=\"q\">go<img alt='i' src='s.png'></a></article>"),
+    ]
+    df = spark.createDataFrame([(i, "https://h.example.com/a/b", x) for i, x in rows], "page_id long, url string, html string")
+    said = {r.page_id: (r.error, r.body_markdown) for r in corpus.extract_articles(df).collect()}
+    plain = text.strip()
+    assert said[1] == said[2] == said[6] == (None, plain) and said[5] == (None, plain)
+    assert said[3] == (None, f"{plain}\n\nkept") and said[4] == (None, f"{plain}\n\nkept") and said[7][1] == f"{plain} [go![i](s.png)](https://h.example.com/a/q)"
+    own = {r.page_id: r.error for r in corpus.extract_articles(df, selectors=("main",), classes=("own",), removed=(), removed_classes=()).collect()}
+    assert set(own.values()) == {None}
+
+
 def test_body_scores(spark):
     words = "some words here " * 20
     html = f'<h1>Tea</h1><article><a href="x">{words}</a></article><main><h2>a</h2><ol></ol>{words} tea</main><section class="menu">{words}</section><section>short</section>'
-    got = [r.score for r in corpus.body_candidates(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("node").collect()]
+    scores = lambda **other: [r.score for r in corpus.body_candidates(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"), **other).orderBy("node").collect()]
     n = len(words.strip())
-    assert got == [n / 100 - 50, (n + 6) / 100 + 5 + 3 + 10, n / 100 - 20, 0.0]
+    assert scores() == [n / 100 - 50]
+    assert scores(selectors=("article", "main", "section")) == [n / 100 - 50, (n + 6) / 100 + 5 + 3 + 10, n / 100 - 20, 0.0]
+    assert len(scores(selectors=("table",))) == 4  # none on the page: all that could be
 
 
 def test_merge_is_idempotent(spark):

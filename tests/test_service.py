@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -81,10 +82,45 @@ def test_context_window_takes_the_oldest(spark):
     assert [r.created_ts for r in threads.context_window(messages, recent=True).orderBy("created_ts").collect()] == list(range(28, 40))
 
 
-def test_no_python_and_no_products_in_scoring(spark):
-    own, asked = chunks(spark), spark.createDataFrame([(1, "login")], "query_id long, query string")
-    plan = retrieval.bm25_scores(asked, own)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "Python" not in plan
+def corpus_of_words(spark, n, seed=1):
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 7))) for _ in range(400)]
+    pick = lambda k: " ".join(rng.choices(words, weights=[1 / i for i in range(1, 401)], k=k))
+    rows = [(f"c{i:05}", f"d{i}", f"https://h/{i % (n // 2 + 1)}", pick(3), None, pick(rng.randint(0, 60)), "s", i) for i in range(n)]
+    return spark.createDataFrame(rows, "chunk_id string, doc_id string, url string, title string, section string, text string, source string, ord long"), [pick(rng.randint(1, 5)) for _ in range(30)]
+
+
+def best_of_all(queries, index, k):
+    scores = retrieval.bm25_scores(queries, index).join(index.lists.select("chunk_id", "url"), "chunk_id")
+    return sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in retrieval.diverse_top_k(scores, k).collect())
+
+
+def test_local_top_k_is_that_of_all_pairs(spark, monkeypatch):
+    own, asked = corpus_of_words(spark, 1500)
+    queries = spark.createDataFrame([(i, q) for i, q in enumerate([*asked, "", "zzzzz", "the"])], "query_id long, query string")
+    index = retrieval.build_index(own)
+    found = lambda: sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in retrieval.top_chunks(queries, index, 4).collect())
+    want = best_of_all(queries, index, 4)
+    assert found() == want and len(want) > 100
+    ((block, _),) = retrieval._blocks(queries, index)
+    kept, all_pairs = retrieval.pair_scores(index.lists.coalesce(2), block, 4).count(), retrieval.pair_scores(index.lists, block).count()
+    assert kept < all_pairs / 2  # one- and two-word queries may be phrases anywhere
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(retrieval, "CELLS", 500)
+    monkeypatch.setattr(retrieval, "HELD", 3)
+    assert found() == want
+
+
+def test_extended_index_is_a_new_one(spark):
+    own, asked = corpus_of_words(spark, 400)
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    index = retrieval.extend_index(retrieval.build_index(own.where("ord < 300")), own.where("ord >= 250"), own.where("ord % 7 = 0 and ord < 200").select("chunk_id"))
+    index = retrieval.compact_index(retrieval.extend_index(index, own.where("ord = 7")))
+    whole = retrieval.build_index(own.where("ord % 7 > 0 or ord >= 200 or ord = 7"))
+    assert best_of_all(queries, index, 5) == best_of_all(queries, whole, 5)
+    assert sorted(map(tuple, index.df.collect())) == sorted(map(tuple, whole.df.collect())) and index.stats.first() == whole.stats.first()
+    none = retrieval.extend_index(index, own.limit(0), own.select("chunk_id"))
+    assert none.stats.first().n == 0 and none.df.count() == 0 and retrieval.top_chunks(queries, none, 3).count() == 0
 
 
 def test_rate_limit_batch_and_stream(spark, tmp_path):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import cut
 
 PROVIDERS = ("openai", "anthropic", "gemini")
 
@@ -190,11 +191,22 @@ def release_rows(entries: DataFrame, ts: Column) -> DataFrame:
 
 
 def running_balance(entries: DataFrame) -> DataFrame:
-    """Every ledger row with the user's balance after it; rows of one time come grant, reservation, debit, release."""
+    """Every ledger row with the user's balance after it; rows of one time come grant, reservation, debit, release.
+
+    Sums of two levels: the ledger is sorted in ranges, which cut a long history wherever they fall, and written with the
+    range of each row; a row's balance is the sum so far in its range, and what the user's earlier ranges add up to. No
+    task sees more of a user than a range. Rows alike in all of the order's columns go by kind and amount.
+    """
     sign = F.when(F.col("kind").isin("grant", "release"), F.col("amount_cents")).when(F.col("kind") == "reservation", -F.col("amount_cents")).otherwise(0)
     order = F.when(F.col("kind") == "grant", 0).when(F.col("kind") == "reservation", 1).when(F.col("kind") == "debit", 2).otherwise(3)
-    w = Window.partitionBy("user_id").orderBy("ts", "request_id", order).rowsBetween(Window.unboundedPreceding, 0)
-    return entries.withColumn("balance_cents", F.sum(sign).over(w))
+    keys = ["ts", "request_id", "order_", "kind", "amount_cents"]
+    placed = cut(entries.withColumns({"sign_": sign, "order_": order}).orderBy("user_id", *keys).withColumn("range_", F.spark_partition_id()), "ledger")
+    inside = Window.partitionBy("user_id", "range_").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    totals = placed.groupBy(F.col("user_id").alias("user_"), F.col("range_").alias("of_")).agg(F.sum("sign_").alias("total_"))
+    before = Window.partitionBy("user_").orderBy("of_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("user_", "of_", F.coalesce(F.sum("total_").over(before), F.lit(0)).alias("before_"))
+    rows = placed.withColumn("so_far_", F.sum("sign_").over(inside)).join(offsets, F.col("user_id").eqNullSafe(F.col("user_")) & (F.col("range_") == F.col("of_")))
+    return rows.select(*entries.columns, (F.col("before_") + F.col("so_far_")).alias("balance_cents"))
 
 
 def replay_admissions(requests: DataFrame, grants: DataFrame) -> DataFrame:

@@ -33,6 +33,49 @@ def rating_stats(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("chunk_id").agg(F.count("*").alias("rating_count"), F.avg("rating").alias("avg_rating"), F.count_if(F.col("rating") <= 2).alias("low_count"), F.count_if(F.col("rating") >= 4).alias("high_count"))
 
 
+def newer_ratings(batch: DataFrame, latest: DataFrame, key: str) -> DataFrame:
+    """``key, user_id, rating, ts, event_id, old``: what a batch of ratings changes in ``latest``, and the rating it replaces.
+
+    ``latest`` has one row for each ``key`` and user. Of a batch the last valid row counts, and only if it is later than the
+    stored one (by time, then event), so rows out of order and batches read twice change nothing.
+    """
+    fresh = latest_feedback(batch, key).where(F.col(key).isNotNull()).select(key, "user_id", "rating", "ts", "event_id")
+    held = latest.select(key, "user_id", F.col("rating").alias("old"), F.struct("ts", "event_id").alias("held"))
+    rows = fresh.join(held, [key, "user_id"], "left")
+    return rows.where(F.col("held").isNull() | (F.struct("ts", "event_id") > F.col("held"))).drop("held")
+
+
+def with_newer(latest: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """``latest`` after the changes."""
+    return latest.join(changes.select(key, "user_id"), [key, "user_id"], "left_anti").unionByName(changes.select(latest.columns))
+
+
+def stat_changes(citations: DataFrame, by_message: DataFrame, by_thread: DataFrame) -> DataFrame:
+    """``chunk_id, n, total, low, high``: what changed ratings add to the cited chunks' sums; replaced ratings are taken back.
+
+    Only citations of what was rated are read beyond their keys.
+    """
+    parts = []
+    for key, changes in (("message_id", by_message), ("thread_id", by_thread)):
+        signed = changes.select(key, F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("rating").alias("rating")), F.struct(F.lit(-1).alias("sign"), F.col("old").alias("rating")))).alias("r")).where("r.rating is not null")
+        r, sign = F.col("r.rating"), F.col("r.sign")
+        sums = signed.groupBy(key).agg(F.sum(sign).alias("n"), F.sum(sign * r).alias("total"), F.sum(F.when(r <= 2, sign).otherwise(0)).alias("low"), F.sum(F.when(r >= 4, sign).otherwise(0)).alias("high"))
+        parts.append(citations.select(key, "chunk_id").distinct().join(sums, key).drop(key))
+    return parts[0].unionByName(parts[1]).groupBy("chunk_id").agg(*(F.sum(c).cast("long").alias(c) for c in ("n", "total", "low", "high")))
+
+
+def changed_stats(stats: DataFrame, changes: DataFrame) -> DataFrame:
+    """``chunk_id, n, total, low, high`` after ``stat_changes`` of the chunks that it names; a chunk without ratings left has 0."""
+    held = stats.join(changes.select("chunk_id"), "chunk_id", "left_semi")
+    return held.unionByName(changes).groupBy("chunk_id").agg(*(F.sum(c).cast("long").alias(c) for c in ("n", "total", "low", "high")))
+
+
+def signals_of(stats: DataFrame, docs: DataFrame) -> DataFrame:
+    """Ranking signals from sums (``changed_stats``) and ``latest_doc``; chunks without ratings have none."""
+    rows = stats.where("n > 0").select("chunk_id", F.col("n").alias("rating_count"), (F.col("total") / F.col("n")).alias("avg_rating"), F.col("low").alias("low_count"), F.col("high").alias("high_count"))
+    return _signals(rows, docs)
+
+
 def signal_confidence(n: Column) -> Column:
     raw = F.least(F.lit(1.0), n / STRONG)
     return F.when(n <= 0, 0.0).when(n < LIGHT, raw * 0.5).otherwise(raw)
@@ -50,10 +93,14 @@ def latest_doc(citations: DataFrame) -> DataFrame:
     return citations.groupBy("chunk_id").agg(F.max_by("doc_id", F.struct("created_ts", "message_id")).alias("doc_id"))
 
 
-def ranking_signals(citations: DataFrame, message_feedback: DataFrame, thread_feedback: DataFrame) -> DataFrame:
-    stats = rating_stats(chunk_ratings(citations, message_feedback, thread_feedback)).join(latest_doc(citations), "chunk_id")
+def _signals(stats: DataFrame, docs: DataFrame) -> DataFrame:
+    rows = stats.join(docs, "chunk_id")
     n = F.col("rating_count")
-    return stats.select("chunk_id", "doc_id", "rating_count", F.round("avg_rating", 6).alias("avg_rating"), "low_count", "high_count", F.round(signal_confidence(n), 4).alias("confidence"), retrieval_multiplier(F.col("avg_rating"), n, F.col("low_count"), F.col("high_count")).alias("multiplier"))
+    return rows.select("chunk_id", "doc_id", "rating_count", F.round("avg_rating", 6).alias("avg_rating"), "low_count", "high_count", F.round(signal_confidence(n), 4).alias("confidence"), retrieval_multiplier(F.col("avg_rating"), n, F.col("low_count"), F.col("high_count")).alias("multiplier"))
+
+
+def ranking_signals(citations: DataFrame, message_feedback: DataFrame, thread_feedback: DataFrame) -> DataFrame:
+    return _signals(rating_stats(chunk_ratings(citations, message_feedback, thread_feedback)), latest_doc(citations))
 
 
 def upsert_signals(signals: DataFrame, affected: DataFrame, citations: DataFrame, message_feedback: DataFrame, thread_feedback: DataFrame) -> DataFrame:

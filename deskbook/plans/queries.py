@@ -670,6 +670,21 @@ def ranking_signals(spark, d):
     return feedback.ranking_signals(view(spark, d, "v_citations"), *_feedback(spark, d))
 
 
+@query(_RATED + "select * from sig")
+def folded_signals(spark, d):
+    """The same signals, from three batches of ratings folded one after another, out of order."""
+    cited, logs = view(spark, d, "v_citations"), [view(spark, d, v) for v in ("v_message_feedback", "v_thread_feedback")]
+    stats = spark.createDataFrame([], "chunk_id string, n long, total long, low long, high long")
+    keys = ("message_id", "thread_id")
+    latest = [log.select(key, "user_id", "rating", "ts", "event_id").limit(0) for key, log in zip(keys, logs)]
+    for part in (2, 0, 1):
+        changes = [scratch.cut(feedback.newer_ratings(log.where(F.col("event_id") % 3 == part), held, key), "ratings") for key, log, held in zip(keys, logs, latest)]
+        latest = [scratch.cut(feedback.with_newer(held, new, key), "latest") for key, held, new in zip(keys, latest, changes)]
+        sums = scratch.cut(feedback.changed_stats(stats, feedback.stat_changes(cited, *changes)), "sums")
+        stats = scratch.cut(stats.join(sums, "chunk_id", "left_anti").unionByName(sums), "stats")
+    return feedback.signals_of(stats, feedback.latest_doc(cited))
+
+
 @query(_RATED + "select * from sig")
 def signal_upsert(spark, d):
     cited, (mf, tf) = view(spark, d, "v_citations"), _feedback(spark, d)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import corpus, feedback
 from ..operators.chunking import chunk_articles
+from ..sources.scratch import cut
 
 
 def rate_limit(events: DataFrame, limit: int, window_ms: int) -> DataFrame:
@@ -38,7 +38,12 @@ def rate_limit(events: DataFrame, limit: int, window_ms: int) -> DataFrame:
 
 
 class RateWindow(StatefulProcessor):
-    """Start and count of a key's window; state that is idle for two windows expires."""
+    """Start and count of a key's window; state that is idle for two windows expires.
+
+    Requests are decided as they arrive, one chunk of rows at a time, each chunk in order of time and id: memory is that of
+    a chunk, whatever a key's batch holds. A request older than the window that is open counts in it; no decision is taken
+    back.
+    """
 
     def __init__(self, limit: int, window_ms: int):
         self.limit, self.window_ms = limit, window_ms
@@ -48,15 +53,16 @@ class RateWindow(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         start, n = self.window.get() if self.window.exists() else (None, 0)
-        batch = pd.concat(list(rows)).sort_values(["ms", "event_id"])
-        out = []
-        for event, now in zip(batch.event_id, batch.ms):
-            if start is None or now - start >= self.window_ms:
-                start, n = int(now), 0
-            n += 1
-            out.append((key[0], key[1], event, start, n, n <= self.limit))
-        self.window.update((start, n))
-        yield pd.DataFrame(out, columns=["scope", "k", "event_id", "window_start_ms", "n", "allowed"])
+        for chunk in rows:
+            out = []
+            chunk = chunk.sort_values(["ms", "event_id"])
+            for event, now in zip(chunk.event_id.tolist(), chunk.ms.tolist()):
+                if start is None or now - start >= self.window_ms:
+                    start, n = now, 0
+                n += 1
+                out.append((key[0], key[1], event, start, n, n <= self.limit))
+            self.window.update((start, n))
+            yield pd.DataFrame(out, columns=["scope", "k", "event_id", "window_start_ms", "n", "allowed"])
 
     def close(self) -> None:
         pass
@@ -71,24 +77,30 @@ def stream_rate_limit(events: DataFrame, limit: int, window_ms: int) -> DataFram
 
 
 class Wallet(StatefulProcessor):
-    """A user's balance; grants raise it, reservations pass only if it covers them."""
+    """A user's balance; grants raise it, reservations pass only if it covers them.
+
+    Entries count as they arrive, one chunk of rows at a time, each chunk in order of time and id: a grant that arrives
+    late covers what comes after it, and no decision is taken back.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.balance = handle.getValueState("balance", "cents long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         cents = self.balance.get()[0] if self.balance.exists() else 0
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["ts", "request_id"]).itertuples():
-            if r.kind == "grant":
-                cents += int(r.amount_cents)
-                continue
-            accepted = r.amount_cents > 0 and cents >= r.amount_cents
-            if accepted:
-                cents -= int(r.amount_cents if r.actual_cents < 0 else min(r.actual_cents, r.amount_cents))
-            out.append((int(r.request_id), key[0], bool(accepted), cents))
-        self.balance.update((cents,))
-        yield pd.DataFrame(out, columns=["request_id", "user_id", "accepted", "balance_after"])
+        for chunk in rows:
+            out = []
+            chunk = chunk.sort_values(["ts", "request_id"])
+            for kind, request, amount, actual in zip(chunk.kind.tolist(), chunk.request_id.tolist(), chunk.amount_cents.tolist(), chunk.actual_cents.tolist()):
+                if kind == "grant":
+                    cents += amount
+                    continue
+                accepted = amount > 0 and cents >= amount
+                if accepted:
+                    cents -= amount if actual < 0 else min(actual, amount)
+                out.append((request, key[0], accepted, cents))
+            self.balance.update((cents,))
+            yield pd.DataFrame(out, columns=["request_id", "user_id", "accepted", "balance_after"])
 
     def close(self) -> None:
         pass
@@ -99,17 +111,24 @@ def stream_admissions(entries: DataFrame) -> DataFrame:
     return entries.groupBy("user_id").transformWithStateInPandas(Wallet(), outputStructType="request_id long, user_id long, accepted boolean, balance_after long", outputMode="Append", timeMode="None")
 
 
-def signal_updater(read_log: Callable[[], DataFrame], citations: DataFrame, threads: Callable[[], DataFrame], write: Callable[[DataFrame, int], None]):
-    """``foreachBatch`` handler: new ratings' chunks get their signals anew from the whole log, which a repeat leaves as they are.
+def signal_updater(load: Callable[[], tuple[DataFrame, DataFrame, DataFrame]], citations: DataFrame, write: Callable[[DataFrame, DataFrame, DataFrame, DataFrame, int], None]):
+    """``foreachBatch`` handler: a batch's ratings are added to the sums of the chunks they are about, replaced ones taken back.
 
     Ratings are of messages (``message_id``) or of whole threads (``thread_id``), which touch all that the thread cites.
+    ``load`` gives the stored state: latest ratings of messages and of threads, and sums by chunk. ``write`` takes the
+    changed rows of all three and the changed chunks' signals (none for a chunk that lost its last rating), and stores them
+    under the epoch as one. The log is not read; a batch that comes again changes nothing.
     """
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        rated = [citations.join(batch.select(c).where(F.col(c).isNotNull()).distinct(), c, "left_semi").select("chunk_id") for c in ("message_id", "thread_id") if c in batch.columns]
-        touched = reduce(DataFrame.unionByName, rated).distinct()
-        own = citations.join(touched, "chunk_id", "left_semi")
-        write(feedback.ranking_signals(own, feedback.latest_feedback(read_log(), "message_id"), threads()), epoch)
+        messages, threads, stats = load()
+        changed = []
+        for key, latest in (("message_id", messages), ("thread_id", threads)):
+            rows = batch if key in batch.columns else batch.withColumn(key, F.lit(None).cast(latest.schema[key].dataType))
+            changed.append(cut(feedback.newer_ratings(rows.where(F.col(key).isNotNull()), latest, key), "ratings"))
+        sums = cut(feedback.changed_stats(stats, feedback.stat_changes(citations, *changed)), "sums")
+        docs = feedback.latest_doc(citations.join(sums.select("chunk_id"), "chunk_id", "left_semi"))
+        write(changed[0].drop("old"), changed[1].drop("old"), sums, feedback.signals_of(sums, docs), epoch)
 
     return handle
 

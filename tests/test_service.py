@@ -146,23 +146,73 @@ def test_wallet_stream(spark, tmp_path):
     assert {tuple(r) for r in spark.table("wallets").collect()} == {(1, 1, False, 20), (2, 1, True, 8)}
 
 
-def test_signal_stream(spark, tmp_path):
-    cited = spark.createDataFrame([("m1", "t1", "c1", "d1", 1), ("m2", "t2", "c2", "d2", 1)], "message_id string, thread_id string, chunk_id string, doc_id string, created_ts long")
-    log = spark.createDataFrame([(1, "m1", 7, 5, None, datetime(2024, 1, 1))], "event_id long, message_id string, user_id long, rating int, comment string, ts timestamp")
-    none, out = spark.createDataFrame([], "event_id long, thread_id string, user_id long, rating int, ts timestamp"), []
-    log.coalesce(1).write.parquet(str(tmp_path / "in"))
-    handle = jobs.signal_updater(lambda: log, cited, lambda: none, lambda df, epoch: out.extend(df.collect()))
-    spark.readStream.schema(log.schema).parquet(str(tmp_path / "in")).writeStream.foreachBatch(handle).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    assert [(r.chunk_id, r.rating_count) for r in out] == [("c1", 1)]
-    threads = spark.createDataFrame([(2, "t2", 7, 1, datetime(2024, 1, 1))], none.schema)
-    out.clear()
-    handle = jobs.signal_updater(lambda: log, cited, lambda: threads, lambda df, epoch: out.extend(df.collect()))
-    handle(threads, 1)
-    assert [(r.chunk_id, r.rating_count, r.low_count) for r in out] == [("c2", 1, 1)]
+def test_hot_keys_pass_in_bounded_memory(spark, tmp_path):
+    n = 120_000
+    rows = spark.range(n).selectExpr("'all' as scope", "1L as k", "timestamp_millis(id) as ts", "id as event_id").coalesce(1)
+    rows.write.parquet(str(tmp_path / "in"))
+    query = jobs.stream_rate_limit(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), 5, n).writeStream.format("memory").queryName("hot").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(once=True).start()
+    query.awaitTermination()
+    found = spark.table("hot").agg(F.count("*"), F.count_if("allowed"), F.max("n"), F.countDistinct("event_id")).first()
+    assert tuple(found) == (n, 5, n, n)
+
+
+def test_late_rows_of_streams(spark, tmp_path):
+    schema = "user_id long, ts long, request_id long, kind string, amount_cents long, actual_cents long"
+    for i, rows in enumerate([[(1, 5, 1, "reservation", 10, -1)], [(1, 0, 0, "grant", 20, -1), (1, 9, 3, "reservation", 15, 12)], [(1, 7, 2, "reservation", 8, -1)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+        query = jobs.stream_admissions(spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, 1, False, 0), (3, 1, True, 8), (2, 1, True, 0)}
+
+
+def test_running_balance_of_one_user(spark):
+    rng = random.Random(4)
+    rows = [(7 if i % 2 else i % 9, i // 3, None if i % 5 == 0 else i // 7, rng.choice(["grant", "reservation", "debit", "release"]), rng.randint(1, 99)) for i in range(900)] + [(None, 1, 1, "grant", 5), (None, 2, 1, "reservation", 3)]
+    df = spark.createDataFrame(rows, "user_id long, ts long, request_id long, kind string, amount_cents long")
+    kinds = ("grant", "reservation", "debit", "release")
+    want, sums = [], {}
+    for u, ts, request, kind, cents in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], -1 if r[2] is None else r[2], kinds.index(r[3]), r[4])):
+        sums[u] = sums.get(u, 0) + (cents if kind in ("grant", "release") else -cents if kind == "reservation" else 0)
+        want.append((u, ts, request, kind, cents, sums[u]))
+    assert sorted(map(tuple, billing.running_balance(df).collect()), key=str) == sorted(want, key=str)
+    assert billing.running_balance(df.limit(0)).count() == 0
+
+
+def test_signals_are_folded_batch_by_batch(spark, tmp_path):
+    cited = spark.createDataFrame([(f"m{i}", f"t{i % 3}", f"c{(i * j) % 5}", f"d{i}", i) for i in range(8) for j in (1, 2, 2)], "message_id string, thread_id string, chunk_id string, doc_id string, created_ts long")
+    rng = random.Random(2)
+    schema = "event_id long, message_id string, thread_id string, user_id long, rating int, comment string, ts timestamp"
+    log = [(i, f"m{rng.randrange(9)}" if i % 3 else None, None if i % 3 else f"t{rng.randrange(4)}", rng.randrange(3), rng.randint(0, 6), " ", datetime(2024, 1, 1 + rng.randrange(4))) for i in range(80)]
+    latest = lambda key: spark.createDataFrame([], f"{key} string, user_id long, rating int, ts timestamp, event_id long")
+    state = {"message_id": latest("message_id"), "thread_id": latest("thread_id"), "stats": spark.createDataFrame([], "chunk_id string, n long, total long, low long, high long"), "signals": {}}
+
+    def write(messages, threads, sums, signals, epoch):
+        for key, rows in (("message_id", messages), ("thread_id", threads)):
+            state[key] = spark.createDataFrame(feedback.with_newer(state[key], rows, key).collect(), state[key].schema)
+        ids = {r.chunk_id for r in sums.collect()}
+        old = [r for r in state["stats"].collect() if r.chunk_id not in ids]
+        state["stats"] = spark.createDataFrame(old + sums.collect(), state["stats"].schema)
+        state["signals"] = {k: v for k, v in state["signals"].items() if k not in ids} | {r.chunk_id: tuple(r) for r in signals.collect()}
+        state["touched"] = ids
+
+    handle = jobs.signal_updater(lambda: (state["message_id"], state["thread_id"], state["stats"]), cited, write)
+    rng.shuffle(log)
+    for epoch, part in enumerate((log[:30], log[30:60], log[20:50], log[60:])):  # the third comes again
+        handle(spark.createDataFrame(part, schema), epoch)
+        if epoch == 2:
+            assert state["touched"] == set()
+    whole = spark.createDataFrame(log, schema)
+    by = lambda key: feedback.latest_feedback(whole.where(F.col(key).isNotNull()), key)
+    assert state["signals"] == {r.chunk_id: tuple(r) for r in feedback.ranking_signals(cited, by("message_id"), by("thread_id")).collect()}
+    assert len(state["signals"]) > 2
+    log_of_messages = spark.createDataFrame([(999, "m1", 1, 5, None, datetime(2025, 1, 1))], "event_id long, message_id string, user_id long, rating int, comment string, ts timestamp")
+    log_of_messages.coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.readStream.schema(log_of_messages.schema).parquet(str(tmp_path / "in")).writeStream.foreachBatch(handle).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert state["touched"] and state["message_id"].where("event_id = 999").count() == 1
 
 
 def test_page_ingestion(spark, tmp_path):
-    page = lambda i, words: (i, f"https://h.example.com/p{i}", f"<h1>P{i}</h1><article>{words * 60}</article>")
+    page = lambda i, words: (i, f"https://h.example.com/p{i}", f"<h1>Page {i}</h1><article>{words * 60}</article>")
     schema = "page_id long, url string, html string"
     pages = spark.createDataFrame([page(1, "first words "), page(2, "other words "), (3, "https://h.example.com/p3", "Access denied"), (4, "https://h.example.com/p4", "<p>nothing</p>")], schema)
     pages.coalesce(1).write.parquet(str(tmp_path / "in"))

@@ -388,12 +388,13 @@ def groups_of(entries: DataFrame) -> DataFrame:
     """``leader, doc_id, votes``: each list's members beside its leader, the member with the smallest hashed id.
 
     Sets that link share a list and so a leader; near copies share many lists but few leaders. ``votes`` counts the lists
-    that the two share under that leader. The leader is a member itself.
+    that the two share under that leader. The leader is a member itself. Long lists meet their leader where they are.
     """
-    lists = entries.select("doc_id", F.explode("keys").alias("key"))
+    lists = cut(entries.select("doc_id", F.explode("keys").alias("key")), "lists")
     leader = F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id"))["doc_id"].alias("leader")
-    per_list = lists.groupBy("key").agg(F.count("*").alias("m"), leader).where("m > 1").select("key", "leader")
-    return lists.join(per_list, "key").groupBy("leader", "doc_id").agg(F.count("*").alias("votes"))
+    per_list = cut(lists.groupBy("key").agg(F.count("*").alias("m"), leader).where("m > 1"), "leaders")
+    named = attach(lists, per_list, ["key"], "m", lists.count()).where("leader is not null")
+    return named.groupBy("leader", "doc_id").agg(F.count("*").alias("votes"))
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, sim: Similarity) -> DataFrame:

@@ -55,7 +55,7 @@ entities as (select distinct r, entity from private union select distinct r, 'an
 gaps as (select *, coalesce(max(b) over (partition by r order by a, b, kind rows between unbounded preceding and 1 preceding), 0) as before from private),
 outside as (select d.r, string_agg(case when a >= before then substring(text, before + 1, a - before) || ' ' else '' end, '' order by a, b, kind) || substring(any_value(text), max(b) + 1) as t from gaps join d using (r) group by d.r),
 near as (select r, unnest(list_distinct(regexp_extract_all(lower(t), '\p{L}{3,}'))) as term from outside),
-spread as (select term, count(*) as n_term from (select unnest(list_distinct(regexp_extract_all(lower(text), '\p{L}{3,}'))) as term from d) group by term),
+spread as (select term, count(*) as n_term from (select unnest(list_distinct(regexp_extract_all(lower(coalesce(o.t, d.text)), '\p{L}{3,}'))) as term from d left join outside o using (r)) group by term),
 size_ as (select count(*)::double as n from d),
 counts as (select entity, count(*) as n_entity from entities group by entity having count(*) >= 3),
 pairs as (select entity, n_entity, term, count(*) as n_both from entities join counts using (entity) join near using (r) group by all having count(*) >= 3),

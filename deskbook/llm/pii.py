@@ -152,7 +152,7 @@ def disclosing_terms(private: DataFrame, corpus: DataFrame, least: int = LEAST_D
     of the entity's information. Both must share ``least`` documents, and the evidence (these documents times the
     information in bits) must exceed the logarithm of the number of such pairs by MARGIN, so that none of the many pairs
     of rare words gets there by chance. All counts are rows of the table, copies among them; group-bys are pre-aggregated,
-    so an entity or word in a third of all rows is no hot key; words inside an entity don't count as words beside it; only entities of so many documents meet their documents'
+    so an entity or word in a third of all rows is no hot key; words inside an entity don't count, neither beside it nor as the corpus's; only entities of so many documents meet their documents'
     words, and the corpus's words are counted before they meet the candidates.
     """
     n_docs = corpus.count()
@@ -162,7 +162,9 @@ def disclosing_terms(private: DataFrame, corpus: DataFrame, least: int = LEAST_D
     counted = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"))
     candidates = cut(counted.where(F.col("n_both") >= least), "terms")
     enough = math.log2(max(1, candidates.count())) + MARGIN
-    spread = corpus.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= least)
+    every = corpus.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    inside = private.select(F.explode(F.array_except(_terms(F.col("text")), _outside_terms())).alias("term")).groupBy("term").agg((-F.count("*")).alias("n"))  # in no place but spans
+    spread = every.unionByName(inside).groupBy("term").agg(F.sum("n").alias("n_term")).where(F.col("n_term") >= least)
     information = F.log2(F.lit(float(n_docs)) / F.col("n_entity"))
     shared = F.log2(F.lit(float(n_docs)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     judged = candidates.join(spread, "term").where((information > 0) & (shared >= generalise * information) & (F.col("n_both") * shared >= enough))

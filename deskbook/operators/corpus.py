@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
 from ..sources.schemas import CACHE
+from ..sources.scratch import cut
 from . import pages as P
 
 # What pages say that keep a crawler out.
@@ -114,6 +117,43 @@ def merge_articles(existing: DataFrame, scraped: DataFrame, cache: DataFrame) ->
     return existing.select(shared).join(fresh.select("doc_id"), "doc_id", "left_anti").unionByName(fresh), outcomes
 
 
+#: Buckets of a stored corpus; part of its layout, so the same for all that write to one path.
+BUCKETS = 64
+
+
+def stored_articles(spark: SparkSession, path: str, columns: DataFrame) -> DataFrame:
+    """The articles stored at ``path`` with their ``bucket``, in ``columns``' schema; none where nothing is stored yet."""
+    schema = StructType([*columns.drop("bucket").schema.fields, StructField("bucket", IntegerType())])
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def merge_into(path: str, scraped: DataFrame, cache: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """``merge_articles`` into the corpus stored at ``path``; the outcomes, with ``bucket``.
+
+    Articles lie in buckets by hashed document id, a folder each. Only the buckets of scraped documents are read, and only
+    those in which something changes are written, each replaced as a whole, so a crawl of a hundredth of the documents
+    leaves most of a corpus of enough buckets alone, and one that finds nothing new writes nothing. The merged rows are
+    written to the shared folder first; a run that failed while replacing buckets is simply run again with the same cache.
+    """
+    spark = scraped.sparkSession
+    rows = cut(scraped.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")), "scraped")
+    among = lambda df, of: df.where(F.col("bucket").isin(*of)) if of else df.limit(0)
+    numbers = lambda df: sorted(r.bucket for r in df.select("bucket").distinct().collect())  # noqa: E731  BUCKETS at most
+    existing = among(stored_articles(spark, path, rows.drop("error")), numbers(rows.where("error is null")))
+    merged, outcomes = merge_articles(existing, rows, cache)
+    outcomes = cut(outcomes.select("url", "doc_id", "content_hash", "error", "bucket", "outcome", "written"), "outcomes")
+    changed = numbers(outcomes.where("written"))
+    if changed:
+        fresh = cut(among(merged, changed).repartition("bucket"), "merged")
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return outcomes
+
+
 def scrape_manifest(outcomes: DataFrame, seconds: float | None = None) -> DataFrame:
     """One row of counters over a merge's outcomes; ``unchanged`` rows count as skipped as well, never as success."""
     is_ = lambda *names: F.count_if(F.col("outcome").isin(*names))

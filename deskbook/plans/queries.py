@@ -315,6 +315,18 @@ def merged_articles(spark, d):
     return _merge(spark, d)[0]
 
 
+@query(_OUTCOMES + "select doc_id, url, content_hash, ord from v_existing where doc_id not in (select doc_id from w) union all select doc_id, url, content_hash, ord from w")
+def stored_merge(spark, d):
+    """The same merge into a corpus stored in buckets, the crawl coming in two parts."""
+    path, cache = scratch.new_path(spark, "corpus"), view(spark, d, "v_cache")
+    start = view(spark, d, "v_existing").withColumn("error", F.lit(None).cast("string"))
+    corpus.merge_into(path, start, cache.limit(0))
+    scraped = view(spark, d, "v_scraped").select(*start.columns)
+    for part in (0, 1):
+        corpus.merge_into(path, scraped.where(F.pmod("ord", F.lit(2)) == part), cache)
+    return corpus.stored_articles(spark, path, start.drop("error")).drop("bucket")
+
+
 @query(_OUTCOMES + "select count(*) as total, count_if(outcome in ('new', 'updated')) as success, count_if(outcome = 'failed') as failed, count_if(outcome = 'unchanged') as skipped, count_if(outcome = 'updated') as updated, count_if(outcome = 'unchanged') as unchanged, count_if(error = 'auth_required') as auth_required, count_if(error is not null) as errors, 59.25::double as duration_seconds from o")
 def scrape_manifest(spark, d):
     return corpus.scrape_manifest(_merge(spark, d)[1], 59.25)

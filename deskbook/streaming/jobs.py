@@ -148,3 +148,20 @@ def page_ingester(spark: SparkSession, load: Callable[[], tuple[DataFrame, DataF
         write(merged, chunk_articles(merged.join(changed, "doc_id", "left_semi")), epoch)
 
     return handle
+
+
+def store_ingester(spark: SparkSession, path: str, write: Callable[[DataFrame, DataFrame, int], None], buckets: int = corpus.BUCKETS):
+    """``foreachBatch`` handler as ``page_ingester``, for a corpus stored in buckets at ``path``: a batch rewrites its own buckets.
+
+    ``write`` takes the outcomes and the fresh chunks of changed documents. What is stored serves as the cache, of which
+    addresses and hashes alone are read; a batch that comes again finds its articles unchanged and gives no chunks.
+    """
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        scraped = cut(corpus.extract_articles(batch.where(~corpus.is_blocked(F.col("html")))).drop("page_id"), "pages")
+        stored = lambda: corpus.stored_articles(spark, path, scraped.drop("error"))
+        outcomes = corpus.merge_into(path, scraped, stored().select("url", "content_hash"), buckets)
+        changed = outcomes.where("written").select("bucket", "doc_id").distinct()
+        write(outcomes, chunk_articles(stored().join(changed, ["bucket", "doc_id"], "left_semi").drop("bucket")), epoch)
+
+    return handle

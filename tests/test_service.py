@@ -232,6 +232,29 @@ def test_page_ingestion(spark, tmp_path):
     assert stored["articles"].count() == 2 and len(chunks[1]) == 1 and stored["articles"].where("body_markdown like '%changed%'").count() == 1
 
 
+def test_stored_corpus_rewrites_its_own_buckets(spark, tmp_path):
+    path, out = str(tmp_path / "corpus"), {}
+    page = lambda i, words="some words ": (i, f"https://h.example.com/p{i}", f"<h1>Page {i}</h1><article>{words * 60}</article>")
+    frame = lambda rows: spark.createDataFrame(rows, "page_id long, url string, html string")
+    files = lambda: {str(f.relative_to(tmp_path)) for f in (tmp_path / "corpus").rglob("*.parquet")}
+
+    def write(outcomes, chunks, epoch):
+        out[epoch] = ({r.url[-2:]: r.outcome for r in outcomes.collect()}, len({r.doc_id for r in chunks.collect()}))
+
+    handle = jobs.store_ingester(spark, path, write, 16)
+    handle(frame([page(i) for i in range(10, 40)]), 0)
+    first = files()
+    assert set(out[0][0].values()) == {"new"} and out[0][1] == 30 and len(first) > 8
+    handle(frame([page(10), page(11, "other words "), (12, "https://h.example.com/zz", "<p>nothing</p>")]), 1)
+    assert out[1] == ({"10": "unchanged", "11": "updated", "zz": "failed"}, 1)
+    assert len(first - files()) == 1 and len(files()) == len(first)  # one bucket's file was replaced
+    second = files()
+    handle(frame([page(11, "other words "), page(10)]), 2)
+    assert out[2] == ({"11": "unchanged", "10": "unchanged"}, 0) and files() == second
+    rows = spark.read.parquet(path)
+    assert rows.count() == 30 and rows.where("body_markdown like '%other%'").count() == 1
+
+
 def test_prompt_sizes(spark):
     rows = [("a", "m", 2, "x2", "hi  "), ("a", None, 1, "x1", " yo "), ("a", None, 3, "x3", " "), ("b", None, 1, "y1", "\n"), ("c", "n", 1, "z", "é")]
     got = {r.thread_id: (r.model_id, r.prompt_chars) for r in threads.prompt_sizes(spark.createDataFrame(rows, "thread_id string, model_id string, created_ts long, message_id string, content string"), "Do:").collect()}

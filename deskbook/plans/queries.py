@@ -420,20 +420,17 @@ def chunk_attributes(spark, d):
     return chunks.join(counted, "doc_id").select("doc_id", "url", "title", "source", "source_host").distinct()
 
 
-@query()
-def article_chunks(spark, d):
-    chunks = chunking.chunk_articles(view(spark, d, "v_articles"))
-    return chunks.select("chunk_id", "doc_id", "section", "tokens_estimate", F.sha2("text", 256).alias("text_sha"))
+_SECTIONS = "concat('## First', {n}, body_markdown, {n}, {n}, '#### Second', {n}, body_markdown, {n}, '### Third', {n}, '## Fourth', {n}, {n}, body_markdown)"
 
 
-_SECTIONS = "concat('## First', {n}, body_markdown, {n}, {n}, '#### Second', {n}, body_markdown, {n}, '### Third', {n}, '## Fourth', {n}, {n}, body_markdown)"
+_BLOCK = "trim(substring(concat(substring(" + _WORDS.replace("text", "body_markdown") + ", 1, 1200), ' ', repeat('more words ', 120)), 1, 1200))"
 
 
-@query(f"""with a as (select doc_id, title, {S.tidy("trim(regexp_replace(regexp_replace(body_markdown, chr(13) || chr(10), chr(10), 'g'), '^\\s+|\\s+$', '', 'g'))")} as t from v_articles), f as (select * from a where length(t) between 900 and 2000 and not contains(t, chr(10) || chr(10)))
+@query(f"""with f as (select doc_id, title, {_BLOCK.format(g=", 'g'")} as t from v_articles)
 select doc_id, 0 as n, title || ' > First' as path, 'First' as section, sha256(t) as text_sha from f union all select doc_id, 1, title || ' > First > Second', 'Second', sha256(t) from f union all select doc_id, 2, title || ' > Fourth', 'Fourth', sha256(t) from f""")
 def section_chunks(spark, d):
     """Articles of several sections, each a chunk: heading levels that are skipped, sections without content, headings that end others."""
-    own = view(spark, d, "v_articles").withColumn("t", T.normalize_whitespace("body_markdown")).where("length(t) between 900 and 2000 and not contains(t, '\n\n')")
+    own = view(spark, d, "v_articles").withColumn("body_markdown", F.expr(_BLOCK.format(g="")))
     chunks = chunking.chunk_articles(own.withColumn("body_markdown", F.expr(_SECTIONS.format(n="'\n'"))))
     return chunks.select("doc_id", catalog.chunk_ordinal(F.col("chunk_id")).alias("n"), F.array_join("heading_path", " > ").alias("path"), "section", F.sha2("text", 256).alias("text_sha"))
 
@@ -449,7 +446,7 @@ def list_chunks(spark, d):
 
 
 # Documents have one section and one block; so the sentence packer and the merging of small chunks are two folds.
-@query(rf"""
+_CHUNKED = rf"""
 with recursive a as (select ord, doc_id, trim(regexp_replace(regexp_replace(body_markdown, '\r\n', chr(10), 'g'), '^\s+|\s+$', '', 'g')) as t from v_articles),
 s as (
   select ord, doc_id, case when length(t) // 4 > 500 then list_filter(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') else [t] end as p from a),
@@ -462,14 +459,23 @@ merged as (
   select doc_id, c, 1 as i, [c[1]] as out from tidied
   union all
   select doc_id, c, i + 1, case when greatest(1, length(c[i + 1]) // 4) < 200 then list_append(out[:-2], {S.tidy("out[-1] || chr(10) || chr(10) || c[i + 1]")}) else list_append(out, c[i + 1]) end from merged where i < len(c))
-select doc_id, cast(len(out) as bigint) as n_chunks, sha256(array_to_string(out, chr(2))) as texts_sha from merged where i = len(c)
-""")
+"""
+
+
+@query(_CHUNKED + """select doc_id, cast(len(out) as bigint) as n_chunks, sha256(array_to_string(out, chr(2))) as texts_sha from merged where i = len(c)""")
 def chunk_texts(spark, d):
     chunks = chunking.chunk_articles(view(spark, d, "v_articles"))
     ordered = F.sort_array(F.collect_list(F.struct(catalog.chunk_ordinal(F.col("chunk_id")).alias("i"), "text")))
     return chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sha2(F.array_join(F.transform(ordered, lambda c: c["text"]), "\x02"), 256).alias("texts_sha"))
 
 
+@query(_CHUNKED + """, cut as (select doc_id, unnest(out) as text, unnest(range(len(out))) as n from merged where i = len(c))
+select doc_id || '#' || cast(n as varchar) as chunk_id, doc_id, a.title as section, cast(case when length(text) > 0 then greatest(1, length(text) // 4) else 0 end as integer) as tokens_estimate, sha256(text) as text_sha from cut join v_articles a using (doc_id)""")
+def article_chunks(spark, d):
+    chunks = chunking.chunk_articles(view(spark, d, "v_articles"))
+    return chunks.select("chunk_id", "doc_id", "section", "tokens_estimate", F.sha2("text", 256).alias("text_sha"))
+
+
 # --- retrieval ---------------------------------------------------------------------------------------------------------
 
 _INDEX = f"""

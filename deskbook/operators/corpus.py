@@ -59,9 +59,9 @@ def content_hash(title: Column, updated_at: Column, markdown: Column) -> Column:
 
 
 def _seen(pages: DataFrame) -> DataFrame:
-    """Pages with their final address and title, numbered and dealt for ``operators.pages``."""
+    """Pages with their final address and title, keyed and dealt for ``operators.pages``."""
     html = F.translate(F.coalesce("html", F.lit("")), "".join(P.MARKS), "")
-    own = P.numbered(pages.select("page_id", F.coalesce("url", F.lit("")).alias("base"), html.alias("html")))
+    own = P.keyed(pages.select("page_id", F.coalesce("url", F.lit("")).alias("base"), html.alias("html")))
     canonical = H.some(f"regexp_extract(html, {H.lit('(?is)<link[^>]*rel="canonical"[^>]*href="([^"]*)"')}, 1)")
     own = P.having(own, canonical=canonical, title=H.title("html"))
     own = P.having(own, url=f"if(canonical is null, base, {H.resolved('canonical', 'base')})")
@@ -69,8 +69,8 @@ def _seen(pages: DataFrame) -> DataFrame:
 
 
 def body_candidates(pages: DataFrame, selectors=P.BODIES, classes=P.BODY_CLASSES) -> DataFrame:
-    """``page_id, node, score`` of each element that could be the body, numbered in order from 0."""
-    found = P.scored(P.matched(P.tag_events(_seen(pages), classes), selectors, classes)).where("score is not null")
+    """``page_id, node, score`` of each element that could be the body, numbered in order from 0; repeated rows count once."""
+    found = P.scored(P.matched(P.tag_events(_seen(pages).dropDuplicates(["r"]), classes), selectors, classes)).where("score is not null")
     return found.selectExpr("page_id", "row_number() over (partition by r order by i) - 1 as node", "score")
 
 

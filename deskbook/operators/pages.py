@@ -5,7 +5,7 @@ event of its name at its depth, so elements nested in others of the same name en
 harm no other name. Scores of body candidates are differences of running sums; the best one's events are turned into
 Markdown from the inside out, cells into rows, rows into tables, tables, callouts and quotes into the body.
 
-All steps are windows over one page's events and one group-by; pages are shuffled once, by a row number.
+All steps are windows over one page's events and one group-by; pages are shuffled once, by a digest of the row.
 """
 
 from __future__ import annotations
@@ -196,13 +196,18 @@ def folded(rows: DataFrame) -> DataFrame:
 
 
 def bodies(pages: DataFrame, bodies=BODIES, body_classes=BODY_CLASSES, removed=REMOVED, removed_classes=REMOVED_CLASSES) -> DataFrame:
-    """``r, markdown, links`` of the body of each of ``pages`` (``r, page_id, url, title, html``) that has one; links are ``{mark, href, label}``."""
-    return folded(with_pieces(body_events(scored(matched(tag_events(pages, body_classes), bodies, body_classes)), removed, removed_classes)))
+    """``r, markdown, links`` of the body of each of ``pages`` (``r, page_id, url, title, html``) that has one; links are ``{mark, href, label}``.
+
+    Repeated rows give one.
+    """
+    return folded(with_pieces(body_events(scored(matched(tag_events(pages.dropDuplicates(["r"]), body_classes), bodies, body_classes)), removed, removed_classes)))
 
 
-def numbered(pages: DataFrame) -> DataFrame:
-    """``pages`` with a number ``r`` of its own for each row, dealt by it once for all that follows.
+def keyed(pages: DataFrame) -> DataFrame:
+    """``pages`` (``page_id, base, html``) with ``r``, a digest of the whole row, dealt by it once for all that follows.
 
-    The number of partitions is the session's, not one by bytes: a page's events cost far more than its bytes tell.
+    A digest stays the same however often a lost page is read again; repeated rows share it. The number of partitions is
+    the session's, not one by bytes: a page's events cost far more than its bytes tell.
     """
-    return pages.withColumn("r", F.monotonically_increasing_id()).repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "r")
+    own = F.concat_ws("\x00", F.coalesce(F.col("page_id").cast("string"), F.lit("\x01")), "base", "html")
+    return pages.withColumn("r", F.unhex(F.md5(own))).repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "r")

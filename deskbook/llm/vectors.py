@@ -187,11 +187,64 @@ def rings(grouped: DataFrame, threshold: float) -> DataFrame:
     return found.select("rep", "n", "embedding", "component_id", "ring", (sure - own).alias("sure"), (F.col("ring") + F.col("outer") > SURE).alias("open"))
 
 
+def bridging_edges(group: pa.RecordBatch, x: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """One link of a block pair for each two components (column ``component``) that have any there."""
+    left, right, _ = _sides(group)
+    reps, component, found = group.column("rep").to_numpy(), group.column("component").to_numpy(), {}
+    for at in range(0, len(left), 256):
+        part = left[at : at + 256]
+        a, b = np.nonzero((x[part] @ x[right].T >= threshold) & (component[part][:, None] != component[right][None, :]))
+        pairs, firsts = np.unique(np.sort(np.stack([component[part][a], component[right][b]], axis=1), axis=1), axis=0, return_index=True)
+        for pair, k in zip(map(tuple, pairs.tolist()), firsts.tolist()):
+            found.setdefault(pair, (int(reps[part[a[k]]]), int(reps[right[b[k]]])))
+    return list(found.values())
+
+
+def leader_edges(large: DataFrame, own: DataFrame, n_rows: int, threshold: float) -> DataFrame:
+    """``a, b``: links of the entries (``code, rep, embedding, leader, members``) of large buckets with their bucket's leader."""
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                close = (unit_rows(batch.column("embedding")) * unit_rows(batch.column("first"))).sum(axis=1) >= threshold
+                yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("rep")], ["a", "b"]).filter(pa.array(close))
+
+    leaders = large.groupBy("code", "leader").agg(F.count("*").alias("heat")).join(own.select(F.col("rep").alias("leader"), F.col("embedding").alias("first")), "leader")
+    met = attach(large.select("code", "rep", "embedding"), cut(leaders, "leaders"), ["code"], "heat", n_rows)
+    return met.where("rep <> leader").select("leader", "rep", "embedding", "first").mapInArrow(linked, "a long, b long")
+
+
+def rest_edges(large: DataFrame, edges: DataFrame, n_rows: int, threshold: float) -> DataFrame:
+    """``a, b``: what else links components of ``edges`` inside large buckets.
+
+    A bucket's largest component is not compared with itself: its other rows meet one another and that component's, in
+    pairs of blocks. A bucket whose rows are one component by now takes no part.
+    """
+    component = connected_components(edges).select(F.col("node").alias("rep"), "component")
+    placed = cut(large.join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed-entries")
+    sizes = placed.groupBy("code", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("code").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("heat")).where(F.col("heat") > F.col("main.n"))
+    main = cut(main.select("code", F.col("main.component").alias("main"), F.col("main.n").alias("n_main"), (F.col("heat") - F.col("main.n")).alias("n_rest"), "heat"), "mains")
+    met = attach(placed, main, ["code"], "heat", n_rows).where("main is not null")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    is_rest = F.col("component") != F.col("main")
+    own = F.when(is_rest, F.pmod(F.xxhash64("rep"), blocks("n_rest"))).otherwise(blocks("n_rest") + F.pmod(F.xxhash64("rep"), blocks("n_main"))).cast("int")
+    last = blocks("n_rest") - 1 + F.when(is_rest, blocks("n_main")).otherwise(0)
+    pairs = F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
+    dealt = met.select("code", "rep", "embedding", "component", own.alias("own"), F.explode(pairs).alias("p")).select("code", "rep", "embedding", "component", "own", "p.i", "p.j")
+    return by_group(dealt, ["code", "i", "j"], lambda g, x: bridging_edges(g, x, threshold), "a long, b long")
+
+
 def candidate_edges(usable: DataFrame, size: int, threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
-    """``a, b``: verified links that span what shares a bucket, for classes of vectors of all lengths."""
+    """``a, b``: verified links that span what shares a bucket, for classes of vectors of all lengths.
+
+    Buckets of up to BLOCK rows are compared at once. Larger ones are compared within blocks of that size and with the
+    bucket's leader, which makes most of a dense group one component at a cost in proportion to its size; only rows of
+    different components then meet (``rest_edges``).
+    """
     edges = usable.sparkSession.createDataFrame([], "a long, b long")
     for (width,) in usable.select(F.size("embedding")).distinct().orderBy(F.size("embedding")).collect():  # a handful of lengths
-        own = usable.where(F.size("embedding") == width)
+        own = usable.where(F.size("embedding") == width).select("rep", "embedding")
         axes = max(1, min(8, round(math.log(max(size, 2) / 4) / math.log(2 * (1 << max(1, (width - 1).bit_length()))))))
 
         def code(batches: Iterator[pa.RecordBatch], axes=axes) -> Iterator[pa.RecordBatch]:
@@ -200,10 +253,17 @@ def candidate_edges(usable: DataFrame, size: int, threshold: float = THRESHOLD,
                     codes = bucket_codes(unit_rows(batch.column("embedding")), axes, tables, probes)
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("rep").to_numpy(), codes.shape[1])), pa.array(codes.ravel())], ["rep", "code"])
 
-        entries = cut(own.select("rep", "embedding").mapInArrow(code, "rep long, code long"), "codes")
-        shared = entries.groupBy("code").agg(F.count("*").alias("members")).where("members > 1")
-        dealt = blocks_of(entries.join(shared, "code").join(own.select("rep", "embedding"), "rep"), "code", "members", "rep")
-        edges = edges.unionByName(by_group(dealt, ["code", "i", "j"], lambda g, x: spanning_edges(g, x, threshold), "a long, b long"))
+        entries = cut(own.mapInArrow(code, "rep long, code long"), "codes")
+        n_rows = entries.count()
+        shared = entries.groupBy("code").agg(F.count("*").alias("members"), F.count("*").alias("heat"), F.min("rep").alias("leader")).where("members > 1")
+        met = attach(entries, cut(shared, "shared-codes"), ["code"], "heat", n_rows).where("members is not null").join(own, "rep")
+        dealt = met.withColumn("own", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / BLOCK)).cast("int"))
+        found = by_group(dealt.select("code", "own", "rep", "embedding"), ["code", "own"], lambda g, x: spanning_edges(g, x, threshold), "a long, b long")
+        large = cut(met.where(F.col("members") > BLOCK).select("code", "rep", "embedding", "leader"), "large-buckets")
+        if large.take(1):
+            found = cut(found.unionByName(leader_edges(large, own, n_rows, threshold)), "near-edges")
+            found = found.unionByName(rest_edges(large, found, n_rows, threshold))
+        edges = edges.unionByName(found)
     return edges
 
 
@@ -212,7 +272,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
 
     Equal vectors are one class first (pre-aggregated), so exact copies are never compared. Classes that share a bucket
     in any table are candidates; inside a bucket only edges that span its components are kept, so a dense group yields
-    edges in proportion to its size. Buckets over BLOCK rows are dealt out as pairs of blocks. After the components are
+    edges in proportion to its size. Buckets over BLOCK rows are linked through a leader and within blocks first; then only
+    rows outside their largest component are compared, with all others, in pairs of blocks. After the components are
     known, links are counted: by angles to the component's pivot where these decide, else by comparing a component's
     undecided classes with one another in double precision, dealt out as pairs of blocks. So every link returned is
     certain, and links that no bucket found but a component implies count as well.

@@ -134,6 +134,46 @@ def test_large_buckets_meet_in_blocks(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect()} == {(49, 0)}
 
 
+def spread(rng, base, n, angle):
+    """``n`` unit rows at ``angle`` from ``base``."""
+    away = rng.standard_normal((n, len(base)))
+    away -= (away @ base)[:, None] * base
+    return math.cos(angle) * base + math.sin(angle) * away / np.linalg.norm(away, axis=1, keepdims=True)
+
+
+def brute_vectors(x):
+    close = np.triu(x @ x.T >= 0.95, 1)
+    want = Union(range(len(x)))
+    for a, b in zip(*np.nonzero(close)):
+        want.link(int(a), int(b))
+    return {i: (int(n), want.find(i)) for i, n in enumerate(close.sum(axis=0) + close.sum(axis=1))}
+
+
+def found_vectors(spark, x):
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    return {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect()}
+
+
+def test_components_that_share_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 8)
+    rng = np.random.default_rng(21)
+    first = np.eye(16)[0] + 0.01
+    first /= np.linalg.norm(first)
+    second = spread(rng, first, 1, 0.45)[0]  # too far from the first, in its buckets
+    chain = [first * math.cos(a) + (second - first * (second @ first)) / np.linalg.norm(second - first * (second @ first)) * math.sin(a) for a in (-0.3, -0.6, -0.9)]
+    x = np.vstack([spread(rng, first, 40, 0.05), spread(rng, second, 30, 0.05), spread(rng, first, 30, 0.3), chain])
+    x = x[rng.permutation(len(x))]
+    assert found_vectors(spark, x) == brute_vectors(x)
+
+
+def test_dense_bucket_at_its_real_size(spark):
+    rng = np.random.default_rng(22)
+    base = np.eye(32)[3] + 0.02
+    x = np.vstack([spread(rng, base / np.linalg.norm(base), 2 * vectors.BLOCK + 500, 0.1), rng.standard_normal((50, 32))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert found_vectors(spark, x) == brute_vectors(x)
+
+
 def test_vectors_of_a_table_with_links(spark, duck, tmp_path):
     rng = np.random.default_rng(9)
     table = [[float(v) for v in r.embedding] for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("embedding").collect()]

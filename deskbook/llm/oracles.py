@@ -46,12 +46,15 @@ placed as (
   select r, k, kind, h[i] as v, regexp_replace(h[i], '[^0-9]', '', 'g') as digits,
     cast(list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[:i - 1], lambda x: length(x))), 0) as bigint) as a from each_),
 valid as (
-  select r, k, kind, v, a, a + length(v) as b, kind || ':' || case when kind in ('card', 'phone') then digits when kind = 'secret' then v else lower(v) end as entity from placed
+  select r, k, kind, v, digits, a, a + length(v) as b, kind || ':' || case when kind in ('card', 'phone') then digits when kind = 'secret' then v else lower(v) end as entity from placed
   where case kind when 'ip' then len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 or coalesce(try_cast(nullif(ltrim(x, '0'), '') as integer), 0) > 255)) = 0
     when 'card' then length(digits) between 16 and 19 and list_sum(list_transform(range(1, length(digits) + 1), lambda i: case when i % 2 = 1 then cast(reverse(digits)[i] as integer) when cast(reverse(digits)[i] as integer) > 4 then 2 * cast(reverse(digits)[i] as integer) - 9 else 2 * cast(reverse(digits)[i] as integer) end)) % 10 = 0
     when 'phone' then length(digits) between 8 and 15 when 'secret' then regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]') else true end),
 private as (select * from valid x where k < 5 or not exists (select 1 from valid y where y.r = x.r and y.k < 5 and y.a < x.b and x.a < y.b)),
-entities as (select distinct r, entity from private union select distinct r, 'any ' || kind from private),
+entities as (
+  select r, entity from private union select r, 'any ' || kind from private
+  union select r, case kind when 'email' then 'domain:' || lower(split_part(v, '@', 2)) when 'ip' then 'network:' || regexp_extract(v, '^[0-9]+\.[0-9]+\.[0-9]+')
+    when 'card' then 'issuer:' || digits[:6] when 'phone' then 'prefix:' || digits[:5] else 'begins:' || v[:4] end from private),
 gaps as (select *, coalesce(max(b) over (partition by r order by a, b, kind rows between unbounded preceding and 1 preceding), 0) as before from private),
 outside as (select d.r, string_agg(case when a >= before then substring(text, before + 1, a - before) || ' ' else '' end, '' order by a, b, kind) || substring(any_value(text), max(b) + 1) as t from gaps join d using (r) group by d.r),
 near as (select r, unnest(list_distinct(regexp_extract_all(lower(t), '\p{L}{3,}'))) as term from outside),

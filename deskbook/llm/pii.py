@@ -1,7 +1,8 @@
 """Personal data and the terms that give it away, in DataFrame operations only.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers, and strings that look like keys. Each value is a
-protected entity, and so is each of these classes. Corpus co-occurrence then estimates how strongly a word in the
+protected entity, and so is the group that it is of (mail domain, network, card issuer, phone prefix, beginning of a key)
+and each of these classes. Corpus co-occurrence then estimates how strongly a word in the
 documents of an entity reveals it: the pointwise mutual information of the two against the entity's own information.
 Words over the disclosure thresholds are generalised or removed beside the entity itself, if their co-occurrence is more
 evidence than chance gives among all the pairs that were looked at.
@@ -116,9 +117,21 @@ def _entity(kind, value):
     return F.concat(kind, F.lit(":"), F.when(kind.isin("card", "phone"), _digits(value)).when(kind == "secret", value).otherwise(F.lower(value)))
 
 
+def _group(kind, value):
+    """What a value shares with others of its kind: who runs the mailbox, network, card or line, or who issued the key."""
+    return (
+        F.when(kind == "email", F.concat(F.lit("domain:"), F.lower(F.substring_index(value, "@", -1))))
+        .when(kind == "ip", F.concat(F.lit("network:"), F.substring_index(value, ".", 3)))
+        .when(kind == "card", F.concat(F.lit("issuer:"), F.substring(_digits(value), 1, 6)))
+        .when(kind == "phone", F.concat(F.lit("prefix:"), F.substring(_digits(value), 1, 5)))
+        .otherwise(F.concat(F.lit("begins:"), F.substring(value, 1, 4)))
+    )
+
+
 def _entities(spans):
-    """The protected values of a text's spans and their classes."""
-    return F.array_distinct(F.concat(F.transform(spans, lambda s: _entity(s["kind"], s["value"])), F.transform(spans, lambda s: F.concat(F.lit("any "), s["kind"]))))
+    """The protected values of a text's spans, their groups and their classes."""
+    kinds = (lambda s: _entity(s["kind"], s["value"]), lambda s: _group(s["kind"], s["value"]), lambda s: F.concat(F.lit("any "), s["kind"]))
+    return F.array_distinct(F.concat(*(F.transform(spans, of) for of in kinds)))
 
 
 def _terms(text):
@@ -152,13 +165,15 @@ def disclosing_terms(private: DataFrame, corpus: DataFrame, least: int = LEAST_D
     of the entity's information. Both must share ``least`` documents, and the evidence (these documents times the
     information in bits) must exceed the logarithm of the number of such pairs by MARGIN, so that none of the many pairs
     of rare words gets there by chance. All counts are rows of the table, copies among them; group-bys are pre-aggregated,
-    so an entity or word in a third of all rows is no hot key; words inside an entity don't count, neither beside it nor as the corpus's; only entities of so many documents meet their documents'
-    words, and the corpus's words are counted before they meet the candidates.
+    so an entity or word in a third of all rows is no hot key, and classes and large groups meet their documents' words
+    where these lie (``attach``); words inside an entity don't count, neither beside it nor as the corpus's; only entities
+    of so many documents meet their documents' words, and the corpus's words are counted before they meet the candidates.
     """
     n_docs = corpus.count()
-    near = private.select(_outside_terms().alias("terms"), _entities(F.col("private")).alias("entities")).select("terms", F.explode("entities").alias("entity"))
-    common = cut(near.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= least), "entities")
-    pairs = near.join(common, "entity").select("entity", "n_entity", F.explode("terms").alias("term"))
+    near = cut(private.select(_outside_terms().alias("terms"), _entities(F.col("private")).alias("entities")), "outside-terms")
+    common = cut(near.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"), F.count("*").alias("heat")).where(F.col("n_entity") >= least), "entities")
+    met = attach(near.select("terms", F.explode("entities").alias("entity")), common, ["entity"], "heat", near.agg(F.sum(F.size("entities"))).first()[0] or 0).where("n_entity is not null")
+    pairs = met.select("entity", "n_entity", F.explode("terms").alias("term"))
     counted = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"))
     candidates = cut(counted.where(F.col("n_both") >= least), "terms")
     enough = math.log2(max(1, candidates.count())) + MARGIN

@@ -236,6 +236,12 @@ def brute_private(text):
     return base, [s for s in secrets if not any(a < s[2] and s[1] < b for _, a, b in base)]
 
 
+def group_of(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    named = {"email": ("domain", value.rsplit("@")[-1].lower()), "ip": ("network", ".".join(value.split(".")[:3])), "card": ("issuer", digits[:6]), "phone": ("prefix", digits[:5]), "secret": ("begins", value[:4])}
+    return ":".join(named[kind])
+
+
 def brute_terms(rows, least=pii.LEAST_DOCS):
     """Scores of all pairs over ``(doc_id, text)`` rows by counting, and the spans that they give each row."""
     words = lambda t: set(re.findall(r"[^\W\d_]{3,}", t.lower()))
@@ -244,7 +250,7 @@ def brute_terms(rows, least=pii.LEAST_DOCS):
     for _, text in rows:
         text = text or ""
         base, secrets = brute_private(text)
-        mine = {entity(k, text[a:b]) for k, a, b in base + secrets} | {f"any {k}" for k, _, _ in base + secrets}
+        mine = {entity(k, text[a:b]) for k, a, b in base + secrets} | {f"any {k}" for k, _, _ in base + secrets} | {group_of(k, text[a:b]) for k, a, b in base + secrets}
         own.append(mine)
         out, at = "", 0
         for _, a, b in sorted(base + secrets, key=lambda s: (s[1], s[2], s[0])):
@@ -279,6 +285,8 @@ def planted(rows):
     far, top = "plain words go on and on here " * 30, max(i for i, _ in rows)
     texts = [f"Zorblax {far} lives behind 10.0.0.{i % 5} and 10.0.0.9" for i in range(12)] + [f"mail Quuxley at c@copy.example.com or +1 (555) 010-{1000 + i}" for i in range(9)]
     texts += [f"Mixwell {'10.0.0.9' if i < 3 else ''} {far}" for i in range(12)] + [f"the passwort is {'0123456789abcdef' * 2}{i}" for i in range(10)]
+    texts += [f"Domwort writes from u{i}@inside.example.org {far}" for i in range(9)] + [f"Netzwort {far} at 10.77.3.{i}" for i in range(9)]  # groups of values that occur once
+    texts += [f"Cardwort {far} paid by 411111{i}" for i in ("1111111111", "0000000021", "0000000039", "0000000047", "0000000054")]
     return [*rows, *((top + 1 + i, t) for i, t in enumerate(texts))]
 
 
@@ -293,7 +301,7 @@ def test_disclosing_terms_of_documents(spark):
         found = sorted((r.doc_id, [(s.kind, s.start, s.end) for s in [*r.base, *r.terms]]) for r in pii.find_pii(df).collect())
         assert found == sorted((i, s) for (i, _), s in zip(rows, spans))
     flagged = {w for _, w in want}
-    assert {"zorblax", "quuxley", "passwort"} <= flagged and "mixwell" not in flagged and "plain" not in flagged
+    assert {"zorblax", "quuxley", "passwort", "domwort", "netzwort"} <= flagged and "mixwell" not in flagged and "plain" not in flagged
 
 
 def test_sanitised_texts(spark):

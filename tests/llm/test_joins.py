@@ -286,7 +286,7 @@ def planted(rows):
     texts = [f"Zorblax {far} lives behind 10.0.0.{i % 5} and 10.0.0.9" for i in range(12)] + [f"mail Quuxley at c@copy.example.com or +1 (555) 010-{1000 + i}" for i in range(9)]
     texts += [f"Mixwell {'10.0.0.9' if i < 3 else ''} {far}" for i in range(12)] + [f"the passwort is {'0123456789abcdef' * 2}{i}" for i in range(10)]
     texts += [f"Domwort writes from u{i}@inside.example.org {far}" for i in range(9)] + [f"Netzwort {far} at 10.77.3.{i}" for i in range(9)]  # groups of values that occur once
-    texts += [f"Cardwort {far} paid by 411111{i}" for i in ("1111111111", "0000000021", "0000000039", "0000000047", "0000000054")]
+    texts += [f"Cardwort {far} paid by 411111{i}" for i in ("0000001375", "0000002746", "0000004114", "0000005483", "0000006853", "0000008222")]
     return [*rows, *((top + 1 + i, t) for i, t in enumerate(texts))]
 
 
@@ -301,7 +301,7 @@ def test_disclosing_terms_of_documents(spark):
         found = sorted((r.doc_id, [(s.kind, s.start, s.end) for s in [*r.base, *r.terms]]) for r in pii.find_pii(df).collect())
         assert found == sorted((i, s) for (i, _), s in zip(rows, spans))
     flagged = {w for _, w in want}
-    assert {"zorblax", "quuxley", "passwort", "domwort", "netzwort"} <= flagged and "mixwell" not in flagged and "plain" not in flagged
+    assert {"zorblax", "quuxley", "passwort", "domwort", "netzwort", "cardwort"} <= flagged and "mixwell" not in flagged and "plain" not in flagged
 
 
 def test_sanitised_texts(spark):

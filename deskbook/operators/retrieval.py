@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.urls import host_of
-from ..sources.scratch import cut
+from ..sources.scratch import cut, lean_batches
 
 K1, B = 1.2, 0.75
 TITLE_TERM, TITLE_PHRASE, TEXT_PHRASE = 0.8, 2.5, 1.2
@@ -61,6 +61,7 @@ LISTS = "chunk_id string, url string, source string, doc_len long, terms array<s
 
 def term_lists(chunks: DataFrame) -> DataFrame:
     """``Index.lists`` of chunks: tokenised in expressions, a chunk's terms counted where it is, without a shuffle."""
+    lean_batches(chunks.sparkSession)
     cores = chunks.sparkSession.sparkContext.defaultParallelism
     spread = chunks.repartition(cores, "chunk_id") if len(chunks.inputFiles()) < cores else chunks  # few files: else one task has all the work
     source = F.col("source") if "source" in chunks.columns else F.lit(None).cast("string")
